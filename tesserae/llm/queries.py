@@ -36,3 +36,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.quality_crf import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
