@@ -51,3 +51,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.brown_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
