@@ -58,3 +58,18 @@ def op5_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.brown_lm import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.url_rules import judge, labelled_pages, mine
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, mine(labelled_pages(pages, table(spark, sf_dir, "labels"))))
