@@ -73,3 +73,28 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     return judge(pages, mine(labelled_pages(pages, table(spark, sf_dir, "labels"))))
+
+
+@query
+def op7_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.warc import archive_and_index
+
+    # pages have no capture time; their ids stand in for seconds
+    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    index = archive_and_index(table(spark, sf_dir, "pages"), when)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
+
+
+@query
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
