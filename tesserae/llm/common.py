@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch that a Python function handles at once.
 SLICE_ROWS = 512
@@ -60,7 +61,7 @@ def words_of(text: str | None) -> list[bytes]:
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
-    schema: str,
+    schema: str | StructType,
     rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Apply a batch function in bounded slices; ``make`` runs once per task."""

@@ -231,3 +231,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = 16, width:
     out = rows.select("id", "n_shingles").join(named, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without all but the first of each group of near-duplicates; one row of a repeated id."""
+    found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col)
+    gone = materialize(found.where(~F.col("kept")).select(id_col).distinct(), "gone")
+    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1")
+    if repeated.isEmpty():
+        return left
+    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    return named.unionByName(left.where(F.col(id_col).isNull()))

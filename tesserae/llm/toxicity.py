@@ -24,6 +24,7 @@ labelled texts of both classes every text scores 0.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -334,11 +335,28 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
 
 
 def hash_of(word: str) -> int:
-    import zlib
-
     return zlib.crc32(word.encode("utf-8", "replace"))
 
 
+def _scorer(model: ToxicityModel):
+    """A function from texts to their scores and worst words, with a cache of word margins."""
+    cache = WordCache(CACHE_ENTRIES)
+    nothing = model.margins([b"\0"])[0]
+
+    def run(texts: list[str | None]) -> tuple[list[float], list[bytes]]:
+        scores, worst = [], []
+        for a, b in text_groups(texts, GROUP_CHARS):
+            lists = [toxic_words(t) for t in texts[a:b]]
+            margin = cache.fetch(set().union(*lists), model.margins)
+            for words in lists:
+                top = max(words, key=margin.__getitem__, default=b"")
+                scores.append(model.probability(max(margin[top], nothing) if words else nothing))
+                worst.append(top)
+        return scores, worst
+
+    return run
+
+
 def score(docs: DataFrame, model: ToxicityModel, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted and the worst word."""
     held = F.coalesce(fold_of(F.col(id_col), folds) == held_fold, F.lit(False))
@@ -346,24 +364,31 @@ def score(docs: DataFrame, model: ToxicityModel, folds: int = 5, held_fold: int
     schema = f"{id_col} {dict(source.dtypes)['id']}, held_out boolean, score double, predicted int, worst_word string"
 
     def make():
-        cache = WordCache(CACHE_ENTRIES)
-        nothing = model.margins([b"\0"])[0]
+        run = _scorer(model)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(2).to_pylist()
-            scores, worst = [], []
-            for a, b in text_groups(texts, GROUP_CHARS):
-                lists = [toxic_words(t) for t in texts[a:b]]
-                margin = cache.fetch(set().union(*lists), model.margins)
-                for words in lists:
-                    top = max(words, key=margin.__getitem__, default=b"")
-                    scores.append(model.probability(max(margin[top], nothing) if words else nothing))
-                    worst.append(top.decode("utf-8", "replace"))
+            scores, worst = run(batch.column(2).to_pylist())
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(worst, pa.string())],
+                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([w.decode("utf-8", "replace") for w in worst], pa.string())],
                 names=[id_col, "held_out", "score", "predicted", "worst_word"],
             )
 
         return step
 
     return map_slices(source, make, schema)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns and without a join."""
+    at = docs.columns.index(text_col)
+
+    def make():
+        run = _scorer(model)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            scores, _ = run(batch.column(at).to_pylist())
+            return batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+        return step
+
+    return map_slices(docs, make, docs.schema)
