@@ -2,5 +2,452 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import text as T
+from tesserae.functions.vector import cosine
+from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
+from tesserae.sources import html, tables
+from tesserae.streaming import cdc
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+TENANT = "src0"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+RESOURCES = """resources as (
+  select d.doc_id as resource_id, d.lang as collection_id, d.source as owner_id, d.text as content, d.n_chars,
+         coalesce(l.gone, false) as is_deleted
+  from documents d left join (select doc_id, max(case when toxic = 1 then 1 else 0 end) = 1 as gone from labels group by doc_id) l
+  on d.doc_id = l.doc_id)"""
+K = "cast(regexp_extract(props, '\"k\": ?([0-9]+)', 1) as bigint)"
+CHANGES = f"""changes as (
+  select event_id as token, op, case when op <> 'delete' then user_id end as resource_id,
+    case when user_id % 3 <> 0 then 'https://Site' || user_id || '.example.com/a.b/Doc.' || case when k % 2 = 0 then 'PDF' else 'html' end end as url,
+    case when k % 4 <> 0 then 'text ' || k end as content, k % 7 = 0 as is_deleted,
+    case when op = 'update' then [fields[k % 5 + 1], fields[user_id % 4 + 1]] end as updated
+  from (select *, {K} as k, ['url','content','refreshedAt','isDeleted','metadata'] as fields,
+    case event_type when 'signup' then 'insert' when 'error' then 'delete' else 'update' end as op from events))"""
+RELEVANT = CHANGES + """, relevant as (
+  select * from changes where resource_id is not null and not (op = 'update' and coalesce(list_contains(updated, 'metadata'), false)))"""
+EVENTS = RELEVANT + """, listed as (
+  select *, case when op = 'insert' then case when coalesce(url, '') <> '' then ['load'] when coalesce(content, '') <> '' then ['chunk'] else [] end
+    when op = 'update' then list_filter([
+      case when coalesce(url, '') <> '' and (list_contains(updated, 'url') or list_contains(updated, 'refreshedAt')) then 'load' end,
+      case when list_contains(updated, 'content') then 'delete' end, case when list_contains(updated, 'content') then 'chunk' end,
+      case when list_contains(updated, 'isDeleted') and is_deleted then 'delete' end], lambda x: x is not null) else [] end as names from relevant),
+ found as (select token, resource_id, lower(regexp_extract(url, '://([^/]*)', 1)) as d, url, unnest(names) as event, unnest(range(len(names))) as ord from listed)"""
+QUERY_VECTORS = "q as (select vec_id as query_id, embedding::double[] as v, label % 2 as owner_id from embeddings where vec_id % 50 = 0), p as (select vec_id as point_id, embedding::double[] as v, label % 2 as owner_id, label from embeddings)"
+DENSE = QUERY_VECTORS + """, scored as (select q.query_id, p.point_id, round(list_cosine_similarity(q.v, p.v), 6) as score from q cross join p),
+ dense as (select * from (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from scored) where rank <= 50)"""
+TF = "tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) group by all)"
+QTF = "qtf as (select item_id, term, count(*) as tf from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from benchmark) group by all)"
+SPARSE = f"{TF}, {QTF}" + """, sparse as (select * from (select query_id, point_id, score, row_number() over (partition by query_id order by score desc, point_id) as rank from
+  (select q.item_id as query_id, d.doc_id as point_id, cast(sum(q.tf * d.tf) as double) as score from qtf q join tf d on q.term = d.term group by all)) where rank <= {k})"""
+
+
+def hash_vectors(src: str, key: str, out: str) -> str:
+    """SQL of the hashing encoder: one row per id, a vector of 64."""
+    return f"""{out}_h as (select {key}, term, tf, cast('0x' || substr(md5(term), 1, 8) as bigint) as h from {src}),
+ {out}_s as (select {key}, h % 64 as dim, sum(tf * (1 - 2 * ((h // 64) % 2)))::double as x from {out}_h group by all),
+ {out}_n as (select {key}, sqrt(sum(x * x)) as n from {out}_s group by all),
+ {out} as (select s.{key}, list(coalesce(x.x / nullif(n.n, 0), 0.0) order by s.dim) as v from (select distinct {key}, dim from {out}_n cross join (select unnest(range(64)) as dim)) s
+   join {out}_n n on s.{key} = n.{key} left join {out}_s x on x.{key} = s.{key} and x.dim = s.dim group by s.{key})"""
+
+
+def docs_of(spark, sf_dir):
+    return tables.read(spark, sf_dir, "documents")
+
+
+@query("select doc_id as resource_id, lang as collection_id, source as owner_id, n_chars from documents where lang = 'en' and source = 'src0' and doc_id not in (select doc_id from labels where toxic = 1)")
+def q01_resources_by_collection(spark, sf_dir):
+    r = tables.resources(spark, sf_dir).where((F.col("collection_id") == "en") & (F.col("owner_id") == TENANT) & ~F.col("is_deleted"))
+    return r.drop("content", "is_deleted")
+
+
+@query(f"with {RESOURCES} select resource_id, collection_id, owner_id, is_deleted from resources where resource_id = 17")
+def q02_resource_lookup(spark, sf_dir):
+    return tables.resources(spark, sf_dir).where("resource_id = 17").select("resource_id", "collection_id", "owner_id", "is_deleted")
+
+
+WINDOWS = "windows as (select doc_id, lang, source, text, unnest(range(case when length(text) <= 800 then 1 else cast(ceil((length(text) - 800) / 700.0) as bigint) + 1 end)) as chunk_no from documents where length(text) > 0), chunks as (select doc_id, lang, source, cast(chunk_no as int) as chunk_no, substr(text, cast(chunk_no * 700 + 1 as bigint), 800) as chunk from windows)"
+
+
+@query(f"with {WINDOWS} select doc_id, chunk_no, chunk from chunks where doc_id = 17")
+def q03_chunks_by_resource(spark, sf_dir):
+    return chunking.fixed_windows(docs_of(spark, sf_dir).where("doc_id = 17"), "text", 800, 100).select("doc_id", "chunk_no", "chunk")
+
+
+@query("select page_id, url from pages where regexp_matches(url, '(?i)^https://[a-z.]*example\\.com')")
+def q04_url_regex_scan(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").where(F.col("url").rlike(r"(?i)^https://[a-z.]*example\.com")).select("page_id", "url")
+
+
+URL_PARTS = "parts as (select page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) as domain, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages), ext as (select *, case when contains(path, '.') then split_part(path, '.', -1) else 'html' end as extension from parts)"
+
+
+@query(f"with {URL_PARTS} select page_id, domain, lower(extension) as extension from ext")
+def q05_url_metadata(spark, sf_dir):
+    url = F.col("url")
+    return tables.read(spark, sf_dir, "pages").select("page_id", T.url_host(url).alias("domain"), T.url_extension(url).alias("extension"))
+
+
+@query(f"with {URL_PARTS} select page_id, case when extension = 'pdf' then 'pdf' when extension = 'jpeg' then 'image' when domain = 'docs.google.com' then 'google-doc' when domain = 'www.youtube.com' then 'youtube' else 'web' end as loader from ext")
+def q06_loader_dispatch(spark, sf_dir):
+    return tables.read(spark, sf_dir, "pages").select("page_id", T.loader_of(F.col("url")).alias("loader"))
+
+
+@query(f"with {WINDOWS} select doc_id, chunk_no, md5(chunk) as chunk_md5 from chunks")
+def q07_chunk_fixed_overlap(spark, sf_dir):
+    return chunking.fixed_windows(docs_of(spark, sf_dir), "text", 800, 100).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+SENTENCES = r"""matched as (select doc_id, text, regexp_extract_all(text, '[^.!?。！？؟]+[.!?。！？؟]+\s*') as found from documents),
+ sentences as (select doc_id, list_filter(list_transform(list_append(found, case when len(found) > 0 then regexp_extract(text, '([^.!?。！？؟]*)\z', 1) else text end), lambda x: regexp_replace(x, '^\s+|\s+\z', '', 'g')), lambda x: x <> '') as found from matched)"""
+
+
+@query(f"with {SENTENCES} select doc_id, len(found) as n_sentences, md5(array_to_string(found, '|')) as digest from sentences")
+def q08_sentence_split(spark, sf_dir):
+    found = docs_of(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("found"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.md5(F.array_join("found", "|").cast("binary")).alias("digest"))
+
+
+@query()
+def q09_chunk_recursive(spark, sf_dir):
+    return chunking.chunk_documents(docs_of(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
+
+
+ADJACENT = """adjacent as (select * from (select label, vec_id, round(list_cosine_similarity(embedding::double[], lead(embedding) over (partition by label order by vec_id)::double[]), 6) as sim from embeddings) where sim is not null)"""
+
+
+@query(f"with {ADJACENT} select * from adjacent")
+def q10_adjacent_cosine(spark, sf_dir):
+    return chunking.adjacent_similarity(tables.read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", "sim")
+
+
+@query(f"""with {ADJACENT}, sorted as (select label, list(sim order by sim) as s from adjacent group by label),
+ threshold as (select label, greatest(0.4, least(0.9, s[least(cast(floor(len(s) * 0.2) as bigint), len(s) - 1) + 1])) as t from sorted)
+ select a.label, cast(row_number as int) as position, sim, round(t, 6) as threshold from (select *, row_number() over (partition by label order by vec_id) as row_number from adjacent) a join threshold t on a.label = t.label where sim <= t""")
+def q11_breakpoints(spark, sf_dir):
+    return chunking.breakpoints(q10_adjacent_cosine(spark, sf_dir), "label", "vec_id")
+
+
+@query()
+def q12_chunk_semantic(spark, sf_dir):
+    return chunking.chunk_documents(docs_of(spark, sf_dir).select("doc_id", "text"), "text", "semantic").drop("text")
+
+
+CONTENT_ID = "regexp_replace(md5(lang || ':' || source || ':' || text), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query(f"select doc_id, case when text <> '' then {CONTENT_ID} end as content_id from documents")
+def q13_content_id(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.content_id(F.col("text"), F.col("lang"), F.col("source")).alias("content_id"))
+
+
+@query(f"select lang, content_id, max(doc_id) as doc_id from (select lang, doc_id, {CONTENT_ID} as content_id from documents) group by all")
+def q14_upsert_dedup(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).select("lang", "doc_id", T.content_id(F.col("text"), F.col("lang"), F.col("source")).alias("content_id"))
+    return store.upsert_dedup(rows, ["lang", "content_id"], "doc_id")
+
+
+COLLECTIONS = "values ('en', 1000, 100, 'recursive'), ('fr', 0, 0, ''), ('de', 800, 0, 'semantic'), ('es', cast(null as int), 20, cast(null as string))"
+
+
+@query("""with c(lang, size, overlap, strategy) as (values ('en', 1000, 100, 'recursive'), ('fr', 0, 0, ''), ('de', 800, 0, 'semantic'), ('es', null, 20, null)),
+ r as (select doc_id, lang, case doc_id % 3 when 0 then 0 when 1 then 300 end as size, doc_id % 3 <> 2 as has, case when doc_id % 6 = 0 then 'custom' when doc_id % 6 = 1 then '' end as strategy from documents)
+ select r.doc_id as resource_id, r.lang as collection_id, coalesce(nullif(r.size, 0), nullif(c.size, 0), 512) as chunk_size, coalesce(nullif(c.overlap, 0), 50) as chunk_overlap,
+ coalesce(nullif(case when has and coalesce(r.strategy, '') = '' then 'recursive' else r.strategy end, ''), nullif(c.strategy, ''), 'recursive') as strategy from r left join c on r.lang = c.lang""")
+def q15_settings_resolution(spark, sf_dir):
+    collections = spark.sql(f"select * from {COLLECTIONS} as t(collection_id, collection_size, collection_overlap, collection_strategy)")
+    third, sixth = F.pmod("doc_id", F.lit(3)), F.pmod("doc_id", F.lit(6))
+    rows = docs_of(spark, sf_dir).select(
+        F.col("doc_id").alias("resource_id"),
+        F.col("lang").alias("collection_id"),
+        F.when(third == 0, 0).when(third == 1, 300).alias("resource_size"),
+        F.lit(None).cast("int").alias("resource_overlap"),
+        F.when(sixth == 0, "custom").when(sixth == 1, "").alias("resource_strategy"),
+        (third != 2).alias("has_settings"),
+    )
+    # four rows
+    return store.resolve_settings(rows.join(F.broadcast(collections), "collection_id", "left"))
+
+
+@query("""with recursive t as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by length(text) desc, turn) as k from conversations),
+ b as (select conv_id, turn, n, k, 0 as batch, 1 as items, n as total, n as longest from t where k = 1 union all
+  select t.conv_id, t.turn, t.n, t.k, case when new then batch + 1 else batch end, case when new then 1 else items + 1 end, case when new then t.n else total + t.n end, case when new then t.n else longest end
+  from (select b.conv_id as c, b.k as bk, b.batch, b.items, b.total, b.longest, t2.n as nn, b.items >= 50 or (b.longest > 0 and (b.longest * (b.items + 1) - b.total - t2.n) / (b.longest * (b.items + 1))::double > 0.10) as new
+    from b join t t2 on t2.conv_id = b.conv_id and t2.k = b.k + 1) x join t on t.conv_id = x.c and t.k = x.bk + 1)
+ select conv_id, turn, cast(batch as int) as batch from b""")
+def q16_batch_plan(spark, sf_dir):
+    turns = tables.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("turns"))
+
+    def run(frames):
+        for f in frames:
+            f["batch"] = [encode.batches([t["n"] for t in turns]) for turns in f["turns"]]
+            f["turn"] = [[t["turn"] for t in turns] for turns in f["turns"]]
+            yield f[["conv_id", "turn", "batch"]]
+
+    planned = turns.mapInPandas(run, "conv_id long, turn array<long>, batch array<int>")
+    return planned.select("conv_id", F.explode(F.arrays_zip("turn", "batch")).alias("x")).select("conv_id", "x.turn", "x.batch")
+
+
+@query(f"with {TF} select doc_id, term, tf from tf")
+def q17_sparse_tf(spark, sf_dir):
+    return encode.term_frequencies(docs_of(spark, sf_dir), "doc_id", "text")
+
+
+@query(f"with {TF}, {hash_vectors('tf', 'doc_id', 'hv')} select doc_id, cast(unnest(range(64)) as int) as dim, round(unnest(v), 6) + 0.0 as value from hv")
+def q18_hash_dense_encode(spark, sf_dir):
+    v = encode.encode(docs_of(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", F.posexplode("vector").alias("dim", "value"))
+    return v.select("doc_id", "dim", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+def vector_queries(spark, sf_dir):
+    p = tables.points(spark, sf_dir)
+    return p.where("point_id % 50 = 0").withColumnRenamed("point_id", "query_id")
+
+
+@query(f"with {DENSE} select query_id, point_id, score, cast(rank as int) as rank from dense")
+def q19_dense_topk(spark, sf_dir):
+    return retrieve.dense_topk(vector_queries(spark, sf_dir), tables.points(spark, sf_dir), retrieve.POOL)
+
+
+@query(f"with {QUERY_VECTORS}, scored as (select q.query_id, p.point_id, round(list_cosine_similarity(q.v, p.v), 6) as score from q join p on q.owner_id = p.owner_id) select query_id, point_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from scored where score >= 0) where rank <= 10")
+def q20_dense_topk_filtered(spark, sf_dir):
+    return retrieve.dense_topk(vector_queries(spark, sf_dir), tables.points(spark, sf_dir), 10, same_owner=True).where("score >= 0")
+
+
+def text_queries(spark, sf_dir):
+    return tables.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"with {SPARSE.format(k=50)} select query_id, point_id, score, cast(rank as int) as rank from sparse")
+def q21_sparse_topk(spark, sf_dir):
+    return retrieve.sparse_topk(text_queries(spark, sf_dir), docs_of(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "text"), 50)
+
+
+HYBRID = SPARSE.format(k=100) + f""", {hash_vectors('tf', 'doc_id', 'pv')}, {hash_vectors('qtf', 'item_id', 'qv')},
+ dscored as (select q.item_id as query_id, p.doc_id as point_id, round(list_inner_product(q.v, p.v), 6) + 0.0 as score from qv q cross join pv p),
+ dense as (select * from (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from dscored) where rank <= 100),
+ fused as (select query_id, point_id, round(sum(1.0::double / (1 + rank)), 6) as score from (select query_id, point_id, rank from dense union all select query_id, point_id, rank from sparse) group by all),
+ pool as (select * from (select *, row_number() over (partition by query_id order by score desc, point_id) as rank from fused) where rank <= 50)"""
+
+
+def hybrid_inputs(spark, sf_dir, tenant=None):
+    docs = docs_of(spark, sf_dir)
+    docs = docs.where(F.col("source") == tenant) if tenant else docs
+    points = encode.encode(docs.select(F.col("doc_id").alias("point_id"), "text"), "text").withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+    queries = encode.encode(text_queries(spark, sf_dir), "text").withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+    return queries, points
+
+
+@query(f"with {HYBRID} select query_id, point_id, score, cast(rank as int) as rank from pool")
+def q22_hybrid_rrf(spark, sf_dir):
+    return retrieve.hybrid_topk(*hybrid_inputs(spark, sf_dir), retrieve.POOL)
+
+
+SLICES = "list_transform([1, 17, 33, 49], lambda i: {v}[i:i+15])"
+MAXSIM = "list_sum(list_transform({q}, lambda a: list_max(list_transform({p}, lambda b: coalesce(list_inner_product(a, b) / nullif(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 0), 0.0)))))"
+
+
+@query(f"""with {DENSE}, pairs as (select d.query_id, d.point_id, {SLICES.format(v='q.v')} as qs, {SLICES.format(v='p.v')} as ps from dense d join q on d.query_id = q.query_id join p on d.point_id = p.point_id),
+ re as (select query_id, point_id, round({MAXSIM.format(q='qs', p='ps')}, 6) as rerank_score from pairs)
+ select query_id, point_id, rerank_score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by rerank_score desc, point_id) as rank from re) where rank <= 5""")
+def q23_maxsim_rerank(spark, sf_dir):
+    points = tables.points(spark, sf_dir).withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+    queries = vector_queries(spark, sf_dir).withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+    return retrieve.rerank(q19_dense_topk(spark, sf_dir), queries, points, 5)
+
+
+SEARCH = HYBRID.replace("from documents)", "from documents where source = 'src0')") + f""",
+ pairs as (select d.query_id, d.point_id, {SLICES.format(v='q.v')} as qs, {SLICES.format(v='p.v')} as ps from pool d join qv q on d.query_id = q.item_id join pv p on d.point_id = p.doc_id),
+ re as (select query_id, point_id, round({MAXSIM.format(q='qs', p='ps')}, 6) as rerank_score from pairs),
+ top as (select * from (select *, row_number() over (partition by query_id order by rerank_score desc, point_id) as rank from re) where rank <= 5),
+ final as (select t.query_id, t.point_id, cast(t.rank as int) as rank, t.rerank_score, case when coalesce(p.score, 0) = 0 then t.rerank_score else p.score end as score from top t left join pool p on t.query_id = p.query_id and t.rank = p.rank)"""
+
+
+@query(f"with {SEARCH} select * from final")
+def q24_search_pipeline(spark, sf_dir):
+    return retrieve.search(*hybrid_inputs(spark, sf_dir, TENANT))
+
+
+COUNTS = f"""votes as (select event_id, user_id as query_id, {K} as chunk_id, case when event_type = 'error' then -1 else 1 end as delta from events where event_type in ('click', 'purchase', 'error')),
+ counts as (select query_id, chunk_id, cast(sum(delta) as bigint) as votes from votes group by all)"""
+SIMILAR = DENSE + f""", {COUNTS}, asked as (select distinct e.vec_id as fid, e.embedding::double[] as v from embeddings e join (select distinct query_id from counts) c on e.vec_id = c.query_id),
+ near as (select query_id, fid, sim from (select *, row_number() over (partition by query_id order by sim desc, fid) as rn from (select q.query_id, a.fid, round(list_cosine_similarity(q.v, a.v), 6) as sim from q cross join asked a)) where rn <= 5 and sim > 0.85),
+ hits as (select n.query_id, c.chunk_id as point_id, n.sim, n.fid, c.votes from near n join counts c on c.query_id = n.fid)"""
+
+
+def feedback_inputs(spark, sf_dir):
+    counts = feedback.vote_counts(tables.votes(spark, sf_dir))
+    asked = tables.points(spark, sf_dir).join(counts.select(F.col("query_id").alias("point_id")).distinct(), "point_id", "left_semi").select("point_id", "vector")
+    return vector_queries(spark, sf_dir), asked, counts
+
+
+@query(f"""with {SIMILAR}, folded as (select query_id, point_id, list({{'s': sim, 'v': votes}} order by sim desc, fid) as hs from hits group by all)
+ select d.query_id, d.point_id, round(case when hs is null then score else
+   list_reduce(list_prepend({{'s': score, 'v': cast(null as bigint)}}, hs), lambda a, h: {{'s': case when h.v < 0 then 0.0 when h.v = 0 then '-inf'::double when isnan(ln(h.v) * h.s + a.s) then 0.0 else ln(h.v) * h.s + a.s end, 'v': cast(null as bigint)}}).s end, 6) as score
+ from dense d left join folded f on d.query_id = f.query_id and d.point_id = f.point_id""")
+def q25_feedback_boost(spark, sf_dir):
+    queries, asked, counts = feedback_inputs(spark, sf_dir)
+    return feedback.boost(q19_dense_topk(spark, sf_dir), queries, asked, counts).select("query_id", "point_id", "score")
+
+
+@query(f"""with {SIMILAR}, boost as (select query_id, point_id, sum(sim * log10(votes + 1.0)) as b from hits where votes > -1 group by all)
+ select d.query_id, d.point_id, score as original_score, round(coalesce(b, 0.0), 6) as feedback_boost, round(score + coalesce(b, 0.0) * 0.2::double, 6) as score from dense d left join boost b on d.query_id = b.query_id and d.point_id = b.point_id""")
+def q26_feedback_fuse(spark, sf_dir):
+    queries, asked, counts = feedback_inputs(spark, sf_dir)
+    return feedback.fuse(q19_dense_topk(spark, sf_dir), queries, asked, counts).select("query_id", "point_id", "original_score", "feedback_boost", "score")
+
+
+@query(f"with {COUNTS} select * from counts")
+def q27_vote_counts(spark, sf_dir):
+    return feedback.vote_counts(tables.votes(spark, sf_dir))
+
+
+@query()
+def q28_vote_assignment(spark, sf_dir):
+    vectors = tables.points(spark, sf_dir).select(F.col("point_id").alias("query_id"), "owner_id", "vector")
+    return feedback.assign_votes(tables.votes(spark, sf_dir).select("event_id", "query_id").join(vectors, "query_id"))
+
+
+CASES = "cases as (select q.query_id, (select list(vec_id order by vec_id)[1:3] from embeddings e where e.label = (select label from embeddings x where x.vec_id = q.query_id) and e.vec_id <> q.query_id) as expected from q)"
+
+
+def eval_cases(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    # the four smallest ids of a label hold three others for any id
+    first = e.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 4").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    cases = e.where("vec_id % 50 = 0").join(first, "label")
+    return cases.select(F.col("vec_id").alias("query_id"), F.slice(F.array_remove("ids", F.col("vec_id")), 1, 3).alias("expected"))
+
+
+JUDGED = DENSE + f""", {CASES}, found as (select query_id, list(point_id order by rank) as found from dense where rank <= 5 group by all),
+ judged as (select c.query_id, list_has_any(expected, found) as is_hit, len(list_filter(expected, lambda x: list_contains(found, x))) / len(expected)::double as recall,
+   coalesce(1.0::double / list_min(list_filter(list_transform(expected, lambda x: list_position(found, x)), lambda p: p > 0)), 0.0) as reciprocal_rank from cases c join found f on c.query_id = f.query_id)"""
+
+
+def judged(spark, sf_dir):
+    return evaluate.evaluate(eval_cases(spark, sf_dir), q19_dense_topk(spark, sf_dir))
+
+
+@query(f"with {JUDGED} select query_id, is_hit, round(recall, 6) as recall, round(reciprocal_rank, 6) as reciprocal_rank from judged")
+def q29_eval_cases(spark, sf_dir):
+    return judged(spark, sf_dir).select("query_id", "is_hit", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query(f"with {JUDGED} select round(avg(case when is_hit then 1.0 else 0.0 end), 6) as overall_score, round(avg(recall), 6) as average_recall, round(avg(reciprocal_rank), 6) as mrr, count(*) as total_cases, count(*) filter (is_hit) as hit_count from judged")
+def q30_eval_summary(spark, sf_dir):
+    return evaluate.summary(judged(spark, sf_dir))
+
+
+@query(f"with {JUDGED} select query_id from judged where not is_hit")
+def q31_eval_failed(spark, sf_dir):
+    return evaluate.failed(judged(spark, sf_dir)).select("query_id")
+
+
+@query(f"with {RELEVANT} select token, op, resource_id from relevant")
+def q32_cdc_filter(spark, sf_dir):
+    return cdc.relevant(tables.changes(spark, sf_dir)).select("token", "op", "resource_id")
+
+
+@query(f"with {EVENTS} select token, resource_id, d as domain, lower(split_part(url, '.', -1)) as extension, cast(ord as int) as ord, event from found")
+def q33_cdc_events(spark, sf_dir):
+    return cdc.events(tables.changes(spark, sf_dir))
+
+
+@query(f"with {RESOURCES} select p.page_id as resource_id, case when p.url is not distinct from r.content then 'chunked' else 'loaded' end as status from pages p left join resources r on p.page_id = r.resource_id")
+def q34_noop_load(spark, sf_dir):
+    loaded = tables.read(spark, sf_dir, "pages").select(F.col("page_id").alias("resource_id"), F.col("url").alias("content"))
+    return cdc.unchanged_loads(loaded, tables.resources(spark, sf_dir))
+
+
+LOG = f"log as (select event_id as seq, case when event_type = 'error' then 'delete' else 'save' end as action, user_id % 7 as collection_id, user_id as resource_id, 'text ' || {K} as data, md5('text ' || {K}) as point_id from events)"
+
+
+def change_log(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    data = F.concat(F.lit("text "), F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long").cast("string"))
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("save").alias("action"), F.pmod("user_id", F.lit(7)).alias("collection_id"), F.col("user_id").alias("resource_id"), data.alias("data"), F.md5(data.cast("binary")).alias("point_id"))
+
+
+@query(f"""with {LOG}, saved as (select * from (select *, row_number() over (partition by collection_id, point_id order by seq desc) as n from log where action = 'save') where n = 1),
+ gone as (select collection_id, resource_id, max(seq) as at from log where action = 'delete' group by all)
+ select s.collection_id, s.point_id, s.resource_id, s.seq from saved s left join gone g on s.collection_id = g.collection_id and s.resource_id = g.resource_id where g.at is null or g.at < s.seq""")
+def q35_log_fold(spark, sf_dir):
+    return store.live_points(change_log(spark, sf_dir)).select("collection_id", "point_id", "resource_id", "seq")
+
+
+@query(f"with {EVENTS} select resource_id, case arg_max(event, token * 10 + ord) when 'load' then 'loaded' when 'chunk' then 'chunked' else 'deleted' end as status, max(token) as token from found group by all")
+def q36_status_latest(spark, sf_dir):
+    return cdc.statuses(cdc.events(tables.changes(spark, sf_dir)))
+
+
+def broken_urls(spark, sf_dir):
+    c = tables.changes(spark, sf_dir)
+    return c.withColumn("url", F.when(F.pmod("token", F.lit(11)) == 0, F.concat(F.lit("no url "), F.col("token").cast("string"))).otherwise(F.col("url")))
+
+
+@query(f"with {CHANGES} select token, 'no url ' || token as url from changes where token % 11 = 0")
+def q37_dead_letter(spark, sf_dir):
+    return cdc.dead_letters(broken_urls(spark, sf_dir)).select("token", "url")
+
+
+@query()
+def q38_html_to_text(spark, sf_dir):
+    return html.to_text(tables.read(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+@query("select * from (values " + ", ".join(f"('{m.kind}', '{m.id}', '{m.name}', '{m.provider}', '{m.latency}')" for m in encode.MODELS) + ") t(kind, model_id, name, provider, latency)")
+def q39_model_registry(spark, sf_dir):
+    return encode.registry(spark)
+
+
+@query(f"with {DENSE} select query_id, 0.0 + max(score) as best_score, cast(count(*) as bigint) as n_scores, round(sum(score), 3) as sum_scores from dense where rank <= 5 group by query_id")
+def q40_analytics_log(spark, sf_dir):
+    top = q19_dense_topk(spark, sf_dir).where("rank <= 5")
+    return top.groupBy("query_id").agg(F.max("score").alias("best_score"), F.count("*").alias("n_scores"), F.round(F.sum("score"), 3).alias("sum_scores"))
+
+
+@query(f"""with {LOG}, gone as (select collection_id, resource_id, max(seq) as at from log where action = 'delete' group by all)
+ select s.collection_id, s.resource_id, count(*) as n_chunks from log s left join gone g on s.collection_id = g.collection_id and s.resource_id = g.resource_id where s.action = 'save' and (g.at is null or g.at < s.seq) group by all""")
+def q41_document_store(spark, sf_dir):
+    return store.live_chunks(change_log(spark, sf_dir)).groupBy("collection_id", "resource_id").agg(F.count("*").alias("n_chunks"))
+
+
+@query("select collection_id, owner_id, count(*) as total, cast(sum(n_chars) as bigint) / 5.0::double as words from (select lang as collection_id, source as owner_id, n_chars from documents) group by all")
+def q42_collection_totals(spark, sf_dir):
+    r = tables.resources(spark, sf_dir)
+    return r.groupBy("collection_id", "owner_id").agg(F.count("*").alias("total"), (F.sum("n_chars") / 5.0).alias("words"))
+
+
+@query("select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as sim from embeddings where vec_id > 0")
+def q43_cosine_expression(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("other"))
+    # one row
+    return e.where("vec_id > 0").join(F.broadcast(one)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("sim"))
+
+
+@query("select doc_id, cast(floor(doc_id / 100.0) as bigint) as range_shard from documents")
+def q44_shard_key(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", T.shard_of(F.col("doc_id"), 0, 100).alias("range_shard"))
+
+
+@query("select doc_id as resource_id, lang as collection_id, case when doc_id in (select doc_id from labels where quality = 0) or doc_id in (select doc_id from labels where toxic = 1) then true else false end as is_deleted from documents")
+def q45_soft_delete(spark, sf_dir):
+    r = tables.resources(spark, sf_dir).select("resource_id", "collection_id", "is_deleted")
+    bad = tables.read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("resource_id"))
+    return store.soft_delete(r, bad, "resource_id")
