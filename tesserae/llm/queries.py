@@ -90,7 +90,7 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages have no capture time; their ids stand in for seconds
     when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     index = archive_and_index(table(spark, sf_dir, "pages"), when)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query
@@ -98,3 +98,30 @@ def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op1_minhash_near_dedup"] = rf"""with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents),
+ sets as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+   else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as items from w),
+ n as (select doc_id, cast(len(items) as bigint) as n from sets),
+ s as (select doc_id, unnest(items) as item from sets),
+ links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.item = y.item and x.doc_id < y.doc_id group by all) p
+   join n na on p.a = na.doc_id join n nb on p.b = nb.doc_id where 100 * c >= 75 * (na.n + nb.n - c)),
+ edges as (select a, b from links union select b, a from links),
+ reach(id, seen) as (select doc_id, doc_id from documents union select r.id, e.b from reach r join edges e on r.seen = e.a),
+ first as (select id, min(seen) as component_id from reach group by id)
+ select n.doc_id, n.n as n_shingles, component_id, n.doc_id = component_id as kept from n join first f on n.doc_id = f.id"""
+
+ORACLES["op3_warc_index"] = """with p as (select page_id, coalesce(html, '') as html from pages),
+ d as (select page_id, html, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as h, min(page_id) over (partition by html) as first_id from p)
+ select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+   cast(((cast('0x' || substr(h, cast((i // 4) * 5 + 1 as bigint), 5) as bigint) >> cast(5 * (3 - i % 4) as bigint)) & 31) + 1 as bigint), 1)), '') as payload_digest,
+   case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from d"""
+
+ORACLES["op4_pivot_topk"] = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+ select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
