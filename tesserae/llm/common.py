@@ -18,12 +18,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors for intermediate tables.
 
     Read from ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a folder of our own is chosen and written back to the session.
+    it is a folder in the warehouse, which is shared too.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserae-scratch"
-        spark.conf.set("spark.checkpoint.dir", path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tesserae-scratch"
     return path.rstrip("/")
 
 
