@@ -10,16 +10,19 @@ defaults (16 and 3) a pair of similarity 0.75 is missed with a probability of
 Steps, all as Spark joins and aggregations:
 
 1. one pass over the texts gives sketches; documents with equal sets are one class;
-2. a tuple of the first collection that only one class has can't lead to a
-   partner, so only shared ones are combined with the second collection;
-3. each class is compared with the smallest class of each of its buckets;
-4. what is still in different components of one bucket is compared too (the
-   largest component of a bucket against the others, never with itself), so a
-   link is not lost because a bucket's smallest member is on neither side of it.
-
-A pair is dropped before step 3 or 4 only where set sizes forbid the similarity
-or one-bit sketches of all hashes differ by over five standard deviations more
-than the similarity allows.
+2. a tuple that only one class has can't lead to a partner, so only shared ones
+   of either collection are combined into keys;
+3. each class is compared with one leader: the class with the most partners in
+   any of its buckets, which is the likely original of a group of copies;
+4. classes that are still apart from others of a bucket are compared with those
+   of a few random members that their sketches are closest to;
+5. what is then still in different components and shares a tuple of either
+   collection is compared in full (the largest component of a bucket against the
+   others, never with itself), so no candidate of the tables goes unseen.
+
+A pair is dropped in steps 3 and 5 only where set sizes forbid the similarity
+or two bits of 192 min-hashes differ in three and a half standard deviations
+more places than the similarity allows.
 
 Defined results: null or wordless texts have empty sets, are linked with
 nothing and kept; texts of fewer than five words are one shingle; rows with a
@@ -42,6 +45,11 @@ from tesserae.llm.components import connected_components
 GROUP_CHARS = 1_000_000
 CACHE_ENTRIES = 400_000
 SEED = 20240229
+#: Min-hashes of which a sketch keeps two bits: 64 a column, first all low bits, then all high ones.
+SKETCHED = 192
+BITS = [f"s{k}" for k in range(1, SKETCHED // 32 + 1)]
+#: Standard deviations that a pair's sketches may be off: a pair at the threshold is missed with a probability of 2e-4.
+DEVIATIONS = 3.5
 
 
 class _WordHashes(dict):
@@ -85,8 +93,9 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, set_key, two collections u and v of tuple hashes, one-bit sketches s1 and s2."""
-    n_hash = 2 * tables * width
+    """Per row: id, n_shingles, set_key, two collections u and v of tuple hashes, two-bit sketches."""
+    n_tuples = 2 * tables * width
+    n_hash = max(n_tuples, SKETCHED)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
@@ -97,7 +106,7 @@ def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "d
             n_rows = len(texts)
             sizes, keys = np.zeros(n_rows, np.int64), [b""] * n_rows
             tuples = np.zeros((n_rows, 2 * tables), np.uint64)
-            bits = np.zeros((n_rows, 2), np.uint64)
+            bits = np.zeros((n_rows, len(BITS)), np.uint64)
             for a, b in text_groups(texts, GROUP_CHARS):
                 sets = shingle_sets(texts[a:b])
                 sizes[a:b] = [len(s) for s in sets]
@@ -110,28 +119,32 @@ def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "d
                 low = np.empty((len(filled), n_hash), np.uint64)
                 for k in range(n_hash):
                     low[:, k] = np.minimum.reduceat((x ^ offset[k]) * factor[k], starts)
-                tuples[a + filled] = _mixed((_mixed(low).reshape(len(filled), 2 * tables, width) * tuple_factor).sum(2, dtype=np.uint64))
-                one = (_mixed(low) & np.uint64(1)).reshape(len(filled), 2, n_hash // 2)
-                bits[a + filled] = (one << np.arange(n_hash // 2, dtype=np.uint64)).sum(2, dtype=np.uint64)
+                low = _mixed(low)
+                tuples[a + filled] = _mixed((low[:, :n_tuples].reshape(len(filled), 2 * tables, width) * tuple_factor).sum(2, dtype=np.uint64))
+                place, words = np.arange(64, dtype=np.uint64), low[:, :SKETCHED].reshape(len(filled), -1, 64)
+                both = [((words >> np.uint64(bit) & np.uint64(1)) << place).sum(2, dtype=np.uint64) for bit in range(2)]
+                bits[a + filled] = np.concatenate(both, 1)
             signed = tuples.view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n_rows * tables + 1, tables), pa.int32()), pa.array(np.ascontiguousarray(part).ravel())) for part in (signed[:, :tables], signed[:, tables:])]
             longs = bits.view(np.int64)
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), *lists, pa.array(np.ascontiguousarray(longs[:, 0])), pa.array(np.ascontiguousarray(longs[:, 1]))],
-                names=["id", "n_shingles", "set_key", "u", "v", "s1", "s2"],
+                [batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), *lists, *[pa.array(np.ascontiguousarray(longs[:, k])) for k in range(len(BITS))]],
+                names=["id", "n_shingles", "set_key", "u", "v", *BITS],
             )
 
         return step
 
-    return map_slices(source, make, "id long, n_shingles long, set_key binary, u array<long>, v array<long>, s1 long, s2 long")
+    return map_slices(source, make, "id long, n_shingles long, set_key binary, u array<long>, v array<long>, " + ", ".join(f"{c} long" for c in BITS))
 
 
 def _could_link(left: str, right: str, percent: int, max_bits: int) -> Column:
-    """Whether set sizes and one-bit sketches allow the similarity."""
-    return F.expr(
-        f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n) "
-        f"and bit_count({left}.s1 ^ {right}.s1) + bit_count({left}.s2 ^ {right}.s2) <= {max_bits}"
-    )
+    """Whether set sizes and two-bit sketches allow the similarity."""
+    return F.expr(f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n) and {_gap(left, right)} <= {max_bits}")
+
+
+def _gap(left: str, right: str) -> str:
+    """SQL of the number of min-hashes whose two bits differ."""
+    return " + ".join(f"bit_count(({left}.{a} ^ {right}.{a}) | ({left}.{b} ^ {right}.{b}))" for a, b in zip(BITS[: len(BITS) // 2], BITS[len(BITS) // 2 :], strict=True))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,58 +184,77 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
 def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
-    n_hash = 2 * tables * width
-    chance = (100 - percent) / 200
-    max_bits = int(n_hash * chance + 5.5 * (n_hash * chance * (1 - chance)) ** 0.5) + 1
+    # two bits of unlike min-hashes differ in three of four cases
+    chance = 0.75 * (100 - percent) / 100
+    max_bits = int(SKETCHED * chance + DEVIATIONS * (SKETCHED * chance * (1 - chance)) ** 0.5) + 1
     rows = materialize(sketches(docs, tables, width, id_col, text_col), "sketches")
     filled = rows.where("n_shingles > 0 and id is not null")
-    classes = filled.groupBy("set_key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("u", "v", "s1", "s2", "n_shingles")])
-    classes = materialize(classes.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "set_key", "u", "v", "s1", "s2"), "classes")
-    sketch = classes.select("rep", "n", "s1", "s2")
-
-    first = classes.select("rep", F.posexplode("u").alias("i", "value")).select("rep", F.xxhash64("i", "value").alias("part"))
-    shared = first.groupBy("part").agg(F.count("*").alias("c")).where("c > 1").select("part")
-    live = first.join(shared, "part")
-    keys = live.join(classes.select("rep", "v"), "rep").select("rep", "part", F.posexplode("v").alias("j", "value"))
-    keys = materialize(keys.select("rep", F.xxhash64("part", "j", "value").alias("key")), "keys")
-    leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    keys_in = keys.join(leaders, "key")
+    classes = filled.groupBy("set_key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("u", "v", *BITS, "n_shingles")])
+    classes = materialize(classes.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "set_key", "u", "v", *BITS), "classes")
+    sketch = classes.select("rep", "n", *BITS)
+
+    def shared(side: str, part: str) -> DataFrame:
+        """(rep, part, c): tuples of one collection that several classes have, and how many."""
+        rows = classes.select("rep", F.posexplode(side).alias("i", "value")).select("rep", F.xxhash64("i", "value").alias(part))
+        return rows.join(rows.groupBy(part).agg(F.count("*").alias("c")).where("c > 1"), part).select("rep", part, "c")
+
+    live = materialize(shared("u", "part"), "live")
+    partners = live.groupBy("rep").agg(F.sum("c").alias("w"))
+    keys = live.select("rep", "part").join(shared("v", "other").select("rep", "other"), "rep").join(partners, "rep")
+    keys = materialize(keys.select("rep", F.xxhash64("part", "other").alias("key"), "w"), "keys")
+    leaders = keys.groupBy("key").agg(F.max_by("rep", "w").alias("leader"), F.max("w").alias("lw"), F.count("*").alias("c")).where("c > 1").drop("c")
+    nearest = keys.select("key", "rep").join(leaders, "key").where("rep <> leader").groupBy("rep").agg(F.max_by("leader", "lw").alias("leader"))
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
-        a = sketch.select(F.col("rep").alias("a"), F.struct("n", "s1", "s2").alias("x"))
-        b = sketch.select(F.col("rep").alias("b"), F.struct("n", "s1", "s2").alias("y"))
+        a = sketch.select(F.col("rep").alias("a"), F.struct("n", *BITS).alias("x"))
+        b = sketch.select(F.col("rep").alias("b"), F.struct("n", *BITS).alias("y"))
         return pairs.join(a, "a").join(b, "b").where(_could_link("x", "y", percent, max_bits)).select("a", "b")
 
-    pairs = keys_in.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = materialize(with_sketches(pairs), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(full_sets(docs, ids, id_col, text_col), "sets")
-
-    # the smallest leader of each class first; others only where that left them apart
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    parts = connected_components(confirmed(nearest, sets, percent))
-
-    def component_of(frame: DataFrame, of: str, to: str) -> DataFrame:
-        return frame.join(parts.select(F.col("node").alias(of), F.col("component").alias("_c")), of, "left").withColumn(to, F.coalesce("_c", of)).drop("_c")
-
-    apart = component_of(component_of(pairs.join(nearest, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb")
-    more = confirmed(apart.select("a", "b"), sets, percent)
-    parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    # buckets that still hold several components: the smaller ones against all
-    member = component_of(keys_in.select("key", "rep"), "rep", "comp")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    inside = materialize(member.join(mixed, "key").join(sketch, "rep"), "mixed")
-    largest = inside.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    minor = inside.join(largest, "key").where("comp <> top")
-    x, y = minor.alias("x"), inside.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _could_link("x", "y", percent, max_bits))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
+    def ordered(x: str, y: str) -> tuple[Column, Column]:
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """Confirmed links among materialised pairs; the texts are dealt by id at every size alike."""
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        return confirmed(pairs, materialize(full_sets(docs, ids.hint("merge"), id_col, text_col), "sets"), percent)
+
+    def component_of(frame: DataFrame, parts: DataFrame) -> DataFrame:
+        return frame.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*frame.columns, F.coalesce("component", "rep").alias("comp"))
+
+    def mixed(parts: DataFrame) -> DataFrame:
+        """(part, rep, comp, top): members of buckets with several components, and the largest of these."""
+        member = component_of(live.select("part", "rep"), parts)
+        sizes = member.groupBy("part", "comp").agg(F.count("*").alias("c"))
+        top = sizes.groupBy("part").agg(F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+        return member.join(top, "part").join(sketch, "rep")
+
+    def as_edges(parts: DataFrame) -> DataFrame:
+        return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    tried = materialize(with_sketches(nearest.select(*ordered("rep", "leader")).distinct()), "pairs")
+    parts = connected_components(check(tried))
+
+    # one random member of each bucket's largest component, against the members outside of it
+    inside = materialize(mixed(parts), "mixed")
+    picked = inside.where("comp = top").groupBy("part").agg(*[F.min_by(c, F.xxhash64("rep", "part")).alias(f"_{c}") for c in ("rep", "n", *BITS)])
+    near = inside.where("comp <> top").alias("x").join(picked.select("part", F.col("_rep").alias("mate"), F.struct(*[F.col(f"_{c}").alias(c) for c in ("n", *BITS)]).alias("y")), "part")
+    gap = F.expr(_gap("x", "y"))
+    near = near.where(_could_link("x", "y", percent, max_bits)).groupBy("rep").agg(F.min_by("mate", gap).alias("mate"))
+    near = materialize(near.select(*ordered("rep", "mate")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not near.isEmpty():
+        parts = connected_components(as_edges(parts).unionByName(check(near)))
+        tried = tried.unionByName(near)
+        inside = materialize(mixed(parts), "mixed")
+
+    # the rest in full: a shared tuple of the first collection finds a pair, one of the second lets it pass
+    inside = inside.join(classes.select("rep", "v"), "rep")
+    minor, y = inside.where("comp <> top").alias("x"), inside.alias("y")
+    met = (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep")))
+    cross = minor.join(y, met & _could_link("x", "y", percent, max_bits) & F.arrays_overlap("x.v", "y.v"))
+    cross = cross.select(*ordered("x.rep", "y.rep")).distinct()
+    cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        ids = cross.select(F.col("a").alias("id")).unionByName(cross.select(F.col("b").alias("id"))).distinct()
-        late = confirmed(cross, materialize(full_sets(docs, ids, id_col, text_col), "sets"), percent)
-        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+        parts = connected_components(as_edges(parts).unionByName(check(cross)))
 
     # classes with equal sets share a representative; repeated ids tie classes together
     members = filled.select("id", "set_key").join(filled.groupBy("set_key").agg(F.min("id").alias("rep")), "set_key")
