@@ -48,6 +48,7 @@ CACHE_ENTRIES = 250_000
 CACHED_CHARS = 64
 SHORT_CHARS = 24
 NO_RULE = 1 << 30
+SLOTS = 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -69,77 +70,103 @@ class MergeList:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         for token, k in vocab.items():
+            token = token.removesuffix(suffix) if suffix else token
             self.token_bytes[k] = bytes(of_letter[c] for c in token) if all(c in of_letter for c in token) else token.encode()
         for token, k in self.special.items():
             self.token_bytes[k] = token.encode()
         self.of_byte = [vocab[c] for c in letters]
+        #: The last byte of a piece has a symbol of its own where the file marks the ends of words.
+        self.of_last = [vocab[c + suffix] for c in letters] if suffix else self.of_byte
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self.by_pair = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(self.rules)}
-        made = {k for k in self.of_byte}
+        made = {*self.of_byte, *self.of_last}
         for a, b, c in self.rules:
             if a not in made or b not in made:
                 raise ValueError("a merge uses a token that no earlier merge makes; no bounded lookahead is known")
             made.add(c)
-        self.lookahead = sufficient_lookahead(self.rules, self.of_byte, self.token_bytes)
+        self.lookahead = sufficient_lookahead(self.rules, [*self.of_byte, *self.of_last], self.token_bytes)
 
+        # an open hash table of pairs: a key's slot, or the next free one after it
+        self._slot_key, self._slot_rank = np.full(SLOTS, -1, np.int64), np.full(SLOTS, NO_RULE, np.int32)
         keys = np.array([a << 32 | b for a, b, _ in self.rules], np.int64)
-        self._order = np.argsort(keys)
-        self._keys = keys[self._order]
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            while self._slot_key[at] >= 0:
+                at = (at + 1) % SLOTS
+            self._slot_key[at], self._slot_rank[at] = key, rank
         self._made = np.array([c for _, _, c in self.rules], np.int32)
-        self._of_byte = np.array(self.of_byte, np.int32)
+        self._of_byte, self._of_last = np.array(self.of_byte, np.int32), np.array(self.of_last, np.int32)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, NO_RULE where no rule merges it."""
-        keys = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where((self._keys[at] == keys) & (left >= 0) & (right >= 0), self._order[at], NO_RULE).astype(np.int32)
+        """Rank of each pair, NO_RULE where no rule merges it or one is -1."""
+        keys = (left.astype(np.int64) << 32 | right).ravel()
+        at = self._slot(keys)
+        held = self._slot_key[at]
+        out = np.where(held == keys, self._slot_rank[at], NO_RULE)
+        going = np.flatnonzero((held != keys) & (held >= 0) & (keys >= 0))
+        while going.size:
+            at[going] = (at[going] + 1) % SLOTS
+            held = self._slot_key[at[going]]
+            hit = held == keys[going]
+            out[going[hit]] = self._slot_rank[at[going[hit]]]
+            going = going[~hit & (held >= 0)]
+        return out.reshape(left.shape)
 
     def many(self, pieces: list[bytes]) -> list[bytes]:
-        """Packed ids of short pieces, merged side by side as rows of a matrix."""
+        """Packed ids of short pieces."""
         out: list[bytes] = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
             by_width.setdefault(max(4, -(-len(piece) // 4) * 4), []).append(k)
         for width, members in by_width.items():
             flat = np.frombuffer(b"".join(pieces[k].ljust(width, b"\0") for k in members), np.uint8).reshape(-1, width)
-            sizes = np.array([len(pieces[k]) for k in members])
-            m, none = len(members), np.arange(width)[None, :] >= sizes[:, None]
-            # column `width` is a sentinel on either side
-            ids = np.full((m, width + 1), -1, np.int32)
-            ids[:, :width] = np.where(none, -1, self._of_byte[flat])
-            ranks = np.full((m, width + 1), NO_RULE, np.int32)
-            ranks[:, : width - 1] = self._ranks(ids[:, : width - 1], ids[:, 1:width])
-            after = np.tile(np.arange(1, width + 2), (m, 1))
-            after[:, width] = width
-            before = np.tile(np.arange(-1, width), (m, 1))
-            before[:, 0] = width
-            live = np.arange(m)
-            while live.size:
-                i = ranks[live].argmin(1)
-                rank = ranks[live, i]
-                going = rank < NO_RULE
-                live, i, rank = live[going], i[going], rank[going]
-                j = after[live, i]
-                k = after[live, j]
-                ids[live, i], ids[live, j] = self._made[rank], -1
-                after[live, i] = k
-                before[live, k] = i
-                ranks[live, j] = NO_RULE
-                h = before[live, i]
-                ranks[live, i] = self._ranks(ids[live, i], ids[live, k])
-                ranks[live, h] = self._ranks(ids[live, h], ids[live, i])
-                ranks[live, width] = NO_RULE
-            kept = ids >= 0
-            packed = ids[kept].astype("<u4").tobytes()
-            ends = np.cumsum(kept.sum(1)) * 4
-            start = 0
-            for k, end in zip(members, ends.tolist(), strict=True):
+            ids, counts = self.merged(flat, np.array([len(pieces[k]) for k in members]))
+            packed, start = ids.astype("<u4").tobytes(), 0
+            for k, end in zip(members, (np.cumsum(counts) * 4).tolist(), strict=True):
                 out[k] = packed[start:end]
                 start = end
         return out
 
+    def merged(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one a row of bytes, merged side by side; and how many each has."""
+        m, width = flat.shape
+        # column `width` is a sentinel on either side
+        ids = np.full((m, width + 1), -1, np.int32)
+        ids[:, :width] = np.where(np.arange(width)[None, :] >= sizes[:, None], -1, self._of_byte[flat])
+        if self.of_last is not self.of_byte:
+            rows = np.flatnonzero(sizes)
+            ids[rows, sizes[rows] - 1] = self._of_last[flat[rows, sizes[rows] - 1]]
+        ranks = np.full((m, width + 1), NO_RULE, np.int32)
+        ranks[:, : width - 1] = self._ranks(ids[:, : width - 1], ids[:, 1:width])
+        after = np.tile(np.arange(1, width + 2), (m, 1))
+        after[:, width] = width
+        before = np.tile(np.arange(-1, width), (m, 1))
+        before[:, 0] = width
+        live = np.arange(m)
+        while live.size:
+            i = ranks[live].argmin(1)
+            rank = ranks[live, i]
+            going = rank < NO_RULE
+            live, i, rank = live[going], i[going], rank[going]
+            j = after[live, i]
+            k = after[live, j]
+            ids[live, i], ids[live, j] = self._made[rank], -1
+            after[live, i] = k
+            before[live, k] = i
+            ranks[live, j] = NO_RULE
+            h = before[live, i]
+            ranks[live, i] = self._ranks(ids[live, i], ids[live, k])
+            ranks[live, h] = self._ranks(ids[live, h], ids[live, i])
+            ranks[live, width] = NO_RULE
+        kept = ids >= 0
+        return ids[kept], kept.sum(1)
+
     def window(self, data: bytes) -> list[int]:
         """BPE with a heap over a linked list, for a whole window."""
         ids: list[int] = [self.of_byte[b] for b in data]
