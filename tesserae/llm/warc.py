@@ -71,6 +71,8 @@ def write_archives(pages: DataFrame, path: str, captured_at: Column, run_bytes:
     again = seen.join(first, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
     runs = int(total // run_bytes) + 1
+    # dealt alike and merged: a late change to a broadcast join would deal the payloads a second time
+    again = again.repartition(runs, "page_id", "digest").hint("merge")
     marked = rows.repartition(runs, "page_id", "digest").join(again, ["page_id", "digest"], "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
     is_new = F.col("refers_to").isNull()
