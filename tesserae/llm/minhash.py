@@ -21,7 +21,7 @@ Steps, all as Spark joins and aggregations:
    others, never with itself), so no candidate of the tables goes unseen.
 
 A pair is dropped in steps 3 and 5 only where set sizes forbid the similarity
-or two bits of 192 min-hashes differ in three and a half standard deviations
+or two bits of 384 min-hashes differ in three and a half standard deviations
 more places than the similarity allows.
 
 Defined results: null or wordless texts have empty sets, are linked with
@@ -46,7 +46,7 @@ GROUP_CHARS = 1_000_000
 CACHE_ENTRIES = 400_000
 SEED = 20240229
 #: Min-hashes of which a sketch keeps two bits: 64 a column, first all low bits, then all high ones.
-SKETCHED = 192
+SKETCHED = 384
 BITS = [f"s{k}" for k in range(1, SKETCHED // 32 + 1)]
 #: Standard deviations that a pair's sketches may be off: a pair at the threshold is missed with a probability of 2e-4.
 DEVIATIONS = 3.5
