@@ -268,6 +268,57 @@ def test_exchange_never_lowers_the_likelihood():
     assert values == sorted(values) and values[-1] > values[0]
 
 
+def test_best_class_of_a_word_is_that_of_brute_force():
+    rng = np.random.default_rng(3)
+    b, cls, n = rng.poisson(0.4, (30, 30)), rng.integers(0, 5, 30), 5
+    b[np.arange(30), (np.arange(30) + 1) % 30] += 1
+    member = np.eye(n, dtype=int)[cls]
+    keys, counts = [], []
+    for w in range(30):
+        for d, x in enumerate([*(b @ member)[w], *(b.T @ member)[w], b[w, w]]):
+            if x:
+                keys.append(w * (2 * n + 1) + d)
+                counts.append(x)
+    got = brown_lm.best_classes(np.array(keys), np.array(counts), cls, member.T @ b @ member, chunk=7)
+
+    def value(w, c):
+        m = np.eye(n, dtype=int)[np.where(np.arange(30) == w, c, cls)]
+        return brown_lm.likelihood(m.T @ b @ m)
+
+    assert got.tolist() == [int(np.argmax([value(w, c) for c in range(n)])) for w in range(30)]
+
+
+def seed_joint(seed, texts):
+    member = np.eye(len(seed.class_tokens), dtype=int)[seed.class_of]
+    return member.T @ brown_lm.unit_bigrams(texts, seed.top, seed.shapes) @ member
+
+
+def test_rare_words_get_classes_by_their_neighbours(spark):
+    rng = random.Random(5)
+    # eight shapes for all words past the top two, each with nouns and verbs, so only their neighbours tell them apart
+    nouns, verbs = ([f"{kind}{rng.randrange(10**6):06d}" for _ in range(60)] for kind in "nv")
+    texts = spark.createDataFrame([(k, " ".join(f"the {rng.choice(nouns)} will {rng.choice(verbs)}" for _ in range(8))) for k in range(200)], "doc_id long, text string")
+    held = texts.select("doc_id", "text").withColumn("held", F.lit(False)).withColumnRenamed("doc_id", "id")
+    counts = brown_lm.word_counts(texts)
+    seed = brown_lm.train(texts, counts, 5, 2, 8, 6, 20.0)
+    coded = brown_lm.encode(held, 3000, 2, "bigint").cache()
+    placed = brown_lm.place(coded, counts, seed, 2).cache()
+    model, vocabulary, values = brown_lm.refine(coded, placed, seed, 2, 20.0)
+    assert max(values) > values[0] and np.allclose(values[0], brown_lm.likelihood(seed_joint(seed, texts)))
+    assert model.class_tokens.sum() == seed.class_tokens.sum() and model.class_types.sum() == 123
+    cls = {p["part"]: brown_lm.unpack(p["cls"], "<i2") for p in vocabulary.collect()}
+    found = {}
+    for ask in coded.where("part >= 0").join(placed.select("block", "part", "places"), ["block", "part"]).collect():
+        found.update(zip(bytes(ask["words"]).split(b"\n"), cls[ask["part"]][brown_lm.unpack(ask["places"], "<i4", True)].tolist(), strict=True))
+
+    def purity(class_of):
+        of = {kind: Counter(class_of(w.encode()) for w in words) for kind, words in (("n", nouns), ("v", verbs))}
+        return sum(max(of["n"][c], of["v"][c]) for c in range(5)) / 120
+
+    # the seed mixes nouns and verbs by shape; classes of their own tell nearly all of them apart
+    assert purity(seed.class_of_word) < 0.7 and purity(found.__getitem__) > 0.9
+
+
 # 6 ---------------------------------------------------------------------------
 
 
