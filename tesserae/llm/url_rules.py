@@ -29,7 +29,8 @@ from tesserae.llm.common import ascii_lower
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BLOCK, ALLOW = "=block", "=allow"
-MAX_TOKENS = 12
+#: Path segments, and query keys, of a labelled URL that are mined; FP-growth takes time exponential in the tokens of alike URLs.
+MINED_TOKENS = 12
 
 
 def _rest(url: Column) -> Column:
@@ -45,19 +46,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(url: Column) -> Column:
-    """Distinct sorted tokens of a URL, at most MAX_TOKENS of each kind of path segment or query key."""
+def tokens_of(url: Column, most: int | None = None) -> Column:
+    """Distinct sorted tokens of a URL, of all its path segments and query keys or the first ``most`` of each."""
     host, path = host_of(url), path_of(url)
     labels = F.split(F.regexp_replace(host, r":\d+$", ""), r"\.")
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(ascii_lower(s), r"\d+", "#"))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.element_at(F.split(s, "="), 1))
+    if most is not None:
+        segments, keys = F.slice(segments, 1, most), F.slice(keys, 1, most)
     found = F.concat(
         F.array(F.concat(F.lit("s:"), F.substring_index(F.coalesce(url, F.lit("")), "://", 1))),
         F.transform(F.filter(labels, lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x)),
         F.when(F.size(labels) > 1, F.array(F.concat(F.lit("d:"), F.array_join(F.slice(labels, -2, 2), ".")))).otherwise(F.expr("cast(array() as array<string>)")),
-        F.transform(F.slice(segments, 1, MAX_TOKENS), lambda s: F.concat(F.lit("p:"), s)),
-        F.transform(F.slice(keys, 1, MAX_TOKENS), lambda s: F.concat(F.lit("q:"), s)),
+        F.transform(segments, lambda s: F.concat(F.lit("p:"), s)),
+        F.transform(keys, lambda s: F.concat(F.lit("q:"), s)),
         F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("#")), F.array(F.lit("f:"))).otherwise(F.expr("cast(array() as array<string>)")),
     )
     return F.when(_rest(url).isNotNull(), F.array_sort(F.array_distinct(found))).otherwise(F.expr("cast(array() as array<string>)"))
@@ -75,7 +78,7 @@ def mine(labelled: DataFrame, min_support: float = 0.0005, min_count: int = 8, m
     """Rules: rule_id, key, antecedent, verdict, confidence, support."""
     spark = labelled.sparkSession
     empty = "rule_id long, key string, antecedent array<string>, rule_verdict string, confidence double, support double"
-    rows = labelled.select(F.array_append(tokens_of(F.col("url")), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
+    rows = labelled.select(F.array_append(tokens_of(F.col("url"), MINED_TOKENS), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], empty)

@@ -151,6 +151,15 @@ def test_url_rules(spark):
 # 3 ---------------------------------------------------------------------------
 
 
+def test_all_tokens_of_a_url_are_judged(spark):
+    deep = [f"/p{chr(97 + k)}" for k in range(14)]
+    url = lambda host, tail, keys: f"http://{host}.org{''.join(deep)}/{tail}?{'&'.join(f'k{chr(97 + k)}=1' for k in range(13))}&{keys}=1"
+    few = lambda tail: f"http://a.org/{tail}"
+    trained = url_rules.mine(spark.createDataFrame([(few("spam"), True)] * 30 + [(few("fine"), False)] * 30 + [(few("x?evil=1"), True)] * 30 + [(few("x?good=1"), False)] * 30, "url string, bad boolean"))
+    pages = spark.createDataFrame([(1, url("z", "spam", "q")), (2, url("z", "fine", "q")), (3, url("z", "y", "evil")), (4, url("z", "y", "good"))], "page_id long, url string")
+    assert rows(url_rules.judge(pages, trained, fixed=[]), "page_id", "verdict") == [(1, "block"), (2, "allow"), (3, "block"), (4, "allow")]
+
+
 def test_warc_round_trip(spark, tmp_path):
     data = [(5, "http://b.org/x", "same"), (3, "http://a.org/y", "same"), (9, None, None), (8, "http://a.org/y", ""), (7, "http://a.org/\r\nWARC/1.1\r\n", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), (6, "http://c.org", "é" * 100_000), (None, "http://d.org", "same"), (3, "http://a.org/y", "same")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("digest", "size", "key", "refers_to", "value")})
