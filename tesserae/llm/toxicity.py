@@ -55,8 +55,9 @@ def plain(text: str | None) -> bytes:
 
 def toxic_words(text: str | None) -> list[bytes]:
     """Words without punctuation, and runs of spelled letters joined."""
-    data = plain(text)
-    words = data.split()
+    words = plain(text).split()
+    # one space between words, whatever stood there and what punctuation left
+    data = b" ".join(words)
     b = np.frombuffer(data, np.uint8)
     if len(b) >= 5:
         gap = np.concatenate([[True], GAPS[b], [True]])

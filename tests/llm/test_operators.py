@@ -402,6 +402,13 @@ def test_toxicity_edges(spark, docs, labels, edges, nothing):
     assert toxicity.toxic_words("you i d i o t") [-1] == b"idiot"
 
 
+@pytest.mark.parametrize("gap", [" - ", " . ", "  ", "\r\n", " \t ", "\n\n"])
+def test_spelled_words_are_joined_over_any_gap(gap):
+    assert toxicity.toxic_words(f"you {gap.join('idiot')} there")[-1] == b"idiot"
+    assert toxicity.toxic_words(gap.join("idiot"))[-1] == b"idiot"
+    assert toxicity.toxic_words(f"we{gap}are{gap}a{gap}b{gap}team") == [b"we", b"are", b"a", b"b", b"team"]
+
+
 # 8 ---------------------------------------------------------------------------
 
 
