@@ -7,22 +7,25 @@ tables ** 2 tables of 2 * width hashes: about the square root.  With the
 defaults (16 and 3) a pair of similarity 0.75 is missed with a probability of
 3e-4 by the keys; every candidate is confirmed on the full shingle sets.
 
-Steps, all as Spark joins and aggregations:
+Steps, all as Spark joins and aggregations; nodes are classes of documents with
+equal shingle sets, so texts that share an id stay apart until the end:
 
-1. one pass over the texts gives sketches; documents with equal sets are one class;
+1. one pass over the texts gives the hashes;
 2. a tuple that only one class has can't lead to a partner, so only shared ones
-   of either collection are combined into keys;
+   of either collection are combined into table keys;
 3. each class is compared with one leader: the class with the most partners in
    any of its buckets, which is the likely original of a group of copies;
-4. classes that are still apart from others of a bucket are compared with those
-   of a few random members that their sketches are closest to;
-5. what is then still in different components and shares a tuple of either
-   collection is compared in full (the largest component of a bucket against the
-   others, never with itself), so no candidate of the tables goes unseen.
-
-A pair is dropped in steps 3 and 5 only where set sizes forbid the similarity
-or two bits of 384 min-hashes differ in three and a half standard deviations
-more places than the similarity allows.
+4. classes that are still apart from others of a bucket are compared, round by
+   round, with the closest of new random members of their buckets' largest
+   components, as long as that finds links;
+5. what is then still in different components and shares a table key is compared
+   in full, after an exact bound: shingles that fall on different bits of a bitmap
+   are different, so the bits that two sets share, and what collides within either,
+   bound what they have in common.  The largest component of a bucket meets the
+   others, never itself.
+
+Every candidate of the tables is thus confirmed on full sets, or is in one
+component by other links, or can't reach the similarity.
 
 Defined results: null or wordless texts have empty sets, are linked with
 nothing and kept; texts of fewer than five words are one shingle; rows with a
@@ -45,11 +48,11 @@ from tesserae.llm.components import connected_components
 GROUP_CHARS = 1_000_000
 CACHE_ENTRIES = 400_000
 SEED = 20240229
-#: Min-hashes of which a sketch keeps two bits: 64 a column, first all low bits, then all high ones.
-SKETCHED = 384
-BITS = [f"s{k}" for k in range(1, SKETCHED // 32 + 1)]
-#: Standard deviations that a pair's sketches may be off: a pair at the threshold is missed with a probability of 2e-4.
-DEVIATIONS = 3.5
+#: Low bits of the min-hashes, 64 a column; they only say which member of a bucket is the closest.
+BITS = ["s1", "s2"]
+ROUNDS = 2
+#: Bits of a bitmap of shingles, 64 a column.
+MAP = [f"m{k}" for k in range(32)]
 
 
 class _WordHashes(dict):
@@ -93,9 +96,8 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, set_key, two collections u and v of tuple hashes, two-bit sketches."""
-    n_tuples = 2 * tables * width
-    n_hash = max(n_tuples, SKETCHED)
+    """Per row: id, n_shingles, set_key, two collections u and v of tuple hashes, and the hashes' low bits."""
+    n_hash = 2 * tables * width
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
@@ -110,7 +112,7 @@ def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "d
             for a, b in text_groups(texts, GROUP_CHARS):
                 sets = shingle_sets(texts[a:b])
                 sizes[a:b] = [len(s) for s in sets]
-                keys[a:b] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                keys[a:b] = [class_key(s) for s in sets]
                 filled = np.flatnonzero(sizes[a:b])
                 if not len(filled):
                     continue
@@ -120,10 +122,9 @@ def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "d
                 for k in range(n_hash):
                     low[:, k] = np.minimum.reduceat((x ^ offset[k]) * factor[k], starts)
                 low = _mixed(low)
-                tuples[a + filled] = _mixed((low[:, :n_tuples].reshape(len(filled), 2 * tables, width) * tuple_factor).sum(2, dtype=np.uint64))
-                place, words = np.arange(64, dtype=np.uint64), low[:, :SKETCHED].reshape(len(filled), -1, 64)
-                both = [((words >> np.uint64(bit) & np.uint64(1)) << place).sum(2, dtype=np.uint64) for bit in range(2)]
-                bits[a + filled] = np.concatenate(both, 1)
+                tuples[a + filled] = _mixed((low.reshape(len(filled), 2 * tables, width) * tuple_factor).sum(2, dtype=np.uint64))
+                seen = np.resize(np.arange(n_hash), 64 * len(BITS))
+                bits[a + filled] = ((low[:, seen] & np.uint64(1)).reshape(len(filled), -1, 64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
             signed = tuples.view(np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n_rows * tables + 1, tables), pa.int32()), pa.array(np.ascontiguousarray(part).ravel())) for part in (signed[:, :tables], signed[:, tables:])]
             longs = bits.view(np.int64)
@@ -137,14 +138,13 @@ def sketches(docs: DataFrame, tables: int = 16, width: int = 3, id_col: str = "d
     return map_slices(source, make, "id long, n_shingles long, set_key binary, u array<long>, v array<long>, " + ", ".join(f"{c} long" for c in BITS))
 
 
-def _could_link(left: str, right: str, percent: int, max_bits: int) -> Column:
-    """Whether set sizes and two-bit sketches allow the similarity."""
-    return F.expr(f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n) and {_gap(left, right)} <= {max_bits}")
+def _sizes_allow(left: str, right: str, percent: int) -> Column:
+    return F.expr(f"100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n)")
 
 
-def _gap(left: str, right: str) -> str:
-    """SQL of the number of min-hashes whose two bits differ."""
-    return " + ".join(f"bit_count(({left}.{a} ^ {right}.{a}) | ({left}.{b} ^ {right}.{b}))" for a, b in zip(BITS[: len(BITS) // 2], BITS[len(BITS) // 2 :], strict=True))
+def _gap(left: str, right: str) -> Column:
+    """How many of the sketches' bits differ."""
+    return F.expr(" + ".join(f"bit_count({left}.{c} ^ {right}.{c})" for c in BITS))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,32 +165,63 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return held.mapInArrow(run, "a long, b long")
+    return held.mapInArrow(run, "a binary, b binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, items) of the documents named in ``ids``."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, items): the shingle sets of the classes in ``nodes`` (id, doc), each from the text of document ``doc``."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    source = source.join(nodes.select("doc").distinct().hint("merge"), "doc", "left_semi")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
+            sets = shingle_sets(batch.column(0).to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
 
         return step
 
-    return map_slices(source, make, "id long, items binary").dropDuplicates(["id"])
+    found = map_slices(source.select("text"), make, "id binary, items binary")
+    # an id may have several texts, and a text several rows
+    return found.join(nodes.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
-    # two bits of unlike min-hashes differ in three of four cases
-    chance = 0.75 * (100 - percent) / 100
-    max_bits = int(SKETCHED * chance + DEVIATIONS * (SKETCHED * chance * (1 - chance)) ** 0.5) + 1
+def class_key(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, n, spare, m0, m1, ...): sizes of sets (id, items), bitmaps of their shingles, and how many of these fall on bits taken."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out, size = np.zeros((batch.num_rows, len(MAP)), np.uint64), np.zeros(batch.num_rows, np.int64)
+            for k, blob in enumerate(batch.column(1).to_pylist()):
+                x = np.frombuffer(blob, np.uint64)
+                size[k] = len(x)
+                x = x >> np.uint64(20)
+                np.bitwise_or.at(out[k], (x >> np.uint64(6)) % np.uint64(len(MAP)), np.uint64(1) << (x & np.uint64(63)))
+            spare = size - np.bitwise_count(out).sum(1).astype(np.int64)
+            longs = out.view(np.int64)
+            columns = [batch.column(0), pa.array(size), pa.array(spare), *[pa.array(np.ascontiguousarray(longs[:, k])) for k in range(len(MAP))]]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "n", "spare", *MAP])
+
+        return step
+
+    return map_slices(sets.select("id", "items"), make, "id binary, n long, spare long, " + ", ".join(f"{c} long" for c in MAP))
+
+
+def _maps_allow(left: str, right: str, percent: int) -> Column:
+    """Whether intersection over union can reach the similarity, by the most that two sets can have in common."""
+    common = " + ".join(f"bit_count({left}.{c} & {right}.{c})" for c in MAP)
+    return F.expr(f"(100 + {percent}) * ({common} + least({left}.spare, {right}.spare)) >= {percent} * ({left}.n + {right}.n)")
+
+
+def component_classes(docs: DataFrame, percent: int = 75, tables: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n_shingles, set_key, ...) of the documents, and (node, component) of the classes that have links."""
     rows = materialize(sketches(docs, tables, width, id_col, text_col), "sketches")
     filled = rows.where("n_shingles > 0 and id is not null")
-    classes = filled.groupBy("set_key").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("u", "v", *BITS, "n_shingles")])
-    classes = materialize(classes.dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "set_key", "u", "v", *BITS), "classes")
+    classes = filled.groupBy(F.col("set_key").alias("rep")).agg(F.min("id").alias("doc"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("u", "v", *BITS)])
+    classes = materialize(classes, "classes")
     sketch = classes.select("rep", "n", *BITS)
 
     def shared(side: str, part: str) -> DataFrame:
@@ -203,75 +234,120 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = 16, width:
     keys = live.select("rep", "part").join(shared("v", "other").select("rep", "other"), "rep").join(partners, "rep")
     keys = materialize(keys.select("rep", F.xxhash64("part", "other").alias("key"), "w"), "keys")
     leaders = keys.groupBy("key").agg(F.max_by("rep", "w").alias("leader"), F.max("w").alias("lw"), F.count("*").alias("c")).where("c > 1").drop("c")
-    nearest = keys.select("key", "rep").join(leaders, "key").where("rep <> leader").groupBy("rep").agg(F.max_by("leader", "lw").alias("leader"))
-
-    def with_sketches(pairs: DataFrame) -> DataFrame:
-        a = sketch.select(F.col("rep").alias("a"), F.struct("n", *BITS).alias("x"))
-        b = sketch.select(F.col("rep").alias("b"), F.struct("n", *BITS).alias("y"))
-        return pairs.join(a, "a").join(b, "b").where(_could_link("x", "y", percent, max_bits)).select("a", "b")
+    # every class that shares a key with another one, and the leader it meets
+    nearest = keys.select("key", "rep").join(leaders, "key").groupBy("rep").agg(F.max_by("leader", F.when(F.col("rep") != F.col("leader"), F.col("lw"))).alias("leader"))
+    nearest = materialize(nearest.join(classes.select("rep", "doc"), "rep"), "nearest")
+    # the texts are dealt by id, at every size alike
+    sets = materialize(full_sets(docs, nearest.select(F.col("rep").alias("id"), "doc"), id_col, text_col), "sets")
+    live = live.join(nearest.select("rep"), "rep", "left_semi")
 
     def ordered(x: str, y: str) -> tuple[Column, Column]:
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        """Confirmed links among materialised pairs; the texts are dealt by id at every size alike."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        return confirmed(pairs, materialize(full_sets(docs, ids.hint("merge"), id_col, text_col), "sets"), percent)
-
     def component_of(frame: DataFrame, parts: DataFrame) -> DataFrame:
         return frame.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*frame.columns, F.coalesce("component", "rep").alias("comp"))
 
-    def mixed(parts: DataFrame) -> DataFrame:
+    def mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
         """(part, rep, comp, top): members of buckets with several components, and the largest of these."""
-        member = component_of(live.select("part", "rep"), parts)
+        member = component_of(members.select("part", "rep"), parts)
         sizes = member.groupBy("part", "comp").agg(F.count("*").alias("c"))
         top = sizes.groupBy("part").agg(F.max_by("comp", "c").alias("top"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-        return member.join(top, "part").join(sketch, "rep")
+        return member.join(top, "part")
 
     def as_edges(parts: DataFrame) -> DataFrame:
         return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
-    tried = materialize(with_sketches(nearest.select(*ordered("rep", "leader")).distinct()), "pairs")
-    parts = connected_components(check(tried))
-
-    # one random member of each bucket's largest component, against the members outside of it
-    inside = materialize(mixed(parts), "mixed")
-    picked = inside.where("comp = top").groupBy("part").agg(*[F.min_by(c, F.xxhash64("rep", "part")).alias(f"_{c}") for c in ("rep", "n", *BITS)])
-    near = inside.where("comp <> top").alias("x").join(picked.select("part", F.col("_rep").alias("mate"), F.struct(*[F.col(f"_{c}").alias(c) for c in ("n", *BITS)]).alias("y")), "part")
-    gap = F.expr(_gap("x", "y"))
-    near = near.where(_could_link("x", "y", percent, max_bits)).groupBy("rep").agg(F.min_by("mate", gap).alias("mate"))
-    near = materialize(near.select(*ordered("rep", "mate")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not near.isEmpty():
-        parts = connected_components(as_edges(parts).unionByName(check(near)))
+    tried = with_sizes(nearest.where("rep <> leader").select(*ordered("rep", "leader")).distinct(), sketch, percent)
+    tried = materialize(tried, "pairs")
+    parts = connected_components(confirmed(tried, sets, percent))
+
+    # random members of each bucket's largest component, against the members outside of it
+    inside = materialize(mixed(live, parts).join(sketch, "rep"), "mixed")
+    for turn in range(ROUNDS):
+        picked = inside.where("comp = top").groupBy("part").agg(*[F.min_by(c, F.xxhash64("rep", "part", F.lit(turn))).alias(f"_{c}") for c in ("rep", "n", *BITS)])
+        near = inside.where("comp <> top").alias("x").join(picked.select("part", F.col("_rep").alias("mate"), F.struct(*[F.col(f"_{c}").alias(c) for c in ("n", *BITS)]).alias("y")), "part")
+        near = near.where(_sizes_allow("x", "y", percent)).groupBy("rep").agg(F.min_by("mate", _gap("x", "y")).alias("mate"))
+        near = materialize(near.select(*ordered("rep", "mate")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = materialize(confirmed(near, sets, percent), "links")
         tried = tried.unionByName(near)
-        inside = materialize(mixed(parts), "mixed")
-
-    # the rest in full: a shared tuple of the first collection finds a pair, one of the second lets it pass
-    inside = inside.join(classes.select("rep", "v"), "rep")
+        if links.isEmpty():
+            break
+        parts = connected_components(as_edges(parts).unionByName(links))
+        inside = materialize(mixed(inside, parts).join(sketch, "rep"), "mixed")
+
+    # the rest in full: pairs that share a table key, where sizes and bitmaps allow the similarity
+    marked = materialize(bitmaps(sets.join(inside.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")), "bitmaps").withColumnRenamed("id", "rep")
+    inside = inside.select("part", "rep", "comp", "top").join(marked, "rep").join(classes.select("rep", "v"), "rep")
     minor, y = inside.where("comp <> top").alias("x"), inside.alias("y")
     met = (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep")))
-    cross = minor.join(y, met & _could_link("x", "y", percent, max_bits) & F.arrays_overlap("x.v", "y.v"))
-    cross = cross.select(*ordered("x.rep", "y.rep")).distinct()
+    cross = minor.join(y, met & _maps_allow("x", "y", percent) & F.arrays_overlap("x.v", "y.v")).select(*ordered("x.rep", "y.rep")).distinct()
     cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        parts = connected_components(as_edges(parts).unionByName(check(cross)))
+        parts = connected_components(as_edges(parts).unionByName(confirmed(cross, sets, percent)))
+    return rows, parts
 
-    # classes with equal sets share a representative; repeated ids tie classes together
-    members = filled.select("id", "set_key").join(filled.groupBy("set_key").agg(F.min("id").alias("rep")), "set_key")
-    named = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    named = named.groupBy("id").agg(F.min("component").alias("component"))
+
+def with_sizes(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the similarity."""
+    a = sketch.select(F.col("rep").alias("a"), F.struct("n").alias("x"))
+    b = sketch.select(F.col("rep").alias("b"), F.struct("n").alias("y"))
+    return pairs.join(a, "a").join(b, "b").where(_sizes_allow("x", "y", percent)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = 16, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept."""
+    rows, parts = component_classes(docs, percent, tables, width, id_col, text_col)
+    filled = rows.where("n_shingles > 0 and id is not null")
+    members = filled.select("id", "set_key").distinct().join(parts.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
+    members = materialize(members.select("id", F.coalesce("component", "set_key").alias("component")), "members")
+    # an id that several components have ties them together
+    tied = members.groupBy("id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    tied = members.join(tied.select("id", F.col("a").alias("first")), "id").where("component <> first").select(F.col("component").alias("a"), F.col("first").alias("b"))
+    if not tied.isEmpty():
+        joined = connected_components(tied).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        members = members.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    first = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = members.join(first, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
     out = rows.select("id", "n_shingles").join(named, "id", "left")
-    component = F.coalesce("component", "id")
+    component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but the first of each group of near-duplicates; one row of a repeated id."""
-    found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col)
-    gone = materialize(found.where(~F.col("kept")).select(id_col).distinct(), "gone")
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1")
+    """The documents without all but one of each group of near-duplicates.
+
+    The one that stays is that with the smallest id; texts without words and rows
+    without an id stay, once for each id and text where ids are repeated.
+    """
+    rows, parts = component_classes(docs, percent, id_col=id_col, text_col=text_col)
+    filled = rows.where("n_shingles > 0 and id is not null").select("id", "set_key").join(parts.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
+    filled = filled.select("id", "set_key", F.coalesce("component", "set_key").alias("component"))
+    kept = filled.groupBy("component").agg(F.min(F.struct("id", "set_key")).alias("k")).select("k.id", "k.set_key")
+    repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    repeated = materialize(repeated, "repeated")
+    key = F.col(id_col).cast("long")
+    gone = filled.select("id").distinct().join(kept, "id", "left_anti").unionByName(repeated).distinct()
+    gone = materialize(gone.select(F.col("id").alias("_gone")), "gone")
+    left = docs.join(gone, key == F.col("_gone"), "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return left
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    # rows of repeated ids are told apart by their texts
+    unclear = docs.join(repeated.select(F.col("id").alias("_id")), key == F.col("_id"), "left_semi").withColumn("_text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    unclear = materialize(unclear.dropDuplicates([id_col, "_text"]), "unclear")
+    told = map_slices(unclear.select(key.alias("id"), "_text", F.col(text_col).cast("string").alias("text")), keyed_texts, "id long, _text string, n_shingles long, set_key binary")
+    told = told.join(kept.withColumn("_kept", F.lit(True)), ["id", "set_key"], "left").where("_kept or n_shingles = 0")
+    # texts of one class differ in white space or case only; one of them stays
+    told = told.groupBy("id", F.when(F.col("n_shingles") > 0, F.hex("set_key")).otherwise(F.col("_text")).alias("_one")).agg(F.min("_text").alias("_text"))
+    chosen = told.select(F.col("id").alias("_id"), F.col("_text").alias("_t"))
+    again = unclear.join(chosen, (key == F.col("_id")) & (F.col("_text") == F.col("_t")), "left_semi")
+    return left.unionByName(again.select(*docs.columns))
+
+
+def keyed_texts():
+    """A batch function: shingle count and class of each text."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(2).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary())], names=["id", "_text", "n_shingles", "set_key"])
+
+    return step

@@ -101,6 +101,29 @@ def test_chains_of_copies_link(spark):
     assert rows(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id", "kept") == near_by_hand(texts)
 
 
+def test_an_id_with_two_texts_loses_no_link(spark):
+    """Each text's links count, and the id ties them together."""
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    data = [(1, one), (1, two), (2, one), (3, two), (4, one + " zz"), (5, two + " yy"), (6, "quite another text of more than five words")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
+    # both texts stay, once each
+    assert rows(minhash.keep_one(df), "doc_id", "text") == sorted([(1, one), (1, two), (6, data[-1][1])], key=repr)
+
+
+def test_bitmaps_bound_what_sets_have_in_common(spark):
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (5, 40, 150, 300, 300)] + [pool[:300], pool[:310]]
+    df = spark.createDataFrame([(bytes([k]), s.tobytes()) for k, s in enumerate(sets)], "id binary, items binary")
+    maps = minhash.bitmaps(df)
+    pairs = maps.alias("x").join(maps.alias("y"), F.col("x.id") < F.col("y.id")).select("x.id", "y.id", minhash._maps_allow("x", "y", 75)).collect()
+    for a, b, allowed in pairs:
+        x, y = set(sets[a[0]].tolist()), set(sets[b[0]].tolist())
+        assert allowed or 100 * len(x & y) < 75 * len(x | y)
+    assert not all(p[2] for p in pairs)
+
+
 def test_near_duplicates_edges(edges, nothing):
     got = {r["doc_id"]: tuple(r)[1:] for r in minhash.near_duplicates(edges).collect()}
     assert got[1] == (0, 1, True) and got[2] == (0, 2, True) and got[3] == (0, 3, True) and got[4] == (1, 4, True)
