@@ -87,8 +87,9 @@ def op7_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.warc import archive_and_index
 
-    # pages have no capture time; their ids stand in for seconds
-    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # pages have no capture time; their ids stand in for seconds, within a century so that years keep four digits
+    second = F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100 * 31_557_600))
+    when = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(second), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     index = archive_and_index(table(spark, sf_dir, "pages"), when)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

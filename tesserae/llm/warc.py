@@ -1,18 +1,21 @@
 r"""WARC archives of captured pages and their merged index.
 
-Writing: pages are hashed over runs of bounded size, each sorted by URL key and
-capture time, and written as gzipped WARC files by Spark's text writer (a record
-ends with two line breaks, which is the writer's line separator), so a lost
-executor's files are committed once.  Payloads seen before, that is with the
-digest of a smaller page id, become revisit records.
-
-Reading: every archive is parsed record by record by Content-Length; the digest
-of a response is computed anew from the bytes read.
-
-Index: the entries of each archive are a locally sorted run.  Range partitioning
-over (URL key, time, id) brings a bounded stretch of every run together, and a
-loser tree merges the runs of each stretch; stretches follow each other, so the
-result is one globally ordered capture history, however hot a URL is.
+Writing: each record is a gzip member of its own, so an archive can be entered at
+any record's offset.  Members are made where the pages are read, before anything
+is shuffled; then they are dealt over runs of bounded size, sorted by URL key and
+capture time, and written by Spark's text writer, so a lost executor's files are
+committed once.  The writer's line separator is a zero byte, and so is the last
+byte of a member of under 16 MB: the writer supplies it.  Larger records are
+several members, as gzip allows.  Payloads seen before, that is with the digest of
+a smaller page id, become revisit records.
+
+Reading: archives are parsed member by member; the digest of a response is
+computed anew from the bytes read.
+
+Index: the entries of each archive are a locally sorted run.  Runs are cut at the
+bounds of stretches of the key space, and each cut piece travels whole, in its
+order; a loser tree merges the pieces of a stretch.  Stretches follow each other,
+so the result is one globally ordered capture history.
 
 Defined results: null html is an empty payload; rows with a null id are always
 responses; repeated rows are records of their own, responses where the first of
@@ -22,21 +25,23 @@ them is one; null URLs have an empty key; line breaks within a URL are escaped.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
-from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ascii_lower, materialize, scratch_path
+from tesserae.llm.common import SLICE_ROWS, ascii_lower, materialize, scratch_path
 from tesserae.llm.url_rules import host_of, path_of
 
 BREAK = "\r\n"
+#: Less than 2 ** 24, so that the size that ends a gzip member has a zero as its last byte.
+MEMBER_BYTES = 15_000_000
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "page_id long, url_key string, captured_at string, archive string, offset long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -71,70 +76,113 @@ def write_archives(pages: DataFrame, path: str, captured_at: Column, run_bytes:
     again = seen.join(first, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
     runs = int(total // run_bytes) + 1
-    # dealt alike and merged: a late change to a broadcast join would deal the payloads a second time
+    # gzipped before they are dealt; which of them are revisits is known only afterwards
     again = again.repartition(runs, "page_id", "digest").hint("merge")
-    marked = rows.repartition(runs, "page_id", "digest").join(again, ["page_id", "digest"], "left")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
-    is_new = F.col("refers_to").isNull()
-    length = F.lit(len(HTTP_HEAD)) + F.when(is_new, F.col("size")).otherwise(F.lit(0))
     address = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    head = F.concat(
-        F.lit("WARC/1.1" + BREAK),
-        line("WARC-Type", F.when(is_new, F.lit("response")).otherwise(F.lit("revisit"))),
+    rows = rows.withColumn("key", F.regexp_replace(url_key(F.col("url")), r"[\r\n]", " "))
+    about = F.concat(
         line("WARC-Record-ID", record_id(F.col("page_id"))),
         line("WARC-Target-URI", address),
         line("WARC-Date", F.col("captured_at")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(is_new, F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")))),
         F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("WARC-Page", F.col("page_id").cast("string"))),
         line("WARC-Payload-Length", F.col("size").cast("string")),
-        line("WARC-Url-Key", F.regexp_replace("key", r"[\r\n]", " ")),
+        line("WARC-Url-Key", F.col("key")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", length.cast("string")),
-        F.lit(BREAK + HTTP_HEAD),
     )
-    marked = marked.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", "captured_at", "page_id")
-    value = F.concat(head, F.when(is_new, F.col("html")).otherwise(F.lit("")))
-    marked.select(value.alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").text(path)
-
-
-def records(archive: Any) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of each record of an open archive."""
-    offset = 0
-    while first := archive.readline():
-        if first != b"WARC/1.1\r\n":
-            raise ValueError(f"no record starts at {offset}: {first[:40]!r}")
-        size, fields = len(first), {}
-        while (line := archive.readline()) not in (b"\r\n", b""):
-            size += len(line)
-            name, _, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(": ")
-            fields[name] = value
+    response = F.concat(F.lit("WARC/1.1" + BREAK + "WARC-Type: response" + BREAK), about, line("Content-Length", (F.lit(len(HTTP_HEAD)) + F.col("size")).cast("string")), F.lit(BREAK + HTTP_HEAD))
+    made = rows.select("page_id", "digest", "key", "captured_at", about.alias("about"), F.encode(F.concat(response, "html", F.lit(BREAK * 2)), "UTF-8").alias("record"))
+    packed = made.mapInArrow(in_members, "page_id long, digest string, key string, captured_at string, about string, record binary")
+    marked = packed.repartition(runs, "page_id", "digest").join(again, ["page_id", "digest"], "left")
+    earlier = F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")))
+    revisit = F.concat(F.lit("WARC/1.1" + BREAK + "WARC-Type: revisit" + BREAK), "about", earlier, line("Content-Length", F.lit(str(len(HTTP_HEAD)))), F.lit(BREAK + HTTP_HEAD + BREAK * 2))
+    is_new = F.col("refers_to").isNull()
+    marked = marked.select("page_id", "digest", "key", "captured_at", F.when(is_new, F.lit("")).otherwise(revisit).alias("head"), F.when(is_new, F.col("record")).otherwise(F.lit(b"")).alias("record"))
+    ordered = marked.sortWithinPartitions("key", "captured_at", "page_id").select("head", "record").mapInArrow(finished, "member binary")
+    # a string of Spark may hold any bytes, and the writer puts them out as they are
+    ordered.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+
+
+def member(data: bytes) -> bytes:
+    """``data`` as gzip members of under 16 MB each, without the zero that ends the last one."""
+    out = []
+    for at in range(0, max(1, len(data)), MEMBER_BYTES):
+        deflate = zlib.compressobj(6, wbits=31)
+        out.append(deflate.compress(data[at : at + MEMBER_BYTES]) + deflate.flush())
+    whole = b"".join(out)
+    if whole[-1]:
+        raise ValueError("a member does not end with a zero")
+    return whole[:-1]
+
+
+def in_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their last column gzipped."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([member(r.as_py()) for r in part.column(part.num_columns - 1)], pa.binary())], names=part.schema.names)
+
+
+def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members as they are, and the heads of revisits gzipped."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([member(h.encode("utf-8", "replace")) if h else r.as_py() for h, r in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], pa.binary())], names=["member"])
+
+
+def members(archive: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset, data) of each gzip member from the one at ``start`` on."""
+    view, at = memoryview(archive), start
+    while at < len(view):
+        inflate = zlib.decompressobj(wbits=31)
+        data = inflate.decompress(view[at:])
+        if not inflate.eof:
+            raise ValueError(f"the member at {at} is cut short")
+        yield at, data
+        at = len(view) - len(inflate.unused_data)
+
+
+def records(archive: bytes, start: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, block) of each record of an archive, from the one at ``start`` on."""
+    parts = members(archive, start)
+    for offset, data in parts:
+        if not data.startswith(b"WARC/1.1\r\n"):
+            raise ValueError(f"no record starts at {offset}: {data[:40]!r}")
+        while (end := data.find(b"\r\n\r\n")) < 0:
+            data += next(parts, (0, b""))[1] or cut_short(offset)
+        fields = dict(line.decode("utf-8", "replace").partition(": ")[::2] for line in data[:end].split(b"\r\n")[1:])
         n = int(fields["Content-Length"])
-        block, tail = archive.read(n), archive.read(4)
-        if len(block) < n or tail != b"\r\n\r\n":
-            raise ValueError(f"the record at {offset} is cut short")
-        yield offset, fields, block
-        offset += size + 2 + n + 4
+        pieces, size = [data], len(data)
+        while size < end + 4 + n + 4:
+            pieces.append(next(parts, (0, b""))[1] or cut_short(offset))
+            size += len(pieces[-1])
+        data = b"".join(pieces)
+        if size != end + 8 + n or data[-4:] != b"\r\n\r\n":
+            cut_short(offset)
+        yield offset, fields, data[end + 4 : -4]
+
+
+def cut_short(offset: int) -> bytes:
+    raise ValueError(f"the record at {offset} is cut short")
 
 
 def read_index(spark, path: str) -> DataFrame:
     """Entries of all archives below ``path``, those of one archive in its order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content").where(F.length("content") > 0)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 name = batch.column(0)[k].as_py().rsplit("/", 1)[-1]
                 out: list[tuple] = []
-                with gzip.GzipFile(fileobj=io.BytesIO(batch.column(1)[k].as_buffer())) as archive:
-                    for offset, f, block in records(archive):
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        kind = f["WARC-Type"]
-                        digest, size = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["WARC-Payload-Length"])
-                        if kind == "response":
-                            digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
-                        page, refers = f.get("WARC-Page"), f.get("WARC-Refers-To-Page")
-                        out.append((page and int(page), f["WARC-Url-Key"], f["WARC-Date"], name, offset, kind, size, digest, refers and int(refers)))
+                for offset, f, block in records(batch.column(1)[k].as_buffer()):
+                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                    kind = f["WARC-Type"]
+                    digest, size = f["WARC-Payload-Digest"].removeprefix("sha1:"), int(f["WARC-Payload-Length"])
+                    if kind == "response":
+                        digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
+                    page, refers = f.get("WARC-Page"), f.get("WARC-Refers-To-Page")
+                    out.append((page and int(page), f["WARC-Url-Key"], f["WARC-Date"], name, offset, kind, size, digest, refers and int(refers)))
                 if out:
                     yield entries(out)
 
@@ -184,34 +232,62 @@ class LoserTree:
             self._play(leaf)
 
 
-def merge_index(index: DataFrame, stretch_rows: int = 100_000) -> DataFrame:
-    """The entries in global order: by ``position``, which counts up over URL key, time and id."""
-    n = index.count()
-    dealt = index.repartitionByRange(int(n // stretch_rows) + 1, "url_key", "captured_at", "page_id")
+def merge_index(index: DataFrame, stretch_rows: int = 100_000, bound_sample: int = 20) -> DataFrame:
+    """The entries in global order: by ``position``, which counts up over URL key, time and id.
 
-    def run(batches):
-        runs: dict[str, list[tuple]] = {}
+    Archives' entries must come in their order, as :func:`read_index` gives them.
+    Bounds of stretches come from ``bound_sample`` entries a stretch, chosen by hash.
+    """
+    n = index.count()
+    stretches = int(n // stretch_rows) + 1
+    bounds: list[tuple] = []
+    if stretches > 1:
+        key = index.select("url_key", "captured_at", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "archive", "offset")
+        some = key.orderBy(F.xxhash64("archive", "offset")).limit(bound_sample * stretches).collect()
+        found = sorted(tuple(r)[:3] for r in some)
+        bounds = sorted({found[k * len(found) // stretches] for k in range(1, stretches)})
+
+    def cut(batches):
+        """Pieces of runs: consecutive entries of one archive within one stretch, as one row."""
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-                runs.setdefault(row[3], []).append(((row[1], row[2], -1 if row[0] is None else row[0], row[4]), row))
-        for rows in runs.values():
-            rows.sort(key=lambda r: r[0])  # already in order unless a retried task was read in parts
-        tree = LoserTree([[(key, row[3], k) for k, (key, row) in enumerate(rows)] for rows in runs.values()])
-        start, out, done = TaskContext.get().partitionId() << 40, [], 0
-        for _, name, k in tree:
-            out.append(runs[name][k][1])
-            if len(out) == 10_000:
-                yield placed(out, start + done)
-                done, out = done + len(out), []
-        if out:
-            yield placed(out, start + done)
-
-    return dealt.mapInArrow(run, ENTRY + ", position long")
-
-
-def placed(rows: list[tuple], start: int) -> pa.RecordBatch:
-    batch = entries(rows)
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(start, start + len(rows)), pa.int64())], names=[*batch.schema.names, "position"])
+            if not batch.num_rows:
+                continue
+            keys, archives = entry_keys(batch), batch.column(3).to_pylist()
+            edges = [0, *(k for k in range(1, len(keys)) if archives[k] != archives[k - 1]), len(keys)]
+            out = []
+            for start, end in zip(edges, edges[1:], strict=False):
+                at = start
+                while at < end:
+                    number = bisect_right(bounds, keys[at][:3])
+                    upto = bisect_left(keys, bounds[number], at, end, key=lambda k: k[:3]) if number < len(bounds) else end
+                    out.append((number, f"{archives[at]}:{keys[at][3]:020d}", ipc_bytes(batch.slice(at, upto - at))))
+                    at = upto
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["stretch", "run", "piece"])
+
+    def merge(pieces: pa.Table) -> pa.Table:
+        stretch = pieces["stretch"][0].as_py()
+        order = pc.sort_indices(pieces["run"])
+        runs = [pa.ipc.open_stream(p.as_buffer()).read_all() for p in pieces["piece"].take(order)]
+        tree = LoserTree([[(key, r, k) for k, key in enumerate(entry_keys(run))] for r, run in enumerate(runs)])
+        first = np.cumsum([0, *(len(r) for r in runs)])
+        whole = pa.concat_tables(runs)
+        got = whole.take(pa.array([int(first[r]) + k for _, r, k in tree], pa.int64()))
+        start = stretch << 40
+        return got.append_column("position", pa.array(range(start, start + len(got)), pa.int64()))
+
+    return index.mapInArrow(cut, "stretch long, run string, piece binary").groupBy("stretch").applyInArrow(merge, ENTRY + ", position long")
+
+
+def entry_keys(rows: pa.RecordBatch | pa.Table) -> list[tuple]:
+    page, url, when, offset = (rows.column(k).to_pylist() for k in (0, 1, 2, 4))
+    return [(u, w, -1 if p is None else p, o) for p, u, w, o in zip(page, url, when, offset, strict=True)]
+
+
+def ipc_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def archive_and_index(pages: DataFrame, captured_at: Column, path: str | None = None, **columns) -> DataFrame:
