@@ -3,15 +3,16 @@
 A piece needs room for its tokens, a document slot and attention cost (its
 length squared, since attention stays within a document).  An open sequence
 keeps the residual of each capacity.  The next piece, longest first, goes to the
-feasible sequence with the largest weighted dot product of demand and residual,
-or the smallest residual norm, whichever rule is chosen; where no sequence has
-room for it under every constraint a new one is opened.
+feasible sequence with the smallest weighted norm of the residual that it leaves,
+or the largest weighted dot product of demand and residual, whichever rule is
+chosen; where no sequence has room for it under every constraint a new one is
+opened.
 
-Scale: pieces of the full length are sequences by themselves.  The others are
-dealt over bins groups by a hash, each of about ``group_pieces`` pieces, and each
-group is packed by one task; a group ends with a few half-filled sequences at
-most, so the loss is a fraction of a per mille.  The hash spreads a hot source
-evenly.  Only (id, piece, length) is shuffled, never the tokens.
+Scale: the pieces are dealt over groups by a salted hash, each of about
+``group_chars`` of text, and each group is packed by one task; a group ends with
+a few half-filled sequences at most, so the loss is a fraction of a per mille.
+The salt spreads a hot source and repeated rows evenly.  Only (id, piece, length)
+is shuffled, never the tokens.
 
 Defined results: a null or empty text is one piece with the closing id alone;
 null ids are carried through; repeated rows are packed as often as they occur
@@ -32,6 +33,8 @@ from tesserae.llm.bpe_stream import MergeList
 from tesserae.llm.common import map_slices, text_groups
 
 GROUP_CHARS = 4_000_000
+#: What a row counts as besides its text when groups are sized.
+ROW_CHARS = 200
 SLICE_ROWS = 2048
 #: Bytes of letters, and of marks after them, that the numpy path takes.
 MOST_LETTERS, MOST_MARKS = 40, 8
@@ -201,71 +204,93 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: i
     return map_slices(source, make, schema, SLICE_ROWS)
 
 
-def vector_best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each piece, pieces taken longest first.
-
-    Sequences with the same residual vector are alike, so they are kept in
-    groups by residual: a choice scans the distinct residuals of at least the
-    wanted length, in numpy, and takes any sequence of the best group.
-    """
-    order = np.lexsort((np.arange(len(lengths)), -lengths))
-    total = np.array([capacity, max_docs, max_attention], float)
-    weight = np.array(weights, float)
-    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    open_by: dict[tuple[int, int, int], list[int]] = {}
-    by_tokens: dict[int, set[tuple[int, int, int]]] = {}
-    filled = 0
-    present = np.zeros(capacity + 1, bool)
-
-    def choose(size: int) -> tuple[int, int, int] | None:
-        demand = np.array([size, 1, size * size]) / total
-        best, best_value = None, np.inf
-        for tokens in (np.flatnonzero(present[size:]) + size).tolist():
-            # with weight on tokens alone a larger residual is never better, so the first feasible one is taken
-            for key in sorted(by_tokens[tokens]):
-                if key[1] < 1 or key[2] < size * size:
+class OpenSequences:
+    """Sequences with room left, by residual tokens; those with the same residual vector are alike."""
+
+    def __init__(self, capacities: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> None:
+        self.total = capacities
+        self.scale = [w / (c * c) for w, c in zip(weights, capacities, strict=True)]
+        self.rule = rule
+        self.numbers: dict[tuple[int, int, int], list[int]] = {}
+        self.by_tokens: dict[int, set[tuple[int, int, int]]] = {}
+        self.present = np.zeros(capacities[0] + 1, bool)
+
+    def put(self, key: tuple[int, int, int], number: int) -> None:
+        if key not in self.numbers:
+            self.numbers[key] = []
+            self.by_tokens.setdefault(key[0], set()).add(key)
+            self.present[key[0]] = True
+        self.numbers[key].append(number)
+
+    def take(self, key: tuple[int, int, int]) -> int:
+        number = self.numbers[key].pop()
+        if not self.numbers[key]:
+            del self.numbers[key]
+            self.by_tokens[key[0]].discard(key)
+            self.present[key[0]] = bool(self.by_tokens[key[0]])
+        return number
+
+    def best(self, size: int) -> tuple[int, int, int] | None:
+        """The residual vector that a piece of ``size`` tokens should go to."""
+        cost, (a, b, c) = size * size, self.scale
+        best, best_value = None, float("inf")
+        levels = np.flatnonzero(self.present[size:]) + size
+        if self.rule == "dot":
+            levels = levels[::-1]
+        for tokens in levels.tolist():
+            # no vector of this residual of tokens or of those to come is better than its tokens' part alone
+            if best is not None and self._bound(tokens, size) >= best_value:
+                break
+            for key in self.by_tokens[tokens]:
+                if key[1] < 1 or key[2] < cost:
                     continue
-                residual = np.array(key) / total
-                value = float((weight * (residual - demand) ** 2).sum()) if rule == "norm" else -float((weight * residual * demand).sum())
-                if value < best_value:
+                if self.rule == "norm":
+                    value = a * (tokens - size) ** 2 + b * (key[1] - 1) ** 2 + c * (key[2] - cost) ** 2
+                else:
+                    value = -(a * tokens * size + b * key[1] + c * key[2] * cost)
+                if value < best_value or (value == best_value and key < best):
                     best, best_value = key, value
-            if best is not None and rule == "norm" and not weight[1:].any():
-                break
         return best
 
-    def put(key: tuple[int, int, int], number: int) -> None:
-        if key not in open_by:
-            open_by[key] = []
-            by_tokens.setdefault(key[0], set()).add(key)
-            present[key[0]] = True
-        open_by[key].append(number)
+    def _bound(self, tokens: int, size: int) -> float:
+        a, b, c = self.scale
+        if self.rule == "norm":
+            return a * (tokens - size) ** 2
+        return -(a * tokens * size + b * self.total[1] + c * self.total[2] * size * size)
+
 
+def vector_best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int, weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each piece, pieces taken longest first."""
+    order = np.lexsort((np.arange(len(lengths)), -lengths))
+    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    room, filled = OpenSequences((capacity, max_docs, max_attention), weights, rule), 0
     for k in order.tolist():
         size = int(lengths[k])
-        key = choose(size)
+        key = room.best(size)
         if key is None:
             key, number = (capacity, max_docs, max_attention), filled
             filled += 1
         else:
-            number = open_by[key].pop()
-            if not open_by[key]:
-                del open_by[key]
-                by_tokens[key[0]].discard(key)
-                present[key[0]] = bool(by_tokens[key[0]])
+            number = room.take(key)
         sequence[k], offset[k] = number, capacity - key[0]
         left = (key[0] - size, key[1] - 1, key[2] - size * size)
-        if left[0] > 0 and left[1] > 0 and left[2] > 0:
-            put(left, number)
+        if min(left) > 0:
+            room.put(left, number)
     return sequence, offset
 
 
+#: Production parameters: documents a sequence may hold, and how much each residual counts in the choice.
+MAX_DOCS = 64
+WEIGHTS = (1.0, 0.05, 0.05)
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
     capacity: int = 2048,
-    max_docs: int | None = None,
+    max_docs: int = MAX_DOCS,
     max_attention: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
     closing_id: int = 0,
     group_chars: int = 64_000_000,
@@ -274,19 +299,19 @@ def pack(
 ) -> DataFrame:
     """Pieces with sequence_id and gapless offset.
 
-    ``max_docs`` and ``max_attention`` default to values that ``capacity``
-    already implies (one document a token; its square), so they bind only when
-    given.  ``group_chars`` is the text of the pieces that one task packs.
+    ``max_attention`` defaults to the cost of one piece of full length, the least
+    that lets every piece in.  ``group_chars`` is the text of the pieces that one
+    task packs, a row counting as ``ROW_CHARS`` besides its text.
     """
-    max_docs = max_docs or capacity
     max_attention = max_attention or capacity * capacity
-    full_piece_fits = max_attention >= capacity * capacity
-    pieces = pieces_of(docs, tokenizer_path, capacity, closing_id, id_col, text_col)
-    if not full_piece_fits:
+    if max_attention < capacity * capacity:
         raise ValueError("max_attention is less than one full piece costs")
-    chars = docs.select(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
+    pieces = pieces_of(docs, tokenizer_path, capacity, closing_id, id_col, text_col)
+    chars = docs.select(F.sum(F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)) + ROW_CHARS).alias("n")).first()["n"] or 0
     groups = int(chars // group_chars) + 1
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col(id_col), "piece", "ids_crc32"), F.lit(groups)))
+    # a task's place in its partition is the same when it runs again, so the salt is too
+    salt = F.shiftright(F.monotonically_increasing_id(), 10)
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.col(id_col), "piece", "ids_crc32", salt), F.lit(groups)))
     kind = dict(pieces.dtypes)[id_col]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
