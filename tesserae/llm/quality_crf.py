@@ -5,9 +5,9 @@ each line as content or boilerplate by Viterbi decoding; the share of words on
 content lines decides retention, after plain word-count rules.
 
 The model is fitted on a bounded sample of labelled documents (``sample`` of
-each class, ``train_lines`` lines of each), with every line taking its
-document's label at first and lines of bad documents relabelled by the model
-once, since such documents hold ordinary lines too.  Everything else covers all
+each class, all lines of each, in sequences of ``train_lines``), with every line
+taking its document's label at first and lines of bad documents relabelled by the
+model once, since such documents hold ordinary lines too.  Everything else covers all
 rows and whole texts; the counts are numpy over the UTF-8 bytes of a slice.
 
 Defined results: null and empty text has no words, fails the base rules and is
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 400, train_lines: int
             ids, texts, marks = (batch.column(k).to_pylist() for k in range(3))
             out = []
             for k, text in enumerate(texts):
-                f = measure([text]).features[:train_lines]
+                f = measure([text]).features
                 if len(f):
                     out.append((str(ids[k]), marks[k], f.astype("<f4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["id", "label", "lines"])
@@ -249,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 400, train_lines: int
         return LineCrf.trusting()
     lines = [np.frombuffer(r[2], "<f4").reshape(-1, N_FEATURES).astype(float) for r in got]
     x = np.concatenate(lines)
-    doc = np.repeat(np.arange(len(got)), [len(f) for f in lines])
+    # a long document is several sequences, so that short ones need no padding to its length
+    doc = np.concatenate([k * (1 << 32) + np.arange(len(f)) // train_lines for k, f in enumerate(lines)])
     of_doc = np.repeat([r[1] for r in got], [len(f) for f in lines])
     first = LineCrf.fit(x, doc, of_doc)
     # a bad document's ordinary lines are content; a good one's stay so
