@@ -4,9 +4,9 @@ import base64
 import gzip
 import hashlib
 import heapq
-import io
 import random
 import re
+import subprocess
 import zlib
 from collections import Counter, defaultdict
 
@@ -201,14 +201,47 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_and_index(pages.limit(0), when, str(tmp_path / "none")).count() == 0
 
 
-def test_archives_can_be_read_by_anyone(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a.org", "<p>hi</p>")], "page_id long, url string, html string")
-    warc.write_archives(pages, str(tmp_path / "w"), F.lit("2024-01-01T00:00:00Z"))
-    file = next(f for f in (tmp_path / "w").glob("*.gz") if f.stat().st_size > 40)
-    data = gzip.decompress(file.read_bytes())
-    assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"<p>hi</p>\r\n\r\n")
-    with pytest.raises(ValueError):
-        list(warc.records(io.BytesIO(data[:-6])))
+def test_archives_can_be_read_by_anyone_and_entered_anywhere(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h{k % 7}.org/{k}", f"<p>{'hi' * k}</p>") for k in range(40)] + [(99, "http://z.org", "x" * 200)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), F.lit("2024-01-01T00:00:00Z"), run_bytes=1000)
+    read = {}
+    for file in (tmp_path / "w").glob("*.txt"):
+        data = file.read_bytes()
+        # the archive is one gzip file, and the command line's tool agrees
+        assert subprocess.run(["gzip", "-dc"], input=data, capture_output=True, check=True).stdout == (gzip.decompress(data) if data else b"")
+        for offset, fields, block in warc.records(data):
+            assert next(warc.records(data, offset))[1:] == (fields, block)
+            read[int(fields["WARC-Page"])] = block.split(b"\r\n\r\n", 1)[1].decode()
+        if data:
+            with pytest.raises(ValueError):
+                list(warc.records(data[:-6]))
+    assert read == {r["page_id"]: r["html"] for r in pages.collect()}
+
+
+def test_records_of_several_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100)
+    data = b"WARC/1.1\r\nContent-Length: 1000\r\nX: " + b"y" * 150 + b"\r\n\r\n" + b"z" * 1000 + b"\r\n\r\n"
+    archive = warc.member(data) + b"\0" + warc.member(data) + b"\0"
+    found = list(warc.records(archive))
+    assert len(found) == 2 and found[1][0] == len(archive) // 2 and all(f[2] == b"z" * 1000 for f in found)
+
+
+def test_index_merges_sorted_runs(spark):
+    rng = random.Random(6)
+    runs = {f"a{k}": sorted((f"u{rng.randrange(30):02d}", f"t{rng.randrange(9)}", rng.randrange(1000)) for _ in range(rng.randrange(1, 80))) for k in range(9)}
+    data = [(p, u, t, a, k, "response", 0, "", None) for a, run in runs.items() for k, (u, t, p) in enumerate(run)]
+    index = spark.createDataFrame(data, warc.ENTRY).coalesce(1)
+    for stretch in (20, 10_000):
+        got = [(r["url_key"], r["captured_at"], r["page_id"]) for r in warc.merge_index(index, stretch_rows=stretch).orderBy("position").collect()]
+        assert got == sorted(x for run in runs.values() for x in run)
+
+
+def test_ids_far_in_the_future(spark, tmp_path):
+    from tesserae.llm.queries import op3_warc_index
+
+    spark.createDataFrame([(10**17, "http://a.org", "x"), (1, "http://a.org", "x"), (None, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["refers_to"] for r in op3_warc_index(spark, str(tmp_path)).collect()}
+    assert got == {10**17: 1, 1: None, None: None}
 
 
 def test_loser_tree():
@@ -478,17 +511,51 @@ def test_all_capacities_hold(rule):
         assert mine.sum() <= 100 and len(mine) <= 3 and (mine**2).sum() <= 4000
 
 
-def test_best_fit_equals_the_plain_loop():
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [(1.0, 0.0, 0.0), packing.WEIGHTS, (1.0, 0.7, 0.9)])
+def test_best_fit_equals_the_plain_loop(rule, weights):
     lengths = np.random.default_rng(1).integers(1, 90, 300)
-    bins, _ = packing.vector_best_fit(lengths, 100, 100, 10_000)
-    left = []
-    for n in sorted(lengths.tolist(), reverse=True):
-        room = [k for k, r in enumerate(left) if r >= n]
-        if room:
-            left[min(room, key=left.__getitem__)] -= n
+    total = (100, 4, 8000)
+    bins, _ = packing.vector_best_fit(lengths, *total, weights, rule)
+    scale = [w / (c * c) for w, c in zip(weights, total, strict=True)]
+    left, placed = [], {}
+    for k in sorted(range(300), key=lambda k: (-lengths[k], k)):
+        need = (int(lengths[k]), 1, int(lengths[k]) ** 2)
+
+        def value(r, need=need):
+            terms = [(x - d) ** 2 for x, d in zip(r, need, strict=True)] if rule == "norm" else [-x * d for x, d in zip(r, need, strict=True)]
+            return sum(s * t for s, t in zip(scale, terms, strict=True))
+
+        room = [b for b, r in enumerate(left) if all(x >= d for x, d in zip(r, need, strict=True))]
+        # the chosen sequence is as good as any that has room
+        mine = [b for b in placed.values() if b[0] == bins[k]]
+        if not room:
+            assert not mine
+            left.append(total)
+            placed[k] = (bins[k], len(left) - 1)
         else:
-            left.append(100 - n)
-    assert bins.max() + 1 == len(left)
+            at = mine[0][1]
+            assert at in room and value(left[at]) <= min(map(value, (left[b] for b in room))) + 1e-12
+            placed[k] = (bins[k], at)
+        at = placed[k][1]
+        left[at] = tuple(x - d for x, d in zip(left[at], need, strict=True))
+
+
+def test_production_capacities_and_weights_matter(spark):
+    """Packing by tokens alone would put more documents together and choose otherwise."""
+    assert all(w > 0 for w in packing.WEIGHTS)
+    lengths = np.random.default_rng(2).integers(1, 300, 3000)
+    alone, _ = packing.vector_best_fit(lengths, 2048, 2048, 2048**2, (1.0, 0.0, 0.0))
+    used, _ = packing.vector_best_fit(lengths, 2048, packing.MAX_DOCS, 2048**2, packing.WEIGHTS)
+    assert (alone != used).any() and used.max() <= alone.max() + 2
+    short = spark.createDataFrame([(k, "a") for k in range(1000)], "doc_id long, text string")
+    assert packing.pack(short, WORD_BPE).groupBy("sequence_id").count().agg(F.max("count")).first()[0] == packing.MAX_DOCS
+
+
+def test_repeated_rows_are_dealt_over_groups(spark):
+    same = spark.range(4000).select(F.lit(1).alias("doc_id"), F.lit("one text").alias("text")).repartition(1)
+    bins = check_packing(packing.pack(same, WORD_BPE, group_chars=100_000), [(1, "one text")] * 4000, 2048)
+    assert len({b % 9 for b in bins}) > 1
 
 
 # 9 ---------------------------------------------------------------------------
