@@ -42,6 +42,7 @@ from tesserae.llm.url_rules import host_of, path_of
 BREAK = "\r\n"
 #: Less than 2 ** 24, so that the size that ends a gzip member has a zero as its last byte.
 MEMBER_BYTES = 15_000_000
+BITE = 4096
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "page_id long, url_key string, captured_at string, archive string, offset long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -67,7 +68,7 @@ def record_id(page_id: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, captured_at: Column, run_bytes: int = 32_000_000, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write the pages' records below ``path``; runs hold about ``run_bytes`` of payload."""
+    """Write the pages' records below ``path``; runs hold about ``run_bytes`` of payload at most."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), captured_at.alias("captured_at"))
     rows = rows.withColumn("digest", base32_sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     seen = materialize(rows.select("page_id", "digest", "size"), "digests")
@@ -75,7 +76,8 @@ def write_archives(pages: DataFrame, path: str, captured_at: Column, run_bytes:
     first = seen.where(F.col("page_id").isNotNull() & (F.col("size") >= min_revisit_bytes)).groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
     again = seen.join(first, ["digest", "size"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
-    runs = int(total // run_bytes) + 1
+    # fewer partitions than the session's would be dealt anew for the join, payloads included
+    runs = max(int(total // run_bytes) + 1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # gzipped before they are dealt; which of them are revisits is known only afterwards
     again = again.repartition(runs, "page_id", "digest").hint("merge")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
@@ -134,12 +136,15 @@ def members(archive: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
     """(offset, data) of each gzip member from the one at ``start`` on."""
     view, at = memoryview(archive), start
     while at < len(view):
-        inflate = zlib.decompressobj(wbits=31)
-        data = inflate.decompress(view[at:])
+        inflate, data, upto = zlib.decompressobj(wbits=31), [], at
+        # in small bites, since what follows a member is copied
+        while not inflate.eof and upto < len(view):
+            data.append(inflate.decompress(view[upto : upto + BITE]))
+            upto += BITE
         if not inflate.eof:
             raise ValueError(f"the member at {at} is cut short")
-        yield at, data
-        at = len(view) - len(inflate.unused_data)
+        yield at, b"".join(data)
+        at = min(upto, len(view)) - len(inflate.unused_data)
 
 
 def records(archive: bytes, start: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
