@@ -46,7 +46,7 @@ from tesserae.llm.common import map_slices, materialize, text_groups, words_of
 from tesserae.llm.components import connected_components
 
 GROUP_CHARS = 1_000_000
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 SEED = 20240229
 #: Low bits of the min-hashes, 64 a column; they only say which member of a bucket is the closest.
 BITS = ["s1", "s2"]

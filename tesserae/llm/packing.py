@@ -62,6 +62,14 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def inverse(x: np.ndarray) -> np.ndarray:
+    """Of odd numbers modulo 2 ** 64; each step doubles the bits that are right, three at first."""
+    y = x.copy()
+    for _ in range(5):
+        y *= np.uint64(2) - x * y
+    return y
+
+
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that drops white space.
 
@@ -80,7 +88,7 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.merges = MergeList(path)
         powers = np.random.default_rng(17).integers(0, 1 << 62, 2, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.powers = [(int(r), pow(int(r), -1, 1 << 64)) for r in powers]
+        self.powers = list(powers)
 
     def _library(self, words: list[bytes]) -> list[np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -89,10 +97,18 @@ class WordTokenizer:
     def _distinct(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One word of each kind, and each word's kind."""
         key = np.zeros(len(start), np.uint64)
-        for r, inverse in self.powers:
-            up, down = (np.cumprod(np.full(len(b) + 1, x, np.uint64)) for x in (r, inverse))
-            total = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:-1])])
-            h = (total[start + size] - total[start]) * down[start]
+        for r in self.powers:
+            # sums of byte times power up to each byte, and the inverse power at a word's first one
+            power = np.cumprod(np.full(len(b), r, np.uint64))
+            first_power = power[start]
+            total = b.astype(np.uint64)
+            total += np.uint64(1)
+            total *= power
+            del power
+            first_term = total[start]
+            np.cumsum(total, out=total)
+            h = (total[start + size - 1] - total[start] + first_term) * inverse(first_power)
+            del total
             key = (key ^ h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
         _, first, kind = np.unique(key, return_index=True, return_inverse=True)
         # equal keys are equal words, or else the words themselves are compared

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import WordCache, fold_of, map_slices, text_groups
 
 GROUP_CHARS = 1_000_000
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Longest string that is scored as one; longer words are scored by windows of this size.
 MAX_WORD = 12
 #: ASCII other than letters, digits and white space is taken out of words.
