@@ -17,7 +17,10 @@ are indexed and the result is exact whatever the pivots are.
 Defined results: vectors that are null, or hold null, NaN or infinite
 components, and null ids take no part; an id that occurs repeatedly stands for
 its smallest vector; shorter vectors count as padded with zeros; ties go to the
-smaller id; a query with fewer than k candidates returns them all.
+smaller id; a query with fewer than k candidates returns them all.  Scores are
+whole numbers and exact: products are summed in double precision only where no
+sum can pass 2 ** 53, else as integers; a score beyond 64 bits is returned as the
+largest or smallest one, such ties going by id.
 """
 
 from __future__ import annotations
@@ -50,19 +53,33 @@ def pick_pivots(points: np.ndarray, n: int) -> np.ndarray:
     return points[chosen]
 
 
+SMALLEST, LARGEST = -(2**63), 2**63 - 1
+
+
 class Space:
     """Vectors lifted to equal norm, and distances to pivots."""
 
     def __init__(self, dim: int, largest: float) -> None:
         self.dim, self.largest, self.pivots = dim, largest, np.zeros((0, dim + 1))
 
+    @property
+    def exact(self) -> bool:
+        """Whether no partial sum of an inner product can pass what doubles hold exactly."""
+        return self.largest < 2**53
+
+    @property
+    def blur(self) -> float:
+        """How far rounding may put a squared distance off."""
+        return 16 * (self.dim + 2) * np.finfo(float).eps * max(self.largest, 1.0)
+
     def pad(self, vectors) -> np.ndarray:
-        out = np.zeros((len(vectors), self.dim))
+        out = np.zeros((len(vectors), self.dim), np.int64)
         for k, v in enumerate(vectors):
             out[k, : len(v)] = v
         return out
 
     def lift(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(float)
         return np.concatenate([x, np.sqrt(np.maximum(self.largest - (x**2).sum(1), 0))[:, None]], 1)
 
     def to_pivots(self, points: np.ndarray) -> np.ndarray:
@@ -74,27 +91,32 @@ class Space:
 
     def radius(self, x: np.ndarray, bar: np.ndarray) -> np.ndarray:
         """Distance within which an inner product can reach ``bar``, with a little slack for rounding."""
-        reach = np.sqrt(np.maximum((x**2).sum(1) + self.largest - 2 * bar, 0))
-        return np.where(np.isfinite(bar), reach * (1 + 1e-9) + 1e-6, np.inf)
+        reach = np.sqrt(np.maximum((x.astype(float) ** 2).sum(1) + self.largest - 2 * bar, 0) + self.blur)
+        # distances to pivots are off by the root of the blur at most, on either side
+        return np.where(np.isfinite(bar), reach * (1 + 1e-9) + 2 * self.blur**0.5 + 1e-6, np.inf)
+
+    def scores(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Inner products of whole-number vectors, as doubles that hold them exactly or else as integers."""
+        if self.exact:
+            return q.astype(float) @ v.T.astype(float)
+        return np.clip(q.astype(object) @ v.T.astype(object), SMALLEST, LARGEST)
 
 
-def top_rows(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top_rows(score: np.ndarray, q_ids: np.ndarray, v_ids: np.ndarray, k: int, bar: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector id, score) of each query's best k in a block, below the bar left out."""
-    score = q @ v.T
-    score[q_ids[:, None] == v_ids[None]] = -np.inf
     rows, ids, scores = [], [], []
-    for i in range(len(q)):
-        s = score[i]
+    for i in range(len(q_ids)):
+        other = np.flatnonzero(v_ids != q_ids[i])
+        s = score[i, other]
         if len(s) > k:
             kth = np.partition(s, -k)[-k]
-            near = np.flatnonzero(s >= max(kth, bar[i]))
+            near = np.flatnonzero(s >= (kth if bar[i] is None else max(kth, bar[i])))
         else:
-            near = np.flatnonzero(s >= bar[i])
-        near = near[np.isfinite(s[near])]
-        near = near[np.lexsort((v_ids[near], -s[near]))][:k]
+            near = np.arange(len(s)) if bar[i] is None else np.flatnonzero(s >= bar[i])
+        near = near[np.lexsort((v_ids[other[near]], -s[near]))][:k]
         rows.append(np.full(len(near), i))
-        ids.append(v_ids[near])
-        scores.append(s[near])
+        ids.append(v_ids[other[near]])
+        scores.append(s[near].astype(np.int64))
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
@@ -104,12 +126,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, pi
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     points = source.groupBy("vec_id").agg(F.min(quantised(F.col("v"))).alias("v")).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
     points = materialize(points, "vectors")
+    # a little more than the largest norm, since its sum is rounded
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     shape = points.agg(F.max(F.size("v")).alias("dim"), F.max(norm).alias("largest"), F.count("*").alias("n")).first()
-    answer = "query_id long, vec_id long, score double"
+    answer = "query_id long, vec_id long, score long"
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    space = Space(shape["dim"], shape["largest"])
+    space = Space(shape["dim"], shape["largest"] * (1 + 1e-12))
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_sample).select("v").toPandas()
     space.pivots = pick_pivots(space.lift(space.pad(sample["v"])), pivots)
 
@@ -137,16 +160,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, pi
             yield block(held, number)
 
     def block(f: pd.DataFrame, number: int) -> pd.DataFrame:
-        x, ids = np.frombuffer(b"".join(f["data"]), float).reshape(len(f), -1), f["vec_id"].to_numpy()
+        x, ids = np.frombuffer(b"".join(f["data"]), np.int64).reshape(len(f), -1), f["vec_id"].to_numpy()
         asks = np.flatnonzero(f["is_query"].to_numpy())
-        row, near, score = top_rows(x[asks], ids[asks], x, ids, k, np.full(len(asks), -np.inf)) if len(asks) else (np.zeros(0, int),) * 3
+        row, near, score = top_rows(space.scores(x[asks], x), ids[asks], ids, k, [None] * len(asks)) if len(asks) else (np.zeros(0, int),) * 3
         return pd.DataFrame({
             "block": [number], "pivot": [f["pivot"].iloc[0]], "lo": [f["dist"].iloc[0]], "hi": [f["dist"].iloc[-1]],
             "ids": [ids.tobytes()], "data": [x.tobytes()], "asks": [asks.astype(np.int64).tobytes()],
             "found": [list(zip(ids[asks][row].tolist(), near.tolist(), score.tolist(), strict=True))],
         })
 
-    built = index.mapInPandas(blocks, "block long, pivot int, lo double, hi double, ids binary, data binary, asks binary, found array<struct<query_id: long, vec_id: long, score: double>>")
+    built = index.mapInPandas(blocks, "block long, pivot int, lo double, hi double, ids binary, data binary, asks binary, found array<struct<query_id: long, vec_id: long, score: long>>")
     built = materialize(built, "blocks")
     found = built.select(F.inline("found"))
     annuli = built.select(F.col("block").alias("other"), "pivot", "lo", "hi")
@@ -162,19 +185,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, pi
             for f in frames:
                 for number, ids, data, asks in zip(f["block"], f["ids"], f["data"], f["asks"], strict=True):
                     rows = np.frombuffer(asks, np.int64)
-                    x = np.frombuffer(data, float).reshape(-1, space.dim)[rows]
+                    x = np.frombuffer(data, np.int64).reshape(-1, space.dim)[rows]
                     yield pd.DataFrame({"block": number, "query_id": np.frombuffer(ids, np.int64)[rows], "data": [r.tobytes() for r in x], "to": list(space.of_queries(x))})
 
         asked = built.where(F.length("asks") > 0).select("block", "ids", "data", "asks").mapInPandas(ask, "block long, query_id long, data binary, to array<double>")
-        asked = asked.join(bar, "query_id", "left")
+        # the bar itself as text, since pandas would round a whole number beside nulls
+        asked = asked.join(bar, "query_id", "left").select("block", "query_id", "data", "to", F.col("bar").cast("string").alias("bar"), F.col("bar").cast("double").alias("near_bar"))
 
         def widen(frames):
             for f in frames:
                 if len(f):
-                    x = np.frombuffer(b"".join(f["data"]), float).reshape(len(f), -1)
-                    yield f.assign(radius=space.radius(x, f["bar"].fillna(-np.inf).to_numpy()))
+                    x = np.frombuffer(b"".join(f["data"]), np.int64).reshape(len(f), -1)
+                    yield f.assign(radius=space.radius(x, f["near_bar"].fillna(-np.inf).to_numpy())).drop(columns="near_bar")
 
-        return asked.mapInPandas(widen, "block long, query_id long, data binary, to array<double>, bar double, radius double")
+        return asked.mapInPandas(widen, "block long, query_id long, data binary, to array<double>, bar string, radius double")
 
     def compare(pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """Best k of each query in each block of ``pairs`` (block, other)."""
@@ -188,14 +212,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, pi
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             out = []
             for ids, data in zip(right["ids"], right["data"], strict=True):
-                v_ids, v = np.frombuffer(ids, np.int64), np.frombuffer(data, float).reshape(-1, space.dim)
+                v_ids, v = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, space.dim)
                 for chunk in left["chunk"]:
                     q_ids = np.array([c["query_id"] for c in chunk])
-                    q = np.frombuffer(b"".join(c["data"] for c in chunk), float).reshape(len(chunk), -1)
-                    bar = np.array([-np.inf if c["bar"] is None else c["bar"] for c in chunk], float)
-                    row, near, score = top_rows(q, q_ids, v, v_ids, k, np.nan_to_num(bar, nan=-np.inf))
+                    q = np.frombuffer(b"".join(c["data"] for c in chunk), np.int64).reshape(len(chunk), -1)
+                    row, near, score = top_rows(space.scores(q, v), q_ids, v_ids, k, [None if c["bar"] is None else int(c["bar"]) for c in chunk])
                     out.append(pd.DataFrame({"query_id": q_ids[row], "vec_id": near, "score": score}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
         return left.groupBy("other", "salt").cogroup(right.groupBy("tile", "part")).applyInPandas(meet, answer)
 
@@ -213,7 +236,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 32, pi
     queries = materialize(reach(bars(found)), "queries")
     rest = within(queries).select("block", "other").join(near, ["block", "other"], "left_anti")
     found = found.unionByName(compare(rest, queries))
-    return ranked(found, k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

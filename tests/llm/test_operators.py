@@ -276,6 +276,24 @@ def test_topk_is_exact(spark):
     assert rows(topk.top_k(few, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 256 * 512)]
 
 
+def test_topk_of_large_components_is_exact(spark):
+    data = [(0, [1e7, 1.0])] + [(k, [1e7, k / 256]) for k in range(1, 40)] + [(50, [-1e7, 3.0]), (51, [9e15, 0.0]), (52, [9e15, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    x = {i: [int(np.floor(256 * c)) for c in v] for i, v in data}
+    want = []
+    for q in (0, 50):
+        s = sorted(((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x[q], x[i], strict=True)))), i) for i in x if i != q))[:5]
+        want += [(q, n + 1, i, -v) for n, (v, i) in enumerate(s)]
+    assert rows(topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=8, pivots=4), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    few = spark.createDataFrame([(k, [1e7, k / 256]) for k in (0, 1, 2, 5)], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2, 5]
+
+
+def test_topk_with_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [5.0]), (1, [2.0]), (2, [3.0])], "vec_id long, embedding array<double>")
+    assert rows(topk.top_k(df, F.col("vec_id") == 0), "rank", "vec_id", "score") == [(1, 2, 256 * 768), (2, 1, 256 * 512)]
+
+
 # 5 ---------------------------------------------------------------------------
 
 
