@@ -1,10 +1,12 @@
 r"""License scan by ordered signature rules.
 
-Rules are regular expressions over a text's normalised words.  They are built
-from families (names, versions, identifiers) and phrasings, some hundreds in
-all.  A rule runs only where its keyword occurs; its detections are intervals of
-the normalised text.  A detection is dropped when another of higher priority, or
-of the same priority and longer, or equal but of an earlier rule, contains it.
+Rules are regular expressions over a text's normalised words, some hundreds in
+all: sentences of well-known licenses written out by hand, and what families of
+names, versions and phrasings generate.  A rule runs only where its keyword
+occurs; its detections are intervals of the normalised text.  A detection is
+dropped when another of higher priority, or of the same priority and longer, or
+equal but of an earlier rule, contains it: one pass over the detections by their
+beginnings keeps how far each priority has reached so far.
 
 Everything is one projection of built-in functions: no shuffle, no Python.
 
@@ -59,6 +61,41 @@ COMMONS_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 GRANTS = ["licensed under", "released under", "distributed under", "available under", "published under", "made available under the terms of"]
 
 
+#: Sentences by which licenses are known, each with its label, keyword and priority.
+SENTENCES = [
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy( of this software)?", 4),
+    ("mit", "permission is hereby granted", "permission is hereby granted( free of charge)?", 1),
+    ("isc", "permission to use copy modify", "permission to use copy modify and(/| )?(or )?distribute this software for any purpose with or without fee is hereby granted", 4),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms( with or without modification)?( are permitted)?", 3),
+    ("bsd-3-clause", "endorse or promote products", "endorse or promote products derived from this software without( specific)? prior written permission", 3),
+    ("zlib", "provided as is", "this software is provided as is without any express or implied warranty", 2),
+    ("apache-2.0", "you may not use this file", "you may not use this file except in compliance with the license", 3),
+    ("apache", "apache org licenses", "apache org licenses( license \\d \\d)?", 3),
+    ("gpl", "gnu org licenses", "gnu org licenses( gpl)?", 2),
+    ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation", 4),
+    ("lgpl", "free software foundation", "under the terms of the gnu lesser general public license as published by the free software foundation", 4),
+    ("agpl", "free software foundation", "under the terms of the gnu affero general public license as published by the free software foundation", 4),
+    ("mpl-2.0", "source code form is subject", "this source code form is subject to the terms of the mozilla public license v 2 0", 4),
+    ("mpl", "mozilla org mpl", "mozilla org mpl( \\d \\d)?", 3),
+    ("epl", "eclipse org legal epl", "eclipse org legal epl v?\\d\\d?", 3),
+    ("boost-1.0", "boost org license", "boost org license 1 0( txt)?", 4),
+    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 4),
+    ("wtfpl", "what the fuck you want", "do what the fuck you want to( public license)?", 4),
+    ("cc0-1.0", "public domain dedication", "cc0( 1 0)?( universal)? public domain dedication", 4),
+    ("public-domain", "public domain", "(is|are) in the public domain", 1),
+    ("odc-by", "open data commons attribution", "open data commons attribution license", 3),
+    ("pddl", "open data commons public domain", "open data commons public domain dedication and license", 3),
+    ("gfdl", "free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 4),
+    ("artistic-2.0", "standard version", "you are permitted to use and create and use modified versions for any purpose without restriction", 3),
+    ("beerware", "beer ware", "the beer ware license", 3),
+    ("proprietary", "proprietary and confidential", "proprietary and confidential", 2),
+    ("proprietary", "no part of this publication", "no part of this publication may be reproduced", 2),
+    ("proprietary", "unauthorized copying", "unauthorized copying of this file( via any medium)? is strictly prohibited", 2),
+    ("non-commercial", "non commercial use only", "for non commercial use only", 1),
+    ("research-only", "research purposes only", "for research purposes only", 1),
+]
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -69,7 +106,7 @@ class Rule:
 
 def signature_rules() -> list[Rule]:
     """All rules in order; priority 3: named grant with version, 2: name with version, 1: name, 0: a hint."""
-    rules: list[Rule] = []
+    rules = [Rule(label, keyword, pattern, priority) for label, keyword, pattern, priority in SENTENCES]
     for label, names, versions in FAMILIES:
         for name in names:
             for version in versions:
@@ -102,7 +139,11 @@ def signature_rules() -> list[Rule]:
 
 
 #: Each keyword holds one of these, so a text without any needs no rule.
-GATES = ["licen", "spdx", "cc by", "cc0", "commons", "gpl", "asl", "public domain", "all rights reserved", "creativecommons"]
+GATES = ["licen", "spdx", "cc by", "cc0", "commons", "gpl", "asl", "public domain", "all rights reserved", "creativecommons", *sorted({keyword for _, keyword, _, _ in SENTENCES})]
+
+
+#: A detection, its fields in the order of the sweep.
+SPAN = "begin: int, minus_end: int, minus_priority: int, rank: int, label: string"
 
 
 def _count_words(col: Column) -> Column:
@@ -148,25 +189,36 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, phrases: dict[str, st
         found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
         cut = F.split(norm, rule["pattern"], -1)
 
-        def interval(word: Column, k: Column) -> Column:
-            begin = F.aggregate(F.slice(cut, 1, k + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(found, 1, k), F.lit(0), lambda n, x: n + F.length(x))
-            return F.struct(begin.alias("begin"), (begin + F.length(word)).alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["priority"].alias("priority"))
+        # what stands before each find, and its length; the text after the last one has no find
+        steps = F.zip_with(cut, found, lambda c, f: F.struct(F.length(c).alias("skip"), F.length(f).alias("size")))
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<{SPAN}>>)").alias("spans"))
+
+        def add(done: Column, x: Column) -> Column:
+            begin = done["at"] + x["skip"]
+            end = begin + x["size"]
+            span = F.struct(begin.alias("begin"), (-end).alias("minus_end"), (-rule["priority"]).alias("minus_priority"), rule["rank"].alias("rank"), rule["label"].alias("label"))
+            return F.struct(F.coalesce(end, begin).alias("at"), F.when(end.isNull(), done["spans"]).otherwise(F.array_append(done["spans"], span)).alias("spans"))
 
-        return F.transform(found, interval)
+        return F.aggregate(steps, start, add, lambda done: done["spans"])
 
     gate = F.lit(False)
     for word in GATES:
         gate = gate | F.contains(norm, F.lit(word))
     due = F.filter(_rule_array(rules), lambda r: F.contains(norm, r["keyword"]))
-    nothing = F.expr("cast(array() as array<struct<begin: int, end: int, rank: int, label: string, priority: int>>)")
+    nothing = F.expr(f"cast(array() as array<struct<{SPAN}>>)")
     df = df.withColumn("_found", F.when(gate, F.flatten(F.transform(due, detections))).otherwise(nothing)) if rules else df.withColumn("_found", nothing)
 
-    def beaten(d: Column) -> Column:
-        length = lambda x: x["end"] - x["begin"]
-        rank = lambda x: F.struct(x["priority"], length(x), -x["rank"])
-        return F.exists("_found", lambda o: (o["begin"] <= d["begin"]) & (o["end"] >= d["end"]) & (rank(o) > rank(d)))
+    # sorted by beginning, then longer, stronger and earlier rules first: what can beat a detection stands before it
+    empty = F.struct(F.array_repeat(F.lit(-1), top).alias("reach"), nothing.alias("kept"))
+
+    def sweep(done: Column, d: Column) -> Column:
+        end, priority = -d["minus_end"], -d["minus_priority"]
+        beaten = F.exists(F.slice(done["reach"], priority + 1, F.lit(top)), lambda e: e >= end)
+        reach = F.transform(done["reach"], lambda e, p: F.when(p == priority, F.greatest(e, end)).otherwise(e))
+        return F.struct(reach.alias("reach"), F.when(beaten, done["kept"]).otherwise(F.array_append(done["kept"], d)).alias("kept"))
 
-    df = df.withColumn("_kept", F.filter("_found", lambda d: ~beaten(d)))
+    kept = F.aggregate(F.array_sort("_found"), empty, sweep, lambda done: done["kept"])
+    df = df.withColumn("_kept", F.transform(kept, lambda d: F.struct(d["begin"].alias("begin"), (-d["minus_end"]).alias("end"), d["rank"].alias("rank"), d["label"].alias("label"), (-d["minus_priority"]).alias("priority"))))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*base_labels)))) if phrases else F.expr("cast(array() as array<string>)")
     own = F.transform("_kept", lambda d: d["label"])
     strongest = F.coalesce(F.array_max(F.transform("_kept", lambda d: d["priority"] + 1)), F.lit(0)) / F.lit(float(top))

@@ -7,6 +7,7 @@ import heapq
 import random
 import re
 import subprocess
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -660,6 +661,34 @@ def test_rules_suppress_what_they_contain(spark, text, labels):
     assert got["labels"] == labels
 
 
+def detections_by_hand(text):
+    """Every rule over the whole text, and every pair of detections."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))) + " "
+    found = []
+    for rank, r in enumerate(licenses.signature_rules()):
+        if " " + r.keyword in norm:
+            found += [(m.start(), m.end(), rank, r.label, r.priority) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", norm)]
+    strength = lambda d: (d[4], d[1] - d[0], -d[2])
+    return sorted(d for d in found if not any(o[0] <= d[0] and o[1] >= d[1] and strength(o) > strength(d) for o in found))
+
+
+def test_sweep_equals_all_pairs(spark):
+    rng = random.Random(12)
+    parts = ["licensed under the", "gnu general public license", "version 3", "or later", "mit license", "cc by nc 4 0", "apache license version 2 0", "and", "the", "creative commons attribution", "spdx license identifier mpl 2 0", "all rights reserved", "released into the public domain", *[r[2] for r in licenses.SENTENCES if not re.search(r"[()?\\]", r[2])]]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(60)]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert sorted(map(tuple, r["detections"])) == detections_by_hand(texts[r["doc_id"]])
+    assert len(licenses.signature_rules()) > 500 and max(len(r["detections"]) for r in got) > 10
+
+
+def test_a_long_list_of_licenses(spark):
+    text = "MIT License, GNU General Public License version 3, Apache License 2.0, and more. " * 2000
+    start = time.time()
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_words"] == 28_000 and len(got["detections"]) == 6000 and time.time() - start < 60
+
+
 def test_base_places(spark):
     text = "under the MIT license under the mit-license x under the mit licenses CC by nc cc by nc"
     got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
