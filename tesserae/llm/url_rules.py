@@ -1,10 +1,15 @@
 r"""URL filter by association rules.
 
 A labelled URL is a basket of tokens (host labels, domain, path segments, file
-extension, query keys, scheme) plus its class.  Spark's FP-growth mines frequent
-baskets; rules "tokens => class" are kept where support and confidence suffice
-and no shorter rule is at least as confident.  An inverted index keys every rule
-by its rarest token, so a URL meets only rules that share a token with it.
+extension, query keys, scheme) plus its class.  Frequent tokens that occur in
+exactly the same labelled URLs, such as the segments of one deep path, are one
+item.  Rules of one item are counted directly, over all tokens.  Spark's FP-growth
+mines combinations; since it can't bound their length and a basket of n frequent
+items has 2 ** n, it is given the ``mined_items`` items of each basket whose class
+shares are furthest from the whole's.  Rules "items => class" are kept where
+support, confidence and lift suffice and no shorter rule is at least as confident.
+An inverted index keys every rule by the tokens of its rarest item, so a URL meets
+only rules that share a token with it; it fits a rule if it has a token of each item.
 
 URLs are matched by distinct token set, not one by one: numbers are masked, so
 many URLs have the same set, and a popular host costs one lookup.  Fixed host
@@ -24,13 +29,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import ascii_lower
+from tesserae.llm.common import ascii_lower, materialize
 
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BLOCK, ALLOW = "=block", "=allow"
-#: Path segments, and query keys, of a labelled URL that are mined; FP-growth takes time exponential in the tokens of alike URLs.
-MINED_TOKENS = 12
 
 
 def _rest(url: Column) -> Column:
@@ -46,15 +49,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(url: Column, most: int | None = None) -> Column:
-    """Distinct sorted tokens of a URL, of all its path segments and query keys or the first ``most`` of each."""
+def tokens_of(url: Column) -> Column:
+    """Distinct sorted tokens of a URL."""
     host, path = host_of(url), path_of(url)
     labels = F.split(F.regexp_replace(host, r":\d+$", ""), r"\.")
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(ascii_lower(s), r"\d+", "#"))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.element_at(F.split(s, "="), 1))
-    if most is not None:
-        segments, keys = F.slice(segments, 1, most), F.slice(keys, 1, most)
     found = F.concat(
         F.array(F.concat(F.lit("s:"), F.substring_index(F.coalesce(url, F.lit("")), "://", 1))),
         F.transform(F.filter(labels, lambda x: x != ""), lambda x: F.concat(F.lit("h:"), x)),
@@ -74,30 +75,53 @@ def labelled_pages(pages: DataFrame, labels: DataFrame, url_col: str = "url") ->
     return urls.join(known, "_doc").select("url", "bad")
 
 
-def mine(labelled: DataFrame, min_support: float = 0.0005, min_count: int = 8, min_confidence: float = 0.6, min_lift: float = 1.05, max_length: int = 3) -> DataFrame:
-    """Rules: rule_id, key, antecedent, verdict, confidence, support."""
+def mine(labelled: DataFrame, min_support: float = 0.0005, min_count: int = 8, min_confidence: float = 0.6, min_lift: float = 1.05, max_length: int = 3, mined_items: int = 10) -> DataFrame:
+    """Rules, a row for each key token: rule_id, key, antecedent (the tokens of each item), rule_verdict, confidence, support."""
     spark = labelled.sparkSession
-    empty = "rule_id long, key string, antecedent array<string>, rule_verdict string, confidence double, support double"
-    rows = labelled.select(F.array_append(tokens_of(F.col("url"), MINED_TOKENS), F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
-    n = rows.count()
+    empty = "rule_id long, key string, antecedent array<array<string>>, rule_verdict string, confidence double, support double"
+    rows = labelled.select(tokens_of(F.col("url")).alias("basket"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    totals = rows.agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).first()
+    n, bad = totals["n"], totals["bad"]
     if not n:
         return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, min_count / n)), minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK) | F.array_contains("consequent", ALLOW))
-    # where most URLs are allowed, nearly every token "implies" it; only what says more than the class share counts
-    rules = rules.where((F.size("antecedent") <= max_length) & (F.col("lift") >= min_lift)).select(
-        F.array_sort("antecedent").alias("antecedent"), F.when(F.array_contains("consequent", BLOCK), F.lit("block")).otherwise(F.lit("allow")).alias("rule_verdict"), "confidence", "support"
-    )
-    # a longer rule must beat every single-token rule it contains
-    single = rules.where(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("token"), F.col("confidence").alias("c"), F.col("rule_verdict").alias("v"))
-    parts = rules.withColumn("token", F.explode("antecedent"))
-    better = parts.join(single, (parts["token"] == single["token"]) & (parts["rule_verdict"] == single["v"]), "left")
-    rules = better.groupBy("antecedent", "rule_verdict", "confidence", "support").agg(F.max("c").alias("c"))
-    rules = rules.where((F.size("antecedent") == 1) | F.col("c").isNull() | (F.col("confidence") > F.col("c"))).drop("c")
-    frequency = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    keyed = rules.withColumn("token", F.explode("antecedent")).join(frequency, "token")
-    keyed = keyed.groupBy("antecedent", "rule_verdict", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return keyed.select(F.xxhash64("antecedent", "rule_verdict").alias("rule_id"), "key", "antecedent", "rule_verdict", "confidence", "support")
+    support = max(min_support, min(1.0, min_count / n))
+    # tokens of the same URLs have the same sum of the URLs' hashes
+    each = rows.withColumn("h", F.xxhash64("basket", "bad").cast("decimal(38,0)")).withColumn("token", F.explode("basket"))
+    tokens = each.groupBy("token").agg(F.count("*").alias("freq"), F.sum(F.col("bad").cast("long")).alias("n_bad"), F.sum("h").alias("h")).where(F.col("freq") >= support * n)
+    items = tokens.groupBy("freq", "n_bad", "h").agg(F.min("token").alias("item"), F.sort_array(F.collect_set("token")).alias("tokens")).drop("h")
+    items = materialize(items, "url-items")
+    of_token = items.select(F.explode("tokens").alias("token"), "item", (F.abs(F.col("n_bad") / F.col("freq") - bad / n) * F.sqrt("freq")).alias("tells"))
+
+    share = {"block": bad / n, "allow": 1 - bad / n}
+    single = None
+    for verdict, count in (("block", F.col("n_bad")), ("allow", F.col("freq") - F.col("n_bad"))):
+        part = items.select(F.array("item").alias("antecedent"), F.lit(verdict).alias("rule_verdict"), (count / F.col("freq")).alias("confidence"), (count / n).alias("support"))
+        part = part.where((F.col("support") >= support) & (F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * share[verdict]))
+        single = part if single is None else single.unionByName(part)
+
+    sets = rows.select("basket").distinct().withColumn("token", F.explode("basket")).join(of_token, "token")
+    best = sets.groupBy("basket").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("tells")).alias("less"), "item"))), lambda x: x["item"])).alias("items"))
+    best = best.select("basket", F.slice("items", 1, mined_items).alias("items"))
+    baskets = rows.join(best, "basket").select(F.array_append("items", F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("items"))
+    baskets = materialize(baskets, "url-baskets")
+    rules = single
+    if not baskets.isEmpty():
+        # support is a share of all labelled URLs, also where some have no frequent token
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / baskets.count()), minConfidence=min_confidence).fit(baskets)
+        found = model.associationRules.where(F.array_contains("consequent", BLOCK) | F.array_contains("consequent", ALLOW))
+        # where most URLs are allowed, nearly every token "implies" it; only what says more than the class share counts
+        found = found.where((F.size("antecedent") > 1) & (F.size("antecedent") <= max_length) & (F.col("lift") >= min_lift)).select(
+            F.array_sort("antecedent").alias("antecedent"), F.when(F.array_contains("consequent", BLOCK), F.lit("block")).otherwise(F.lit("allow")).alias("rule_verdict"), "confidence", "support"
+        )
+        # a longer rule must beat every single-item rule it contains
+        alone = single.select(F.element_at("antecedent", 1).alias("item"), F.col("confidence").alias("c"), "rule_verdict")
+        parts = found.withColumn("item", F.explode("antecedent")).join(alone, ["item", "rule_verdict"], "left")
+        found = parts.groupBy("antecedent", "rule_verdict", "confidence", "support").agg(F.max("c").alias("c"))
+        rules = single.unionByName(found.where(F.col("c").isNull() | (F.col("confidence") > F.col("c"))).drop("c"))
+    rules = rules.withColumn("rule_id", F.xxhash64("antecedent", "rule_verdict"))
+    full = rules.withColumn("item", F.explode("antecedent")).join(items, "item").groupBy("rule_id", "rule_verdict", "confidence", "support")
+    full = full.agg(F.sort_array(F.collect_list("tokens")).alias("antecedent"), F.min_by("tokens", F.struct("freq", "item")).alias("keys"))
+    return full.select("rule_id", F.explode("keys").alias("key"), "antecedent", "rule_verdict", "confidence", "support")
 
 
 def judge(pages: DataFrame, rules: DataFrame, fixed: list[tuple[str, str, str]] | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -109,7 +133,7 @@ def judge(pages: DataFrame, rules: DataFrame, fixed: list[tuple[str, str, str]]
     tokens = F.split("_set", "\u0001")
     sets = df.select("_set").distinct()
     hits = sets.withColumn("key", F.explode(tokens)).join(rules, "key")
-    hits = hits.where(F.size(F.array_except("antecedent", tokens)) == 0)
+    hits = hits.where(F.forall("antecedent", lambda item: F.arrays_overlap(item, tokens)))
     order = F.struct("confidence", "support", F.col("rule_verdict"), "rule_id")
     mined = hits.groupBy("_set").agg(F.max_by(F.struct("rule_verdict", "antecedent", "confidence"), order).alias("_mined"))
 
@@ -125,6 +149,6 @@ def judge(pages: DataFrame, rules: DataFrame, fixed: list[tuple[str, str, str]]
         "path",
         F.col("_rule.rule").alias("rule"),
         F.coalesce("_rule.verdict", "_mined.rule_verdict", F.lit(default)).alias("verdict"),
-        F.array_join("_mined.antecedent", " ").alias("mined_rule"),
+        F.array_join(F.transform("_mined.antecedent", lambda item: F.array_join(item, "|")), " ").alias("mined_rule"),
         F.col("_mined.confidence").alias("confidence"),
     )

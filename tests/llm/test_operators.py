@@ -10,6 +10,7 @@ import subprocess
 import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
@@ -184,6 +185,51 @@ def test_all_tokens_of_a_url_are_judged(spark):
     assert rows(url_rules.judge(pages, trained, fixed=[]), "page_id", "verdict") == [(1, "block"), (2, "allow"), (3, "block"), (4, "allow")]
 
 
+def test_mined_rules_and_matching_equal_brute_force(spark):
+    """Every set of up to three tokens counted, every rule tried on every URL."""
+    from itertools import combinations
+
+    rng = random.Random(21)
+    urls = [(f"http://{rng.choice(['a', 'b', 'c'])}.org/{rng.choice(['x', 'y', 'z'])}/{rng.choice(['p', 'q'])}?{rng.choice(['k', 'm'])}=1",) for _ in range(300)]
+    data = [(u, ("/x/" in u and "k=" in u) != (rng.random() < 0.05)) for (u,) in urls]
+    labelled = spark.createDataFrame(data, "url string, bad boolean")
+    token_sets = [r[0] for r in labelled.select(url_rules.tokens_of(F.col("url"))).collect()]
+    n, share = len(data), sum(b for _, b in data) / len(data)
+    counts, wrong = Counter(), Counter()
+    for tokens, (_, bad) in zip(token_sets, data, strict=True):
+        for k in (1, 2, 3):
+            for c in combinations(sorted(tokens), k):
+                counts[c] += 1
+                wrong[c] += bad
+    want = {}
+    for c, m in counts.items():
+        for verdict, hit, base in (("block", wrong[c], share), ("allow", m - wrong[c], 1 - share)):
+            if hit >= 8 and hit / m >= 0.6 and hit / m / base >= 1.05:
+                want[c, verdict] = hit / m
+    want = {(c, v): p for (c, v), p in want.items() if len(c) == 1 or all(p > want.get(((t,), v), 0) for t in c)}
+    mined = url_rules.mine(labelled)
+    got = {}
+    for r in mined.dropDuplicates(["rule_id"]).collect():
+        for tokens in product(*r["antecedent"]):
+            got[tuple(sorted(tokens)), r["rule_verdict"]] = r["confidence"]
+    # tokens of the same URLs are one item, so sets of two of them are not rules beside either
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    verdicts = {r["page_id"]: r for r in url_rules.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(data)], "page_id long, url string"), mined, fixed=[]).collect()}
+    for k, tokens in enumerate(token_sets):
+        fits = [(p, v) for (c, v), p in want.items() if set(c) <= set(tokens)]
+        assert verdicts[k]["confidence"] is None if not fits else abs(verdicts[k]["confidence"] - max(fits)[0]) < 1e-9
+        assert verdicts[k]["verdict"] in ({v for p, v in fits if abs(p - max(fits)[0]) < 1e-9} or {"allow"})
+
+
+@pytest.mark.parametrize("segments", [12, 30])
+def test_a_repeated_deep_url_is_mined_in_seconds(spark, segments):
+    url = "http://a.org/" + "/".join(f"s{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(segments))
+    start = time.time()
+    mined = url_rules.mine(spark.createDataFrame([(url, True)] * 40 + [("http://b.org/fine", False)] * 40, "url string, bad boolean"))
+    keys = {r["key"] for r in mined.collect()}
+    assert f"p:s{chr(97 + (segments - 1) % 26)}{'x' * ((segments - 1) // 26)}" in keys and time.time() - start < 30
+
+
 def test_warc_round_trip(spark, tmp_path):
     data = [(5, "http://b.org/x", "same"), (3, "http://a.org/y", "same"), (9, None, None), (8, "http://a.org/y", ""), (7, "http://a.org/\r\nWARC/1.1\r\n", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), (6, "http://c.org", "é" * 100_000), (None, "http://d.org", "same"), (3, "http://a.org/y", "same")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("digest", "size", "key", "refers_to", "value")})
