@@ -8,6 +8,12 @@ bytes, emits stable tokens and drops their bytes, so a piece of any length is
 encoded in constant memory.  The decoder feeds token bytes to an incremental
 UTF-8 automaton, which holds at most three pending bytes.
 
+A text is read in parts.  :class:`TextStream` cuts what it has read at boundaries
+that nothing to come can move and keeps the rest, which is bounded: a run of one
+kind of characters that grows past the window is handed to a :class:`PieceEncoder`
+while it is still being read.  A piece that has ended is a window that is final as
+a whole; such windows of many texts are merged side by side.
+
 Why a restart at a stable boundary is right: no merge ever crosses a token
 boundary of the final segmentation, so the two sides evolve independently and
 the suffix alone yields the same tokens.
@@ -42,6 +48,22 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
 IS_WHITE = re.compile(f"[{WHITE}]")
 
+#: Where a chunk surely ends: before white space after anything else.
+LAST_END = re.compile(f"[^{WHITE}](?=[{WHITE}])")
+
+
+class Kind:
+    """Characters of one kind: with the space that may lead them, and alone."""
+
+    def __init__(self, chars: str, lead: str) -> None:
+        self.inner, self.whole = regex.compile(chars + "+"), regex.compile(lead + chars + "+")
+
+    def match(self, text: str):
+        return self.whole.match(text)
+
+
+SPACES, LETTERS, DIGITS, MARKS = Kind(f"[{WHITE}]", ""), Kind(r"\p{L}", " ?"), Kind(r"\p{N}", " ?"), Kind(r"[^\s\p{L}\p{N}]", " ?")
+
 SEGMENT_CHARS = 65536
 GROUP_CHARS = 1_000_000
 CACHE_ENTRIES = 250_000
@@ -167,6 +189,9 @@ class MergeList:
         kept = ids >= 0
         return ids[kept], kept.sum(1)
 
+    def packed_window(self, data: bytes) -> bytes:
+        return np.array(self.window(data), "<u4").tobytes()
+
     def window(self, data: bytes) -> list[int]:
         """BPE with a heap over a linked list, for a whole window."""
         ids: list[int] = [self.of_byte[b] for b in data]
@@ -241,6 +266,88 @@ class PieceEncoder:
         return self.merges.window(data)
 
 
+class TextStream:
+    """Cuts one text, fed in parts, into chunks whose bounds are final; holds a bounded rest.
+
+    ``feed`` and ``finish`` return chunks, or packed ids where a run of letters,
+    digits, marks or white space is longer than the window and was encoded while
+    it came in.
+    """
+
+    def __init__(self, merges: MergeList) -> None:
+        self.merges, self.held = merges, ""
+        self.window = max(1024, 2 * merges.lookahead)
+        self.run: PieceEncoder | None = None
+        self.kind = SPACES
+
+    def feed(self, part: str) -> list[str | bytes]:
+        out: list[str | bytes] = []
+        self.held += part
+        if self.run is not None and not self._run_on(out):
+            return out
+        # a chunk ends for certain before white space that follows something else
+        end = max((m.start() + 1 for m in LAST_END.finditer(self.held, max(0, len(self.held) - self.window))), default=0)
+        if end:
+            out += CHUNK.findall(self.held[:end])
+            self.held = self.held[end:]
+        while len(self.held) > self.window:
+            self._shorten(out)
+            if self.run is not None and not self._run_on(out):
+                break
+        return out
+
+    def _shorten(self, out: list[str | bytes]) -> None:
+        """Take what is certain from the front of a rest longer than the window."""
+        first, white = CHUNK.match(self.held), SPACES.match(self.held)
+        blank = IS_WHITE.match(self.held, first.end() - 1) is not None
+        # blanks are final once something else follows them, other chunks once a blank does
+        if (white.end() if blank else first.end()) < len(self.held):
+            out.append(first.group())
+            self.held = self.held[first.end() :]
+            return
+        if blank:
+            self.run, self.kind, lead = PieceEncoder(self.merges), SPACES, white.end() - 1
+        else:
+            piece = PIECE.match(self.held)
+            if piece.end() < len(self.held) - 3:
+                # the piece has ended, and no contraction can begin before its end
+                out.append(self.merges.packed_window(piece.group().encode("utf-8", "replace")))
+                self.held = self.held[piece.end() :]
+                return
+            kind = next(k for k in (LETTERS, DIGITS, MARKS) if k.match(self.held))
+            self.run, self.kind, lead = PieceEncoder(self.merges), kind, piece.end()
+        out.append(self._emit(self.held[:lead]))
+        self.held = self.held[lead:]
+
+    def _emit(self, text: str) -> bytes:
+        return np.array(self.run.feed(text.encode("utf-8", "replace")), "<u4").tobytes()
+
+    def _run_on(self, out: list[str | bytes]) -> bool:
+        """Feed the run that is open; whether it has ended."""
+        more = self.kind.inner.match(self.held) if self.kind is not SPACES else SPACES.match(self.held)
+        upto = more.end() if more else 0
+        ended = upto < len(self.held)
+        if self.kind is SPACES and upto:
+            # the last white space before something else belongs to what follows
+            upto -= 1
+        out.append(self._emit(self.held[:upto]))
+        self.held = self.held[upto:]
+        if ended:
+            out.append(np.array(self.run.finish(), "<u4").tobytes())
+            self.run = None
+        return ended
+
+    def finish(self) -> list[str | bytes]:
+        out: list[str | bytes] = []
+        if self.run is not None:
+            # what is held is the last white space of a run that ends the text
+            out += [self._emit(self.held), np.array(self.run.finish(), "<u4").tobytes()]
+        else:
+            out += CHUNK.findall(self.held)
+        self.held, self.run = "", None
+        return out
+
+
 class Transducer:
     """Text to little-endian 32-bit ids and back, in bounded parts."""
 
@@ -265,39 +372,37 @@ class Transducer:
         known = self.pieces.fetch(needed - long.keys(), self._short_pieces)
         return [b"".join([long[p] if p in long else known[p] for p in ps]) for ps in cut]
 
-    def _parts(self, text: str) -> Iterator[str]:
-        """Parts of about SEGMENT_CHARS, cut before a space that ends a chunk."""
-        at, n = 0, len(text)
-        while at < n:
-            end = at + SEGMENT_CHARS
-            while (end := text.find(" ", end)) >= 0 and IS_WHITE.match(text, end - 1):
-                end += 1
-            yield text[at : end if end >= 0 else n]
-            at = end if end >= 0 else n
-
-    def _packed(self, found: list[list[str]]) -> list[bytes]:
-        """Packed ids of lists of chunks; the chunks of all lists that aren't known are encoded together."""
+    def _packed(self, found: list[list[str | bytes]]) -> list[bytes]:
+        """Packed ids of lists of chunks, or of ids that are packed already; the unknown chunks of all lists are encoded together."""
         needed = set().union(*found)
-        long = {c for c in needed if len(c) > CACHED_CHARS}
-        known = self.chunks.fetch(needed - long, self._chunks)
-        if not long:
-            return [b"".join(map(known.__getitem__, cs)) for cs in found]
-        return [b"".join([self._chunks([c])[0] if c in long else known[c] for c in cs]) for cs in found]
-
-    def encode(self, text: str) -> Iterator[bytes]:
-        """Packed ids of one text, part by part."""
-        pieces = self.cut.split(text) if self.cut and any(s in text for s in self.merges.special) else [text]
-        for piece in pieces:
+        # ids that are packed already, and chunks too long to be kept
+        ready = {c: c for c in needed if type(c) is bytes}
+        long = {c: self._chunks([c])[0] for c in needed - ready.keys() if len(c) > CACHED_CHARS}
+        known = self.chunks.fetch(needed - ready.keys() - long.keys(), self._chunks)
+        if ready or long:
+            known = {**{c: known[c] for c in needed - ready.keys() - long.keys()}, **ready, **long}
+        return [b"".join(map(known.__getitem__, cs)) for cs in found]
+
+    def encode(self, text: str, part_chars: int = SEGMENT_CHARS) -> Iterator[bytes]:
+        """Packed ids of one text, read part by part."""
+        for piece in self.cut.split(text) if self.cut and any(s in text for s in self.merges.special) else [text]:
             if piece in self.merges.special:
                 yield np.array([self.merges.special[piece]], "<u4").tobytes()
-            else:
-                for part in self._parts(piece):
-                    yield self._packed([CHUNK.findall(part)])[0]
+                continue
+            stream = TextStream(self.merges)
+            for at in range(0, len(piece), part_chars):
+                yield self._packed([stream.feed(piece[at : at + part_chars])])[0]
+            yield self._packed([stream.finish()])[0]
 
     def encode_group(self, texts: list[str]) -> list[Iterator[bytes]]:
-        """As :meth:`encode` for each text, with the unknown chunks of short texts encoded together."""
+        """As :meth:`encode` for each text; texts of one part are packed together."""
         plain = [len(t) <= SEGMENT_CHARS and not any(s in t for s in self.merges.special) for t in texts]
-        packed = iter(self._packed([CHUNK.findall(t) for t, p in zip(texts, plain, strict=True) if p]))
+        found = []
+        for text, single in zip(texts, plain, strict=True):
+            if single:
+                stream = TextStream(self.merges)
+                found.append([*stream.feed(text), *stream.finish()])
+        packed = iter(self._packed(found))
         return [iter([next(packed)]) if p else self.encode(t) for t, p in zip(texts, plain, strict=True)]
 
     def decoder(self) -> Decoder:

@@ -479,6 +479,40 @@ def test_bpe_stream_on_odd_texts():
         assert "".join(decoder.feed(np.array([k], "<u4").tobytes()) for k in ids) + decoder.finish() == text
 
 
+def test_texts_stream_in_bounded_memory():
+    """Tokens come out while a text is read, in parts of any size, whatever it is made of."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    t, machine = Tokenizer.from_file(BYTE_BPE), bpe_stream.Transducer(BYTE_BPE)
+    odd = ["".join(rng.choices("thenation", k=9000)), "7" * 5000, "=-'" * 2500, " " * 4000 + "x", "a" + "\n" * 4000, " " * 3000 + "\n" + " " * 3000, "x " * 4000, "don't we'll " * 900, "é日本語" * 1500, "ab12!?'s" * 800, "word" * 1000 + "'s" + "9" * 3000 + "'ll" + "?" * 3000 + "'ve " + "\t" * 3000 + "end", " " + "a" * 5000 + " 's"]
+    odd += ["".join(rng.choice(["x" * rng.randrange(1, 3000), " " * rng.randrange(1, 2500), "5" * rng.randrange(1, 2000), "'s", "'", "!" * rng.randrange(1, 2000), "\n", "é"]) for _ in range(12)) for _ in range(25)]
+    for text in odd:
+        want = t.encode(text, add_special_tokens=False).ids
+        for size in (13, 100, 1500, 70_000):
+            stream, out, held, early = bpe_stream.TextStream(machine.merges), [], 0, 0
+            for at in range(0, len(text), size):
+                got = machine._packed([stream.feed(text[at : at + size])])[0]
+                early += len(got) // 4
+                out.append(got)
+                held = max(held, len(stream.held) + (len(stream.run.held) if stream.run else 0))
+            out.append(machine._packed([stream.finish()])[0])
+            assert np.frombuffer(b"".join(out), "<u4").tolist() == want
+            assert held < 3 * stream.window + size * 4 and (size > 1500 or early > 0)
+
+
+def test_the_query_reads_texts_as_streams(monkeypatch, spark):
+    """The encoder that keeps a bounded rest is what every text goes through, and long runs are encoded as they come."""
+    seen = Counter()
+    for cls, name in ((bpe_stream.TextStream, "feed"), (bpe_stream.PieceEncoder, "_stable")):
+        plain = getattr(cls, name)
+        monkeypatch.setattr(cls, name, lambda self, x, plain=plain, name=name: (seen.update([name]), plain(self, x))[1])
+    machine = bpe_stream.Transducer(BYTE_BPE)
+    for stream in machine.encode_group(["some words", "x" * 100_000, ""]):
+        b"".join(stream)
+    assert seen["feed"] >= 4 and seen["_stable"] > 10
+
+
 def test_window_stays_bounded():
     merges = bpe_stream.MergeList(BYTE_BPE)
     encoder, largest = bpe_stream.PieceEncoder(merges), 0
