@@ -45,9 +45,9 @@ class Engine:
     def add_collection(self, row: DataFrame) -> None:
         for kind, column in (("dense", "denseModel"), ("sparse", "sparseModel"), ("reranker", "rerankerModel")):
             if column in row.columns:
-                for r in row.select(column).distinct().limit(100).collect():
-                    if r[0] is not None:
-                        encode.check_model(kind, r[0])
+                known = encode.registry(self.spark).where(F.col("kind") == kind).select(F.col("model_id").alias(column))
+                for r in row.select(column).where(F.col(column).isNotNull()).join(known, column, "left_anti").take(1):
+                    encode.check_model(kind, r[0])
         self.collections = self.collections.unionByName(row, allowMissingColumns=True)
 
     def update_collection(self, changes: DataFrame) -> None:
@@ -86,6 +86,20 @@ class Engine:
         points = points.where(F.col("resource_id") == resource_id) if resource_id is not None else points
         return retrieve.search(queries, points, limit, min_score, hybrid, reranking)
 
+    def chunk_by_id(self, point_id) -> DataFrame:
+        """One row, or none."""
+        return self.points.where(F.col("point_id") == point_id)
+
+    def feedback_by_id(self, query_id) -> DataFrame:
+        return self.votes.where(F.col("query_id") == query_id)
+
+    def replace_metadata(self, rows: DataFrame) -> None:
+        """Whole metadata of resources (resource_id, metadata), not merged with the former."""
+        new = rows.select("resource_id", F.col("metadata").alias("_new"), F.lit(True).alias("_has"))
+        old = F.col("metadata") if "metadata" in self.resources.columns else F.lit(None)
+        kept = [c for c in self.resources.columns if c != "metadata"]
+        self.resources = self.resources.join(new, "resource_id", "left").select(*kept, F.when(F.col("_has"), F.col("_new")).otherwise(old).alias("metadata"))
+
     def vote(self, rows: DataFrame) -> None:
         self.votes = rows if self.votes is None else self.votes.unionByName(rows)
 

@@ -171,3 +171,8 @@ def search(queries: DataFrame, points: DataFrame, k: int = 5, min_score: float =
     if feedback is not None:
         kept = feedback(kept)
     return ranked(kept.drop("rank"), k) if feedback is not None else kept.where(F.col("rank") <= k)
+
+
+def dedup_results(results: DataFrame, value: str = "score") -> DataFrame:
+    """Each id of a query once: at its first position, with its last value (query_id, position, point_id, value)."""
+    return results.groupBy("query_id", "point_id").agg(F.min("position").alias("position"), F.max_by(value, "position").alias(value))

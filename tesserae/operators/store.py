@@ -8,14 +8,15 @@ delete.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def upsert_dedup(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last write of each key."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    # combined before the shuffle, without sorting a key's rows
+    kept = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("_last"))
+    return kept.select("_last.*")
 
 
 def live_points(log: DataFrame) -> DataFrame:

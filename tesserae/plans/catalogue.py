@@ -9,7 +9,7 @@ from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
 from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
 from tesserae.sources import html, tables
-from tesserae.streaming import cdc
+from tesserae.streaming import cdc, ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -451,3 +451,31 @@ def q45_soft_delete(spark, sf_dir):
     r = tables.resources(spark, sf_dir).select("resource_id", "collection_id", "is_deleted")
     bad = tables.read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("resource_id"))
     return store.soft_delete(r, bad, "resource_id")
+
+
+@query(f"""with m as (select event_id as token, case event_type when 'signup' then 'load' when 'error' then 'delete' when 'click' then 'chunk' when 'view' then 'update' else event_type end as event,
+  case when user_id % 3 <> 0 then 'http://site' || user_id end as url, case when {K} % 4 <> 0 then 'text ' || {K} else ' ' end as data from events)
+ select token, event, case when event not in ('load', 'chunk', 'delete', 'update') then 'unknown event' when event = 'load' and url is null then 'no url'
+   when event = 'chunk' and trim(data) = '' then 'empty content' end as reason from m""")
+def q46_event_validation(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    kind, k = F.col("event_type"), F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long")
+    event = F.when(kind == "signup", "load").when(kind == "error", "delete").when(kind == "click", "chunk").when(kind == "view", "update").otherwise(kind)
+    url = F.when(F.pmod("user_id", F.lit(3)) != 0, F.concat(F.lit("http://site"), F.col("user_id").cast("string")))
+    data = F.when(F.pmod(k, F.lit(4)) != 0, F.concat(F.lit("text "), k.cast("string"))).otherwise(" ")
+    value = F.to_json(F.struct(event.alias("event"), F.col("user_id").cast("string").alias("resourceId"), url.alias("url"), data.alias("data")))
+    return ingest.parsed(e.select(F.col("event_id").alias("token"), value.alias("value"))).select("token", "message.event", "reason")
+
+
+@query("""with r as (select event_id, user_id as query_id, cast(regexp_extract(props, '"k": ?([0-9]+)', 1) as bigint) as point_id, value from events)
+ select query_id, point_id, min(event_id) as position, arg_max(value, event_id) as score from r group by all""")
+def q47_dedup_results(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    return retrieve.dedup_results(e.select(F.col("user_id").alias("query_id"), F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long").alias("point_id"), F.col("event_id").alias("position"), F.col("value").alias("score")))
+
+
+@query("""select doc_id, case when h is null then null else substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) end as point_id
+ from (select doc_id, case when text || vs <> '' then md5(lang || ':' || source || ':' || text || vs) end as h from (select *, case when doc_id % 3 = 0 then source else '' end as vs from documents))""")
+def q48_point_ids(spark, sf_dir):
+    vs = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("source"))
+    return docs_of(spark, sf_dir).select("doc_id", ingest.point_id(F.col("text"), vs, F.col("lang"), F.col("source"), F.lit(False)).alias("point_id"))

@@ -23,7 +23,11 @@ def with_url_parts(changes: DataFrame) -> DataFrame:
 
 def dead_letters(changes: DataFrame) -> DataFrame:
     """Changes with a URL that can't be parsed."""
-    return changes.where(F.col("url").isNotNull() & url_host(F.col("url")).isNull())
+    return changes.where(unparsable())
+
+
+def unparsable() -> Column:
+    return F.col("url").isNotNull() & url_host(F.col("url")).isNull()
 
 
 def event_names() -> Column:
@@ -63,8 +67,7 @@ def run_stream(source: DataFrame, events_path: str, failed_path: str, checkpoint
     failure between the sinks neither loses nor doubles events.
     """
     def each(batch: DataFrame, number: int) -> None:
-        bad = dead_letters(batch)
-        good = batch.join(bad.select("token"), "token", "left_anti")
+        bad, good = dead_letters(batch), batch.where(~unparsable())
         events(good).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{failed_path}/batch={number}")
 

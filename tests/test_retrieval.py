@@ -10,25 +10,20 @@ from tesserae.functions.vector import cosine
 from tesserae.operators import evaluate, feedback, retrieve, store
 
 
-@pytest.mark.parametrize(
-    "expected, found, hit, recall, rank",
-    [
-        ("ab", "caxyz", True, 0.5, 1 / 2),
-        ("ab", "cdefg", False, 0, 0),
-        ("", "abc", False, 0, 0),
-        ("ab", "", False, 0, 0),
-        ("ab", "abcde", True, 1, 1),
-        ("a", "cadef", True, 1, 1 / 2),
-        ("ab", "xxxxb", True, 0.5, 1 / 5),
-        ("ab", "xbaxx", True, 1, 1 / 2),
-        ("aa", "a", True, 1, 1),
-    ],
-)
-def test_measures(spark, expected, found, hit, recall, rank):
-    row = spark.createDataFrame([(list(expected), list(found))], "e array<string>, f array<string>")
+def measures_by_hand(expected, found):
+    ranks = [k + 1 for k, x in enumerate(found) if x in expected]
+    share = sum(x in found for x in expected) / len(expected) if expected else 0
+    return bool(ranks), share, 1 / ranks[0] if ranks else 0
+
+
+def test_measures(spark):
+    rng = random.Random(31)
+    lists = [(rng.choices("pqrstuvw", k=rng.randrange(4)), rng.sample("pqrstuvw", rng.randrange(7))) for _ in range(80)]
+    rows = spark.createDataFrame([(k, e, f) for k, (e, f) in enumerate(lists)], "k int, e array<string>, f array<string>")
     e, f = F.col("e"), F.col("f")
-    got = row.select(evaluate.is_hit(e, f), evaluate.recall(e, f), evaluate.reciprocal_rank(e, f)).first()
-    assert tuple(got) == (hit, recall, pytest.approx(rank))
+    got = rows.select("k", evaluate.is_hit(e, f), evaluate.recall(e, f), evaluate.reciprocal_rank(e, f)).collect()
+    for k, *values in got:
+        assert tuple(values) == pytest.approx(measures_by_hand(*lists[k]))
 
 
 def test_summary_needs_cases(spark):
