@@ -55,19 +55,34 @@ def fuse(results: DataFrame, queries: DataFrame, asked: DataFrame, counts: DataF
     return out.withColumn("feedback_boost", F.round(extra, 6)).withColumn("score", F.round(F.col("original_score") + extra * WEIGHT, 6)).drop("boost")
 
 
-def assign_in_order(votes: list[tuple[int, np.ndarray]], known: list[tuple[int, np.ndarray]], gate: float = VOTE_GATE) -> list[int]:
-    """For each vote (query id, unit vector) in order, the earlier query it belongs to, or its own."""
+def assign_in_order(votes: list[tuple[int, np.ndarray]], known: list[tuple[int, np.ndarray]], gate: float = VOTE_GATE, step: int = 512) -> list[int]:
+    """For each vote (query id, unit vector) in order, the earlier query it belongs to, or its own.
+
+    ``known`` grows by the queries that found a group.  Votes meet the groups
+    known before their step in one product; only groups founded within a step
+    are looked at one by one.
+    """
     out = []
-    for query, vector in votes:
-        best, best_sim = None, gate
-        for other, v in known:
-            sim = round(float(vector @ v), 6)
-            if sim > best_sim:
-                best, best_sim = other, sim
-        if best is None:
-            known.append((query, vector))
-            best = query
-        out.append(best)
+    for start in range(0, len(votes), step):
+        part = votes[start : start + step]
+        v = np.array([x for _, x in part])
+        own = np.round(v @ v.T, 6)
+        before, ids = len(known), [q for q, _ in known]
+        if before:
+            sims = np.round(v @ np.array([x for _, x in known]).T, 6)
+            nearest, near = sims.argmax(1), sims.max(1)
+        founded: list[int] = []
+        for n, (query, vector) in enumerate(part):
+            best, best_sim = (ids[nearest[n]], near[n]) if before and near[n] > gate else (None, gate)
+            if founded:
+                at = int(own[n, founded].argmax())
+                if own[n, founded[at]] > best_sim:
+                    best = part[founded[at]][0]
+            if best is None:
+                known.append((query, vector))
+                founded.append(n)
+                best = query
+            out.append(best)
     return out
 
 

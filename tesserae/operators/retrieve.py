@@ -1,8 +1,9 @@
 """Retrieval: dense and sparse top-k, rank fusion, late interaction, and the whole search.
 
-Queries are taken in slabs of bounded size; a slab's matrix goes to every task,
-which scores its points in numpy and keeps each query's best k, so what is
-shuffled is k rows a query and task.  Filters apply before scoring.
+Queries and points are dealt into blocks of bounded size, each block of queries
+meets each block of points in one task, and a task keeps each query's best k.
+Blocks are sized from the bytes of both sides; nothing passes through the driver.
+Filters apply before scoring.
 """
 
 from __future__ import annotations
@@ -17,24 +18,22 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.encode import terms
 
-#: Bytes of query vectors that a task gets at once.
-SLAB_BYTES = 32_000_000
+#: Bytes of a block of queries and of one of points, and scores in memory at once.
+QUERY_BYTES, POINT_BYTES, CELLS = 8_000_000, 64_000_000, 4_000_000
 #: Fixed value: candidates of a search.
 POOL = 50
 DIGITS = 6
 
+#: From a block of queries, a function that scores points against it (queries x points).
+Scorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
 
-def ranked(found: DataFrame, k: int, query: str = "query_id", item: str = "point_id", by: str = "score") -> DataFrame:
+
+def ranked(found: DataFrame, k: int, query: str | list[str] = "query_id", item: str = "point_id", by: str = "score") -> DataFrame:
     """Rank from 1 by score, ties by id; the best k stay."""
     order = Window.partitionBy(query).orderBy(F.desc(by), item)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def slabs(queries: DataFrame, row_bytes: int) -> list[DataFrame]:
-    n = queries.count() * row_bytes // SLAB_BYTES + 1
-    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == s) for s in range(n)]
-
-
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row, positions of its k largest scores, ties by id; minus infinity is no candidate."""
     out = []
@@ -45,23 +44,46 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def scan(points: DataFrame, k: int, score: Callable[[pd.DataFrame], np.ndarray], query_ids: np.ndarray, id_col: str) -> DataFrame:
-    """Best k points of each query in each task, from a function that scores a batch (queries x points)."""
-    kind = dict(points.dtypes)[id_col]
+def measured(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their vectors and texts."""
+    parts = {"vector": F.size("vector") * 8, "text": F.octet_length("text")}
+    size = reduce(lambda a, b: a + b, [F.coalesce(parts[c], F.lit(0)) for c in rows.columns if c in parts])
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return n, total
 
-    def run(frames):
-        best: dict[int, list[tuple]] = {}
-        for f in frames:
-            for start in range(0, len(f), 4096):
-                part = f.iloc[start : start + 4096]
-                s = np.round(score(part), DIGITS) + 0.0
-                ids = part[id_col].to_numpy()
-                for q, near in enumerate(best_of(s, ids, k)):
-                    best[q] = sorted([*best.get(q, ()), *zip((-s[q, near]).tolist(), ids[near].tolist(), strict=True)])[:k]
-        rows = [(query_ids[q], i, -s) for q, found in best.items() for s, i in found]
-        yield pd.DataFrame(rows, columns=["query_id", "point_id", "score"])
 
-    return points.mapInPandas(run, f"query_id long, point_id {kind}, score double")
+def block_topk(queries: DataFrame, points: DataFrame, k: int, scorers: dict[str, Scorer]) -> DataFrame:
+    """Best k points of each query by each scorer: (branch, query_id, point_id, score, rank).
+
+    queries: query_id and columns; points: point_id and columns; of these only
+    ``vector`` and ``text`` are taken to be large.
+    """
+    (_, q_bytes), (n_points, p_bytes) = measured(queries), measured(points)
+    lanes = points.sparkSession.sparkContext.defaultParallelism
+    n_q, n_p = q_bytes // QUERY_BYTES + 1, max(p_bytes // POINT_BYTES + 1, min(lanes, n_points // 256 + 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_q", dealt("query_id", n_q)).withColumn("_p", every(n_p))
+    right = points.withColumn("_p", dealt("point_id", n_p)).withColumn("_q", every(n_q))
+    of = {**dict(queries.dtypes), **dict(points.dtypes)}
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(q) and len(p):
+            query_ids, step = q["query_id"].tolist(), max(1, CELLS // len(q))
+            for branch, scorer in scorers.items():
+                score, best = scorer(q), [[] for _ in query_ids]
+                for start in range(0, len(p), step):
+                    part = p.iloc[start : start + step]
+                    s, ids = np.round(score(part), DIGITS) + 0.0, part["point_id"].to_numpy()
+                    for n, near in enumerate(best_of(s, ids, k)):
+                        best[n] = sorted([*best[n], *zip((-s[n, near]).tolist(), ids[near].tolist(), strict=True)])[:k]
+                rows += [(branch, query_ids[n], i, -s) for n, found in enumerate(best) for s, i in found]
+        return pd.DataFrame(rows, columns=["branch", "query_id", "point_id", "score"])
+
+    schema = f"branch string, query_id {of['query_id']}, point_id {of['point_id']}, score double"
+    met = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(run, schema)
+    return ranked(met, k, ["branch", "query_id"])
 
 
 def matrix(vectors) -> np.ndarray:
@@ -70,49 +92,64 @@ def matrix(vectors) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def dense_topk(queries: DataFrame, points: DataFrame, k: int = 5, same_owner: bool = False, id_col: str = "point_id") -> DataFrame:
-    """Cosine top-k.  queries: query_id, vector [, owner_id]; points: id, vector [, owner_id]."""
-    def one(slab: DataFrame) -> DataFrame:
-        q = slab.toPandas()
-        qm, owner = matrix(q["vector"]), q["owner_id"].to_numpy() if same_owner else None
+def cosine_scores(q: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Rows without a vector are no candidates, and queries without one have none."""
+    has = q["vector"].notna().to_numpy()
+    qm = matrix(q["vector"][has])
+
+    def score(part: pd.DataFrame) -> np.ndarray:
+        s, own = np.full((len(q), len(part)), -np.inf), part["vector"].notna().to_numpy()
+        if has.any() and own.any():
+            s[np.ix_(has, own)] = qm @ matrix(part["vector"][own]).T
+        return s
+
+    return score
+
 
-        def score(part: pd.DataFrame) -> np.ndarray:
-            s = qm @ matrix(part["vector"]).T
-            if same_owner:
-                s[owner[:, None] != part["owner_id"].to_numpy()[None]] = -np.inf
-            return s
+def same_owner_scores(q: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+    cosines, owner = cosine_scores(q), q["owner_id"].to_numpy()
 
-        kept = points.where(F.col("vector").isNotNull()).select(id_col, "vector", *["owner_id"] * same_owner)
-        return scan(kept, k, score, q["query_id"].to_numpy(), id_col) if len(q) else slab.select("query_id", F.lit(0).cast(dict(points.dtypes)[id_col]).alias("point_id"), F.lit(0.0).alias("score")).limit(0)
+    def score(part: pd.DataFrame) -> np.ndarray:
+        s = cosines(part)
+        s[owner[:, None] != part["owner_id"].to_numpy()[None]] = -np.inf
+        return s
 
-    return ranked(reduce(DataFrame.unionByName, map(one, slabs(queries, 8 * 64 * 16))), k)
+    return score
+
+
+def shared_term_scores(q: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Dot products of term counts; points that share no term are no candidates."""
+    gathered: dict[str, list[tuple[int, int]]] = {}
+    for row, text in enumerate(q["text"]):
+        for term, n in terms(text).items():
+            gathered.setdefault(term, []).append((row, n))
+    postings = {term: tuple(np.array(x) for x in zip(*found, strict=True)) for term, found in gathered.items()}
+
+    def score(part: pd.DataFrame) -> np.ndarray:
+        s = np.zeros((len(q), len(part)))
+        for j, text in enumerate(part["text"]):
+            hits = [(postings[term], n) for term, n in terms(text).items() if term in postings]
+            if hits:
+                rows, weights = np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * n for p, n in hits])
+                s[:, j] = np.bincount(rows, weights, len(q))
+        s[s == 0] = -np.inf
+        return s
+
+    return score
+
+
+def dense_topk(queries: DataFrame, points: DataFrame, k: int = 5, same_owner: bool = False, id_col: str = "point_id") -> DataFrame:
+    """Cosine top-k.  queries: query_id, vector [, owner_id]; points: id, vector [, owner_id]."""
+    extra = ["owner_id"] * same_owner
+    kept = points.where(F.col("vector").isNotNull()).select(F.col(id_col).alias("point_id"), "vector", *extra)
+    scorer = same_owner_scores if same_owner else cosine_scores
+    return block_topk(queries.select("query_id", "vector", *extra), kept, k, {"dense": scorer}).drop("branch")
 
 
 def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 5, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
     """Dot product of term frequencies; queries: query_id, text.  Points that share no term are none."""
-    def one(slab: DataFrame) -> DataFrame:
-        q = slab.toPandas()
-        postings: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        gathered: dict[str, list[tuple[int, int]]] = {}
-        for row, text in enumerate(q["text"]):
-            for term, n in terms(text).items():
-                gathered.setdefault(term, []).append((row, n))
-        for term, found in gathered.items():
-            postings[term] = tuple(np.array(x) for x in zip(*found, strict=True))
-
-        def score(part: pd.DataFrame) -> np.ndarray:
-            s = np.zeros((len(q), len(part)))
-            for j, text in enumerate(part[text_col]):
-                for term, n in terms(text).items():
-                    if term in postings:
-                        rows, weight = postings[term]
-                        s[rows, j] += n * weight
-            s[s == 0] = -np.inf
-            return s
-
-        return scan(docs.select(id_col, text_col), k, score, q["query_id"].to_numpy(), id_col)
-
-    return ranked(reduce(DataFrame.unionByName, map(one, slabs(queries, 20_000))), k)
+    kept = docs.select(F.col(id_col).alias("point_id"), F.col(text_col).alias("text"))
+    return block_topk(queries.select("query_id", "text"), kept, k, {"sparse": shared_term_scores}).drop("branch")
 
 
 def reciprocal_rank_fusion(branches: list[DataFrame], k: int, rrf_k: int = 2) -> DataFrame:
@@ -124,8 +161,14 @@ def reciprocal_rank_fusion(branches: list[DataFrame], k: int, rrf_k: int = 2) ->
 
 
 def hybrid_topk(queries: DataFrame, points: DataFrame, k: int = 5, rrf_k: int = 2) -> DataFrame:
-    """Dense and sparse branches of twice k, fused.  queries: query_id, text, vector; points: point_id, text, vector."""
-    return reciprocal_rank_fusion([dense_topk(queries, points, 2 * k), sparse_topk(queries, points, 2 * k)], k, rrf_k)
+    """Dense and sparse branches of twice k, fused.  queries: query_id, text, vector; points: point_id, text, vector.
+
+    Both branches score a block while it is in memory, so the points are read once.
+    """
+    q, p = queries.select("query_id", "text", "vector"), points.select("point_id", "text", "vector")
+    found = block_topk(q, p, 2 * k, {"dense": cosine_scores, "sparse": shared_term_scores})
+    total = F.round(F.sum(1.0 / (rrf_k + F.col("rank") - 1)), DIGITS)
+    return ranked(found.groupBy("query_id", "point_id").agg(total.alias("score")), k)
 
 
 def max_sim(query: Column, point: Column) -> Column:

@@ -44,12 +44,14 @@ def test_dense_topk_breaks_ties_by_id_and_ignores_null_vectors(spark):
     assert [(r["point_id"], r["score"]) for r in got] == [(1, 1.0), (3, 1.0), (2, 0.0)]
 
 
-def test_dense_topk_in_slabs_is_the_same(spark, monkeypatch):
+def test_dense_topk_in_blocks_is_the_same(spark, monkeypatch):
     rng = np.random.default_rng(0)
     points = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(200)], "point_id long, vector array<double>")
     queries = points.where("point_id < 20").withColumnRenamed("point_id", "query_id")
     whole = sorted(map(tuple, retrieve.dense_topk(queries, points, 4).collect()))
-    monkeypatch.setattr(retrieve, "SLAB_BYTES", 30_000)
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 500)
+    monkeypatch.setattr(retrieve, "POINT_BYTES", 3_000)
+    monkeypatch.setattr(retrieve, "CELLS", 20)
     assert sorted(map(tuple, retrieve.dense_topk(queries, points, 4).collect())) == whole
 
 
@@ -80,6 +82,31 @@ def test_votes_are_assigned_to_the_nearest_earlier_query():
     assert feedback.assign_in_order(votes, []) == [1, 1, 3, 3]
 
 
+def test_votes_in_steps_agree_with_one_by_one():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 6))
+    vectors = centres[rng.integers(0, 9, 300)] + rng.normal(size=(300, 6)) * 0.25
+    votes = [(n, v / np.linalg.norm(v)) for n, v in enumerate(vectors)]
+    known, want = [], []
+    for n, v in votes:
+        near = [(-round(float(v @ u), 6), place, m) for place, (m, u) in enumerate(known) if round(float(v @ u), 6) > feedback.VOTE_GATE]
+        if not near:
+            known.append((n, v))
+        want.append(min(near)[2] if near else n)
+    assert len(known) > 9
+    for step in (1, 7, 512):
+        assert feedback.assign_in_order(votes, [], step=step) == want
+
+
+def test_both_branches_of_a_hybrid_search_are_whole(spark):
+    rows = [(1, "a b", [1.0, 0.0]), (2, "c", [0.0, 1.0]), (3, None, None), (4, "a", None)]
+    points = spark.createDataFrame(rows, "point_id long, text string, vector array<double>")
+    queries = spark.createDataFrame([(7, "a b", [0.0, 1.0]), (8, None, None)], "query_id long, text string, vector array<double>")
+    got = {r["point_id"]: r["score"] for r in retrieve.hybrid_topk(queries, points, 5).collect()}
+    assert got == {1: pytest.approx(1 / 3 + 1 / 2, abs=1e-6), 2: 0.5, 4: pytest.approx(1 / 3, abs=1e-6)}
+    assert retrieve.hybrid_topk(queries.limit(0), points).count() == retrieve.hybrid_topk(queries, points.limit(0)).count() == 0
+
+
 def test_shared_point_goes_with_its_last_resource(spark):
     log = spark.createDataFrame([(1, "save", "c", "A", "p"), (2, "save", "c", "B", "p"), (3, "save", "c", "A", "q"), (4, "delete", "c", "B", None)], "seq long, action string, collection_id string, resource_id string, point_id string")
     assert [(r["point_id"], r["resource_id"]) for r in store.live_points(log).collect()] == [("q", "A")]
