@@ -48,6 +48,10 @@ class Engine:
                 known = encode.registry(self.spark).where(F.col("kind") == kind).select(F.col("model_id").alias(column))
                 for r in row.select(column).where(F.col(column).isNotNull()).join(known, column, "left_anti").take(1):
                     encode.check_model(kind, r[0])
+        given = lambda c, kind: F.col(c) if c in row.columns else F.lit(None).cast(kind)
+        fault = store.settings_fault(given("chunkSize", "int"), given("chunkOverlap", "int"), given("strategy", "string"), given("chunkingUrl", "string"))
+        for r in row.select(fault.alias("fault")).where("fault is not null").take(1):
+            raise ValueError(r[0])
         self.collections = self.collections.unionByName(row, allowMissingColumns=True)
 
     def update_collection(self, changes: DataFrame) -> None:
@@ -66,8 +70,20 @@ class Engine:
     def add_resource(self, rows: DataFrame) -> None:
         self.resources = self.resources.unionByName(rows, allowMissingColumns=True)
 
-    def update_resource(self, changes: DataFrame) -> None:
-        self.resources = store.update_by_id(self.resources, changes, "resource_id")
+    def update_resource(self, changes: DataFrame, as_given: list[str] | None = None) -> None:
+        """Unknown ids are refused; columns ``as_given`` may be set to null."""
+        for r in changes.join(self.resources.select("resource_id"), "resource_id", "left_anti").take(1):
+            raise NotFound(f"resource {r['resource_id']}")
+        self.resources = store.update_by_id(self.resources, changes, "resource_id", as_given)
+        if "refreshedAt" in self.resources.columns:
+            stamp = changes.select("resource_id", F.current_timestamp().alias("refreshedAt"))
+            self.resources = store.update_by_id(self.resources, stamp, "resource_id")
+
+    def add_cases(self, rows: DataFrame) -> None:
+        self.cases = rows if self.cases is None else self.cases.unionByName(rows, allowMissingColumns=True)
+
+    def update_cases(self, changes: DataFrame) -> None:
+        self.cases = store.update_by_id(self.cases, changes, "query_id")
 
     def delete_resource(self, ids: DataFrame) -> None:
         """Soft: the rows stay and their points go."""
@@ -80,11 +96,12 @@ class Engine:
     def chunk(self, strategy: str = "recursive", size: int = chunking.DEFAULT_SIZE, overlap: int = chunking.DEFAULT_OVERLAP, custom=None) -> DataFrame:
         return chunking.chunk_documents(self.resources.where(~F.col("is_deleted")), "content", strategy, size, overlap, custom)
 
-    def search(self, queries: DataFrame, collection_id, owner_id=PUBLIC, resource_id=None, limit: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True) -> DataFrame:
-        """queries: query_id, text, vector, tokens."""
+    def search(self, queries: DataFrame, collection_id, owner_id=PUBLIC, resource_id=None, limit: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True, asked: DataFrame | None = None) -> DataFrame:
+        """queries: query_id, text, vector, tokens.  With ``asked`` (point_id, vector), votes for queries like these move the scores."""
         points = self.points.where((F.col("collection_id") == collection_id) & (F.col("owner_id") == owner_id))
         points = points.where(F.col("resource_id") == resource_id) if resource_id is not None else points
-        return retrieve.search(queries, points, limit, min_score, hybrid, reranking)
+        moved = None if asked is None or self.votes is None else lambda found: feedback.boost(found, queries, asked, self.vote_counts())
+        return retrieve.search(queries, points, limit, min_score, hybrid, reranking, moved)
 
     def chunk_by_id(self, point_id) -> DataFrame:
         """One row, or none."""

@@ -7,6 +7,7 @@ document at a time.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -185,3 +186,53 @@ def chunk_documents(df: DataFrame, text_col: str, strategy: str = "recursive", s
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(number, pa.int32()), pa.array(chunk, pa.string())], names=[*batch.schema.names, "chunk_no", "chunk"])
 
     return df.mapInArrow(run, schema)
+
+
+def answers(found) -> list[tuple[str, str | None, str | None]]:
+    """Texts of a splitter, or its objects with ``text`` [, ``vectorSource``, ``metadata``], as (text, vector source, metadata as JSON)."""
+    out = []
+    for part in found:
+        part = {"text": part} if isinstance(part, str) else part
+        if not isinstance(part, dict) or not isinstance(part.get("text"), str) or not part["text"]:
+            raise ValueError("a chunk of the custom splitter has no text")
+        metadata = part.get("metadata")
+        out.append((part["text"], part.get("vectorSource"), None if metadata is None else json.dumps(metadata)))
+    return out
+
+
+def chunk_by_settings(df: DataFrame, text_col: str, custom: Callable[[str], list] | None = None) -> DataFrame:
+    """Chunks by each row's ``chunk_size``, ``chunk_overlap`` and ``strategy``.
+
+    Adds chunk_no, chunk, vector_source, metadata and error.  A text that is
+    empty, has settings out of range or whose splitter fails has one row with an
+    error and no chunk, for the dead letters.
+    """
+    at = {c: df.columns.index(c) for c in (text_col, "chunk_size", "chunk_overlap", "strategy")}
+    added = ["chunk_no", "chunk", "vector_source", "metadata", "error"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", chunk_no int, chunk string, vector_source string, metadata string, error string"
+
+    def parts(text, size, overlap, strategy):
+        if not text or not text.strip():
+            raise ValueError("empty content")
+        if not 0 <= overlap < size <= MAX_SIZE:
+            raise ValueError("settings out of range")
+        return answers(split(text, strategy, size, overlap, custom))
+
+    def run(stream):
+        for batch in stream:
+            columns = [batch.column(k).to_pylist() for k in at.values()]
+            for start in range(0, batch.num_rows, 256):
+                row, new = [], []
+                for k in range(start, min(start + 256, batch.num_rows)):
+                    try:
+                        found = [(no, *part, None) for no, part in enumerate(parts(*(c[k] for c in columns)))]
+                    except Exception as e:  # whatever a splitter raises belongs to its row
+                        found = [(None, None, None, None, str(e) or type(e).__name__)]
+                    row += [k] * len(found)
+                    new += found
+                kept = batch.take(pa.array(row, pa.int64()))
+                values = list(zip(*new, strict=True)) if new else [()] * len(added)
+                arrays = [pa.array(list(v), pa.int32() if n == 0 else pa.string()) for n, v in enumerate(values)]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], names=[*batch.schema.names, *added])
+
+    return df.mapInArrow(run, schema)

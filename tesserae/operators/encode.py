@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TERM = re.compile("[a-z]+")
@@ -100,15 +100,18 @@ def batches(lengths: list[int], max_items: int = 50, max_waste: float = 0.10) ->
     return out
 
 
-def encode(df: DataFrame, text_col: str, out_col: str = "vector", encoder: Callable[[list[str]], list] = hash_encoder) -> DataFrame:
-    """Add vectors; texts go to the encoder in batches of similar length, results keep their rows."""
+def encode(df: DataFrame, text_col: str, out_col: str = "vector", encoder: Callable[[list[str]], list] = hash_encoder, max_items: int = 50, max_waste: float = 0.10) -> DataFrame:
+    """Add vectors; texts go to the encoder in batches of similar length, results keep their rows.
+
+    A service that takes a plain number of texts at once gets it as ``max_items`` with a ``max_waste`` of 1.
+    """
     at = df.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` array<double>"
 
     def run(stream):
         for batch in stream:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            of = batches([len(t) for t in texts])
+            of = batches([len(t) for t in texts], max_items, max_waste)
             vectors: list = [None] * len(texts)
             groups: dict[int, list[int]] = {}
             for k, b in enumerate(of):
@@ -125,3 +128,9 @@ def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf): lower-cased runs of a-z."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0))
     return df.select(F.col(id_col), F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
+def sparse_arrays(weights: Column) -> Column:
+    """A map from index to weight as parallel arrays, indices ascending."""
+    entries = F.array_sort(F.map_entries(weights))
+    return F.struct(F.transform(entries, lambda e: e["key"]).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"))

@@ -18,6 +18,38 @@ def vote_counts(votes: DataFrame) -> DataFrame:
     return votes.groupBy("query_id", "chunk_id").agg(F.sum("delta").alias("votes"))
 
 
+def add_votes(counts: DataFrame, votes: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts (query_id, chunk_id, votes) with new votes added, and votes for queries that aren't known."""
+    ids = known.select("query_id").distinct()
+    new = vote_counts(votes.join(ids, "query_id", "left_semi"))
+    both = counts.select("query_id", "chunk_id", "votes").unionByName(new)
+    failed = votes.join(ids, "query_id", "left_anti").withColumn("reason", F.lit("unknown feedback"))
+    return both.groupBy("query_id", "chunk_id").agg(F.sum("votes").alias("votes")), failed
+
+
+def review_links(results: DataFrame, base_url: str, key: Column | None = None) -> DataFrame:
+    """Results with ``feedback_id`` and the links that vote them up or down; a random id unless ``key`` gives one.
+
+    Keep the rows as the context a link stands for, and write them once: random ids are drawn anew on a second reading.
+    """
+    link = lambda action: F.concat(F.lit(base_url.rstrip("/") + "/feedback/vote/"), F.col("feedback_id"), F.lit("/" + action))
+    out = results.withColumn("feedback_id", F.uuid() if key is None else key)
+    return out.withColumn("upvote_url", link("upvote")).withColumn("downvote_url", link("downvote"))
+
+
+def votes_by_link(clicks: DataFrame, contexts: DataFrame, hours: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Votes (query_id, chunk_id, delta) of clicked links, and clicks without a living context.
+
+    clicks: feedback_id, action, at; contexts: feedback_id, query_id, point_id, made_at.
+    """
+    held = contexts.select("feedback_id", "query_id", F.col("point_id").alias("chunk_id"), "made_at")
+    joined = clicks.join(held, "feedback_id", "left")
+    fault = F.when(F.col("made_at").isNull() | (F.col("at") > F.col("made_at") + F.make_dt_interval(hours=F.lit(hours))), F.lit("link expired")).when(~F.coalesce(F.col("action").isin("upvote", "downvote"), F.lit(False)), F.lit("unknown action"))
+    judged = joined.withColumn("reason", fault)
+    votes = judged.where("reason is null").select("query_id", "chunk_id", F.when(F.col("action") == "upvote", 1).otherwise(-1).alias("delta"))
+    return votes, judged.where("reason is not null").select(*clicks.columns, "reason")
+
+
 def similar_queries(queries: DataFrame, asked: DataFrame) -> DataFrame:
     """Earlier queries alike enough: (query_id, feedback_id, sim).  asked: point_id, vector."""
     return dense_topk(queries, asked, NEIGHBOURS).where(F.col("score") > SEARCH_GATE).select("query_id", F.col("point_id").alias("feedback_id"), F.col("score").alias("sim"))

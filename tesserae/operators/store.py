@@ -39,23 +39,36 @@ def truthy(*choices: Column) -> Column:
     return F.coalesce(*[F.when(c.cast("string").isin("", "0", "0.0"), F.lit(None)).otherwise(c) for c in choices])
 
 
-def resolve_settings(rows: DataFrame) -> DataFrame:
+def resolve_settings(rows: DataFrame, *others: str) -> DataFrame:
     """Effective chunk settings: the resource's, else the collection's, else constants."""
     strategy = F.when(F.col("has_settings") & F.coalesce(F.col("resource_strategy"), F.lit("")).isin(""), F.lit("recursive")).otherwise(F.col("resource_strategy"))
     return rows.select(
         "resource_id",
         "collection_id",
+        *others,
         truthy(F.col("resource_size"), F.col("collection_size"), F.lit(512)).alias("chunk_size"),
         truthy(F.col("resource_overlap"), F.col("collection_overlap"), F.lit(50)).alias("chunk_overlap"),
         truthy(strategy, F.col("collection_strategy"), F.lit("recursive")).alias("strategy"),
     )
 
 
-def update_by_id(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Partial update: columns of ``updates`` that aren't null replace the table's."""
+def settings_fault(size: Column, overlap: Column, strategy: Column, url: Column) -> Column:
+    """What is wrong with chunk settings; null if nothing is."""
+    return (
+        F.when(size > 4000, F.lit("size over 4000"))
+        .when(overlap >= size, F.lit("overlap not below size"))
+        .when(~strategy.isin("recursive", "semantic", "custom"), F.lit("unknown strategy"))
+        .when((strategy == "custom") & (F.coalesce(url, F.lit("")) == ""), F.lit("custom without url"))
+    )
+
+
+def update_by_id(table: DataFrame, updates: DataFrame, key: str, as_given: list[str] | None = None) -> DataFrame:
+    """Partial update: columns of ``updates`` that aren't null replace the table's, those ``as_given`` also when null."""
+    taken = F.col("_hit").isNotNull()
     new = [c for c in updates.columns if c != key]
-    joined = table.join(updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in new]), key, "left")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in new else F.col(c) for c in table.columns])
+    joined = table.join(updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in new]), key, "left")
+    value = lambda c: F.when(taken, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in (as_given or ()) else F.coalesce(f"_new_{c}", c)
+    return joined.select(*[value(c).alias(c) if c in new else F.col(c) for c in table.columns])
 
 
 def soft_delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
 from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
-from tesserae.sources import html, tables
+from tesserae.sources import html, loaders, tables
 from tesserae.streaming import cdc, ingest
 
 QUERIES: dict = {}
@@ -368,10 +368,12 @@ def q33_cdc_events(spark, sf_dir):
     return cdc.events(tables.changes(spark, sf_dir))
 
 
-@query(f"with {RESOURCES} select p.page_id as resource_id, case when p.url is not distinct from r.content then 'chunked' else 'loaded' end as status from pages p left join resources r on p.page_id = r.resource_id")
+@query(f"with {RESOURCES}, loaded as (select resource_id, case when resource_id % 3 = 0 then content || '.' else content end as content from resources union all select -1, 'new') select l.resource_id, case when l.content is not distinct from r.content then 'chunked' else 'loaded' end as status from loaded l left join resources r on l.resource_id = r.resource_id")
 def q34_noop_load(spark, sf_dir):
-    loaded = tables.read(spark, sf_dir, "pages").select(F.col("page_id").alias("resource_id"), F.col("url").alias("content"))
-    return cdc.unchanged_loads(loaded, tables.resources(spark, sf_dir))
+    r = tables.resources(spark, sf_dir)
+    changed = F.when(F.pmod("resource_id", F.lit(3)) == 0, F.concat("content", F.lit("."))).otherwise(F.col("content"))
+    new = spark.range(1).select(F.lit(-1).cast("long").alias("resource_id"), F.lit("new").alias("content"))
+    return cdc.unchanged_loads(r.select("resource_id", changed.alias("content")).unionByName(new), r)
 
 
 LOG = f"log as (select event_id as seq, case when event_type = 'error' then 'delete' else 'save' end as action, user_id % 7 as collection_id, user_id as resource_id, 'text ' || {K} as data, md5('text ' || {K}) as point_id from events)"
@@ -429,7 +431,7 @@ def q41_document_store(spark, sf_dir):
 
 @query("select collection_id, owner_id, count(*) as total, cast(sum(n_chars) as bigint) / 5.0::double as words from (select lang as collection_id, source as owner_id, n_chars from documents) group by all")
 def q42_collection_totals(spark, sf_dir):
-    r = tables.resources(spark, sf_dir)
+    r = docs_of(spark, sf_dir).withColumnsRenamed({"lang": "collection_id", "source": "owner_id"})
     return r.groupBy("collection_id", "owner_id").agg(F.count("*").alias("total"), (F.sum("n_chars") / 5.0).alias("words"))
 
 
@@ -479,3 +481,61 @@ def q47_dedup_results(spark, sf_dir):
 def q48_point_ids(spark, sf_dir):
     vs = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("source"))
     return docs_of(spark, sf_dir).select("doc_id", ingest.point_id(F.col("text"), vs, F.col("lang"), F.col("source"), F.lit(False)).alias("point_id"))
+
+
+@query("select conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) || chr(10) || chr(10) order by turn, coalesce(text, '')) as text from conversations group by conv_id")
+def q49_page_join(spark, sf_dir):
+    return loaders.join_pages(tables.read(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+EXTENSIONS = "['pdf', 'jpeg', 'html', 'PDF']"
+
+
+@query(f"""with u as (select event_id as token, {K} as k, user_id from events),
+ l as (select token, case when k % 5 = 0 then null when k % 5 = 4 then 'youtube' else case {EXTENSIONS}[k % 4 + 1] when 'pdf' then 'pdf' when 'jpeg' then 'image' else 'web' end end as loader from u)
+ select token, loader, case when loader is null then 'no url' when loader = 'image' then 'images are not supported' when loader = 'youtube' then 'no loader for youtube' end as reason from l where loader is null or loader in ('image', 'youtube')""")
+def q50_load_faults(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    k = F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long")
+    names = F.array(*map(F.lit, ("pdf", "jpeg", "html", "PDF")))
+    url = F.when(F.pmod(k, F.lit(5)) == 4, F.lit("https://www.youtube.com/watch")).when(F.pmod(k, F.lit(5)) != 0, F.concat(F.lit("https://h.org/a/b."), F.element_at(names, (F.pmod(k, F.lit(4)) + 1).cast("int"))))
+    fetch = lambda rows: rows.withColumn("content", F.lit("text"))
+    return loaders.load(e.select(F.col("event_id").alias("token"), url.alias("url")), {"pdf": fetch, "web": fetch})[1].select("token", "loader", "reason")
+
+
+@query(f"""with s as (select event_id as token, {K} * 60 as size, user_id % 200 as overlap, case event_type when 'click' then 'semantic' when 'view' then 'custom' when 'error' then 'other' else 'recursive' end as strategy, case when user_id % 3 <> 0 then 'http://a.b' end as url from events)
+ select token, case when size > 4000 then 'size over 4000' when overlap >= size then 'overlap not below size' when strategy = 'other' then 'unknown strategy' when strategy = 'custom' and url is null then 'custom without url' end as fault from s""")
+def q51_settings_faults(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    strategy = F.when(kind == "click", "semantic").when(kind == "view", "custom").when(kind == "error", "other").otherwise("recursive")
+    size = F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long") * 60
+    url = F.when(F.pmod("user_id", F.lit(3)) != 0, "http://a.b")
+    return e.select(F.col("event_id").alias("token"), store.settings_fault(size, F.pmod("user_id", F.lit(200)), strategy, url).alias("fault"))
+
+
+@query(f"""with t as (select user_id, {K} as k, count(*) as n from events group by all)
+ select user_id, string_agg(k::varchar, ',' order by k) as indices, string_agg(n::varchar, ',' order by k) as weights from t group by user_id""")
+def q52_sparse_arrays(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    counts = e.groupBy("user_id", F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long").alias("k")).agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("w")).select("user_id", encode.sparse_arrays(F.col("w")).alias("s"))
+    as_text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return maps.select("user_id", as_text(F.col("s.indices")).alias("indices"), as_text(F.col("s.values")).alias("weights"))
+
+
+@query(f"""with {DENSE}, r as (select *, md5(query_id || ':' || point_id) as feedback_id from dense where rank <= 5)
+ select query_id, point_id, feedback_id, 'https://h.org/feedback/vote/' || feedback_id || '/upvote' as upvote_url, 'https://h.org/feedback/vote/' || feedback_id || '/downvote' as downvote_url from r""")
+def q53_review_links(spark, sf_dir):
+    top = q19_dense_topk(spark, sf_dir).where("rank <= 5")
+    key = F.md5(F.concat_ws(":", "query_id", "point_id").cast("binary"))
+    return feedback.review_links(top, "https://h.org/", key).select("query_id", "point_id", "feedback_id", "upvote_url", "downvote_url")
+
+
+@query(f"""with {COUNTS}, old as (select query_id, chunk_id, cast(sum(delta) as bigint) as votes from votes where event_id % 2 = 0 group by all),
+ new as (select query_id, chunk_id, delta from votes where event_id % 2 = 1 and query_id in (select query_id from old))
+ select query_id, chunk_id, cast(sum(votes) as bigint) as votes from (select * from old union all select * from new) group by all""")
+def q54_added_votes(spark, sf_dir):
+    v = tables.votes(spark, sf_dir)
+    old = feedback.vote_counts(v.where("event_id % 2 = 0"))
+    return feedback.add_votes(old, v.where("event_id % 2 = 1"), old)[0]

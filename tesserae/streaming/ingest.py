@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import content_id
-from tesserae.operators import chunking, encode
+from tesserae.operators import chunking, encode, store
+from tesserae.streaming import cdc
 
 EVENT = "event string, resourceId string, collectionId string, ownerId string, url string, data string, vectorSource string"
 
@@ -67,6 +68,66 @@ def process(batch: DataFrame, number: int, documents_path: str, vectors_path: st
     points.drop("embed").write.mode("overwrite").partitionBy("collectionId").parquet(f"{vectors_path}/batch={number}")
 
 
+def settings_of(events: DataFrame, resources: DataFrame, collections: DataFrame) -> DataFrame:
+    """``chunk`` events with their effective chunk_size, chunk_overlap and strategy, and ``known``: whether the collection is.
+
+    resources: resource_id [, chunkSize, chunkOverlap, strategy]; collections: collection_id and the same.
+    """
+    def part(df: DataFrame, key: str, name: str) -> DataFrame:
+        given = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+        return df.select(F.col(key).cast("string").alias(f"{name}_key"), given("chunkSize", "int").alias(f"{name}_size"), given("chunkOverlap", "int").alias(f"{name}_overlap"), given("strategy", "string").alias(f"{name}_strategy"))
+
+    chunk = events.where("reason is null and message.event = 'chunk'").select("value", "message.*").withColumnsRenamed({"resourceId": "resource_id", "collectionId": "collection_id"})
+    r, c = part(resources, "resource_id", "resource"), part(collections, "collection_id", "collection")
+    joined = chunk.join(r, F.col("resource_id") == F.col("resource_key"), "left").join(c, F.col("collection_id") == F.col("collection_key"), "left")
+    own = F.coalesce("resource_size", "resource_overlap").isNotNull() | F.col("resource_strategy").isNotNull()
+    return store.resolve_settings(joined.withColumn("has_settings", own).withColumn("known", F.col("collection_key").isNotNull()), "value", "ownerId", "data", "vectorSource", "known")
+
+
+def work(batch: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None) -> None:
+    """One batch of messages done: tables ``loaded``, ``documents``, ``vectors`` (by collection), ``deleted``, ``failed`` and ``statuses`` below ``path``.
+
+    ``fetched`` (url, content) is what the loaders got.  Each table's files of a
+    batch are replaced when it is repeated.
+    """
+    spark = batch.sparkSession
+    at = lambda name: f"{path}/{name}/batch={number}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(at(name))
+        return spark.read.schema(df.schema).parquet(at(name))
+
+    events = parsed(batch)
+    load = events.where("reason is null and message.event = 'load'").select("value", "message.resourceId", "message.url")
+    contents = load.withColumn("content", F.lit(None).cast("string")) if fetched is None else load.join(fetched.select("url", "content").dropDuplicates(["url"]), "url", "left")
+    loaded = kept(contents.where("content is not null").select(F.col("resourceId").alias("resource_id"), "content"), "loaded")
+    old = resources.select(F.col("resource_id").cast("string").alias("resource_id"), "content") if "content" in resources.columns else loaded.limit(0)
+
+    settings = settings_of(events, resources, collections)
+    parts = chunking.chunk_by_settings(settings.where("known"), "data", custom).drop("data")
+    source = F.coalesce("vector_source", "vectorSource")
+    flags = collections.select(F.col("collection_id").cast("string").alias("collection_id"), (F.col("keepDuplicate") if "keepDuplicate" in collections.columns else F.lit(False)).alias("keep_duplicate"))
+    found = parts.withColumn("vector_source", source).join(flags, "collection_id", "left")
+    ids = point_id(F.col("chunk"), F.col("vector_source"), F.col("collection_id"), F.col("ownerId"), F.col("keep_duplicate"))
+    # ids of kept duplicates are drawn once, for both stores
+    documents = kept(found.withColumn("point_id", F.when(F.col("error").isNull(), ids)).drop("vectorSource", "known", "keep_duplicate"), "documents")
+    good = documents.where("error is null").select("point_id", "resource_id", "ownerId", "collection_id", embed_source(F.col("chunk"), F.col("vector_source")).alias("embed"))
+    encode.encode(good, "embed", encoder=encoder).drop("embed").write.mode("overwrite").partitionBy("collection_id").parquet(at("vectors"))
+    gone = kept(events.where("reason is null and message.event = 'delete'").select(F.col("message.resourceId").alias("resource_id"), F.col("message.collectionId").alias("collection_id")), "deleted")
+
+    bad = [
+        events.where("reason is not null").select("value", "reason", F.col("message.resourceId").alias("resource_id")),
+        contents.where("content is null").select("value", F.lit("nothing fetched").alias("reason"), F.col("resourceId").alias("resource_id")),
+        settings.where("not known").select("value", F.lit("collection not found").alias("reason"), "resource_id"),
+        documents.where("error is not null").select("value", F.col("error").alias("reason"), "resource_id"),
+    ]
+    failed = kept(bad[0].unionByName(bad[1]).unionByName(bad[2]).unionByName(bad[3]), "failed")
+    done = documents.where("error is null").select("resource_id", F.lit("chunked").alias("status"))
+    statuses = cdc.unchanged_loads(loaded, old).unionByName(done).unionByName(gone.select("resource_id", F.lit("deleted").alias("status")))
+    errors = failed.where("resource_id is not null").select("resource_id", F.lit("error").alias("status"))
+    statuses.unionByName(errors).distinct().write.mode("overwrite").parquet(at("statuses"))
+
+
 def run_stream(source: DataFrame, checkpoint: str, trigger: dict | None = None, **options):
     """A stream of messages (value) into both stores."""
     def each(batch: DataFrame, number: int) -> None:

@@ -48,3 +48,40 @@ def test_entities(engine, spark):
     with pytest.raises(ValueError):
         engine.add_collection(spark.createDataFrame([("e", "E", "no-model")], "collection_id string, name string, denseModel string"))
     assert engine.models().count() == 12
+
+
+def test_checks_and_updates(engine, spark):
+    for fault in [(5000, "recursive"), (500, "custom")]:
+        with pytest.raises(ValueError):
+            engine.add_collection(spark.createDataFrame([("e", *fault)], "collection_id string, chunkSize int, strategy string"))
+    new = spark.createDataFrame([(10, None)], "resource_id long, content string")
+    engine.update_resource(new)
+    assert engine.resource(10).first()["content"] == "x"
+    engine.update_resource(new, as_given=["content"])
+    assert engine.resource(10).first()["content"] is None and engine.resource(11).first()["content"] == "y"
+    with pytest.raises(NotFound):
+        engine.update_resource(spark.createDataFrame([(99, "q")], "resource_id long, content string"))
+    engine.update_cases(spark.createDataFrame([(2, [2])], "query_id long, expected array<long>"))
+    assert [r["expected"] for r in engine.cases.orderBy("query_id").collect()] == [[1], [2]]
+
+
+def test_votes_move_a_search(engine, queries, spark):
+    asked = queries.select(F.col("query_id").alias("point_id"), "vector")
+    engine.vote(spark.createDataFrame([(1, 2, 1)] * 50, "query_id long, chunk_id long, delta int"))
+    first = lambda **how: {r["query_id"]: r["point_id"] for r in engine.search(queries, "c", **how).collect() if r["rank"] == 1}
+    assert first() == {1: 1, 2: 2} and first(asked=asked)[1] == 2
+
+
+def test_links_become_votes(spark):
+    from datetime import datetime
+
+    from tesserae.operators import feedback
+
+    found = spark.createDataFrame([(1, 7)], "query_id long, point_id long")
+    linked = feedback.review_links(found, "http://h", F.lit("k"))
+    assert tuple(linked.select("upvote_url", "downvote_url").first()) == ("http://h/feedback/vote/k/upvote", "http://h/feedback/vote/k/downvote")
+    contexts = linked.withColumn("made_at", F.lit(datetime(2024, 1, 1)))
+    clicks = spark.createDataFrame([("k", "upvote", datetime(2024, 1, 1, 5)), ("k", "downvote", datetime(2024, 1, 3)), ("x", "upvote", datetime(2024, 1, 1)), ("k", "sing", datetime(2024, 1, 1))], "feedback_id string, action string, at timestamp")
+    votes, failed = feedback.votes_by_link(clicks, contexts)
+    assert [tuple(r) for r in votes.collect()] == [(1, 7, 1)]
+    assert sorted(r["reason"] for r in failed.collect()) == ["link expired", "link expired", "unknown action"]

@@ -42,3 +42,53 @@ def test_the_stream_reads_each_message_once(spark, tmp_path):
         stream = spark.readStream.schema("value string").parquet(str(source))
         ingest.run_stream(stream, str(tmp_path / "checkpoint"), **paths).awaitTermination(120)
     assert sorted(r[0] for r in spark.read.parquet(paths["documents_path"]).select("resourceId").collect()) == ["r0", "r1"]
+
+
+def test_work_settles_every_message(spark, tmp_path):
+    text = "One sentence here. " * 30
+    resources = spark.createDataFrame([("r1", "same", 200, 20), ("r2", "old", None, None)], "resource_id string, content string, chunkSize int, chunkOverlap int")
+    collections = spark.createDataFrame([("c1", 300, 30, "recursive"), ("c2", 100, 0, "custom")], "collection_id string, chunkSize int, chunkOverlap int, strategy string")
+    fetched = spark.createDataFrame([("http://a.org", "same"), ("http://b.org", "new")], "url string, content string")
+
+    def custom(content):
+        if "bad" in content:
+            raise RuntimeError("no answer")
+        return ["plain", {"text": "shown", "vectorSource": "encoded", "metadata": {"page": 1}}]
+
+    rows = [
+        message(event="load", resourceId="r1", url="http://a.org"),
+        message(event="load", resourceId="r2", url="http://b.org"),
+        message(event="load", resourceId="r3", url="http://none.org"),
+        message(event="chunk", resourceId="r1", collectionId="c1", ownerId="o", data=text),
+        message(event="chunk", resourceId="r4", collectionId="c1", ownerId="o", data=text),
+        message(event="chunk", resourceId="r5", collectionId="c2", ownerId="o", data="x"),
+        message(event="chunk", resourceId="r6", collectionId="c2", ownerId="o", data="bad"),
+        message(event="chunk", resourceId="r7", collectionId="nowhere", ownerId="o", data="x"),
+        message(event="chunk", resourceId="r8", collectionId="c1", ownerId="o", data=" "),
+        message(event="delete", resourceId="r9", collectionId="c1"),
+    ]
+    batch, path = spark.createDataFrame(rows, "value string"), str(tmp_path / "out")
+    for _ in range(2):
+        ingest.work(batch, 1, path, resources, collections, fetched, custom=custom)
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    assert {(r["resource_id"], r["status"]) for r in table("statuses").collect()} == {
+        ("r1", "chunked"), ("r2", "loaded"), ("r3", "error"), ("r4", "chunked"), ("r5", "chunked"), ("r6", "error"), ("r7", "error"), ("r8", "error"), ("r9", "deleted")
+    }
+    assert {(r["resource_id"], r["reason"]) for r in table("failed").collect()} == {("r3", "nothing fetched"), ("r6", "no answer"), ("r7", "collection not found"), ("r8", "empty content")}
+    documents = table("documents").where("error is null").collect()
+    longest = {r: max(len(d["chunk"]) for d in documents if d["resource_id"] == r) for r in ("r1", "r4")}
+    assert longest["r1"] <= 200 < longest["r4"] <= 300
+    shown = [d for d in documents if d["chunk"] == "shown"]
+    assert shown[0]["vector_source"] == "encoded" and json.loads(shown[0]["metadata"]) == {"page": 1}
+    assert table("vectors").count() == len(documents)
+
+
+def test_messages_fan_out(spark, tmp_path):
+    from tesserae.streaming import sinks
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    paths = [str(tmp_path / "one"), str(tmp_path / "two")]
+    for _ in range(2):
+        sinks.fan_out(rows, 4, paths)
+    for path in paths:
+        assert sorted(r["value"] for r in spark.read.parquet(path).collect()) == ['{"k":1,"v":"a"}', '{"k":2}']
