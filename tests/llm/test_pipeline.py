@@ -32,3 +32,27 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_edge_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    odd = spark.createDataFrame([(900_001, None, None, None, None), (900_002, "", "en", "s", 0), (None, "w " * 80, "en", "s", 160), (900_003, "long " * 60_000, "en", "s", 300_000)], docs.schema)
+    mixed = docs.unionByName(docs.where("doc_id < 20")).unionByName(odd)
+    for c in ("id", "text_", "kept", "score", "label", "toxic", "quality", "component", "set_key"):
+        mixed = mixed.withColumn(c, F.lit("x"))
+    mixed.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r[0] for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()}
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = got.select("doc_id", "piece").collect()
+    ids = {r[0] for r in rows}
+    # repeated rows and odd ones change nothing of the others, and texts without words are gone
+    assert {i for i in ids if i is not None and i < 900_000} == want
+    assert not ids & {900_001, 900_002}
+    assert len(rows) == len(set(map(tuple, rows)))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
