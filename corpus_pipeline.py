@@ -3,6 +3,12 @@
 Every stage gets what its predecessor kept, as a Parquet table read again, and
 works on all of it.  Classifiers are fitted on the labelled rows among a stage's
 own input.
+
+Null and empty texts have no words, so the quality rules reject them.  Texts of
+any length are read whole.  Rows with a null id are judged like others and never
+taken for copies.  Repeated rows count as copies: one stays.  Further columns
+pass through to the last stage, whatever their names.  Empty tables give an
+empty result.
 """
 
 from __future__ import annotations
