@@ -161,3 +161,11 @@ def test_random_rankings_agree_with_sorting(spark):
     for r in retrieve.ranked(df, 7).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["point_id"])
     assert got == {q: [p for _, p in sorted((-s, p) for x, p, s in rows if x == q)][:7] for q in range(5)}
+
+
+def test_shards_of_a_known_total_go_by_checksum(spark):
+    import zlib
+
+    rows = spark.createDataFrame([(k,) for k in ("a", "b", "10", "", "é")], "k string")
+    got = {r[0]: r[1] for r in rows.select("k", T.shard_of(F.col("k"), 1000, 300)).collect()}
+    assert got == {k: zlib.crc32(k.encode()) % 4 for k in got}
