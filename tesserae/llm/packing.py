@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from tesserae.llm.bpe_stream import MergeList
 from tesserae.llm.common import map_slices, text_groups
 
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 #: What a row counts as besides its text when groups are sized.
 ROW_CHARS = 200
 SLICE_ROWS = 2048
+#: Bytes whose words are hashed at once.
+STRETCH = 500_000
 #: Bytes of letters, and of marks after them, that the numpy path takes.
 MOST_LETTERS, MOST_MARKS = 40, 8
 #: Marks that the tokenizer's pattern parts from letters before them.
@@ -89,30 +91,52 @@ class WordTokenizer:
         self.merges = MergeList(path)
         powers = np.random.default_rng(17).integers(0, 1 << 62, 2, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.powers = list(powers)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _library(self, words: list[bytes]) -> list[np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, np.int64) for e in encoded]
 
-    def _distinct(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One word of each kind, and each word's kind."""
-        key = np.zeros(len(start), np.uint64)
+    def _powers_of(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Powers 1 to ``n`` of each base, and of its inverse; those of a usual stretch are kept."""
+        if n <= STRETCH and self.kept:
+            return self.kept
+        found = []
         for r in self.powers:
-            # sums of byte times power up to each byte, and the inverse power at a word's first one
-            power = np.cumprod(np.full(len(b), r, np.uint64))
-            first_power = power[start]
+            bases = (r, inverse(np.array([r]))[0])
+            found.append(tuple(np.cumprod(np.full(max(n, STRETCH), x, np.uint64)) for x in bases))
+        if n <= STRETCH:
+            self.kept = found
+        return found
+
+    def _keys(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hashes of words, wherever they stand in ``b``."""
+        key = np.zeros(len(start), np.uint64)
+        for power, back in self._powers_of(len(b)):
+            # sums of byte times power up to each byte, taken back to a word's first one
             total = b.astype(np.uint64)
             total += np.uint64(1)
-            total *= power
-            del power
+            total *= power[: len(b)]
             first_term = total[start]
             np.cumsum(total, out=total)
-            h = (total[start + size - 1] - total[start] + first_term) * inverse(first_power)
-            del total
+            h = (total[start + size - 1] - total[start] + first_term) * back[start]
             key = (key ^ h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+        return key
+
+    def _distinct(self, b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word of each kind, and each word's kind."""
+        end = start + size
+        # words in stretches of bytes, so that only their keys and places are held for all; a longer word is one of its own
+        cuts, i = [], 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + STRETCH, "right")))
+            cuts.append((i, j))
+            i = j
+        key = np.concatenate([self._keys(b[start[i] : end[j - 1]], start[i:j] - start[i], size[i:j]) for i, j in cuts])
         _, first, kind = np.unique(key, return_index=True, return_inverse=True)
         # equal keys are equal words, or else the words themselves are compared
-        same = (size == size[first[kind]]).all() and (b[ragged(start, size)] == b[ragged(start[first[kind]], size)]).all()
+        like = start[first[kind]]
+        same = (size == size[first[kind]]).all() and all((b[ragged(start[i:j], size[i:j])] == b[ragged(like[i:j], size[i:j])]).all() for i, j in cuts)
         if not same:
             words = [b[s : s + n].tobytes() for s, n in zip(start.tolist(), size.tolist(), strict=True)]
             seen: dict[bytes, int] = {}
@@ -172,7 +196,9 @@ class WordTokenizer:
         if not len(start):
             return [b""] * len(texts)
         first, kind = self._distinct(b, start, size)
-        ids, counts = self._words(b, start[first], size[first])
+        # the distinct words alone, each with the white space after it
+        with_gap = size[first] + 1
+        ids, counts = self._words(b[ragged(start[first], with_gap)], np.cumsum(with_gap) - with_gap, size[first])
         begin = np.cumsum(counts) - counts
         out = ids[ragged(begin[kind], counts[kind])].astype("<u4").tobytes()
         upto = np.concatenate([[0], np.cumsum(counts[kind])])
