@@ -68,6 +68,9 @@ def map_slices(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield step(batch.slice(at, rows))
+        # workers serve further stages, whose memory this task's buffers would add to
+        batch = None
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
