@@ -21,21 +21,21 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
-from itertools import accumulate
+from functools import cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import map_slices, materialize, text_groups
+from tesserae.llm.common import WordCache, map_slices, materialize, text_groups
 
 #: Pairs of ids that may be broadcast: some 50 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: Links of a group that are listed one by one; larger groups list each id pair once with its number.
 LISTED = 64
-#: Characters of texts encoded at once.
-BATCH_CHARS = 500_000
+#: Characters of texts encoded at once, and recent words whose pieces a worker keeps.
+BATCH_CHARS, WORDS = 500_000, 200_000
 #: Beyond these characters the two libraries' tables of letters, digits and spaces may be of different Unicode versions.
 OTHER = re.compile("[^\x00-ɏ]")
 
@@ -64,17 +64,18 @@ class ByteLevel:
         self.size = 1 + max(made["model"]["vocab"].values())
         # merges are in the order of their ids, so ranks say the same as the list of merges; tests compare both libraries
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = token_lengths(self.table, self.size)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.whole.no_truncation()
         self.whole.no_padding()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         other = [k for k, t in enumerate(texts) if OTHER.search(t)]
-        out = [[] if OTHER.search(t) else self.fast.encode_ordinary(t) for t in texts]
+        out = [None if OTHER.search(t) else self.fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
         if other:
             for k, found in zip(other, self.whole.encode_batch([texts[k] for k in other], add_special_tokens=False), strict=True):
-                out[k] = found.ids
+                out[k] = np.array(found.ids, np.int32)
         return out
 
 
@@ -87,21 +88,53 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         self.table = dict(enumerate(map(self._bytes, range(self.size))))
+        self.lengths = token_lengths(self.table, self.size)
+        self.words = WordCache(WORDS)
 
     def _bytes(self, k: int) -> bytes:
         piece = self.model.id_to_piece(k)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(k) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """No piece has a space but at its start, so words between single spaces are encoded by themselves, and once."""
+        out: list = [None] * len(texts)
+        words: dict[int, list[str]] = {}
+        for k, text in enumerate(texts):
+            own = text.split(" ")
+            if "" in own or "▁" in text:
+                out[k] = np.array(self.model.encode(text), np.int32)
+            else:
+                words[k] = own
+        known = self.words.fetch({w for own in words.values() for w in own}, lambda new: self.model.encode(new, num_threads=1))
+        for k, own in words.items():
+            out[k] = np.array([i for w in own for i in known[w]], np.int32)
+        return out
+
+
+def token_lengths(table: dict[int, bytes], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int32)
+    for k, token in table.items():
+        out[k] = len(token)
+    return out
+
+
+@cache
+def byte_level(path: str) -> ByteLevel:
+    """Read once in a worker's life; workers serve many tasks."""
+    return ByteLevel(path)
+
+
+@cache
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def tokenised(byte_level_path: str, piece_path: str):
     """A batch function: (row, text) to the ids and byte ends of both tokenizers."""
 
     def make():
-        a, b = ByteLevel(byte_level_path), Pieces(piece_path)
-        a_bytes, b_bytes = a.table.__getitem__, b.table.__getitem__
+        sides = byte_level(byte_level_path), pieces(piece_path)
+        lengths = [side.lengths for side in sides]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
@@ -109,17 +142,20 @@ def tokenised(byte_level_path: str, piece_path: str):
             for start, end in text_groups(texts, BATCH_CHARS):
                 part = [t or "" for t in texts[start:end]]
                 filled = [k for k, t in enumerate(part) if t]
-                found = [([], [], [], [])] * len(part)
-                for k, x, y in zip(filled, a.encode([" " + part[k] for k in filled]), b.encode([part[k] for k in filled]), strict=True):
-                    xs, ys = list(map(a_bytes, x)), list(map(b_bytes, y))
+                found = [[np.zeros(0, np.int32)] * len(part) for _ in sides]
+                for k, *both in zip(filled, sides[0].encode([" " + part[k] for k in filled]), sides[1].encode([part[k] for k in filled]), strict=True):
                     whole = b" " + part[k].encode("utf-8", "surrogatepass")
-                    if b"".join(xs) == whole and b"".join(ys) == whole:
-                        found[k] = x, list(accumulate(map(len, xs))), y, list(accumulate(map(len, ys)))
-                for column, values in zip(columns, zip(*found, strict=True), strict=True):
-                    column.append(pa.array(values, pa.list_(pa.int32())))
-            names = ["a_ids", "a_ends", "b_ids", "b_ends"]
+                    if all(b"".join(map(side.table.__getitem__, ids.tolist())) == whole for side, ids in zip(sides, both, strict=True)):
+                        for own, ids in zip(found, both, strict=True):
+                            own[k] = ids
+                for n, own in enumerate(found):
+                    sizes = [len(ids) for ids in own]
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                    ends = [np.cumsum(lengths[n][ids], dtype=np.int32) for ids in own]
+                    columns[2 * n].append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own).astype(np.int32))))
+                    columns[2 * n + 1].append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ends))))
             arrays = [pa.concat_arrays(c) if c else pa.array([], pa.list_(pa.int32())) for c in columns]
-            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", *names])
+            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", "a_ids", "a_ends", "b_ids", "b_ends"])
 
         return step
 
@@ -131,13 +167,6 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def tokens_up_to(ends: Column, cuts: Column) -> Column:
-    """For each cut, how many tokens end at it or before: a cut's place among ends and cuts less the cuts before it."""
-    marked = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(cuts, lambda c: c.cast("long") * 2 + 1)))
-    places = F.filter(F.transform(marked, lambda x, k: F.when(x % 2 == 1, k)), lambda k: k.isNotNull())
-    return F.transform(places, lambda k, j: k - j)
-
-
 def runs(values: Column) -> Column:
     """(v, n) of each distinct value, by one sort."""
     def counted(s: Column) -> Column:
@@ -151,54 +180,109 @@ def flat_map(values: Column, each) -> Column:
     return F.flatten(F.transform(values, each))
 
 
+#: An entry of the merged array: a token's end, then its side, then its id; a cut stands after all that end with it.
+ID_BITS, A_SIDE, B_SIDE, CUT = 20, 0, 1, 2
+
+
+def merged(cuts: Column) -> Column:
+    """Tokens of both sides and the cuts in one array by end, so that a cut's place tells what its group holds."""
+    entry = lambda end, side, k: F.shiftleft(end.cast("long"), ID_BITS + 2) + ((side << ID_BITS) + k)
+    a = F.zip_with("a_ends", "a_ids", lambda e, k: entry(e, A_SIDE, k))
+    b = F.zip_with("b_ends", "b_ids", lambda e, k: entry(e, B_SIDE, k))
+    return F.sort_array(F.concat(a, b, F.transform(cuts, lambda c: entry(c, CUT, 0))))
+
+
 def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its numbers and digest, ``pairs`` (one item a link) and ``heavy`` (pair, n) of groups with many links.
 
     A pair is the A id times the size of vocabulary B plus the B id.
     """
-    n_b = Pieces(piece_path).size
+    n_pieces = pieces(piece_path).size
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     found = map_slices(rows, tokenised(byte_level_path, piece_path), f"row {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-    cut = found.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # tokens before each group, and after the last
-    before = lambda ends: F.concat(F.array(F.lit(0)), tokens_up_to(F.col(ends), F.col("cuts")))
-    placed = cut.select("row", "a_ids", "b_ids", before("a_ends").alias("a_at"), before("b_ends").alias("b_at"))
-
-    def by_group(each) -> Column:
-        return F.when(F.size("a_at") > 1, F.transform(F.sequence(F.lit(0), F.size("a_at") - 2), each))
-
-    n_a, n_b_ = (lambda j, c=c: F.get(c, j + 1) - F.get(c, j) for c in ("a_at", "b_at"))
-    a_of = lambda j: F.slice("a_ids", F.get("a_at", j) + 1, n_a(j))
-    b_of = lambda j: F.slice("b_ids", F.get("b_at", j) + 1, n_b_(j))
-    first_a, first_b = (lambda j: F.get("a_ids", F.get("a_at", j))), (lambda j: F.get("b_ids", F.get("b_at", j)))
-    number = lambda j: n_a(j).cast("long") * n_b_(j)
-    single = lambda j: (n_a(j) == 1) & (n_b_(j) == 1)
-    pair = lambda a, b: a.cast("long") * n_b + b
-    said = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-
-    text = by_group(lambda j: F.when(single(j), F.concat_ws("|", first_a(j), first_b(j))).otherwise(F.concat_ws("|", said(a_of(j)), said(b_of(j)))))
-    product = lambda j: flat_map(a_of(j), lambda a: F.transform(b_of(j), lambda b: pair(a, b)))
-    nothing = F.expr("cast(array() as array<bigint>)")
-    links = F.flatten(by_group(lambda j: F.when(single(j), F.array(pair(first_a(j), first_b(j)))).when(number(j) <= LISTED, product(j)).otherwise(nothing)))
-    large = F.filter(by_group(lambda j: F.when(number(j) > LISTED, j)), lambda j: j.isNotNull())
-    many = flat_map(large, lambda j: let(runs(b_of(j)), lambda bs: flat_map(runs(a_of(j)), lambda a: F.transform(bs, lambda b: F.struct(pair(a["v"], b["v"]).alias("pair"), (a["n"] * b["n"]).alias("n"))))))
-    out = placed.select(
-        F.col("row.row").alias("row"),
-        F.col("row.id").alias(id_col),
-        F.size("a_ids").cast("long").alias("n_a"),
-        F.size("b_ids").cast("long").alias("n_b"),
-        (F.size("a_at") - 1).cast("long").alias("n_groups"),
-        F.when(F.size("a_at") > 1, F.sha2(F.array_join(text, ";"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
-        F.coalesce(links, nothing).alias("pairs"),
-        F.coalesce(many, F.expr("cast(array() as array<struct<pair: bigint, n: bigint>>)")).alias("heavy"),
-    )
-    return out
+
+    of = lambda x: x.bitwiseAND((1 << ID_BITS) - 1)
+    is_a = lambda x: x.bitwiseAND(3 << ID_BITS) == A_SIDE
+    # in 32 bits where all pairs fit
+    kind_of_pair = "int" if byte_level(byte_level_path).size * n_pieces < 2**31 else "bigint"
+    pair = lambda a, b: (of(a) * n_pieces + of(b)).cast(kind_of_pair)
+    number = lambda a, b: F.size(a).cast("long") * F.size(b)
+    size = lambda at, j: F.get(at, j) - before(at, j) - 1
+    nothing, no_items = (F.expr(f"cast(array() as array<{kind}>)") for kind in (kind_of_pair, f"struct<pair: {kind_of_pair}, n: bigint>"))
+    name = lambda x: of(x).cast("string")
+    bar, comma = F.lit("|"), F.lit(",")
+    before = lambda at, j: F.coalesce(F.get(at, j - 1), F.lit(-1))
+
+    def sides_of(all_: Column, at: Column, j: Column, use) -> Column:
+        """``use`` of a group's entries on either side, in order."""
+        first = before(at, j) + 1
+        own = F.slice(all_, first + 1, F.get(at, j) - first)
+        return let(own, lambda own: use(F.filter(own, is_a), F.filter(own, lambda x: ~is_a(x))))
+
+    def joined(all_: Column, at: Column) -> Column:
+        """Before a cut stand the last A token and the last B token of its group, and most groups hold no more or one more."""
+        said = lambda entries: F.array_join(F.transform(entries, name), ",")
+
+        def text(end: Column, j: Column) -> Column:
+            a, b, more = F.get(all_, end - 2), F.get(all_, end - 1), F.get(all_, end - 3)
+            n = end - before(at, j) - 1
+            three = F.when(is_a(more), F.concat(name(more), comma, name(a), bar, name(b))).otherwise(F.concat(name(a), bar, name(more), comma, name(b)))
+            return F.when(n == 2, F.concat(name(a), bar, name(b))).when(n == 3, three).otherwise(sides_of(all_, at, j, lambda a, b: F.concat(said(a), bar, said(b))))
+
+        return F.when(F.size(at) > 0, F.sha2(F.array_join(F.transform(at, text), ";"), 256)).otherwise(F.lit(""))
+
+    def links(all_: Column, at: Column, more: Column) -> Column:
+        """The last two tokens of every group, and the other links of groups with more."""
+        last = F.transform(at, lambda end: pair(F.get(all_, end - 2), F.get(all_, end - 1)))
+
+        def third(j: Column) -> Column:
+            end = F.get(at, j)
+            a, b, other = F.get(all_, end - 2), F.get(all_, end - 1), F.get(all_, end - 3)
+            return F.when(is_a(other), pair(other, b)).otherwise(pair(a, other))
+
+        def product(a: Column, b: Column) -> Column:
+            listed = flat_map(a, lambda x: F.transform(b, lambda y: pair(x, y)))
+            # the link of the last two is its last item
+            return F.when(number(a, b) <= LISTED, let(listed, lambda p: F.slice(p, 1, F.size(p) - 1))).otherwise(nothing)
+
+        three, wide = F.filter(more, lambda j: size(at, j) == 3), F.filter(more, lambda j: size(at, j) > 3)
+        return F.concat(last, F.transform(three, third), flat_map(wide, lambda j: sides_of(all_, at, j, product)))
+
+    def large(all_: Column, at: Column, more: Column) -> Column:
+        def counted(a: Column, b: Column) -> Column:
+            ids = lambda entries: runs(F.transform(entries, of))
+            listed = let(pair(F.element_at(a, -1), F.element_at(b, -1)), lambda p: let(ids(b), lambda bs: flat_map(ids(a), lambda x: F.transform(bs, lambda y: item(x, y, p)))))
+            return F.when(number(a, b) > LISTED, listed).otherwise(no_items)
+
+        def item(x: Column, y: Column, last: Column) -> Column:
+            p = x["v"] * n_pieces + y["v"]
+            return F.struct(p.cast(kind_of_pair).alias("pair"), (x["n"] * y["n"] - F.when(p == last, 1).otherwise(0)).alias("n"))
+
+        # fewer tokens than these can't have as many links
+        wide = F.filter(more, lambda j: size(at, j) >= max(4, 2 * int(LISTED**0.5)))
+        return flat_map(wide, lambda j: sides_of(all_, at, j, counted))
+
+    def built(all_: Column) -> Column:
+        at = F.array_compact(F.transform(all_, lambda x, k: F.when(x.bitwiseAND(CUT << ID_BITS) != 0, k)))
+
+        def parts(at: Column) -> Column:
+            more = F.array_compact(F.transform(at, lambda end, j: F.when(end - before(at, j) > 3, j)))
+            return let(more, lambda more: F.struct(joined(all_, at).alias("groups_sha256"), links(all_, at, more).alias("pairs"), large(all_, at, more).alias("heavy")))
+
+        return let(at, parts)
+
+    # read twice below, so Catalyst keeps it a column of its own and generates code for it; what follows binds it as a
+    # variable, so that taking an item doesn't open the row anew
+    whole = found.withColumn("merged", merged(F.array_intersect("a_ends", "b_ends")))
+    n_a, n_b = F.size("a_ids"), F.size("b_ids")
+    out = whole.select("row", n_a.cast("long").alias("n_a"), n_b.cast("long").alias("n_b"), (F.size("merged") - n_a - n_b).cast("long").alias("n_groups"), let(F.col("merged"), built).alias("found"))
+    return out.select(F.col("row.row").alias("row"), F.col("row.id").alias(id_col), "n_a", "n_b", "n_groups", "found.groups_sha256", "found.pairs", "found.heavy")
 
 
 def link_counts(found: DataFrame, n_b: int) -> DataFrame:
     """(pair, count, best): in how many rows a pair is linked, and whether that is its A id's highest."""
-    once = found.select(F.explode(F.array_distinct(F.concat("pairs", F.transform("heavy", lambda h: h["pair"])))).alias("pair"))
+    once = found.select(F.explode(F.array_union("pairs", F.transform("heavy", lambda h: h["pair"]))).alias("pair"))
     counts = materialize(once.groupBy("pair").agg(F.count("*").alias("count")), "pair-counts")
     a_id = F.expr(f"pair div {n_b}")
     highest = counts.groupBy(a_id.alias("a_id")).agg(F.max("count").alias("highest"))
@@ -208,7 +292,7 @@ def link_counts(found: DataFrame, n_b: int) -> DataFrame:
 def align(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: tokens, groups, links, and how its links stand in the corpus."""
     found = materialize(aligned(docs, byte_level_path, piece_path, id_col, text_col), "aligned")
-    counts = link_counts(found, Pieces(piece_path).size)
+    counts = link_counts(found, pieces(piece_path).size)
     if counts.count() <= BROADCAST_ROWS:
         counts = F.broadcast(counts)
     one = found.select("row", F.explode("pairs").alias("pair"), F.lit(1).cast("long").alias("n"))

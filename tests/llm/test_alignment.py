@@ -97,4 +97,13 @@ def test_both_libraries_agree_on_plain_characters():
     a = alignment.ByteLevel(BYTE_BPE)
     texts = [f" a{c}b {c}{c} 1{c}2 .{c}, {c}" for c in map(chr, range(0x250))]
     assert not any(alignment.OTHER.search(t) for t in texts)
-    assert a.encode(texts) == [e.ids for e in a.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in a.encode(texts)] == [e.ids for e in a.whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_by_themselves_give_the_pieces_of_the_text():
+    b = alignment.Pieces(PIECES)
+    assert not any("▁" in b.model.id_to_piece(k).lstrip("▁") for k in range(b.size))
+    assert not any(p.startswith("▁▁") and p.strip("▁") for p in map(b.model.id_to_piece, range(b.size)))
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghinorstuéß.,-_0123456789\n\t的😀", k=rng.randint(1, 14))) for _ in range(rng.randint(1, 30))) for _ in range(500)] + some_texts()
+    assert [ids.tolist() for ids in b.encode(texts)] == b.model.encode(texts)
