@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
+from tesserae.streaming import ingest
 
 #: Settings of a collection that may change after its creation.
 MUTABLE = ["chunkingUrl", "chunkOverlap", "chunkSize", "strategy", "keepDuplicate"]
@@ -26,6 +27,7 @@ class Engine:
     resources: resource_id, collection_id, owner_id, content, url, is_deleted.
     points: point_id, collection_id, owner_id, resource_id, text, vector, tokens.
     votes: query_id, chunk_id, delta.  cases: query_id, collection_id, owner_id, expected.
+    asked: queries that votes were given for (point_id, vector, collection_id, owner_id).  runs: records of evaluations.
     """
 
     spark: SparkSession
@@ -34,6 +36,8 @@ class Engine:
     points: DataFrame
     votes: DataFrame | None = None
     cases: DataFrame | None = None
+    asked: DataFrame | None = None
+    runs: DataFrame | None = None
     options: dict = field(default_factory=dict)
 
     def models(self) -> DataFrame:
@@ -48,16 +52,17 @@ class Engine:
                 known = encode.registry(self.spark).where(F.col("kind") == kind).select(F.col("model_id").alias(column))
                 for r in row.select(column).where(F.col(column).isNotNull()).join(known, column, "left_anti").take(1):
                     encode.check_model(kind, r[0])
-        given = lambda c, kind: F.col(c) if c in row.columns else F.lit(None).cast(kind)
-        fault = store.settings_fault(given("chunkSize", "int"), given("chunkOverlap", "int"), given("strategy", "string"), given("chunkingUrl", "string"))
-        for r in row.select(fault.alias("fault")).where("fault is not null").take(1):
-            raise ValueError(r[0])
+        self._check_settings(row)
         self.collections = self.collections.unionByName(row, allowMissingColumns=True)
 
     def update_collection(self, changes: DataFrame) -> None:
         """Changes of mutable settings; models stay as they are."""
         kept = [c for c in changes.columns if c in ("collection_id", "name", "description", *MUTABLE)]
-        self.collections = store.update_by_id(self.collections, changes.select(*kept), "collection_id")
+        kind = dict(changes.dtypes)
+        now = self.collections.withColumns({c: F.lit(None).cast(kind[c]) for c in kept if c not in self.collections.columns})
+        updated = store.update_by_id(now, changes.select(*kept), "collection_id")
+        self._check_settings(updated.join(changes.select("collection_id"), "collection_id", "left_semi"))
+        self.collections = updated
 
     def collection_resources(self, collection_id, owner_id=None, content: bool = False) -> DataFrame:
         found = self.resources.where((F.col("collection_id") == collection_id) & ~F.col("is_deleted"))
@@ -97,9 +102,11 @@ class Engine:
         return chunking.chunk_documents(self.resources.where(~F.col("is_deleted")), "content", strategy, size, overlap, custom)
 
     def search(self, queries: DataFrame, collection_id, owner_id=PUBLIC, resource_id=None, limit: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True, asked: DataFrame | None = None) -> DataFrame:
-        """queries: query_id, text, vector, tokens.  With ``asked`` (point_id, vector), votes for queries like these move the scores."""
+        """queries: query_id, text, vector, tokens.  Votes for similar queries move the scores: those of ``asked`` (point_id, vector), or of the engine's own in this collection and tenant."""
         points = self.points.where((F.col("collection_id") == collection_id) & (F.col("owner_id") == owner_id))
         points = points.where(F.col("resource_id") == resource_id) if resource_id is not None else points
+        if asked is None and self.asked is not None:
+            asked = self.asked.where((F.col("collection_id") == collection_id) & (F.col("owner_id") == owner_id)).select("point_id", "vector")
         moved = None if asked is None or self.votes is None else lambda found: feedback.boost(found, queries, asked, self.vote_counts())
         return retrieve.search(queries, points, limit, min_score, hybrid, reranking, moved)
 
@@ -112,10 +119,8 @@ class Engine:
 
     def replace_metadata(self, rows: DataFrame) -> None:
         """Whole metadata of resources (resource_id, metadata), not merged with the former."""
-        new = rows.select("resource_id", F.col("metadata").alias("_new"), F.lit(True).alias("_has"))
-        old = F.col("metadata") if "metadata" in self.resources.columns else F.lit(None)
-        kept = [c for c in self.resources.columns if c != "metadata"]
-        self.resources = self.resources.join(new, "resource_id", "left").select(*kept, F.when(F.col("_has"), F.col("_new")).otherwise(old).alias("metadata"))
+        now = self.resources if "metadata" in self.resources.columns else self.resources.withColumn("metadata", F.lit(None).cast(dict(rows.dtypes)["metadata"]))
+        self.resources = store.update_by_id(now, rows.select("resource_id", "metadata"), "resource_id", ["metadata"])
 
     def vote(self, rows: DataFrame) -> None:
         self.votes = rows if self.votes is None else self.votes.unionByName(rows)
@@ -128,8 +133,32 @@ class Engine:
         cases = self.cases.where((F.col("collection_id") == collection_id) & (F.col("owner_id") == owner_id))
         asked = queries.join(cases.select("query_id"), "query_id", "left_semi")
         judged = evaluate.evaluate(cases, self.search(asked, collection_id, owner_id, limit=evaluate.TOP_K))
+        run = evaluate.run_record(judged, collection_id, owner_id)
+        self.runs = run if self.runs is None else self.runs.unionByName(run)
         return evaluate.summary(judged), judged, evaluate.failed(judged)
 
+    def vote_by_link(self, clicks: DataFrame, contexts: DataFrame, hours: int = 24) -> DataFrame:
+        """Clicked links count as votes; gives back the clicks without a living context."""
+        votes, failed = feedback.votes_by_link(clicks, contexts, hours)
+        self.vote(votes)
+        return failed
+
+    def ingest(self, messages: DataFrame, number: int, path: str, fetched: DataFrame | None = None, encoder=encode.hash_encoder, custom=None) -> DataFrame:
+        """A batch of messages (token, value [, ord]) into the stores below ``path``; points and contents follow.  Gives back the dead letters."""
+        ingest.work(messages, number, path, self.resources, self.collections, fetched, encoder, custom)
+        documents, points = ingest.stores(self.spark, path)
+        self.points = points.join(documents.select("point_id", "collection_id", F.col("chunk").alias("text")).dropDuplicates(["point_id", "collection_id"]), ["point_id", "collection_id"]).withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+        loaded = self.spark.read.parquet(f"{path}/loaded/batch={number}").select("resource_id", "content", F.struct("token", "ord").alias("at"))
+        self.resources = store.update_by_id(self.resources, loaded, "resource_id", order="at")
+        return self.spark.read.parquet(f"{path}/failed/batch={number}")
+
+    @staticmethod
+    def _check_settings(rows: DataFrame) -> None:
+        given = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+        fault = store.settings_fault(given("chunkSize", "int"), given("chunkOverlap", "int"), given("strategy", "string"), given("chunkingUrl", "string"))
+        for r in rows.select(fault.alias("fault")).where("fault is not null").take(1):
+            raise ValueError(r[0])
+
     @staticmethod
     def _one(found: DataFrame, kind: str, key) -> DataFrame:
         if found.isEmpty():

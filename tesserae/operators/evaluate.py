@@ -25,9 +25,13 @@ def reciprocal_rank(expected: Column, found: Column) -> Column:
 
 
 def evaluate(cases: DataFrame, results: DataFrame) -> DataFrame:
-    """Per case (query_id, expected): what was found and its measures.  results: query_id, point_id, rank."""
+    """Per case (query_id, expected): what was found and its measures.  results: query_id, point_id, rank.
+
+    Ids may be of any type; found ones are compared as the type of those expected.
+    """
+    kind = dict(cases.dtypes)["expected"]
     found = results.where(F.col("rank") <= TOP_K).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "point_id"))), lambda r: r["point_id"]).alias("found"))
-    out = cases.join(found, "query_id", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<bigint>)")))
+    out = cases.join(found, "query_id", "left").withColumn("found", F.coalesce(F.col("found").cast(kind), F.expr(f"cast(array() as {kind})")))
     e, f = F.col("expected"), F.col("found")
     return out.select("query_id", "expected", "found", is_hit(e, f).alias("is_hit"), recall(e, f).alias("recall"), reciprocal_rank(e, f).alias("reciprocal_rank"))
 
@@ -46,3 +50,14 @@ def summary(judged: DataFrame) -> DataFrame:
 
 def failed(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("is_hit"))
+
+
+def run_record(judged: DataFrame, collection_id, owner_id) -> DataFrame:
+    """One row to keep of an evaluation: whose it was, when, its summary, and each case's result.
+
+    A run's cases are those of one collection and owner, set up by hand; the row holds them all.
+    """
+    cases = judged.agg(F.array_sort(F.collect_list(F.struct("query_id", "expected", "found", "is_hit", "recall", "reciprocal_rank"))).alias("results"))
+    run = F.struct(F.lit(collection_id).alias("collection_id"), F.lit(owner_id).alias("owner_id"), F.current_timestamp().alias("at"))
+    # one row each
+    return summary(judged).join(F.broadcast(cases)).select(F.uuid().alias("run_id"), *[run[c].alias(c) for c in ("collection_id", "owner_id", "at")], "overall_score", "average_recall", "mrr", "total_cases", "hit_count", "results")

@@ -74,7 +74,7 @@ def boost(results: DataFrame, queries: DataFrame, asked: DataFrame, counts: Data
     # at most NEIGHBOURS hits a result
     folded = hits.groupBy("query_id", F.col("chunk_id").alias("point_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("order"), "feedback_id", "sim", "votes"))).alias("hits"))
     out = results.join(folded, ["query_id", "point_id"], "left")
-    nothing = F.expr("cast(array() as array<struct<order: double, feedback_id: bigint, sim: double, votes: bigint>>)")
+    nothing = F.expr(f"cast(array() as {dict(folded.dtypes)['hits']})")
     return out.withColumn("score", F.round(boosted(F.col("score"), F.coalesce("hits", nothing)), 6)).drop("hits")
 
 

@@ -40,7 +40,9 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     for row in score:
         near = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -np.inf))
         near = near[row[near] > -np.inf]
-        out.append(near[np.lexsort((ids[near], -row[near]))][:k])
+        # ids may be texts
+        near = near[np.argsort(ids[near], kind="stable")]
+        out.append(near[np.argsort(-row[near], kind="stable")][:k])
     return out
 
 

@@ -62,11 +62,25 @@ def settings_fault(size: Column, overlap: Column, strategy: Column, url: Column)
     )
 
 
-def update_by_id(table: DataFrame, updates: DataFrame, key: str, as_given: list[str] | None = None) -> DataFrame:
-    """Partial update: columns of ``updates`` that aren't null replace the table's, those ``as_given`` also when null."""
+def last_updates(updates: DataFrame, key: str, as_given: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """One update a key: of each column the last value that isn't null, of those ``as_given`` the last at all.
+
+    Updates come in the order of column ``order``, else of the rows.
+    """
+    new = [c for c in updates.columns if c not in (key, order)]
+    rows = updates.select(F.col(key).alias("_key"), (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"), *[F.col(c).alias(f"_new_{c}") for c in new])
+    last = lambda c: F.max_by(F.struct(f"_new_{c}"), F.when(F.col(f"_new_{c}").isNotNull() | F.lit(c in (as_given or ())), F.col("_order")))[f"_new_{c}"]
+    return rows.groupBy("_key").agg(F.lit(True).alias("_hit"), *[last(c).alias(f"_new_{c}") for c in new])
+
+
+def update_by_id(table: DataFrame, updates: DataFrame, key: str, as_given: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Partial update: columns of ``updates`` that aren't null replace the table's, those ``as_given`` also when null.
+
+    Several updates of one id take effect one after the other.
+    """
     taken = F.col("_hit").isNotNull()
-    new = [c for c in updates.columns if c != key]
-    joined = table.join(updates.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in new]), key, "left")
+    new = [c for c in updates.columns if c not in (key, order)]
+    joined = table.join(last_updates(updates, key, as_given, order), F.col(key) == F.col("_key"), "left")
     value = lambda c: F.when(taken, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in (as_given or ()) else F.coalesce(f"_new_{c}", c)
     return joined.select(*[value(c).alias(c) if c in new else F.col(c) for c in table.columns])
 

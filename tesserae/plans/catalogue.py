@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
 from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
-from tesserae.sources import html, loaders, tables
-from tesserae.streaming import cdc, ingest
+from tesserae.sources import html, loaders, scratch, tables
+from tesserae.streaming import cdc, ingest, messages, settle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -539,3 +539,41 @@ def q54_added_votes(spark, sf_dir):
     v = tables.votes(spark, sf_dir)
     old = feedback.vote_counts(v.where("event_id % 2 = 0"))
     return feedback.add_votes(old, v.where("event_id % 2 = 1"), old)[0]
+
+
+#: Messages of the changes, what loaders got (PDFs none), and what is stored before; resources of collection c6 have none.
+MESSAGES = EVENTS + """, texts as (select token, resource_id, url, content, unnest(names) as event, unnest(range(len(names))) as ord from listed),
+ m as (select *, 'c' || resource_id % 7 as collection_id, case when event = 'load' and url like '%html' then 'page of ' || url end as fetched from texts),
+ judged as (select *, case when event = 'load' and fetched is null then 'nothing fetched' when event = 'chunk' and coalesce(content, '') = '' then 'empty content' end as reason from m),
+ known as (select *, coalesce(last_value(case when event = 'load' and reason is null then fetched end ignore nulls) over (partition by resource_id order by token, ord rows between unbounded preceding and 1 preceding),
+   case when resource_id % 5 = 0 then 'page of https://Site' || resource_id || '.example.com/a.b/Doc.html' end) as stored from judged),
+ settled as (select *, case when reason is not null then null when event = 'load' and fetched is distinct from stored then 'write' when event = 'chunk' then 'save' when event = 'delete' then 'delete' end as action,
+   case when reason is not null then 'error' when event = 'load' and fetched is distinct from stored then 'loaded' when event = 'load' then 'chunked' when event = 'chunk' then 'chunked' when event = 'delete' then 'deleted' end as status from known)"""
+
+
+def message_inputs(spark, sf_dir):
+    changes = tables.changes(spark, sf_dir).withColumns({"collection_id": F.concat(F.lit("c"), F.pmod("resource_id", F.lit(7)).cast("string")), "owner_id": F.lit("o")})
+    fetched = changes.where("url like '%html'").select("url").distinct().withColumn("content", F.concat(F.lit("page of "), "url"))
+    ids = changes.where("resource_id % 5 = 0").select(F.col("resource_id").cast("string").alias("resource_id")).distinct()
+    stored = ids.withColumn("content", F.concat(F.lit("page of https://Site"), "resource_id", F.lit(".example.com/a.b/Doc.html")))
+    return messages.of_changes(changes), fetched, stored
+
+
+@query(f"with {MESSAGES} select token, cast(ord as int) as ord, event, cast(resource_id as varchar) as resource_id, action, status, reason from settled")
+def q55_settled_messages(spark, sf_dir):
+    return settle.settle(*message_inputs(spark, sf_dir)).select("token", "ord", "event", "resource_id", "action", "status", "reason")
+
+
+@query(f"""with {MESSAGES}, saves as (select token, ord, collection_id, resource_id, content, {CONTENT_ID.replace("lang", "collection_id").replace("source", "'o'").replace("text)", "content)")} as point_id from settled where action = 'save' and collection_id <> 'c6'),
+ gone as (select collection_id, resource_id, max(token * 10 + ord) as at from settled where action = 'delete' group by all),
+ latest as (select * from (select *, row_number() over (partition by collection_id, point_id order by token desc, ord desc) as n from saves) where n = 1),
+ both_stores as (select 'documents' as store, token, ord, collection_id, resource_id, point_id from saves union all select 'vectors', token, ord, collection_id, resource_id, point_id from latest)
+ select store, token, cast(ord as int) as ord, b.collection_id, cast(b.resource_id as varchar) as resource_id, point_id from both_stores b left join gone g on b.collection_id = g.collection_id and b.resource_id = g.resource_id where g.at is null or g.at < token * 10 + ord""")
+def q56_stores_after_messages(spark, sf_dir):
+    found, fetched, stored = message_inputs(spark, sf_dir)
+    path = scratch.new_path(spark, "q56")
+    collections = spark.range(6).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("collection_id"))
+    ingest.work(found, 0, path, stored, collections, fetched)
+    documents, points = ingest.stores(spark, path)
+    held = lambda df, name: df.select(F.lit(name).alias("store"), "token", "ord", "collection_id", "resource_id", "point_id")
+    return held(documents, "documents").unionByName(held(points, "vectors"))

@@ -1,31 +1,21 @@
-"""Messages of the pipeline: validation, chunking and encoding, point ids, and both stores."""
+"""Settled messages at work: chunking and encoding by effective settings, both stores, statuses, dead letters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import content_id
 from tesserae.operators import chunking, encode, store
-from tesserae.streaming import cdc
+from tesserae.streaming import settle
+from tesserae.streaming.messages import parsed
 
-EVENT = "event string, resourceId string, collectionId string, ownerId string, url string, data string, vectorSource string"
+__all__ = ["apply", "embed_source", "parsed", "point_id", "run_stream", "settings_of", "stores", "work"]
 
-
-def parsed(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    """Adds ``message``, and ``reason`` where it is none of the known events; null if it is valid."""
-    out = messages.withColumn("message", F.from_json(F.col(value_col), EVENT))
-    empty = lambda c: F.coalesce(F.trim(F.col(f"message.{c}")), F.lit("")) == ""
-    event = F.col("message.event")
-    reason = (
-        F.when(F.col("message").isNull() | event.isNull() | ~event.isin("load", "chunk", "delete", "update"), F.lit("unknown event"))
-        .when(empty("resourceId"), F.lit("no resource"))
-        .when((event == "load") & empty("url"), F.lit("no url"))
-        .when((event == "chunk") & empty("data"), F.lit("empty content"))
-    )
-    return out.withColumn("reason", reason)
+#: Where a message stands in the order of all.
+SEQ = ["token", "ord"]
 
 
 def embed_source(data: Column, vector_source: Column) -> Column:
@@ -38,99 +28,84 @@ def point_id(data: Column, vector_source: Column, collection: Column, owner: Col
     return F.when(F.coalesce(keep_duplicate, F.lit(False)), F.uuid()).otherwise(content_id(F.concat(data, F.coalesce(vector_source, F.lit(""))), collection, owner))
 
 
-def chunks_of(events: DataFrame, strategy: str = "recursive", size: int = chunking.DEFAULT_SIZE, overlap: int = chunking.DEFAULT_OVERLAP, keep_duplicate: bool = False, custom: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """Chunks of valid ``chunk`` events with their point ids; an empty text has been refused before."""
-    rows = events.where("reason is null and message.event = 'chunk'").select("message.resourceId", "message.collectionId", "message.ownerId", "message.data", "message.vectorSource")
-    parts = chunking.chunk_documents(rows, "data", strategy, size, overlap, custom).drop("data").withColumnRenamed("chunk", "data")
-    ids = point_id(F.col("data"), F.col("vectorSource"), F.col("collectionId"), F.col("ownerId"), F.lit(keep_duplicate))
-    return parts.withColumn("point_id", ids).withColumn("embed", embed_source(F.col("data"), F.col("vectorSource")))
-
-
-def process(batch: DataFrame, number: int, documents_path: str, vectors_path: str, failed_path: str, encoder: Callable[[list[str]], list] = encode.hash_encoder, **chunking_options) -> None:
-    """One batch: dead letters, the document store's chunks, and the vector store's points by collection.
-
-    Files of a batch are replaced when it is repeated, and either store can be
-    written again without the other.
-    """
-    events = parsed(batch)
-    events.where("reason is not null").select("value", "reason").write.mode("overwrite").parquet(f"{failed_path}/batch={number}")
-    chunks = chunks_of(events, **chunking_options)
-    # ids of kept duplicates are drawn once, for both stores
-    documents = f"{documents_path}/batch={number}"
-    chunks.write.mode("overwrite").parquet(documents)
-    stored = batch.sparkSession.read.schema(chunks.schema).parquet(documents)
-
-    def vectors(frames):
-        for f in frames:
-            yield f.assign(vector=[list(map(float, v)) for v in encoder(f["embed"].tolist())])
-
-    points = stored.select("point_id", "resourceId", "ownerId", "collectionId", "embed").mapInPandas(vectors, "point_id string, resourceId string, ownerId string, collectionId string, embed string, vector array<double>")
-    points.drop("embed").write.mode("overwrite").partitionBy("collectionId").parquet(f"{vectors_path}/batch={number}")
-
+def settings_of(saves: DataFrame, resources: DataFrame, collections: DataFrame) -> DataFrame:
+    """Messages that save a text, with their effective chunk_size, chunk_overlap and strategy, and ``known``: whether the collection is.
 
-def settings_of(events: DataFrame, resources: DataFrame, collections: DataFrame) -> DataFrame:
-    """``chunk`` events with their effective chunk_size, chunk_overlap and strategy, and ``known``: whether the collection is.
-
-    resources: resource_id [, chunkSize, chunkOverlap, strategy]; collections: collection_id and the same.
+    resources: resource_id [, chunkSize, chunkOverlap, strategy]; collections: collection_id and the same [, keepDuplicate].
     """
     def part(df: DataFrame, key: str, name: str) -> DataFrame:
         given = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
-        return df.select(F.col(key).cast("string").alias(f"{name}_key"), given("chunkSize", "int").alias(f"{name}_size"), given("chunkOverlap", "int").alias(f"{name}_overlap"), given("strategy", "string").alias(f"{name}_strategy"))
+        return df.select(F.col(key).cast("string").alias(f"{name}_key"), given("chunkSize", "int").alias(f"{name}_size"), given("chunkOverlap", "int").alias(f"{name}_overlap"), given("strategy", "string").alias(f"{name}_strategy"), given("keepDuplicate", "boolean").alias(f"{name}_keep"))
 
-    chunk = events.where("reason is null and message.event = 'chunk'").select("value", "message.*").withColumnsRenamed({"resourceId": "resource_id", "collectionId": "collection_id"})
-    r, c = part(resources, "resource_id", "resource"), part(collections, "collection_id", "collection")
-    joined = chunk.join(r, F.col("resource_id") == F.col("resource_key"), "left").join(c, F.col("collection_id") == F.col("collection_key"), "left")
+    r, c = part(resources, "resource_id", "resource").dropDuplicates(["resource_key"]), part(collections, "collection_id", "collection").dropDuplicates(["collection_key"])
+    joined = saves.join(r, F.col("resource_id") == F.col("resource_key"), "left").join(c, F.col("collection_id") == F.col("collection_key"), "left")
     own = F.coalesce("resource_size", "resource_overlap").isNotNull() | F.col("resource_strategy").isNotNull()
-    return store.resolve_settings(joined.withColumn("has_settings", own).withColumn("known", F.col("collection_key").isNotNull()), "value", "ownerId", "data", "vectorSource", "known")
+    marked = joined.withColumn("has_settings", own).withColumn("known", F.col("collection_key").isNotNull()).withColumn("keep_duplicate", F.coalesce("collection_keep", F.lit(False)))
+    return store.resolve_settings(marked, *SEQ, "value", "owner_id", "data", "vector_source", "known", "keep_duplicate")
 
 
-def work(batch: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None) -> None:
-    """One batch of messages done: tables ``loaded``, ``documents``, ``vectors`` (by collection), ``deleted``, ``failed`` and ``statuses`` below ``path``.
+def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None) -> None:
+    """One batch of settled messages done: tables ``settled``, ``loaded``, ``documents``, ``vectors`` (by collection), ``deleted``, ``failed`` and ``statuses`` below ``path``.
 
-    ``fetched`` (url, content) is what the loaders got.  Each table's files of a
-    batch are replaced when it is repeated.
+    Each table's files of a batch are replaced when it is repeated, so a failure
+    between two of them neither loses nor doubles rows.  Rows carry their
+    message's place (token, ord), by which :func:`stores` lets deletes take effect.
     """
-    spark = batch.sparkSession
+    spark = settled.sparkSession
     at = lambda name: f"{path}/{name}/batch={number}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(at(name))
         return spark.read.schema(df.schema).parquet(at(name))
 
-    events = parsed(batch)
-    load = events.where("reason is null and message.event = 'load'").select("value", "message.resourceId", "message.url")
-    contents = load.withColumn("content", F.lit(None).cast("string")) if fetched is None else load.join(fetched.select("url", "content").dropDuplicates(["url"]), "url", "left")
-    loaded = kept(contents.where("content is not null").select(F.col("resourceId").alias("resource_id"), "content"), "loaded")
-    old = resources.select(F.col("resource_id").cast("string").alias("resource_id"), "content") if "content" in resources.columns else loaded.limit(0)
-
-    settings = settings_of(events, resources, collections)
-    parts = chunking.chunk_by_settings(settings.where("known"), "data", custom).drop("data")
-    source = F.coalesce("vector_source", "vectorSource")
-    flags = collections.select(F.col("collection_id").cast("string").alias("collection_id"), (F.col("keepDuplicate") if "keepDuplicate" in collections.columns else F.lit(False)).alias("keep_duplicate"))
-    found = parts.withColumn("vector_source", source).join(flags, "collection_id", "left")
-    ids = point_id(F.col("chunk"), F.col("vector_source"), F.col("collection_id"), F.col("ownerId"), F.col("keep_duplicate"))
+    rows = kept(settled, "settled")
+    kept(rows.where("action = 'write'").select(*SEQ, "resource_id", "collection_id", "owner_id", "content"), "loaded")
+    settings = settings_of(rows.where("action = 'save'").select(*SEQ, "value", "resource_id", "collection_id", "owner_id", "data", "vector_source"), resources, collections)
+    parts = chunking.chunk_by_settings(settings.where("known").withColumnRenamed("vector_source", "given_source"), "data", custom).drop("data")
+    found = parts.withColumn("vector_source", F.coalesce("vector_source", "given_source")).drop("given_source")
+    ids = point_id(F.col("chunk"), F.col("vector_source"), F.col("collection_id"), F.col("owner_id"), F.col("keep_duplicate"))
     # ids of kept duplicates are drawn once, for both stores
-    documents = kept(found.withColumn("point_id", F.when(F.col("error").isNull(), ids)).drop("vectorSource", "known", "keep_duplicate"), "documents")
-    good = documents.where("error is null").select("point_id", "resource_id", "ownerId", "collection_id", embed_source(F.col("chunk"), F.col("vector_source")).alias("embed"))
+    documents = kept(found.withColumn("point_id", F.when(F.col("error").isNull(), ids)).drop("known", "keep_duplicate"), "documents")
+    good = documents.where("error is null").select("point_id", *SEQ, "resource_id", "owner_id", "collection_id", "chunk_no", embed_source(F.col("chunk"), F.col("vector_source")).alias("embed"))
     encode.encode(good, "embed", encoder=encoder).drop("embed").write.mode("overwrite").partitionBy("collection_id").parquet(at("vectors"))
-    gone = kept(events.where("reason is null and message.event = 'delete'").select(F.col("message.resourceId").alias("resource_id"), F.col("message.collectionId").alias("collection_id")), "deleted")
-
-    bad = [
-        events.where("reason is not null").select("value", "reason", F.col("message.resourceId").alias("resource_id")),
-        contents.where("content is null").select("value", F.lit("nothing fetched").alias("reason"), F.col("resourceId").alias("resource_id")),
-        settings.where("not known").select("value", F.lit("collection not found").alias("reason"), "resource_id"),
-        documents.where("error is not null").select("value", F.col("error").alias("reason"), "resource_id"),
-    ]
-    failed = kept(bad[0].unionByName(bad[1]).unionByName(bad[2]).unionByName(bad[3]), "failed")
-    done = documents.where("error is null").select("resource_id", F.lit("chunked").alias("status"))
-    statuses = cdc.unchanged_loads(loaded, old).unionByName(done).unionByName(gone.select("resource_id", F.lit("deleted").alias("status")))
-    errors = failed.where("resource_id is not null").select("resource_id", F.lit("error").alias("status"))
-    statuses.unionByName(errors).distinct().write.mode("overwrite").parquet(at("statuses"))
-
-
-def run_stream(source: DataFrame, checkpoint: str, trigger: dict | None = None, **options):
-    """A stream of messages (value) into both stores."""
+    kept(rows.where("action = 'delete'").select(*SEQ, "resource_id", "collection_id"), "deleted")
+
+    bad = rows.where("reason is not null").select(*SEQ, "value", "reason", "resource_id")
+    bad = bad.unionByName(settings.where("not known").select(*SEQ, "value", F.lit("collection not found").alias("reason"), "resource_id"))
+    failed = kept(bad.unionByName(documents.where("error is not null").select(*SEQ, "value", F.col("error").alias("reason"), "resource_id")), "failed")
+    undone = failed.where(F.col("reason") != settle.REPEATED).select(*SEQ, F.lit(settle.ERROR).alias("_error")).distinct()
+    out = rows.where("resource_id is not null").join(undone, SEQ, "left").withColumn("status", F.coalesce("_error", "status"))
+    out.where("status is not null").select("resource_id", "status", *SEQ).distinct().write.mode("overwrite").parquet(at("statuses"))
+
+
+def work(batch: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None) -> None:
+    """One batch of messages (token, value [, ord]) settled and done, without state from earlier ones.
+
+    ``fetched`` (url, content) is what the loaders got, ``resources`` what is stored.
+    """
+    stored = resources if "content" in resources.columns else None
+    apply(settle.settle(batch, fetched, stored), number, path, resources, collections, encoder, custom)
+
+
+def run_stream(source: DataFrame, path: str, checkpoint: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None, trigger: dict | None = None):
+    """A stream of messages (token, value [, ord]) into both stores; what each resource has stored is keyed state."""
     def each(batch: DataFrame, number: int) -> None:
-        process(batch, number, **options)
+        apply(batch, number, path, resources, collections, encoder, custom)
+
+    stored = resources if "content" in resources.columns else None
+    settled = settle.settle(source, fetched, stored)
+    return settled.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stores(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What the document store and the vector store hold after all batches: saves that no later delete of their resource follows."""
+    # a resource's chunks of one message have one place, so the chunk's number tells the last of equal ones
+    seq = F.struct("token", "ord", "chunk_no").alias("seq")
+    gone = spark.read.parquet(f"{path}/deleted").select(F.struct("token", "ord", F.lit(2**31 - 1).alias("chunk_no")).alias("seq"), F.lit("delete").alias("action"), "collection_id", "resource_id")
+
+    def log(name: str) -> DataFrame:
+        saved = spark.read.parquet(f"{path}/{name}")
+        saved = saved.where("error is null").drop("error") if "error" in saved.columns else saved
+        return saved.drop("batch").withColumns({"seq": seq, "action": F.lit("save")}).unionByName(gone, allowMissingColumns=True)
 
-    return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return store.live_chunks(log("documents")).drop("action", "seq"), store.live_points(log("vectors")).drop("action", "seq")

@@ -85,3 +85,56 @@ def test_links_become_votes(spark):
     votes, failed = feedback.votes_by_link(clicks, contexts)
     assert [tuple(r) for r in votes.collect()] == [(1, 7, 1)]
     assert sorted(r["reason"] for r in failed.collect()) == ["link expired", "link expired", "unknown action"]
+
+
+def test_several_updates_of_one_id_leave_one_row(engine, spark):
+    new = spark.createDataFrame([(1, 10, "first", None), (3, 10, "third", None), (2, 10, "second", "other")], "n int, resource_id long, content string, owner_id string")
+    from tesserae.operators import store
+
+    table = store.update_by_id(engine.resources, new, "resource_id", order="n")
+    assert table.count() == 3 and tuple(table.where("resource_id = 10").select("content", "owner_id").first()) == ("third", "other")
+    engine.update_resource(new.coalesce(1).drop("n"))
+    assert engine.resources.count() == 3 and engine.resource(10).first()["content"] == "second"
+    engine.replace_metadata(spark.createDataFrame([(10, "a"), (10, "b")], "resource_id long, metadata string").coalesce(1))
+    engine.replace_metadata(spark.createDataFrame([(10, None), (11, "c")], "resource_id long, metadata string").coalesce(1))
+    assert {r["resource_id"]: r["metadata"] for r in engine.resources.collect()} == {10: None, 11: "c", 12: None}
+
+
+def test_updates_of_settings_are_checked(engine, spark):
+    with pytest.raises(ValueError, match="overlap"):
+        engine.update_collection(spark.createDataFrame([("c", 1000)], "collection_id string, chunkOverlap int"))
+    assert tuple(engine.collection("c").first()) == ("c", "C", 1000)
+    engine.update_collection(spark.createDataFrame([("c", 100)], "collection_id string, chunkOverlap int"))
+    assert tuple(engine.collection("c").first()) == ("c", "C", 1000, 100)
+
+
+def test_what_was_ingested_can_be_searched_voted_and_evaluated(spark, tmp_path):
+    """Point ids are texts here, as the library makes them."""
+    import json
+
+    from tesserae.operators.feedback import review_links
+
+    texts = {"r1": "red apples and green pears.", "r2": "stock prices fell on monday.", "r3": "green apples."}
+    rows = [(k, json.dumps(dict(event="chunk", resourceId=r, collectionId="c", ownerId="public", data=t))) for k, (r, t) in enumerate(texts.items())]
+    rows += [(8, json.dumps(dict(event="load", resourceId="r2", url="http://a.org"))), (9, json.dumps(dict(event="delete", resourceId="r3", collectionId="c")))]
+    resources = spark.createDataFrame([(r, "c", "public", t, False) for r, t in texts.items()], "resource_id string, collection_id string, owner_id string, content string, is_deleted boolean")
+    engine = Engine(spark, spark.createDataFrame([("c", "C")], "collection_id string, name string"), resources, None)
+    failed = engine.ingest(spark.createDataFrame(rows, "token long, value string"), 0, str(tmp_path), spark.createDataFrame([("http://a.org", "new text")], "url string, content string"))
+    assert failed.isEmpty() and engine.resource("r2").first()["content"] == "new text"
+    points = {r["resource_id"]: r["point_id"] for r in engine.points.collect()}
+    assert set(points) == {"r1", "r2"} and all(isinstance(p, str) for p in points.values())
+
+    asked = encode(spark.createDataFrame([("q1", "green apples"), ("q2", "prices on monday")], "query_id string, text string"), "text").withColumn("tokens", token_vectors(F.col("vector")))
+    first = lambda: {r["query_id"]: r["point_id"] for r in engine.search(asked, "c").collect() if r["rank"] == 1}
+    assert first() == {"q1": points["r1"], "q2": points["r2"]}
+    engine.cases = spark.createDataFrame([("q1", "c", "public", [points["r1"]]), ("q2", "c", "public", ["none"])], "query_id string, collection_id string, owner_id string, expected array<string>")
+    summary, judged, missed = engine.evaluate(asked, "c")
+    assert tuple(summary.first())[3:] == (2, 1) and [r["query_id"] for r in missed.collect()] == ["q2"]
+    run = engine.runs.first()
+    assert run["collection_id"] == "c" and run["total_cases"] == 2 and [r["is_hit"] for r in run["results"]] == [True, False]
+
+    linked = review_links(spark.createDataFrame([("q1", points["r2"])], "query_id string, point_id string"), "http://h", F.lit("k")).withColumn("made_at", F.current_timestamp())
+    clicks = spark.createDataFrame([("k", "upvote")] * 60 + [("gone", "upvote")], "feedback_id string, action string").withColumn("at", F.current_timestamp())
+    assert engine.vote_by_link(clicks, linked).count() == 1
+    engine.asked = asked.where("query_id = 'q1'").select(F.col("query_id").alias("point_id"), "vector", F.lit("c").alias("collection_id"), F.lit("public").alias("owner_id"))
+    assert first()["q1"] == points["r2"]
