@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -55,6 +56,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the system, where the library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -69,8 +78,8 @@ def map_slices(
             for at in range(0, batch.num_rows, rows):
                 yield step(batch.slice(at, rows))
         # workers serve further stages, whose memory this task's buffers would add to
-        batch = None
-        pa.default_memory_pool().release_unused()
+        batch = step = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -325,22 +325,23 @@ def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     kept = filled.groupBy("component").agg(F.min(F.struct("id", "set_key")).alias("k")).select("k.id", "k.set_key")
     repeated = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     repeated = materialize(repeated, "repeated")
-    key = F.col(id_col).cast("long")
     gone = filled.select("id").distinct().join(kept, "id", "left_anti").unionByName(repeated).distinct()
-    gone = materialize(gone.select(F.col("id").alias("_gone")), "gone")
-    left = docs.join(gone, key == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = materialize(gone, "gone")
+    # a document is one column beside its id, so that its columns may have any names
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    left = whole.join(gone, "id", "left_anti").select("document.*")
     if repeated.isEmpty():
         return left
     # rows of repeated ids are told apart by their texts
-    unclear = docs.join(repeated.select(F.col("id").alias("_id")), key == F.col("_id"), "left_semi").withColumn("_text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    unclear = materialize(unclear.dropDuplicates([id_col, "_text"]), "unclear")
-    told = map_slices(unclear.select(key.alias("id"), "_text", F.col(text_col).cast("string").alias("text")), keyed_texts, "id long, _text string, n_shingles long, set_key binary")
-    told = told.join(kept.withColumn("_kept", F.lit(True)), ["id", "set_key"], "left").where("_kept or n_shingles = 0")
+    text = F.col("document").getField(text_col).cast("string")
+    unclear = whole.join(repeated, "id", "left_semi").withColumn("digest", F.sha2(F.coalesce(text, F.lit("")), 256))
+    unclear = materialize(unclear.dropDuplicates(["id", "digest"]), "unclear")
+    told = map_slices(unclear.select("id", "digest", text.alias("text")), keyed_texts, "id long, digest string, n_shingles long, set_key binary")
+    told = told.join(kept.withColumn("stays", F.lit(True)), ["id", "set_key"], "left").where("stays or n_shingles = 0")
     # texts of one class differ in white space or case only; one of them stays
-    told = told.groupBy("id", F.when(F.col("n_shingles") > 0, F.hex("set_key")).otherwise(F.col("_text")).alias("_one")).agg(F.min("_text").alias("_text"))
-    chosen = told.select(F.col("id").alias("_id"), F.col("_text").alias("_t"))
-    again = unclear.join(chosen, (key == F.col("_id")) & (F.col("_text") == F.col("_t")), "left_semi")
-    return left.unionByName(again.select(*docs.columns))
+    chosen = told.groupBy("id", F.when(F.col("n_shingles") > 0, F.hex("set_key")).otherwise(F.col("digest")).alias("one")).agg(F.min("digest").alias("digest")).select("id", "digest")
+    again = unclear.join(chosen, ["id", "digest"], "left_semi")
+    return left.unionByName(again.select("document.*"))
 
 
 def keyed_texts():
@@ -348,6 +349,6 @@ def keyed_texts():
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(2).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary())], names=["id", "_text", "n_shingles", "set_key"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary())], names=["id", "digest", "n_shingles", "set_key"])
 
     return step

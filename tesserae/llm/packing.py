@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.bpe_stream import MergeList
 from tesserae.llm.common import map_slices, text_groups
 
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 #: What a row counts as besides its text when groups are sized.
 ROW_CHARS = 200
 SLICE_ROWS = 2048
@@ -301,8 +301,13 @@ class OpenSequences:
         return -(a * tokens * size + b * self.total[1] + c * self.total[2] * size * size)
 
 
-def vector_best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: int, weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each piece, pieces taken longest first."""
+def vector_best_fit(lengths: np.ndarray, capacity: int, max_docs: int | None, max_attention: int, weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+    """Sequence number and offset of each piece, pieces taken longest first.
+
+    Without ``max_docs``, a sequence has as many slots as it could hold of the shortest piece: they count in the
+    choice of a sequence, and never open one that tokens alone would not.
+    """
+    max_docs = max_docs or max(1, capacity // max(1, int(lengths.min(initial=capacity))))
     order = np.lexsort((np.arange(len(lengths)), -lengths))
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     room, filled = OpenSequences((capacity, max_docs, max_attention), weights, rule), 0
@@ -321,8 +326,7 @@ def vector_best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_atten
     return sequence, offset
 
 
-#: Production parameters: documents a sequence may hold, and how much each residual counts in the choice.
-MAX_DOCS = 64
+#: Production parameter: how much each residual counts in the choice.
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
@@ -330,7 +334,7 @@ def pack(
     docs: DataFrame,
     tokenizer_path: str,
     capacity: int = 2048,
-    max_docs: int = MAX_DOCS,
+    max_docs: int | None = None,
     max_attention: int | None = None,
     weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
@@ -341,8 +345,8 @@ def pack(
 ) -> DataFrame:
     """Pieces with sequence_id and gapless offset.
 
-    ``max_attention`` defaults to the cost of one piece of full length, the least
-    that lets every piece in.  ``group_chars`` is the text of the pieces that one
+    ``max_docs`` defaults to what each group's shortest piece admits, ``max_attention``
+    to the cost of one piece of full length, the least that lets every piece in.  ``group_chars`` is the text of the pieces that one
     task packs, a row counting as ``ROW_CHARS`` besides its text.
     """
     max_attention = max_attention or capacity * capacity

@@ -640,15 +640,20 @@ def test_best_fit_equals_the_plain_loop(rule, weights):
         left[at] = tuple(x - d for x, d in zip(left[at], need, strict=True))
 
 
-def test_production_capacities_and_weights_matter(spark):
-    """Packing by tokens alone would put more documents together and choose otherwise."""
+def test_production_weights_matter_and_capacities_open_no_sequence(spark):
+    """Packing by tokens alone would choose otherwise, and need as many sequences."""
     assert all(w > 0 for w in packing.WEIGHTS)
-    lengths = np.random.default_rng(2).integers(1, 300, 3000)
-    alone, _ = packing.vector_best_fit(lengths, 2048, 2048, 2048**2, (1.0, 0.0, 0.0))
-    used, _ = packing.vector_best_fit(lengths, 2048, packing.MAX_DOCS, 2048**2, packing.WEIGHTS)
-    assert (alone != used).any() and used.max() <= alone.max() + 2
-    short = spark.createDataFrame([(k, "a") for k in range(1000)], "doc_id long, text string")
-    assert packing.pack(short, WORD_BPE).groupBy("sequence_id").count().agg(F.max("count")).first()[0] == packing.MAX_DOCS
+    rng = np.random.default_rng(2)
+    for lengths in (rng.integers(1, 300, 3000), np.full(20_000, 8), rng.integers(1, 60, 20_000)):
+        alone, _ = packing.vector_best_fit(lengths, 2048, 2048, 2048**2, (1.0, 0.0, 0.0))
+        used, _ = packing.vector_best_fit(lengths, 2048, None, 2048**2, packing.WEIGHTS)
+        assert used.max() <= alone.max() and used.max() + 1 == -(-lengths.sum() // 2048)
+    mixed = rng.integers(30, 900, 3000)
+    alone, _ = packing.vector_best_fit(mixed, 2048, 2048, 2048**2, (1.0, 0.0, 0.0))
+    used, _ = packing.vector_best_fit(mixed, 2048, None, 2048**2, packing.WEIGHTS)
+    assert (alone != used).any() and used.max() <= alone.max() + 1
+    short = spark.createDataFrame([(k, "a") for k in range(3000)], "doc_id long, text string")
+    assert packing.pack(short, WORD_BPE).select("sequence_id").distinct().count() == 3
 
 
 def test_repeated_rows_are_dealt_over_groups(spark):

@@ -42,7 +42,7 @@ def test_edge_rows(spark, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     odd = spark.createDataFrame([(900_001, None, None, None, None), (900_002, "", "en", "s", 0), (None, "w " * 80, "en", "s", 160), (900_003, "long " * 60_000, "en", "s", 300_000)], docs.schema)
     mixed = docs.unionByName(docs.where("doc_id < 20")).unionByName(odd)
-    for c in ("id", "text_", "kept", "score", "label", "toxic", "quality", "component", "set_key"):
+    for c in ("id", "text_", "kept", "score", "label", "toxic", "quality", "component", "set_key", "_gone", "_id", "_text", "_group", "_kept", "_one", "document", "digest", "stays"):
         mixed = mixed.withColumn(c, F.lit("x"))
     mixed.write.parquet(str(tmp_path / "documents.parquet"))
     want = {r[0] for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()}
