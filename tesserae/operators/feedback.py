@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.retrieve import dense_topk
+from tesserae.operators.retrieve import block_topk, dense_topk, same_owner_scores
+from tesserae.sources import scratch
 
 #: Neighbours of a query, and how alike they must be.
 NEIGHBOURS, SEARCH_GATE, VOTE_GATE, WEIGHT = 5, 0.85, 0.9, 0.2
@@ -118,18 +119,150 @@ def assign_in_order(votes: list[tuple[int, np.ndarray]], known: list[tuple[int,
     return out
 
 
-def assign_votes(votes: DataFrame) -> DataFrame:
-    """Feedback id of each vote (event_id, owner_id, query_id, vector), owner by owner in event order.
-
-    The outcome depends on the order of an owner's distinct queries, so an owner
-    is folded as a whole; votes are reduced to each query's first one before.
+class Known:
+    """Feedback queries known so far, in order of creation, with unit vectors and, in hybrid mode, term weights."""
+
+    def __init__(self, hybrid: bool = False, gate: float = VOTE_GATE) -> None:
+        self.hybrid, self.gate = hybrid, gate
+        self.ids: list = []
+        self.vectors: list[np.ndarray] = []
+        self.terms: list[dict] = []
+
+    def add(self, query, vector: np.ndarray, terms: dict | None = None) -> None:
+        self.ids.append(query)
+        self.vectors.append(vector)
+        self.terms.append(terms or {})
+
+    def belongs_to(self, vector: np.ndarray, terms: dict | None = None):
+        """The known query that a vote for this one counts for, or None.
+
+        Dense: the most alike, if alike enough.  Hybrid: two candidates of either
+        branch are fused by reciprocal ranks, whose best only passes the gate if
+        it is first in both branches; points that share no term are in none.
+        """
+        if not self.ids:
+            return None
+        sims = np.round(np.array(self.vectors) @ vector, 6)
+        first = int(sims.argmax())
+        if not self.hybrid:
+            return self.ids[first] if sims[first] > self.gate else None
+        shared = np.array([sum(w * own.get(t, 0) for t, w in (terms or {}).items()) for own in self.terms])
+        score: dict[int, float] = {}
+        for branch in (sims, np.where(shared > 0, shared, -np.inf)):
+            order = np.argsort(-branch, kind="stable")[:2]
+            for place, k in enumerate(order[branch[order] > -np.inf].tolist()):
+                score[k] = score.get(k, 0) + 1 / (2 + place)
+        best = min(score, key=lambda k: (-score[k], k))
+        return self.ids[best] if score[best] > self.gate else None
+
+
+def assign_hybrid(votes: DataFrame) -> DataFrame:
+    """Like :func:`assign_votes` where the collection has a sparse model: votes also have ``terms``, a map of weights.
+
+    Which query a vote falls to depends on all those known just then, whatever
+    the distance, so an owner's distinct queries are one ordered fold.
     """
-    first = votes.groupBy("owner_id", "query_id").agg(F.min("event_id").alias("event_id"), F.min_by("vector", "event_id").alias("vector"))
+    first = votes.groupBy("owner_id", "query_id").agg(F.min("event_id").alias("event_id"), F.min_by("vector", "event_id").alias("vector"), F.min_by(F.map_entries("terms"), "event_id").alias("terms"))
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("event_id")
-        vectors = [np.asarray(v, float) / max(np.linalg.norm(v), 1e-12) for v in f["vector"]]
-        return pd.DataFrame({"owner_id": f["owner_id"], "query_id": f["query_id"], "feedback_id": assign_in_order(list(zip(f["query_id"].tolist(), vectors, strict=True)), [])})
+        known, out = Known(hybrid=True), []
+        for query, vector, entries in zip(f["query_id"].tolist(), unit_rows(f["vector"]), f["terms"], strict=True):
+            terms = {e["key"]: e["value"] for e in entries} if entries is not None else {}
+            found = known.belongs_to(vector, terms)
+            if found is None:
+                known.add(query, vector, terms)
+            out.append(query if found is None else found)
+        return pd.DataFrame({"owner_id": f["owner_id"], "query_id": f["query_id"], "feedback_id": out})
 
     of = dict(votes.dtypes)
     return first.groupBy("owner_id").applyInPandas(fold, f"owner_id {of['owner_id']}, query_id {of['query_id']}, feedback_id {of['query_id']}")
+
+
+def unit_rows(vectors) -> list[np.ndarray]:
+    return [np.asarray(v, float) / max(np.linalg.norm(v), 1e-12) for v in vectors]
+
+
+#: Queries of an owner that are settled in one round, and of a part that meets the founders of a round.
+ROUND, PART = 2048, 20_000
+
+
+def founders(first: DataFrame, gate: float = VOTE_GATE, round_size: int = ROUND) -> DataFrame:
+    """Queries (owner_id, query_id, event_id, vector) that no earlier founder of their owner is alike enough to.
+
+    An owner's queries are settled in rounds.  A round folds the first undecided
+    ones of each owner, a bounded number in one task, and drops from the rest, in
+    parts over all tasks, those that the founders just found are alike enough to.
+    What is left was compared with every earlier founder, so the outcome is that
+    of one fold over all; the number of rounds follows the founders, not the votes.
+    """
+    spark = first.sparkSession
+    path = scratch.new_path(spark, "founders")
+    schema = ", ".join(f"{c} {t}" for c, t in first.select("owner_id", "query_id", "event_id", "vector").dtypes)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    def fold(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("event_id")
+        own = list(zip(f["query_id"].tolist(), unit_rows(f["vector"]), strict=True))
+        found = assign_in_order(own, [], gate)
+        return f[[a == b for (a, _), b in zip(own, found, strict=True)]]
+
+    def far(f: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if len(f) and len(new):
+            leaders, keep = np.array(unit_rows(new["vector"])), []
+            for start in range(0, len(f), 1024):
+                sims = np.round(np.array(unit_rows(f["vector"].iloc[start : start + 1024])) @ leaders.T, 6)
+                keep += (sims.max(1) <= gate).tolist()
+            f = f[keep]
+        return f.drop(columns="_part")
+
+    left, found, number = kept(first.select("owner_id", "query_id", "event_id", "vector"), "left-0"), [], 0
+    while rows := left.count():
+        number += 1
+        order = Window.partitionBy("owner_id").orderBy("event_id")
+        block = kept(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= round_size).drop("n"), f"block-{number}")
+        new = kept(block.groupBy("owner_id").applyInPandas(fold, schema), f"found-{number}")
+        found.append(f"{path}/found-{number}")
+        parts = rows // PART + 1
+        last = block.groupBy("owner_id").agg(F.max("event_id").alias("upto"))
+        rest = left.join(F.broadcast(last) if last.count() <= PART else last, "owner_id").where("event_id > upto").drop("upto")
+        rest = rest.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+        every = new.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        left = kept(rest.groupBy("owner_id", "_part").cogroup(every.groupBy("owner_id", "_part")).applyInPandas(far, schema), f"left-{number}")
+    return spark.read.schema(left.schema).parquet(*found) if found else left
+
+
+def assign_votes(votes: DataFrame, round_size: int = ROUND) -> DataFrame:
+    """Feedback id of each query voted for (event_id, owner_id, query_id, vector): the most alike earlier one of its owner, or its own.
+
+    Votes are reduced to each query's first one before.  Of queries as alike, the
+    one known longest counts.
+    """
+    first = votes.groupBy("owner_id", "query_id").agg(F.min("event_id").alias("event_id"), F.min_by("vector", "event_id").alias("vector"))
+    path = scratch.new_path(votes.sparkSession, "votes")
+    first.write.parquet(path)
+    first = votes.sparkSession.read.parquet(path)
+    known = founders(first, VOTE_GATE, round_size)
+    # places in time stand for the known queries, so that ties go to the earliest
+    asked = first.select(F.to_json(F.struct("owner_id", "query_id")).alias("query_id"), "vector", "owner_id", "event_id")
+    near = block_topk(asked, known.select(F.col("event_id").alias("point_id"), "vector", "owner_id"), 1, {"dense": earlier_of_owner})
+    near = near.where(F.col("score") > VOTE_GATE).select(F.col("query_id").alias("_asked"), F.col("point_id").alias("_at"))
+    ids = known.select(F.col("event_id").alias("_when"), F.col("owner_id").alias("_owner"), F.col("query_id").alias("_found"))
+    joined = first.withColumn("_asked", F.to_json(F.struct("owner_id", "query_id"))).join(near, "_asked", "left")
+    joined = joined.join(ids, (F.col("_at") == F.col("_when")) & (F.col("owner_id") == F.col("_owner")), "left")
+    return joined.select("owner_id", "query_id", F.coalesce("_found", "query_id").alias("feedback_id"))
+
+
+def earlier_of_owner(q: pd.DataFrame):
+    """Scores of an owner's known queries that were voted for before."""
+    alike, at = same_owner_scores(q), q["event_id"].to_numpy()
+
+    def score(part: pd.DataFrame) -> np.ndarray:
+        s = alike(part)
+        s[at[:, None] <= part["point_id"].to_numpy()[None]] = -np.inf
+        return s
+
+    return score

@@ -1,9 +1,10 @@
 """Retrieval: dense and sparse top-k, rank fusion, late interaction, and the whole search.
 
-Queries and points are dealt into blocks of bounded size, each block of queries
-meets each block of points in one task, and a task keeps each query's best k.
-Blocks are sized from the bytes of both sides; nothing passes through the driver.
-Filters apply before scoring.
+A small set of queries, whose size is checked, is sent to the points where they
+lie.  Of a larger one, queries and points are dealt into blocks of bounded size
+and each block of queries meets each block of points in one task.  Either way a
+task keeps each query's best k.  The sparse branch runs over postings.  Filters
+apply before scoring.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.encode import terms
+from tesserae.operators import postings
+from tesserae.operators.encode import term_frequencies
+from tesserae.sources import scratch
 
 #: Bytes of a block of queries and of one of points, and scores in memory at once.
 QUERY_BYTES, POINT_BYTES, CELLS = 8_000_000, 64_000_000, 4_000_000
@@ -47,43 +50,71 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def measured(rows: DataFrame) -> tuple[int, int]:
-    """Rows, and bytes of their vectors and texts."""
-    parts = {"vector": F.size("vector") * 8, "text": F.octet_length("text")}
-    size = reduce(lambda a, b: a + b, [F.coalesce(parts[c], F.lit(0)) for c in rows.columns if c in parts])
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
-    return n, total
+    """Rows, and about the bytes of their vectors and texts; vectors are as long as the first."""
+    text = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in rows.columns else F.lit(0)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(text.cast("long")), F.lit(0))).first()
+    first = rows.where(F.col("vector").isNotNull()).select(F.size("vector")).first() if "vector" in rows.columns and n else None
+    return n, total + n * (8 * first[0] if first else 0)
+
+
+class Best:
+    """The best k points of each query of a block, over any number of blocks of points."""
+
+    def __init__(self, queries: pd.DataFrame, k: int, scorers: dict[str, Scorer]) -> None:
+        self.ids, self.k = queries["query_id"].tolist(), k
+        self.scores = {branch: scorer(queries) for branch, scorer in scorers.items()}
+        self.found: dict[str, list[list]] = {branch: [[] for _ in self.ids] for branch in scorers}
+
+    def add(self, points: pd.DataFrame) -> None:
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for start in range(0, len(points), step):
+            part = points.iloc[start : start + step]
+            ids = part["point_id"].to_numpy()
+            for branch, score in self.scores.items():
+                s, best = np.round(score(part), DIGITS) + 0.0, self.found[branch]
+                for n, near in enumerate(best_of(s, ids, self.k)):
+                    if len(near):
+                        best[n] = sorted([*best[n], *zip((-s[n, near]).tolist(), ids[near].tolist(), strict=True)])[: self.k]
+
+    def rows(self) -> pd.DataFrame:
+        rows = [(branch, self.ids[n], i, -s) for branch, best in self.found.items() for n, found in enumerate(best) for s, i in found]
+        return pd.DataFrame(rows, columns=["branch", "query_id", "point_id", "score"])
 
 
 def block_topk(queries: DataFrame, points: DataFrame, k: int, scorers: dict[str, Scorer]) -> DataFrame:
     """Best k points of each query by each scorer: (branch, query_id, point_id, score, rank).
 
     queries: query_id and columns; points: point_id and columns; of these only
-    ``vector`` and ``text`` are taken to be large.
+    ``vector`` and ``text`` are taken to be large.  Queries that measure no more
+    than ``QUERY_BYTES`` go to where the points lie, and only the best points are
+    shuffled; more are dealt into blocks that meet blocks of points.
     """
-    (_, q_bytes), (n_points, p_bytes) = measured(queries), measured(points)
+    n_queries, q_bytes = measured(queries)
+    of = {**dict(queries.dtypes), **dict(points.dtypes)}
+    schema = f"branch string, query_id {of['query_id']}, point_id {of['point_id']}, score double"
+    if q_bytes + 100 * n_queries <= QUERY_BYTES:
+        asked = queries.toPandas()
+
+        def scan(frames):
+            best = Best(asked, k, scorers)
+            for f in frames:
+                best.add(f)
+            yield best.rows()
+
+        return ranked(points.mapInPandas(scan, schema), k, ["branch", "query_id"])
+    n_points, p_bytes = measured(points)
     lanes = points.sparkSession.sparkContext.defaultParallelism
     n_q, n_p = q_bytes // QUERY_BYTES + 1, max(p_bytes // POINT_BYTES + 1, min(lanes, n_points // 256 + 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("_q", dealt("query_id", n_q)).withColumn("_p", every(n_p))
     right = points.withColumn("_p", dealt("point_id", n_p)).withColumn("_q", every(n_q))
-    of = {**dict(queries.dtypes), **dict(points.dtypes)}
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        if len(q) and len(p):
-            query_ids, step = q["query_id"].tolist(), max(1, CELLS // len(q))
-            for branch, scorer in scorers.items():
-                score, best = scorer(q), [[] for _ in query_ids]
-                for start in range(0, len(p), step):
-                    part = p.iloc[start : start + step]
-                    s, ids = np.round(score(part), DIGITS) + 0.0, part["point_id"].to_numpy()
-                    for n, near in enumerate(best_of(s, ids, k)):
-                        best[n] = sorted([*best[n], *zip((-s[n, near]).tolist(), ids[near].tolist(), strict=True)])[:k]
-                rows += [(branch, query_ids[n], i, -s) for n, found in enumerate(best) for s, i in found]
-        return pd.DataFrame(rows, columns=["branch", "query_id", "point_id", "score"])
+        best = Best(q, k, scorers)
+        best.add(p)
+        return best.rows()
 
-    schema = f"branch string, query_id {of['query_id']}, point_id {of['point_id']}, score double"
     met = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(run, schema)
     return ranked(met, k, ["branch", "query_id"])
 
@@ -119,27 +150,6 @@ def same_owner_scores(q: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     return score
 
 
-def shared_term_scores(q: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-    """Dot products of term counts; points that share no term are no candidates."""
-    gathered: dict[str, list[tuple[int, int]]] = {}
-    for row, text in enumerate(q["text"]):
-        for term, n in terms(text).items():
-            gathered.setdefault(term, []).append((row, n))
-    postings = {term: tuple(np.array(x) for x in zip(*found, strict=True)) for term, found in gathered.items()}
-
-    def score(part: pd.DataFrame) -> np.ndarray:
-        s = np.zeros((len(q), len(part)))
-        for j, text in enumerate(part["text"]):
-            hits = [(postings[term], n) for term, n in terms(text).items() if term in postings]
-            if hits:
-                rows, weights = np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * n for p, n in hits])
-                s[:, j] = np.bincount(rows, weights, len(q))
-        s[s == 0] = -np.inf
-        return s
-
-    return score
-
-
 def dense_topk(queries: DataFrame, points: DataFrame, k: int = 5, same_owner: bool = False, id_col: str = "point_id") -> DataFrame:
     """Cosine top-k.  queries: query_id, vector [, owner_id]; points: id, vector [, owner_id]."""
     extra = ["owner_id"] * same_owner
@@ -148,10 +158,11 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int = 5, same_owner: bo
     return block_topk(queries.select("query_id", "vector", *extra), kept, k, {"dense": scorer}).drop("branch")
 
 
-def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 5, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
-    """Dot product of term frequencies; queries: query_id, text.  Points that share no term are none."""
-    kept = docs.select(F.col(id_col).alias("point_id"), F.col(text_col).alias("text"))
-    return block_topk(queries.select("query_id", "text"), kept, k, {"sparse": shared_term_scores}).drop("branch")
+def sparse_topk(queries: DataFrame, docs: DataFrame | postings.Postings, k: int = 5, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
+    """Dot product of term frequencies; queries: query_id, text; docs: texts, or an index of them.  Points that share no term are none."""
+    index = docs if isinstance(docs, postings.Postings) else postings.of_texts(docs, id_col, text_col)
+    asked = term_frequencies(queries.select("query_id", "text"), "query_id", "text").withColumnRenamed("tf", "weight")
+    return postings.search(asked, index, k)
 
 
 def reciprocal_rank_fusion(branches: list[DataFrame], k: int, rrf_k: int = 2) -> DataFrame:
@@ -162,15 +173,15 @@ def reciprocal_rank_fusion(branches: list[DataFrame], k: int, rrf_k: int = 2) ->
     return ranked(joined.select("query_id", "point_id", F.round(total, DIGITS).alias("score")), k)
 
 
-def hybrid_topk(queries: DataFrame, points: DataFrame, k: int = 5, rrf_k: int = 2) -> DataFrame:
+def hybrid_topk(queries: DataFrame, points: DataFrame, k: int = 5, rrf_k: int = 2, index: postings.Postings | None = None) -> DataFrame:
     """Dense and sparse branches of twice k, fused.  queries: query_id, text, vector; points: point_id, text, vector.
 
-    Both branches score a block while it is in memory, so the points are read once.
+    ``index`` has the points' terms; without one it is built.
     """
-    q, p = queries.select("query_id", "text", "vector"), points.select("point_id", "text", "vector")
-    found = block_topk(q, p, 2 * k, {"dense": cosine_scores, "sparse": shared_term_scores})
+    dense = dense_topk(queries, points, 2 * k).select("query_id", "point_id", "rank")
+    sparse = sparse_topk(queries, index or points, 2 * k).select("query_id", "point_id", "rank")
     total = F.round(F.sum(1.0 / (rrf_k + F.col("rank") - 1)), DIGITS)
-    return ranked(found.groupBy("query_id", "point_id").agg(total.alias("score")), k)
+    return ranked(dense.unionByName(sparse).groupBy("query_id", "point_id").agg(total.alias("score")), k)
 
 
 def max_sim(query: Column, point: Column) -> Column:
@@ -208,6 +219,10 @@ def search(queries: DataFrame, points: DataFrame, k: int = 5, min_score: float =
     ``points`` are filtered by tenant beforehand, so the filter reaches the scan.
     """
     pool = (hybrid_topk if hybrid else dense_topk)(queries, points, POOL)
+    # used twice below: as candidates, and for the scores of their places
+    path = scratch.new_path(queries.sparkSession, "pool")
+    pool.write.parquet(path)
+    pool = queries.sparkSession.read.parquet(path)
     kept = pool.where(F.col("score") >= min_score)
     if reranking:
         kept = positional_scores(rerank(kept, queries, points, k), pool)

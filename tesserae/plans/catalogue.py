@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
-from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
+from tesserae.operators import chunking, encode, evaluate, feedback, ivf, retrieve, store
 from tesserae.sources import html, loaders, scratch, tables
 from tesserae.streaming import cdc, ingest, messages, settle
 
@@ -248,7 +248,10 @@ HYBRID = SPARSE.format(k=100) + f""", {hash_vectors('tf', 'doc_id', 'pv')}, {has
 def hybrid_inputs(spark, sf_dir, tenant=None):
     docs = docs_of(spark, sf_dir)
     docs = docs.where(F.col("source") == tenant) if tenant else docs
-    points = encode.encode(docs.select(F.col("doc_id").alias("point_id"), "text"), "text").withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+    # encoded once and written, as the vector store has them
+    path = scratch.new_path(spark, "points")
+    encode.encode(docs.select(F.col("doc_id").alias("point_id"), "text"), "text").write.parquet(path)
+    points = spark.read.parquet(path).withColumn("tokens", retrieve.token_vectors(F.col("vector")))
     queries = encode.encode(text_queries(spark, sf_dir), "text").withColumn("tokens", retrieve.token_vectors(F.col("vector")))
     return queries, points
 
@@ -317,7 +320,18 @@ def q27_vote_counts(spark, sf_dir):
     return feedback.vote_counts(tables.votes(spark, sf_dir))
 
 
-@query()
+#: An owner's queries in order, how alike any two are, and a fold that keeps the list of those known so far.
+FOUNDERS = f"""{COUNTS}, first as (select e.label % 2 as owner_id, v.query_id, min(event_id) as since, any_value(e.embedding::double[]) as v from votes v join embeddings e on e.vec_id = v.query_id group by all),
+ ordered as (select *, row_number() over (partition by owner_id order by since) as n from first),
+ alike as (select a.owner_id, a.query_id as a, b.query_id as b, b.since as b_at, round(list_cosine_similarity(a.v, b.v), 6) as sim from first a join first b on a.owner_id = b.owner_id and b.since < a.since),
+ fold(owner_id, n, known) as (select owner_id, 0::bigint, []::bigint[] from (select distinct owner_id from first) union all
+  select f.owner_id, o.n, case when coalesce(max(case when list_contains(f.known, s.b) then s.sim end), 0) > 0.9 then any_value(f.known) else list_append(any_value(f.known), any_value(o.query_id)) end
+  from fold f join ordered o on o.owner_id = f.owner_id and o.n = f.n + 1 left join alike s on s.a = o.query_id and s.owner_id = o.owner_id group by f.owner_id, o.n),
+ known as (select owner_id, arg_max(known, n) as known from fold group by owner_id)"""
+
+
+@query(f"""with recursive {FOUNDERS}, near as (select s.owner_id, s.a, arg_min(s.b, {{'x': -s.sim, 'y': s.b_at}}) as b, max(s.sim) as sim from alike s join known k on k.owner_id = s.owner_id and list_contains(k.known, s.b) group by all)
+ select f.owner_id, f.query_id, case when n.sim > 0.9 then n.b else f.query_id end as feedback_id from first f left join near n on n.owner_id = f.owner_id and n.a = f.query_id""")
 def q28_vote_assignment(spark, sf_dir):
     vectors = tables.points(spark, sf_dir).select(F.col("point_id").alias("query_id"), "owner_id", "vector")
     return feedback.assign_votes(tables.votes(spark, sf_dir).select("event_id", "query_id").join(vectors, "query_id"))
@@ -577,3 +591,9 @@ def q56_stores_after_messages(spark, sf_dir):
     documents, points = ingest.stores(spark, path)
     held = lambda df, name: df.select(F.lit(name).alias("store"), "token", "ord", "collection_id", "resource_id", "point_id")
     return held(documents, "documents").unionByName(held(points, "vectors"))
+
+
+@query()
+def q57_ann_topk(spark, sf_dir):
+    points = tables.points(spark, sf_dir)
+    return ivf.search(vector_queries(spark, sf_dir), ivf.build(points.select("point_id", "vector")), retrieve.POOL)

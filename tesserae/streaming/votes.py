@@ -1,39 +1,60 @@
-"""Votes as a stream: assignment to earlier queries kept as state per owner."""
+"""Votes as a stream: assignment to earlier queries kept as state per collection and owner."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructType
 
-from tesserae.operators.feedback import assign_in_order
-
-OUT = "owner_id long, event_id long, query_id long, feedback_id long"
+from tesserae.operators.feedback import Known, unit_rows
 
 
 class VoteAssigner(StatefulProcessor):
-    """State: the owner's feedback queries with their vectors, in order of creation."""
+    """State: the owner's feedback queries with their vectors and terms, in order of creation."""
+
+    def __init__(self, state: StructType, keys: list[str], hybrid: bool) -> None:
+        self.state, self.keys, self.hybrid = state, keys, hybrid
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getListState("known", "query_id long, vector array<double>")
+        self.known = handle.getListState("known", self.state)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         f = pd.concat(rows).sort_values("event_id")
-        known = [(row[0], np.asarray(row[1], float)) for row in self.known.get()] if self.known.exists() else []
-        before = len(known)
-        vectors = [np.asarray(v, float) / max(np.linalg.norm(v), 1e-12) for v in f["vector"]]
-        found = assign_in_order(list(zip(f["query_id"].tolist(), vectors, strict=True)), known)
-        for query, vector in known[before:]:
-            self.known.appendValue((int(query), vector.tolist()))
-        yield pd.DataFrame({"owner_id": key[0], "event_id": f["event_id"], "query_id": f["query_id"], "feedback_id": found})
+        known = Known(self.hybrid)
+        for query, vector, terms in self.known.get() if self.known.exists() else []:
+            known.add(query, *unit_rows([vector]), dict(terms or {}))
+        found, of = [], {}
+        all_terms = f["terms"] if self.hybrid else [None] * len(f)
+        for query, vector, terms in zip(f["query_id"].tolist(), unit_rows(f["vector"]), all_terms, strict=True):
+            terms = {str(k): float(v) for k, v in dict(terms).items()} if terms is not None else {}
+            if query in known.ids:
+                own = query
+            elif (own := of.get(query)) is None:
+                own = known.belongs_to(vector, terms)
+                if own is None:
+                    known.add(query, vector, terms)
+                    self.known.appendValue((query, vector.tolist(), terms))
+                    own = query
+            of[query] = own
+            found.append(own)
+        yield f[[*self.keys, "event_id", "query_id"]].assign(feedback_id=found)
 
     def close(self) -> None:
         pass
 
 
-def assign_stream(votes: DataFrame) -> DataFrame:
-    """votes: event_id, owner_id, query_id, vector; one row per vote."""
-    return votes.groupBy("owner_id").transformWithStateInPandas(VoteAssigner(), OUT, "append", "none")
+def assign_stream(votes: DataFrame, hybrid: bool = False) -> DataFrame:
+    """votes: event_id, owner_id, query_id, vector [, collection_id] [, terms]; ids of any type; one row per vote.
+
+    ``hybrid`` is for collections with a sparse model, whose votes have ``terms`` (term to weight).
+    """
+    keys = [c for c in ("collection_id", "owner_id") if c in votes.columns]
+    kind = votes.schema["query_id"].dataType
+    state = StructType().add("query_id", kind).add("vector", ArrayType(DoubleType())).add("terms", MapType(StringType(), DoubleType()))
+    out = StructType()
+    for c in (*keys, "event_id", "query_id"):
+        out = out.add(c, votes.schema[c].dataType)
+    return votes.groupBy(*keys).transformWithStateInPandas(VoteAssigner(state, keys, hybrid), out.add("feedback_id", kind), "append", "none")
