@@ -19,7 +19,7 @@ so the result is one globally ordered capture history.
 
 Defined results: null html is an empty payload; rows with a null id are always
 responses; repeated rows are records of their own, responses where the first of
-them is one; null URLs have an empty key; line breaks within a URL are escaped.
+them is one, and dealt over several archives where a page fills more than one; null URLs have an empty key; line breaks within a URL are escaped.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ BREAK = "\r\n"
 #: Less than 2 ** 24, so that the size that ends a gzip member has a zero as its last byte.
 MEMBER_BYTES = 15_000_000
 BITE = 4096
+#: What a record holds about besides its payload.
+HEAD_BYTES = 600
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "page_id long, url_key string, captured_at string, archive string, offset long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -79,7 +81,17 @@ def write_archives(pages: DataFrame, path: str, captured_at: Column, run_bytes:
     # fewer partitions than the session's would be dealt anew for the join, payloads included
     runs = max(int(total // run_bytes) + 1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # gzipped before they are dealt; which of them are revisits is known only afterwards
-    again = again.repartition(runs, "page_id", "digest").hint("merge")
+    # a page that fills more than a run by itself is dealt over as many; there are fewer of these than runs
+    hot = seen.groupBy("page_id", "digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("c")).where((F.col("bytes") + F.col("c") * HEAD_BYTES) > run_bytes)
+    hot = F.broadcast(hot.select(F.col("page_id").alias("hot_id"), F.col("digest").alias("hot_digest"), F.ceil((F.col("bytes") + F.col("c") * HEAD_BYTES) / run_bytes).alias("salts")))
+
+    def salted(frame: DataFrame) -> DataFrame:
+        """With ``salts``, over how many parts the rows of a page and payload are dealt."""
+        met = frame.join(hot, F.col("page_id").eqNullSafe(F.col("hot_id")) & (F.col("digest") == F.col("hot_digest")), "left")
+        return met.withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).drop("hot_id", "hot_digest")
+
+    again = salted(again).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    again = again.repartition(runs, "page_id", "digest", "salt").hint("merge")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
     address = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = rows.withColumn("key", F.regexp_replace(url_key(F.col("url")), r"[\r\n]", " "))
@@ -96,7 +108,9 @@ def write_archives(pages: DataFrame, path: str, captured_at: Column, run_bytes:
     response = F.concat(F.lit("WARC/1.1" + BREAK + "WARC-Type: response" + BREAK), about, line("Content-Length", (F.lit(len(HTTP_HEAD)) + F.col("size")).cast("string")), F.lit(BREAK + HTTP_HEAD))
     made = rows.select("page_id", "digest", "key", "captured_at", about.alias("about"), F.encode(F.concat(response, "html", F.lit(BREAK * 2)), "UTF-8").alias("record"))
     packed = made.mapInArrow(in_members, "page_id long, digest string, key string, captured_at string, about string, record binary")
-    marked = packed.repartition(runs, "page_id", "digest").join(again, ["page_id", "digest"], "left")
+    # whichever part a row goes to, what it refers to is there
+    packed = salted(packed).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts"))).drop("salts")
+    marked = packed.repartition(runs, "page_id", "digest", "salt").join(again, ["page_id", "digest", "salt"], "left")
     earlier = F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("refers_to"))), line("WARC-Refers-To-Page", F.col("refers_to").cast("string")))
     revisit = F.concat(F.lit("WARC/1.1" + BREAK + "WARC-Type: revisit" + BREAK), "about", earlier, line("Content-Length", F.lit(str(len(HTTP_HEAD)))), F.lit(BREAK + HTTP_HEAD + BREAK * 2))
     is_new = F.col("refers_to").isNull()
@@ -247,9 +261,10 @@ def merge_index(index: DataFrame, stretch_rows: int = 100_000, bound_sample: int
     stretches = int(n // stretch_rows) + 1
     bounds: list[tuple] = []
     if stretches > 1:
+        # the place in the archives parts entries that agree in all else
         key = index.select("url_key", "captured_at", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "archive", "offset")
         some = key.orderBy(F.xxhash64("archive", "offset")).limit(bound_sample * stretches).collect()
-        found = sorted(tuple(r)[:3] for r in some)
+        found = sorted(map(tuple, some))
         bounds = sorted({found[k * len(found) // stretches] for k in range(1, stretches)})
 
     def cut(batches):
@@ -263,9 +278,9 @@ def merge_index(index: DataFrame, stretch_rows: int = 100_000, bound_sample: int
             for start, end in zip(edges, edges[1:], strict=False):
                 at = start
                 while at < end:
-                    number = bisect_right(bounds, keys[at][:3])
-                    upto = bisect_left(keys, bounds[number], at, end, key=lambda k: k[:3]) if number < len(bounds) else end
-                    out.append((number, f"{archives[at]}:{keys[at][3]:020d}", ipc_bytes(batch.slice(at, upto - at))))
+                    number = bisect_right(bounds, keys[at])
+                    upto = bisect_left(keys, bounds[number], at, end) if number < len(bounds) else end
+                    out.append((number, f"{archives[at]}:{keys[at][4]:020d}", ipc_bytes(batch.slice(at, upto - at))))
                     at = upto
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["stretch", "run", "piece"])
 
@@ -284,8 +299,8 @@ def merge_index(index: DataFrame, stretch_rows: int = 100_000, bound_sample: int
 
 
 def entry_keys(rows: pa.RecordBatch | pa.Table) -> list[tuple]:
-    page, url, when, offset = (rows.column(k).to_pylist() for k in (0, 1, 2, 4))
-    return [(u, w, -1 if p is None else p, o) for p, u, w, o in zip(page, url, when, offset, strict=True)]
+    page, url, when, archive, offset = (rows.column(k).to_pylist() for k in range(5))
+    return [(u, w, -1 if p is None else p, a, o) for p, u, w, a, o in zip(page, url, when, archive, offset, strict=True)]
 
 
 def ipc_bytes(batch: pa.RecordBatch) -> bytes:

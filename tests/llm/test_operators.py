@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import bpe_stream, brown_lm, licenses, minhash, packing, quality_crf, topk, toxicity, url_rules, warc
+from tesserae.llm.common import materialize
 from tesserae.llm.components import connected_components
 
 from ..conftest import DATA
@@ -230,6 +231,33 @@ def test_a_repeated_deep_url_is_mined_in_seconds(spark, segments):
     assert f"p:s{chr(97 + (segments - 1) % 26)}{'x' * ((segments - 1) // 26)}" in keys and time.time() - start < 30
 
 
+@pytest.mark.parametrize("min_support", [0.05, 0.1])
+@pytest.mark.parametrize("whole_items", [4, 12, 40])
+def test_a_pair_that_alone_decides_is_mined_among_many_segments(spark, min_support, whole_items):
+    """Twelve segments tell a little each; two tell nothing alone and all together."""
+    rng = random.Random(9)
+    data = []
+    for k in range(600):
+        u, v = rng.randrange(2), rng.randrange(2)
+        bad = u == v
+        weak = [f"w{chr(97 + i)}{'yn'[rng.random() < (0.4 if bad else 0.6)]}" for i in range(12)]
+        data.append(("http://a.org/" + "/".join([f"u{'ab'[u]}", f"v{'ab'[v]}", *weak]), bad))
+    labelled = spark.createDataFrame(data, "url string, bad boolean")
+    mined = materialize(url_rules.mine(labelled, min_support=min_support, max_length=2, whole_items=whole_items), "test-rules")
+    pairs = {(tuple(t[0] for t in r["antecedent"]), r["rule_verdict"]): r["confidence"] for r in mined.collect()}
+    assert pairs[("p:ua", "p:va"), "block"] == pairs[("p:ua", "p:vb"), "allow"] == 1
+    judged = url_rules.judge(spark.createDataFrame([(k, u) for k, (u, _) in enumerate(data)], "page_id long, url string"), mined, fixed=[])
+    assert {r["page_id"]: r["verdict"] == "block" for r in judged.collect()} == {k: b for k, (_, b) in enumerate(data)}
+
+
+def test_wide_baskets_give_the_rules_of_whole_ones(spark):
+    rng = random.Random(4)
+    urls = [("http://a.org/" + "/".join(sorted(rng.sample(["pa", "pb", "pc", "pd", "pe", "pf", "pg", "ph", "pi"], rng.randint(2, 8)))),) for _ in range(250)]
+    labelled = spark.createDataFrame([(u, ("/pa" in u and "/pc" in u and "/pe" in u) != (rng.random() < 0.03)) for (u,) in urls], "url string, bad boolean")
+    found = [rows(url_rules.mine(labelled, whole_items=w).drop("rule_id"), "key", "antecedent", "rule_verdict", "confidence", "support") for w in (40, 5, 1)]
+    assert found[0] == found[1] == found[2] and any(len(r[1]) == 3 for r in found[0])
+
+
 def test_warc_round_trip(spark, tmp_path):
     data = [(5, "http://b.org/x", "same"), (3, "http://a.org/y", "same"), (9, None, None), (8, "http://a.org/y", ""), (7, "http://a.org/\r\nWARC/1.1\r\n", "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), (6, "http://c.org", "é" * 100_000), (None, "http://d.org", "same"), (3, "http://a.org/y", "same")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("digest", "size", "key", "refers_to", "value")})
@@ -298,6 +326,23 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == list(heapq.merge(*runs))
 
 
+def test_rows_of_one_page_fill_several_archives(spark, tmp_path):
+    """3,000 rows of one page, and 500 without an id; all but the first of the page are revisits or its response."""
+    html = "".join(random.Random(1).choices("abcdefgh ", k=2000))
+    pages = spark.createDataFrame([(4, "http://a.org/x", html)] * 3000 + [(None, "http://a.org/x", html)] * 500 + [(2, "http://a.org/x", html), (9, "http://b.org", "other")], "page_id long, url string, html string").repartition(3)
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, F.lit("2024-01-01T00:00:00Z"), run_bytes=500_000)
+    entries = warc.read_index(spark, path)
+    sizes = [r["count"] for r in entries.groupBy("archive").count().collect()]
+    assert sum(sizes) == 3502 and max(sizes) < 1000
+    index = warc.merge_index(materialize(entries, "entries"), stretch_rows=200)
+    rows_ = index.orderBy("position").collect()
+    assert [(r["url_key"], r["page_id"] or -1, r["archive"], r["offset"]) for r in rows_] == sorted((r["url_key"], r["page_id"] or -1, r["archive"], r["offset"]) for r in rows_)
+    assert max(Counter(r["position"] >> 40 for r in rows_).values()) < 1000
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in rows_)
+    assert kinds == {(4, "revisit", 2): 3000, (None, "response", None): 500, (2, "response", None): 1, (9, "response", None): 1}
+
+
 # 4 ---------------------------------------------------------------------------
 
 
