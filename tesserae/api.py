@@ -143,11 +143,11 @@ class Engine:
         self.vote(votes)
         return failed
 
-    def ingest(self, messages: DataFrame, number: int, path: str, fetched: DataFrame | None = None, encoder=encode.hash_encoder, custom=None) -> DataFrame:
+    def ingest(self, messages: DataFrame, number: int, path: str, fetched: DataFrame | None = None, encoders: encode.Encoders | None = None, custom=None) -> DataFrame:
         """A batch of messages (token, value [, ord]) into the stores below ``path``; points and contents follow.  Gives back the dead letters."""
-        ingest.work(messages, number, path, self.resources, self.collections, fetched, encoder, custom)
+        ingest.work(messages, number, path, self.resources, self.collections, fetched, encoders, custom)
         documents, points = ingest.stores(self.spark, path)
-        self.points = points.join(documents.select("point_id", "collection_id", F.col("chunk").alias("text")).dropDuplicates(["point_id", "collection_id"]), ["point_id", "collection_id"]).withColumn("tokens", retrieve.token_vectors(F.col("vector")))
+        self.points = points.join(documents.select("point_id", "collection_id", F.col("chunk").alias("text")).dropDuplicates(["point_id", "collection_id"]), ["point_id", "collection_id"])
         loaded = self.spark.read.parquet(f"{path}/loaded/batch={number}").select("resource_id", "content", F.struct("token", "ord").alias("at"))
         self.resources = store.update_by_id(self.resources, loaded, "resource_id", order="at")
         return self.spark.read.parquet(f"{path}/failed/batch={number}")

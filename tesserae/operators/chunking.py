@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import SENTENCE
 from tesserae.functions.vector import cosine
+from tesserae.operators import segment
 from tesserae.operators.encode import hash_encoder
 
 #: Separators of the recursive splitter, and lengths of the others.
@@ -99,13 +100,19 @@ def pack(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-def split_sentences(text: str, longest: int) -> list[str]:
-    """Sentences by closing marks, over-long ones cut at words."""
+def sentences_by_marks(text: str) -> list[str]:
+    """Runs that end with closing marks, and what follows the last; for where no segmentation is to be had."""
     found, end = [], 0
     for m in re.finditer(SENTENCE, text):
         found.append(m[0].strip())
         end = m.end()
     found.append(text[end:].strip())
+    return found
+
+
+def split_sentences(text: str, longest: int, segment: Callable[[str], list[str]] = segment.sentences) -> list[str]:
+    """Sentences, over-long ones cut at words."""
+    found = segment(text)
     return [p for s in found if s for p in (split_words(s, min(200, longest / 4)) if utf16(s) > longest else [s])]
 
 

@@ -87,6 +87,110 @@ def hash_encoder(texts: list[str]) -> list[np.ndarray]:
     return [hash_vector(terms(t)) for t in texts]
 
 
+#: Dimensions of a late-interaction vector.
+TOKEN_DIM = 16
+
+
+class TokenVectors(dict):
+    """Unit vector of a term from the bytes of its digest."""
+
+    def __missing__(self, term: str) -> list[float]:
+        if len(self) > 100_000:
+            self.clear()
+        v = np.frombuffer(hashlib.md5(term.encode()).digest(), np.uint8) - 127.5
+        value = self[term] = (v / np.sqrt((v * v).sum())).tolist()
+        return value
+
+
+_token_vectors = TokenVectors()
+
+
+def sparse_encoder(texts: list[str]) -> list[dict[str, float]]:
+    """Counts of terms."""
+    return [{t: float(n) for t, n in terms(text).items()} for text in texts]
+
+
+def token_encoder(texts: list[str]) -> list[list[list[float]]]:
+    """A vector for each distinct term, in order."""
+    return [[_token_vectors[t] for t in terms(text)] for text in texts]
+
+
+#: What stands in for a model of each kind where none is plugged in.
+DEFAULTS = {"dense": hash_encoder, "sparse": sparse_encoder, "reranker": token_encoder}
+KINDS = {"dense": ("vector", pa.list_(pa.float64()), "array<double>"), "sparse": ("sparse", pa.map_(pa.string(), pa.float64()), "map<string, double>"), "reranker": ("tokens", pa.list_(pa.list_(pa.float64())), "array<array<double>>")}
+
+
+class Encoders:
+    """Encoders by kind and model name; each is made once in a worker, when it is first asked for.
+
+    ``factories`` gives a function that makes the encoder of (kind, model), for
+    instance one that loads a model's file.  Other names get the defaults; no
+    name, or an empty one, gets a dense encoder and neither of the others.
+    """
+
+    _made: dict = {}
+
+    def __init__(self, factories: dict[tuple[str, str], Callable[[], Callable[[list[str]], list]]] | None = None) -> None:
+        self.factories = factories or {}
+
+    def get(self, kind: str, model: str | None) -> Callable[[list[str]], list] | None:
+        if not model and kind != "dense":
+            return None
+        factory = self.factories.get((kind, model))
+        if factory is None:
+            return DEFAULTS[kind]
+        if (kind, model) not in self._made:
+            self._made[kind, model] = factory()
+        return self._made[kind, model]
+
+
+def in_batches(texts: list[str], encoder: Callable[[list[str]], list], max_items: int = 50, max_waste: float = 0.10) -> list:
+    """What the encoder makes of each text; it gets texts of similar length together."""
+    out: list = [None] * len(texts)
+    groups: dict[int, list[int]] = {}
+    for k, b in enumerate(batches([len(t) for t in texts], max_items, max_waste)):
+        groups.setdefault(b, []).append(k)
+    for members in groups.values():
+        for k, v in zip(members, encoder([texts[k] for k in members]), strict=True):
+            out[k] = v
+    return out
+
+
+def encode_kinds(df: DataFrame, text_col: str, dense: Column | str | None = None, sparse: Column | str | None = None, reranker: Column | str | None = None, encoders: Encoders | None = None, only: str | None = None) -> DataFrame:
+    """Adds ``vector``, ``sparse`` (term to weight) and ``tokens`` (a vector a token) in one pass over the texts.
+
+    ``dense``, ``sparse`` and ``reranker`` are names of models, or columns of them
+    for rows of different collections; kinds without one are null, and so are
+    all but kind ``only``.  A null text counts as empty.
+    """
+    encoders = encoders or Encoders()
+    given = {"dense": dense, "sparse": sparse, "reranker": reranker}
+    named = df.withColumns({f"_{kind}": (m if isinstance(m, Column) else F.lit(m)).cast("string") for kind, m in given.items()})
+    at = df.columns.index(text_col)
+    n = len(df.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + ", ".join(f"{name} {sql}" for name, _, sql in KINDS.values())
+
+    def run(stream):
+        for batch in stream:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                made = []
+                for place, (kind, (_, arrow, _)) in enumerate(KINDS.items()):
+                    values: list = [None] * len(texts)
+                    of_model: dict = {}
+                    for k, model in enumerate(part.column(n + place).to_pylist()):
+                        of_model.setdefault(model, []).append(k)
+                    for model, members in of_model.items():
+                        encoder = encoders.get(kind, model) if only in (None, kind) else None
+                        for k, v in zip(members, in_batches([texts[k] for k in members], encoder) if encoder else (), strict=encoder is not None):
+                            values[k] = list(v.items()) if kind == "sparse" else [[float(x) for x in row] for row in v] if kind == "reranker" else [float(x) for x in v]
+                    made.append(pa.array(values, arrow))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=[*part.schema.names[:n], *[name for name, _, _ in KINDS.values()]])
+
+    return named.mapInArrow(run, schema)
+
+
 def batches(lengths: list[int], max_items: int = 50, max_waste: float = 0.10) -> list[int]:
     """Batch number of each text; texts longest first, a new batch at max_items or too much padding."""
     order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
@@ -111,14 +215,7 @@ def encode(df: DataFrame, text_col: str, out_col: str = "vector", encoder: Calla
     def run(stream):
         for batch in stream:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            of = batches([len(t) for t in texts], max_items, max_waste)
-            vectors: list = [None] * len(texts)
-            groups: dict[int, list[int]] = {}
-            for k, b in enumerate(of):
-                groups.setdefault(b, []).append(k)
-            for members in groups.values():
-                for k, v in zip(members, encoder([texts[k] for k in members]), strict=True):
-                    vectors[k] = [float(x) for x in v]
+            vectors = [[float(x) for x in v] for v in in_batches(texts, encoder, max_items, max_waste)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*batch.schema.names, out_col])
 
     return df.mapInArrow(run, schema)

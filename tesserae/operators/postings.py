@@ -17,8 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tesserae.operators.encode import term_frequencies
 from tesserae.sources import scratch
 
 #: Points of a block at least, and blocks at most.
@@ -34,41 +34,40 @@ class Postings:
 
     spark: SparkSession
     path: str
+    schema: StructType
 
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/postings")
 
     @property
     def maxima(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/maxima")
+        return self.spark.read.schema("term string, block long, most double").parquet(f"{self.path}/maxima")
 
 
-def build(weights: DataFrame, path: str | None = None) -> Postings:
-    """Index of weights (point_id, term, weight); a point without terms has no posting."""
-    spark = weights.sparkSession
+def build(points: DataFrame, path: str | None = None) -> Postings:
+    """Index of points (point_id, sparse: a map from term to weight); one without terms has no posting.
+
+    Points are sorted by their total weight, a row each; only then is a row made
+    of each posting, with its block, and dealt by term and block.
+    """
+    spark = points.sparkSession
     path = path or scratch.new_path(spark, "postings")
-    weights.select("point_id", "term", F.col("weight").cast("double").alias("weight")).where("term is not null and weight is not null").write.parquet(f"{path}/weights")
-    rows = spark.read.parquet(f"{path}/weights")
-    total = rows.groupBy("point_id").agg(F.sum(F.abs("weight")).alias("total"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    filled = points.where(F.size("sparse") > 0).select("point_id", F.col("sparse").cast("map<string, double>").alias("sparse"))
+    total = F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda s, x: s + F.abs(F.coalesce(x, F.lit(0.0))))
     order = [F.col("total").desc(), F.col("point_id")]
     # a point's place in its partition; partitions are ranges, so each is blocks of neighbours
-    total.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{path}/order")
-    placed = spark.read.parquet(f"{path}/order")
+    filled.withColumn("total", total).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()).write.parquet(f"{path}/points")
+    placed = spark.read.schema(filled.withColumns({"total": total, "place": F.lit(0).cast("long")}).schema).parquet(f"{path}/points")
     size = max(BLOCK_POINTS, placed.count() // BLOCKS + 1)
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    blocks = placed.select("point_id", F.shiftleft(part, 33).bitwiseOR(F.floor(within / size).cast("long")).alias("block"))
-    found = rows.join(blocks, "point_id").select("block", "term", "point_id", "weight")
-    found.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term", "block").agg(F.max("weight").alias("most")).write.parquet(f"{path}/maxima")
-    return Postings(spark, path)
-
-
-def of_texts(points: DataFrame, id_col: str = "point_id", text_col: str = "text", path: str | None = None) -> Postings:
-    """Index of the terms of texts, weighted by how often they occur."""
-    counted = term_frequencies(points.select(F.col(id_col).alias("point_id"), F.col(text_col).alias("text")), "point_id", "text")
-    return build(counted.withColumnRenamed("tf", "weight"), path)
+    block = F.shiftleft(part, 33).bitwiseOR(F.floor(within / size).cast("long"))
+    found = placed.select(block.alias("block"), "point_id", F.explode("sparse").alias("term", "weight")).where("weight is not null")
+    found.repartition(n, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    index = Postings(spark, path, found.schema)
+    index.rows.groupBy("term", "block").agg(F.max("weight").alias("most")).write.parquet(f"{path}/maxima")
+    return index
 
 
 def scored(blocks: DataFrame, asked: DataFrame, index: Postings) -> DataFrame:
@@ -84,7 +83,7 @@ def best(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
 
 
 def search(queries: DataFrame, index: Postings, k: int = 5, first: int = FIRST) -> DataFrame:
-    """Best k points of each query (query_id, term, weight) by dot product: query_id, point_id, score, rank.
+    """Best k points of each query (query_id, sparse) by dot product: query_id, point_id, score, rank.
 
     Weights are above 0, as counts are; points that share no term are no candidates.
     """
@@ -95,7 +94,7 @@ def search(queries: DataFrame, index: Postings, k: int = 5, first: int = FIRST)
         df.write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    asked = kept(queries.select("query_id", "term", F.col("weight").cast("double").alias("asked")), "asked")
+    asked = kept(queries.select("query_id", F.explode(F.col("sparse").cast("map<string, double>")).alias("term", "asked")), "asked")
     reach = asked.join(index.maxima, "term").groupBy("query_id", "block").agg(F.round(F.sum(F.col("asked") * F.col("most")), DIGITS).alias("reach"))
     order = Window.partitionBy("query_id").orderBy(F.desc("reach"), "block")
     reach = kept(reach.withColumn("place", F.row_number().over(order)), "reach")

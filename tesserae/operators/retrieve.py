@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators import postings
-from tesserae.operators.encode import term_frequencies
+from tesserae.operators.encode import encode_kinds
 from tesserae.sources import scratch
 
 #: Bytes of a block of queries and of one of points, and scores in memory at once.
@@ -159,10 +159,16 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int = 5, same_owner: bo
 
 
 def sparse_topk(queries: DataFrame, docs: DataFrame | postings.Postings, k: int = 5, id_col: str = "point_id", text_col: str = "text") -> DataFrame:
-    """Dot product of term frequencies; queries: query_id, text; docs: texts, or an index of them.  Points that share no term are none."""
-    index = docs if isinstance(docs, postings.Postings) else postings.of_texts(docs, id_col, text_col)
-    asked = term_frequencies(queries.select("query_id", "text"), "query_id", "text").withColumnRenamed("tf", "weight")
-    return postings.search(asked, index, k)
+    """Dot product of sparse vectors, or of term frequencies where rows have none; docs: rows, or an index of them.  Points that share no term are none."""
+    index = docs if isinstance(docs, postings.Postings) else postings.build(with_terms(docs, id_col, text_col).withColumnRenamed(id_col, "point_id"))
+    return postings.search(with_terms(queries, "query_id", "text"), index, k)
+
+
+def with_terms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sparse): the sparse vectors that rows have, else the counts of their texts' terms."""
+    if "sparse" in rows.columns:
+        return rows.select(id_col, "sparse")
+    return encode_kinds(rows.select(id_col, text_col), text_col, None, "terms", None, only="sparse").select(id_col, "sparse")
 
 
 def reciprocal_rank_fusion(branches: list[DataFrame], k: int, rrf_k: int = 2) -> DataFrame:

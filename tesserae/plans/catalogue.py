@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
-from tesserae.operators import chunking, encode, evaluate, feedback, ivf, retrieve, store
+from tesserae.operators import chunking, encode, evaluate, feedback, ivf, retrieve, segment, store
 from tesserae.sources import html, loaders, scratch, tables
 from tesserae.streaming import cdc, ingest, messages, settle
 
@@ -70,6 +70,10 @@ def docs_of(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents")
 
 
+def spread_docs(spark, sf_dir):
+    return tables.read_spread(spark, sf_dir, "documents")
+
+
 @query("select doc_id as resource_id, lang as collection_id, source as owner_id, n_chars from documents where lang = 'en' and source = 'src0' and doc_id not in (select doc_id from labels where toxic = 1)")
 def q01_resources_by_collection(spark, sf_dir):
     r = tables.resources(spark, sf_dir).where((F.col("collection_id") == "en") & (F.col("owner_id") == TENANT) & ~F.col("is_deleted"))
@@ -110,7 +114,7 @@ def q06_loader_dispatch(spark, sf_dir):
 
 @query(f"with {WINDOWS} select doc_id, chunk_no, md5(chunk) as chunk_md5 from chunks")
 def q07_chunk_fixed_overlap(spark, sf_dir):
-    return chunking.fixed_windows(docs_of(spark, sf_dir), "text", 800, 100).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+    return chunking.fixed_windows(spread_docs(spark, sf_dir), "text", 800, 100).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
 SENTENCES = r"""matched as (select doc_id, text, regexp_extract_all(text, '[^.!?。！？؟]+[.!?。！？؟]+\s*') as found from documents),
@@ -119,13 +123,13 @@ SENTENCES = r"""matched as (select doc_id, text, regexp_extract_all(text, '[^.!?
 
 @query(f"with {SENTENCES} select doc_id, len(found) as n_sentences, md5(array_to_string(found, '|')) as digest from sentences")
 def q08_sentence_split(spark, sf_dir):
-    found = docs_of(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("found"))
+    found = spread_docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("found"))
     return found.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.md5(F.array_join("found", "|").cast("binary")).alias("digest"))
 
 
 @query()
 def q09_chunk_recursive(spark, sf_dir):
-    return chunking.chunk_documents(docs_of(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
+    return chunking.chunk_documents(spread_docs(spark, sf_dir).select("doc_id", "text"), "text").drop("text")
 
 
 ADJACENT = """adjacent as (select * from (select label, vec_id, round(list_cosine_similarity(embedding::double[], lead(embedding) over (partition by label order by vec_id)::double[]), 6) as sim from embeddings) where sim is not null)"""
@@ -145,7 +149,7 @@ def q11_breakpoints(spark, sf_dir):
 
 @query()
 def q12_chunk_semantic(spark, sf_dir):
-    return chunking.chunk_documents(docs_of(spark, sf_dir).select("doc_id", "text"), "text", "semantic").drop("text")
+    return chunking.chunk_documents(spread_docs(spark, sf_dir).select("doc_id", "text"), "text", "semantic").drop("text")
 
 
 CONTENT_ID = "regexp_replace(md5(lang || ':' || source || ':' || text), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5')"
@@ -205,12 +209,12 @@ def q16_batch_plan(spark, sf_dir):
 
 @query(f"with {TF} select doc_id, term, tf from tf")
 def q17_sparse_tf(spark, sf_dir):
-    return encode.term_frequencies(docs_of(spark, sf_dir), "doc_id", "text")
+    return encode.term_frequencies(spread_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query(f"with {TF}, {hash_vectors('tf', 'doc_id', 'hv')} select doc_id, cast(unnest(range(64)) as int) as dim, round(unnest(v), 6) + 0.0 as value from hv")
 def q18_hash_dense_encode(spark, sf_dir):
-    v = encode.encode(docs_of(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", F.posexplode("vector").alias("dim", "value"))
+    v = encode.encode(spread_docs(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", F.posexplode("vector").alias("dim", "value"))
     return v.select("doc_id", "dim", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
@@ -235,7 +239,7 @@ def text_queries(spark, sf_dir):
 
 @query(f"with {SPARSE.format(k=50)} select query_id, point_id, score, cast(rank as int) as rank from sparse")
 def q21_sparse_topk(spark, sf_dir):
-    return retrieve.sparse_topk(text_queries(spark, sf_dir), docs_of(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "text"), 50)
+    return retrieve.sparse_topk(text_queries(spark, sf_dir), spread_docs(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "text"), 50)
 
 
 HYBRID = SPARSE.format(k=100) + f""", {hash_vectors('tf', 'doc_id', 'pv')}, {hash_vectors('qtf', 'item_id', 'qv')},
@@ -246,7 +250,7 @@ HYBRID = SPARSE.format(k=100) + f""", {hash_vectors('tf', 'doc_id', 'pv')}, {has
 
 
 def hybrid_inputs(spark, sf_dir, tenant=None):
-    docs = docs_of(spark, sf_dir)
+    docs = spread_docs(spark, sf_dir)
     docs = docs.where(F.col("source") == tenant) if tenant else docs
     # encoded once and written, as the vector store has them
     path = scratch.new_path(spark, "points")
@@ -423,7 +427,7 @@ def q37_dead_letter(spark, sf_dir):
 
 @query()
 def q38_html_to_text(spark, sf_dir):
-    return html.to_text(tables.read(spark, sf_dir, "pages")).select("page_id", "text")
+    return html.to_text(tables.read_spread(spark, sf_dir, "pages")).select("page_id", "text")
 
 
 @query("select * from (values " + ", ".join(f"('{m.kind}', '{m.id}', '{m.name}', '{m.provider}', '{m.latency}')" for m in encode.MODELS) + ") t(kind, model_id, name, provider, latency)")
@@ -597,3 +601,37 @@ def q56_stores_after_messages(spark, sf_dir):
 def q57_ann_topk(spark, sf_dir):
     points = tables.points(spark, sf_dir)
     return ivf.search(vector_queries(spark, sf_dir), ivf.build(points.select("point_id", "vector")), retrieve.POOL)
+
+
+_STOPS, _CLOSES, _SPACES = ".!?。！？؟", r"\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"''", r" \t\x{A0}"
+#: Sentences by marks set and taken away again: after every closing mark or line, then not before a comma or another mark,
+#: not within numbers and initials, and not before a small letter.
+SEGMENTS = rf"""m1 as (select doc_id, regexp_replace(text, '([{_STOPS}][\p{{M}}\p{{Cf}}]*[{_CLOSES}]*[{_SPACES}]*(?:\r\n|[\r\n])?)', '\1' || chr(1), 'g') as t from documents),
+ m2 as (select doc_id, regexp_replace(regexp_replace(t, '([^\r\n])\x01([-,:–—、{_STOPS}])', '\1\2', 'g'), '([^\r\n])\x01([-,:–—、{_STOPS}])', '\1\2', 'g') as t from m1),
+ m3 as (select doc_id, regexp_replace(t, '(\.)\x01(\p{{Nd}})', '\1\2', 'g') as t from m2),
+ m4 as (select doc_id, regexp_replace(regexp_replace(t, '([\p{{Lu}}\p{{Ll}}]\.)\x01(\p{{Lu}})', '\1\2', 'g'), '([\p{{Lu}}\p{{Ll}}]\.)\x01(\p{{Lu}})', '\1\2', 'g') as t from m3),
+ m5 as (select doc_id, regexp_replace(t, '(\.[{_CLOSES}]*[{_SPACES}]*)\x01([^\p{{L}}\r\n\x01{_STOPS}]*\p{{Ll}})', '\1\2', 'g') as t from m4),
+ m6 as (select doc_id, list_filter(list_transform(string_split(regexp_replace(t, '(\r\n|[\r\n])\x01?', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as found from m5)"""
+
+
+@query(f"with {SEGMENTS} select doc_id, len(found) as n_sentences, md5(array_to_string(found, '|')) as digest from m6")
+def q58_sentence_segments(spark, sf_dir):
+    found = segment.with_sentences(spread_docs(spark, sf_dir).select("doc_id", "text"), "text")
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "|").cast("binary")).alias("digest"))
+
+
+@query(f"""with {TF}, {hash_vectors('tf', 'doc_id', 'hv')},
+ digests as (select term, list_transform(range(16), lambda i: cast('0x' || substr(h, cast(2 * i + 1 as bigint), 2) as bigint) - 127.5::double) as v from (select distinct term, md5(term) as h from tf)),
+ units as (select term, unnest(range(16)) as dim, unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))) as x from digests)
+ select doc_id, 'dense' as kind, cast(unnest(range(64)) as int) as place, round(unnest(v), 6) + 0.0 as value from hv
+ union all select doc_id, 'sparse', cast(count(*) as int), cast(sum(tf) as double) from tf group by doc_id
+ union all select doc_id, 'tokens', cast(dim as int), round(sum(x), 6) + 0.0 from tf join units using (term) group by doc_id, dim""")
+def q59_encode_kinds(spark, sf_dir):
+    path = scratch.new_path(spark, "q59")
+    encode.encode_kinds(spread_docs(spark, sf_dir).select("doc_id", "text"), "text", None, "Qdrant/bm25", "colbert-ir/colbertv2.0").drop("text").where(F.size("sparse") > 0).write.parquet(path)
+    v = spark.read.parquet(path)
+    row = lambda df, kind: df.select("doc_id", F.lit(kind).alias("kind"), F.col("place").cast("int").alias("place"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
+    dense = v.select("doc_id", F.posexplode("vector").alias("place", "value"))
+    sparse = v.select("doc_id", F.size("sparse").alias("place"), F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda s, x: s + x).alias("value"))
+    tokens = v.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.posexplode("t").alias("place", "x")).groupBy("doc_id", "place").agg(F.sum("x").alias("value"))
+    return row(dense, "dense").unionByName(row(sparse, "sparse")).unionByName(row(tokens, "tokens"))

@@ -10,6 +10,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is dear per row: files that give fewer partitions than there are cores are dealt out first.
+
+    Tables of a real size have more, and are read as they lie.
+    """
+    df, lanes = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    # of a bare scan, which is only planned here
+    return df.repartition(lanes) if df.rdd.getNumPartitions() < lanes else df
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as resources: the language is the collection, the source the owner, toxic ones are deleted."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")

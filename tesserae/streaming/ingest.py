@@ -31,20 +31,20 @@ def point_id(data: Column, vector_source: Column, collection: Column, owner: Col
 def settings_of(saves: DataFrame, resources: DataFrame, collections: DataFrame) -> DataFrame:
     """Messages that save a text, with their effective chunk_size, chunk_overlap and strategy, and ``known``: whether the collection is.
 
-    resources: resource_id [, chunkSize, chunkOverlap, strategy]; collections: collection_id and the same [, keepDuplicate].
+    resources: resource_id [, chunkSize, chunkOverlap, strategy]; collections: collection_id and the same [, keepDuplicate, denseModel, sparseModel, rerankerModel].
     """
     def part(df: DataFrame, key: str, name: str) -> DataFrame:
         given = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
-        return df.select(F.col(key).cast("string").alias(f"{name}_key"), given("chunkSize", "int").alias(f"{name}_size"), given("chunkOverlap", "int").alias(f"{name}_overlap"), given("strategy", "string").alias(f"{name}_strategy"), given("keepDuplicate", "boolean").alias(f"{name}_keep"))
+        return df.select(F.col(key).cast("string").alias(f"{name}_key"), given("chunkSize", "int").alias(f"{name}_size"), given("chunkOverlap", "int").alias(f"{name}_overlap"), given("strategy", "string").alias(f"{name}_strategy"), given("keepDuplicate", "boolean").alias(f"{name}_keep"), *[given(f"{kind}Model", "string").alias(f"{name}_{kind}") for kind in encode.KINDS])
 
     r, c = part(resources, "resource_id", "resource").dropDuplicates(["resource_key"]), part(collections, "collection_id", "collection").dropDuplicates(["collection_key"])
     joined = saves.join(r, F.col("resource_id") == F.col("resource_key"), "left").join(c, F.col("collection_id") == F.col("collection_key"), "left")
     own = F.coalesce("resource_size", "resource_overlap").isNotNull() | F.col("resource_strategy").isNotNull()
     marked = joined.withColumn("has_settings", own).withColumn("known", F.col("collection_key").isNotNull()).withColumn("keep_duplicate", F.coalesce("collection_keep", F.lit(False)))
-    return store.resolve_settings(marked, *SEQ, "value", "owner_id", "data", "vector_source", "known", "keep_duplicate")
+    return store.resolve_settings(marked, *SEQ, "value", "owner_id", "data", "vector_source", "known", "keep_duplicate", *[F.col(f"collection_{kind}").alias(f"{kind}_model") for kind in encode.KINDS])
 
 
-def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None) -> None:
+def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, encoders: encode.Encoders | None = None, custom: Callable[[str], list] | None = None) -> None:
     """One batch of settled messages done: tables ``settled``, ``loaded``, ``documents``, ``vectors`` (by collection), ``deleted``, ``failed`` and ``statuses`` below ``path``.
 
     Each table's files of a batch are replaced when it is repeated, so a failure
@@ -66,8 +66,9 @@ def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, coll
     ids = point_id(F.col("chunk"), F.col("vector_source"), F.col("collection_id"), F.col("owner_id"), F.col("keep_duplicate"))
     # ids of kept duplicates are drawn once, for both stores
     documents = kept(found.withColumn("point_id", F.when(F.col("error").isNull(), ids)).drop("known", "keep_duplicate"), "documents")
-    good = documents.where("error is null").select("point_id", *SEQ, "resource_id", "owner_id", "collection_id", "chunk_no", embed_source(F.col("chunk"), F.col("vector_source")).alias("embed"))
-    encode.encode(good, "embed", encoder=encoder).drop("embed").write.mode("overwrite").partitionBy("collection_id").parquet(at("vectors"))
+    good = documents.where("error is null").select("point_id", *SEQ, "resource_id", "owner_id", "collection_id", "chunk_no", embed_source(F.col("chunk"), F.col("vector_source")).alias("embed"), *[f"{kind}_model" for kind in encode.KINDS])
+    made = encode.encode_kinds(good, "embed", *[F.col(f"{kind}_model") for kind in encode.KINDS], encoders).drop("embed", *[f"{kind}_model" for kind in encode.KINDS])
+    made.write.mode("overwrite").partitionBy("collection_id").parquet(at("vectors"))
     kept(rows.where("action = 'delete'").select(*SEQ, "resource_id", "collection_id"), "deleted")
 
     bad = rows.where("reason is not null").select(*SEQ, "value", "reason", "resource_id")
@@ -78,19 +79,19 @@ def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, coll
     out.where("status is not null").select("resource_id", "status", *SEQ).distinct().write.mode("overwrite").parquet(at("statuses"))
 
 
-def work(batch: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None) -> None:
+def work(batch: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoders: encode.Encoders | None = None, custom: Callable[[str], list] | None = None) -> None:
     """One batch of messages (token, value [, ord]) settled and done, without state from earlier ones.
 
     ``fetched`` (url, content) is what the loaders got, ``resources`` what is stored.
     """
     stored = resources if "content" in resources.columns else None
-    apply(settle.settle(batch, fetched, stored), number, path, resources, collections, encoder, custom)
+    apply(settle.settle(batch, fetched, stored), number, path, resources, collections, encoders, custom)
 
 
-def run_stream(source: DataFrame, path: str, checkpoint: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoder: Callable[[list[str]], list] = encode.hash_encoder, custom: Callable[[str], list] | None = None, trigger: dict | None = None):
+def run_stream(source: DataFrame, path: str, checkpoint: str, resources: DataFrame, collections: DataFrame, fetched: DataFrame | None = None, encoders: encode.Encoders | None = None, custom: Callable[[str], list] | None = None, trigger: dict | None = None):
     """A stream of messages (token, value [, ord]) into both stores; what each resource has stored is keyed state."""
     def each(batch: DataFrame, number: int) -> None:
-        apply(batch, number, path, resources, collections, encoder, custom)
+        apply(batch, number, path, resources, collections, encoders, custom)
 
     stored = resources if "content" in resources.columns else None
     settled = settle.settle(source, fetched, stored)
@@ -108,4 +109,5 @@ def stores(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         saved = saved.where("error is null").drop("error") if "error" in saved.columns else saved
         return saved.drop("batch").withColumns({"seq": seq, "action": F.lit("save")}).unionByName(gone, allowMissingColumns=True)
 
-    return store.live_chunks(log("documents")).drop("action", "seq"), store.live_points(log("vectors")).drop("action", "seq")
+    models = [f"{kind}_model" for kind in encode.KINDS]
+    return store.live_chunks(log("documents")).drop("action", "seq", *models), store.live_points(log("vectors")).drop("action", "seq")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.api import Engine, NotFound
-from tesserae.operators.encode import encode
+from tesserae.operators.encode import encode, encode_kinds
 from tesserae.operators.retrieve import token_vectors
 
 
@@ -118,13 +118,14 @@ def test_what_was_ingested_can_be_searched_voted_and_evaluated(spark, tmp_path):
     rows = [(k, json.dumps(dict(event="chunk", resourceId=r, collectionId="c", ownerId="public", data=t))) for k, (r, t) in enumerate(texts.items())]
     rows += [(8, json.dumps(dict(event="load", resourceId="r2", url="http://a.org"))), (9, json.dumps(dict(event="delete", resourceId="r3", collectionId="c")))]
     resources = spark.createDataFrame([(r, "c", "public", t, False) for r, t in texts.items()], "resource_id string, collection_id string, owner_id string, content string, is_deleted boolean")
-    engine = Engine(spark, spark.createDataFrame([("c", "C")], "collection_id string, name string"), resources, None)
+    models = dict(sparseModel="Qdrant/bm25", rerankerModel="colbert-ir/colbertv2.0")
+    engine = Engine(spark, spark.createDataFrame([("c", "C", *models.values())], "collection_id string, name string, sparseModel string, rerankerModel string"), resources, None)
     failed = engine.ingest(spark.createDataFrame(rows, "token long, value string"), 0, str(tmp_path), spark.createDataFrame([("http://a.org", "new text")], "url string, content string"))
     assert failed.isEmpty() and engine.resource("r2").first()["content"] == "new text"
     points = {r["resource_id"]: r["point_id"] for r in engine.points.collect()}
     assert set(points) == {"r1", "r2"} and all(isinstance(p, str) for p in points.values())
 
-    asked = encode(spark.createDataFrame([("q1", "green apples"), ("q2", "prices on monday")], "query_id string, text string"), "text").withColumn("tokens", token_vectors(F.col("vector")))
+    asked = encode_kinds(spark.createDataFrame([("q1", "green apples"), ("q2", "prices on monday")], "query_id string, text string"), "text", None, *models.values())
     first = lambda: {r["query_id"]: r["point_id"] for r in engine.search(asked, "c").collect() if r["rank"] == 1}
     assert first() == {"q1": points["r1"], "q2": points["r2"]}
     engine.cases = spark.createDataFrame([("q1", "c", "public", [points["r1"]]), ("q2", "c", "public", ["none"])], "query_id string, collection_id string, owner_id string, expected array<string>")
