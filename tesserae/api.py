@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import chunking, encode, evaluate, feedback, retrieve, store
+from tesserae.operators import chunking, encode, evaluate, feedback, records, retrieve, store
 from tesserae.streaming import ingest
 
 #: Settings of a collection that may change after its creation.
@@ -101,14 +103,20 @@ class Engine:
     def chunk(self, strategy: str = "recursive", size: int = chunking.DEFAULT_SIZE, overlap: int = chunking.DEFAULT_OVERLAP, custom=None) -> DataFrame:
         return chunking.chunk_documents(self.resources.where(~F.col("is_deleted")), "content", strategy, size, overlap, custom)
 
-    def search(self, queries: DataFrame, collection_id, owner_id=PUBLIC, resource_id=None, limit: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True, asked: DataFrame | None = None) -> DataFrame:
-        """queries: query_id, text, vector, tokens.  Votes for similar queries move the scores: those of ``asked`` (point_id, vector), or of the engine's own in this collection and tenant."""
+    def search(self, queries: DataFrame, collection_id, owner_id=PUBLIC, resource_id=None, limit: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True, asked: DataFrame | None = None, analytics: str | None = None) -> DataFrame:
+        """queries: query_id, text, vector, tokens.  With ``analytics``, a path, results are written and the search goes on record there.  Votes for similar queries move the scores: those of ``asked`` (point_id, vector), or of the engine's own in this collection and tenant."""
         points = self.points.where((F.col("collection_id") == collection_id) & (F.col("owner_id") == owner_id))
         points = points.where(F.col("resource_id") == resource_id) if resource_id is not None else points
         if asked is None and self.asked is not None:
             asked = self.asked.where((F.col("collection_id") == collection_id) & (F.col("owner_id") == owner_id)).select("point_id", "vector")
         moved = None if asked is None or self.votes is None else lambda found: feedback.boost(found, queries, asked, self.vote_counts())
-        return retrieve.search(queries, points, limit, min_score, hybrid, reranking, moved)
+        if analytics is None:
+            return retrieve.search(queries, points, limit, min_score, hybrid, reranking, moved)
+        pools, start, run = [], time.monotonic(), uuid.uuid4().hex
+        found = retrieve.search(queries, points, limit, min_score, hybrid, reranking, moved, pools.append)
+        found.write.parquet(f"{analytics}/results/run={run}")
+        records.search_records(queries, pools[0], collection_id, owner_id, time.monotonic() - start, limit).write.parquet(f"{analytics}/searches/run={run}")
+        return self.spark.read.schema(found.schema).parquet(f"{analytics}/results/run={run}")
 
     def chunk_by_id(self, point_id) -> DataFrame:
         """One row, or none."""

@@ -219,7 +219,7 @@ def positional_scores(reranked: DataFrame, pool: DataFrame) -> DataFrame:
     return out.select("query_id", "point_id", "rank", "rerank_score", F.when(place == 0, F.col("rerank_score")).otherwise(place).alias("score"))
 
 
-def search(queries: DataFrame, points: DataFrame, k: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True, feedback: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame, k: int = 5, min_score: float = 0.0, hybrid: bool = True, reranking: bool = True, feedback: Callable[[DataFrame], DataFrame] | None = None, on_pool: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Candidates, score threshold, late interaction, feedback, limit.
 
     ``points`` are filtered by tenant beforehand, so the filter reaches the scan.
@@ -229,6 +229,8 @@ def search(queries: DataFrame, points: DataFrame, k: int = 5, min_score: float =
     path = scratch.new_path(queries.sparkSession, "pool")
     pool.write.parquet(path)
     pool = queries.sparkSession.read.parquet(path)
+    if on_pool is not None:
+        on_pool(pool)
     kept = pool.where(F.col("score") >= min_score)
     if reranking:
         kept = positional_scores(rerank(kept, queries, points, k), pool)

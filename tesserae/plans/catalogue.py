@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
-from tesserae.operators import chunking, encode, evaluate, feedback, ivf, retrieve, segment, store
-from tesserae.sources import html, loaders, scratch, tables
+from tesserae.operators import chunking, encode, evaluate, feedback, ivf, records, retrieve, segment, store
+from tesserae.sources import captions, html, loaders, scratch, tables
 from tesserae.streaming import cdc, ingest, messages, settle
 
 QUERIES: dict = {}
@@ -635,3 +635,31 @@ def q59_encode_kinds(spark, sf_dir):
     sparse = v.select("doc_id", F.size("sparse").alias("place"), F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda s, x: s + x).alias("value"))
     tokens = v.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.posexplode("t").alias("place", "x")).groupBy("doc_id", "place").agg(F.sum("x").alias("value"))
     return row(dense, "dense").unionByName(row(sparse, "sparse")).unionByName(row(tokens, "tokens"))
+
+
+@query(f"with {DENSE} select 'c' as collection_id, 'o' as owner_id, query_id, array_to_string(list(cast(score as varchar) order by rank), ' ') as scores, true as timed from dense where rank <= 5 group by query_id")
+def q60_search_records(spark, sf_dir):
+    pool = q19_dense_topk(spark, sf_dir)
+    path = scratch.new_path(spark, "q60")
+    counts = records.timed_write(pool, path, found=F.count("*"))
+    kept = records.search_records(vector_queries(spark, sf_dir), spark.read.parquet(path), "c", "o", counts["seconds"])
+    timed = (F.col("rt") > 0) & (F.col("ts") > 0) & (F.col("text").isNull())
+    return kept.select("collection_id", "owner_id", "query_id", F.array_join(F.transform("scores", lambda x: x.cast("string")), " ").alias("scores"), timed.alias("timed"))
+
+
+#: Turns as captions that roll: every cue shows the line before and a new one.
+SAID = r"""said as (select conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^<>]*>', '', 'g'), '\s+', ' ', 'g')) as line from conversations),
+ lines as (select *, lag(line) over (partition by conv_id order by turn, line) as before from said where line <> '')"""
+
+
+@query(f"with {SAID} select conv_id, string_agg(line, ' ' order by turn, line) as text from lines where before is null or before <> line group by conv_id")
+def q61_transcripts(spark, sf_dir):
+    turns = tables.read(spark, sf_dir, "conversations")
+    line = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "<[^<>]*>", ""), r"\s+", " "))
+    said = turns.select("conv_id", "turn", line.alias("line")).where("line <> ''")
+    order = Window.partitionBy("conv_id").orderBy("turn", "line")
+    clock = lambda n: F.concat(F.lpad(F.floor(n / 3600).cast("string"), 2, "0"), F.lit(":"), F.date_format(F.timestamp_seconds(n), "mm:ss"), F.lit(".000"))
+    n = F.row_number().over(order)
+    body = F.concat_ws("\n", F.concat(clock(n), F.lit(" --> "), clock(n + 1)), F.lag("line").over(order), F.concat(F.lit("<c>"), F.col("line"), F.lit("</c>")))
+    files = said.select("conv_id", n.alias("n"), body.alias("cue")).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cue"))), lambda x: x["cue"]), "\n\n")).alias("captions"))
+    return captions.transcripts(files, "conv_id", "captions")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import content_id
-from tesserae.operators import chunking, encode, store
+from tesserae.operators import chunking, encode, records, store
 from tesserae.streaming import settle
 from tesserae.streaming.messages import parsed
 
@@ -45,7 +45,7 @@ def settings_of(saves: DataFrame, resources: DataFrame, collections: DataFrame)
 
 
 def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, collections: DataFrame, encoders: encode.Encoders | None = None, custom: Callable[[str], list] | None = None) -> None:
-    """One batch of settled messages done: tables ``settled``, ``loaded``, ``documents``, ``vectors`` (by collection), ``deleted``, ``failed`` and ``statuses`` below ``path``.
+    """One batch of settled messages done: tables ``settled``, ``loaded``, ``documents``, ``vectors`` (by collection), ``deleted``, ``failed``, ``statuses`` and ``encoded`` (chunks, words and words a second) below ``path``.
 
     Each table's files of a batch are replaced when it is repeated, so a failure
     between two of them neither loses nor doubles rows.  Rows carry their
@@ -67,8 +67,9 @@ def apply(settled: DataFrame, number: int, path: str, resources: DataFrame, coll
     # ids of kept duplicates are drawn once, for both stores
     documents = kept(found.withColumn("point_id", F.when(F.col("error").isNull(), ids)).drop("known", "keep_duplicate"), "documents")
     good = documents.where("error is null").select("point_id", *SEQ, "resource_id", "owner_id", "collection_id", "chunk_no", embed_source(F.col("chunk"), F.col("vector_source")).alias("embed"), *[f"{kind}_model" for kind in encode.KINDS])
-    made = encode.encode_kinds(good, "embed", *[F.col(f"{kind}_model") for kind in encode.KINDS], encoders).drop("embed", *[f"{kind}_model" for kind in encode.KINDS])
-    made.write.mode("overwrite").partitionBy("collection_id").parquet(at("vectors"))
+    made = encode.encode_kinds(good, "embed", *[F.col(f"{kind}_model") for kind in encode.KINDS], encoders)
+    counts = records.timed_write(made, at("vectors"), "collection_id", ["embed", *[f"{kind}_model" for kind in encode.KINDS]], chunks=F.count("*"), characters=F.sum(F.length("embed")))
+    kept(spark.createDataFrame([records.encode_record(counts)], "chunks long, words double, seconds double, words_per_second double"), "encoded")
     kept(rows.where("action = 'delete'").select(*SEQ, "resource_id", "collection_id"), "deleted")
 
     bad = rows.where("reason is not null").select(*SEQ, "value", "reason", "resource_id")
