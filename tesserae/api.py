@@ -6,7 +6,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import chunking, encode, evaluate, feedback, records, retrieve, store
@@ -14,6 +14,8 @@ from tesserae.streaming import ingest
 
 #: Settings of a collection that may change after its creation.
 MUTABLE = ["chunkingUrl", "chunkOverlap", "chunkSize", "strategy", "keepDuplicate"]
+#: Fields of a resource that may change after its creation.
+MUTABLE_RESOURCE = ["url", "content", "title", "description", "refreshedAt", "is_deleted", "settings", *MUTABLE]
 PUBLIC = "public"
 
 
@@ -75,10 +77,17 @@ class Engine:
         return self._one(self.resources.where(F.col("resource_id") == resource_id), "resource", resource_id)
 
     def add_resource(self, rows: DataFrame) -> None:
+        """Resources without an owner are public; a faulty one is refused with all others."""
+        owner = F.coalesce("owner_id", F.lit(PUBLIC)) if "owner_id" in rows.columns else F.lit(PUBLIC)
+        gone = F.coalesce("is_deleted", F.lit(False)) if "is_deleted" in rows.columns else F.lit(False)
+        rows = rows.withColumns({"owner_id": owner, "is_deleted": gone})
+        self._refuse(rows, store.resource_fault(rows if "collection_id" in rows.columns else rows.withColumn("collection_id", F.lit(None).cast("string"))))
         self.resources = self.resources.unionByName(rows, allowMissingColumns=True)
 
     def update_resource(self, changes: DataFrame, as_given: list[str] | None = None) -> None:
-        """Unknown ids are refused; columns ``as_given`` may be set to null."""
+        """Unknown ids and faulty values are refused, fields that may not change left out; columns ``as_given`` may be set to null."""
+        changes = changes.select(*[c for c in changes.columns if c in ("resource_id", *MUTABLE_RESOURCE)])
+        self._refuse(changes, store.resource_fault(changes))
         for r in changes.join(self.resources.select("resource_id"), "resource_id", "left_anti").take(1):
             raise NotFound(f"resource {r['resource_id']}")
         self.resources = store.update_by_id(self.resources, changes, "resource_id", as_given)
@@ -118,6 +127,18 @@ class Engine:
         records.search_records(queries, pools[0], collection_id, owner_id, time.monotonic() - start, limit).write.parquet(f"{analytics}/searches/run={run}")
         return self.spark.read.schema(found.schema).parquet(f"{analytics}/results/run={run}")
 
+    def update_chunk(self, changes: DataFrame) -> None:
+        """Changed fields of chunks (point_id, ...); a chunk's place and tenant stay."""
+        kept = [c for c in changes.columns if c not in ("collection_id", "owner_id", "resource_id")]
+        self.points = store.update_by_id(self.points, changes.select(*kept), "point_id")
+
+    def delete_chunk(self, ids: DataFrame) -> None:
+        self.points = store.hard_delete(self.points, ids, "point_id")
+
+    def delete_collection(self, ids: DataFrame) -> None:
+        """The collection's row goes; resources and points stay for whoever still holds their ids."""
+        self.collections = store.hard_delete(self.collections, ids, "collection_id")
+
     def chunk_by_id(self, point_id) -> DataFrame:
         """One row, or none."""
         return self.points.where(F.col("point_id") == point_id)
@@ -164,6 +185,10 @@ class Engine:
     def _check_settings(rows: DataFrame) -> None:
         given = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
         fault = store.settings_fault(given("chunkSize", "int"), given("chunkOverlap", "int"), given("strategy", "string"), given("chunkingUrl", "string"))
+        Engine._refuse(rows, fault)
+
+    @staticmethod
+    def _refuse(rows: DataFrame, fault: Column) -> None:
         for r in rows.select(fault.alias("fault")).where("fault is not null").take(1):
             raise ValueError(r[0])
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import url_host
+
 
 def upsert_dedup(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last write of each key."""
@@ -62,6 +64,17 @@ def settings_fault(size: Column, overlap: Column, strategy: Column, url: Column)
     )
 
 
+def resource_fault(rows: DataFrame) -> Column:
+    """What is wrong with a new or changed resource; null if nothing is.  Columns that aren't there are not looked at."""
+    given = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+    fault = settings_fault(given("chunkSize", "int"), given("chunkOverlap", "int"), given("strategy", "string"), given("chunkingUrl", "string"))
+    url = given("url", "string")
+    fault = F.when(url.isNotNull() & url_host(url).isNull(), F.lit("not a url")).otherwise(fault)
+    if "collection_id" in rows.columns:
+        fault = F.when(F.coalesce(F.col("collection_id").cast("string"), F.lit("")) == "", F.lit("no collection")).otherwise(fault)
+    return fault
+
+
 def last_updates(updates: DataFrame, key: str, as_given: list[str] | None = None, order: str | None = None) -> DataFrame:
     """One update a key: of each column the last value that isn't null, of those ``as_given`` the last at all.
 

@@ -9,7 +9,7 @@ from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
 from tesserae.operators import chunking, encode, evaluate, feedback, ivf, records, retrieve, segment, store
 from tesserae.sources import captions, html, loaders, scratch, tables
-from tesserae.streaming import cdc, ingest, messages, settle
+from tesserae.streaming import cdc, ingest, messages, settle, votes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -663,3 +663,22 @@ def q61_transcripts(spark, sf_dir):
     body = F.concat_ws("\n", F.concat(clock(n), F.lit(" --> "), clock(n + 1)), F.lag("line").over(order), F.concat(F.lit("<c>"), F.col("line"), F.lit("</c>")))
     files = said.select("conv_id", n.alias("n"), body.alias("cue")).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cue"))), lambda x: x["cue"]), "\n\n")).alias("captions"))
     return captions.transcripts(files, "conv_id", "captions")
+
+
+@query(f"""with v as (select event_id, 'text ' || {K} as query, 'c' || user_id % 3 as collection, case when user_id % 4 <> 0 then 'o' || user_id % 4 end as owner, case when {K} % 9 <> 0 then 'k' || {K} end as chunk,
+   case event_type when 'click' then 'upvote' when 'error' then 'downvote' else event_type end as action from events)
+ select event_id, coalesce(owner, 'public') as owner_id, chunk as chunk_id, regexp_replace(md5(collection || ':' || coalesce(owner, 'public') || ':' || query), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') as query_id,
+   case when chunk is null then null when action = 'upvote' then 1 when action = 'downvote' then -1 end as delta, case when chunk is null then 'a field is missing' when action not in ('upvote', 'downvote') then 'unknown action' end as reason from v""")
+def q62_vote_messages(spark, sf_dir):
+    e = tables.read(spark, sf_dir, "events")
+    k, kind = F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("long"), F.col("event_type")
+    named = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    value = F.to_json(F.struct(
+        F.concat(F.lit("text "), k.cast("string")).alias("query"),
+        F.when(F.pmod(k, F.lit(9)) != 0, named("k", k)).alias("chunkId"),
+        F.lit("r").alias("resourceId"),
+        F.when(kind == "click", "upvote").when(kind == "error", "downvote").otherwise(kind).alias("action"),
+        named("c", F.pmod("user_id", F.lit(3))).alias("collectionId"),
+        F.when(F.pmod("user_id", F.lit(4)) != 0, named("o", F.pmod("user_id", F.lit(4)))).alias("ownerId"),
+    ))
+    return votes.parsed(e.select("event_id", value.alias("value"))).select("event_id", "owner_id", "chunk_id", "query_id", "delta", "reason")

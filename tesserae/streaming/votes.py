@@ -3,15 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructType
 
+from tesserae.functions.text import content_id
 from tesserae.operators.feedback import Known, unit_rows
 
 
+VOTE = "query string, chunkId string, resourceId string, action string, collectionId string, ownerId string"
+REQUIRED = ["collectionId", "query", "chunkId", "resourceId", "action"]
+
+
+def parsed(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Vote messages as rows (collection_id, owner_id, query_id, query, chunk_id, resource_id, delta), with ``reason`` where one is faulty.
+
+    ``query_id`` is the id that a feedback query founded by this vote has; votes
+    without an owner are the public's.
+    """
+    out = messages.withColumn("vote", F.from_json(F.col(value_col), VOTE))
+    field = lambda c: F.col(f"vote.{c}")
+    lacks = [F.coalesce(field(c), F.lit("")) == "" for c in REQUIRED]
+    reason = F.when(reduce(lambda a, b: a | b, lacks), F.lit("a field is missing")).when(~field("action").isin("upvote", "downvote"), F.lit("unknown action"))
+    owner = F.when(F.coalesce(field("ownerId"), F.lit("")) == "", F.lit("public")).otherwise(field("ownerId"))
+    return out.select(
+        *messages.columns,
+        field("collectionId").alias("collection_id"),
+        owner.alias("owner_id"),
+        content_id(field("query"), field("collectionId"), owner).alias("query_id"),
+        field("query").alias("query"),
+        field("chunkId").alias("chunk_id"),
+        field("resourceId").alias("resource_id"),
+        F.when(reason.isNull(), F.when(field("action") == "upvote", 1).otherwise(-1)).alias("delta"),
+        reason.alias("reason"),
+    )
+
+
 class VoteAssigner(StatefulProcessor):
     """State: the owner's feedback queries with their vectors and terms, in order of creation."""
 

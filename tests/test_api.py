@@ -139,3 +139,37 @@ def test_what_was_ingested_can_be_searched_voted_and_evaluated(spark, tmp_path):
     assert engine.vote_by_link(clicks, linked).count() == 1
     engine.asked = asked.where("query_id = 'q1'").select(F.col("query_id").alias("point_id"), "vector", F.lit("c").alias("collection_id"), F.lit("public").alias("owner_id"))
     assert first()["q1"] == points["r2"]
+
+
+def test_new_and_changed_resources_are_checked(engine, spark):
+    kind = "resource_id long, collection_id string, url string, chunkSize int"
+    engine.add_resource(spark.createDataFrame([(20, "c", "http://a.org/x", None)], kind))
+    row = engine.resource(20).first()
+    assert (row["owner_id"], row["is_deleted"]) == ("public", False)
+    for bad, fault in [((21, None, None, None), "no collection"), ((21, "c", "nowhere", None), "not a url"), ((21, "c", None, 5000), "size")]:
+        with pytest.raises(ValueError, match=fault):
+            engine.add_resource(spark.createDataFrame([bad], kind))
+    with pytest.raises(ValueError, match="not a url"):
+        engine.update_resource(spark.createDataFrame([(10, "nowhere")], "resource_id long, url string"))
+    engine.update_resource(spark.createDataFrame([(10, "new", "thief")], "resource_id long, content string, owner_id string"))
+    assert tuple(engine.resource(10).select("content", "owner_id").first()) == ("new", "public")
+
+
+def test_chunks_and_collections_change_and_go(engine, spark):
+    engine.update_chunk(spark.createDataFrame([(1, "blue plums", "d")], "point_id long, text string, collection_id string"))
+    assert tuple(engine.chunk_by_id(1).select("text", "collection_id").first()) == ("blue plums", "c")
+    engine.delete_chunk(spark.createDataFrame([(1,), (99,)], "point_id long"))
+    assert engine.points.count() == 3 and engine.chunk_by_id(1).isEmpty()
+    engine.delete_collection(spark.createDataFrame([("c",)], "collection_id string"))
+    with pytest.raises(NotFound):
+        engine.collection("c")
+
+
+def test_searches_go_on_record(engine, queries, spark, tmp_path):
+    plain = sorted(map(tuple, engine.search(queries, "c").collect()))
+    assert sorted(map(tuple, engine.search(queries, "c", analytics=str(tmp_path)).collect())) == plain
+    engine.search(queries, "c", limit=1, analytics=str(tmp_path))
+    found = spark.read.parquet(f"{tmp_path}/searches").collect()
+    assert len(found) == 4 and len({r["record_id"] for r in found}) == 4
+    assert sorted((r["query_id"], r["text"], len(r["scores"])) for r in found) == [(1, "green apples", 1), (1, "green apples", 2), (2, "prices on monday", 1), (2, "prices on monday", 2)]
+    assert all(r["rt"] > 0 and r["ts"] > 0 and (r["collection_id"], r["owner_id"]) == ("c", "public") for r in found)
