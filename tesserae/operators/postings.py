@@ -23,8 +23,8 @@ from tesserae.sources import scratch
 
 #: Points of a block at least, and blocks at most.
 BLOCK_POINTS, BLOCKS = 64, 65_536
-#: Blocks of a query that are scored before the others.
-FIRST = 2
+#: Points, for each one asked for, that the blocks scored before the others hold: enough for a threshold that few others reach.
+FIRST = 16
 DIGITS = 6
 
 
@@ -82,12 +82,14 @@ def best(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, index: Postings, k: int = 5, first: int = FIRST) -> DataFrame:
+def search(queries: DataFrame, index: Postings, k: int = 5, first: int | None = None) -> DataFrame:
     """Best k points of each query (query_id, sparse) by dot product: query_id, point_id, score, rank.
 
     Weights are above 0, as counts are; points that share no term are no candidates.
+    ``first`` is how many blocks of a query are scored before the others.
     """
     spark = queries.sparkSession
+    first = first or max(2, -(-FIRST * k // BLOCK_POINTS))
     path = scratch.new_path(spark, "sparse-search")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
