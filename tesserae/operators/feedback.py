@@ -184,7 +184,7 @@ def unit_rows(vectors) -> list[np.ndarray]:
 
 
 #: Queries of an owner that are settled in one round, and of a part that meets the founders of a round.
-ROUND, PART = 2048, 20_000
+ROUND, PART = 8192, 20_000
 
 
 def founders(first: DataFrame, gate: float = VOTE_GATE, round_size: int = ROUND) -> DataFrame:
@@ -213,9 +213,9 @@ def founders(first: DataFrame, gate: float = VOTE_GATE, round_size: int = ROUND)
     def far(f: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         if len(f) and len(new):
             leaders, keep = np.array(unit_rows(new["vector"])), []
-            for start in range(0, len(f), 1024):
-                sims = np.round(np.array(unit_rows(f["vector"].iloc[start : start + 1024])) @ leaders.T, 6)
-                keep += (sims.max(1) <= gate).tolist()
+            for start in range(0, len(f), 256):
+                sims = np.array(unit_rows(f["vector"].iloc[start : start + 256])) @ leaders.T
+                keep += (np.round(sims.max(1), 6) <= gate).tolist()
             f = f[keep]
         return f.drop(columns="_part")
 
@@ -223,12 +223,14 @@ def founders(first: DataFrame, gate: float = VOTE_GATE, round_size: int = ROUND)
     while rows := left.count():
         number += 1
         order = Window.partitionBy("owner_id").orderBy("event_id")
-        block = kept(left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= round_size).drop("n"), f"block-{number}")
+        # ranks need no vectors
+        ranks = left.select("owner_id", "event_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= round_size)
+        last = kept(ranks.groupBy("owner_id").agg(F.max("event_id").alias("upto")), f"last-{number}")
+        upto = left.join(F.broadcast(last) if last.count() <= PART else last, "owner_id")
+        block, rest = (upto.where(c).drop("upto") for c in ("event_id <= upto", "event_id > upto"))
         new = kept(block.groupBy("owner_id").applyInPandas(fold, schema), f"found-{number}")
         found.append(f"{path}/found-{number}")
-        parts = rows // PART + 1
-        last = block.groupBy("owner_id").agg(F.max("event_id").alias("upto"))
-        rest = left.join(F.broadcast(last) if last.count() <= PART else last, "owner_id").where("event_id > upto").drop("upto")
+        parts = max(rows // PART + 1, min(spark.sparkContext.defaultParallelism, rows // 1024 + 1))
         rest = rest.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
         every = new.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         left = kept(rest.groupBy("owner_id", "_part").cogroup(every.groupBy("owner_id", "_part")).applyInPandas(far, schema), f"left-{number}")
@@ -246,8 +248,9 @@ def assign_votes(votes: DataFrame, round_size: int = ROUND) -> DataFrame:
     first.write.parquet(path)
     first = votes.sparkSession.read.parquet(path)
     known = founders(first, VOTE_GATE, round_size)
-    # places in time stand for the known queries, so that ties go to the earliest
-    asked = first.select(F.to_json(F.struct("owner_id", "query_id")).alias("query_id"), "vector", "owner_id", "event_id")
+    # places in time stand for the known queries, so that ties go to the earliest; those themselves are near to none before
+    others = first.join(known.select("owner_id", "query_id"), ["owner_id", "query_id"], "left_anti")
+    asked = others.select(F.to_json(F.struct("owner_id", "query_id")).alias("query_id"), "vector", "owner_id", "event_id")
     near = block_topk(asked, known.select(F.col("event_id").alias("point_id"), "vector", "owner_id"), 1, {"dense": earlier_of_owner})
     near = near.where(F.col("score") > VOTE_GATE).select(F.col("query_id").alias("_asked"), F.col("point_id").alias("_at"))
     ids = known.select(F.col("event_id").alias("_when"), F.col("owner_id").alias("_owner"), F.col("query_id").alias("_found"))

@@ -23,9 +23,13 @@ from tesserae.sources import scratch
 
 #: Bytes of a block of queries and of one of points, and scores in memory at once.
 QUERY_BYTES, POINT_BYTES, CELLS = 8_000_000, 64_000_000, 4_000_000
+#: Queries of a tile of scores.
+TILE = 1024
 #: Fixed value: candidates of a search.
 POOL = 50
 DIGITS = 6
+#: Scores nearer than this may be equal once rounded.
+SLACK = 1.01 * 10**-DIGITS
 
 #: From a block of queries, a function that scores points against it (queries x points).
 Scorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
@@ -58,27 +62,56 @@ def measured(rows: DataFrame) -> tuple[int, int]:
 
 
 class Best:
-    """The best k points of each query of a block, over any number of blocks of points."""
+    """The best k points of each query of a block, over any number of blocks of points, ties by id.
+
+    Scores are looked at in tiles; kept are the best so far, as arrays, and of a
+    tile only what can be among them.
+    """
 
     def __init__(self, queries: pd.DataFrame, k: int, scorers: dict[str, Scorer]) -> None:
-        self.ids, self.k = queries["query_id"].tolist(), k
-        self.scores = {branch: scorer(queries) for branch, scorer in scorers.items()}
-        self.found: dict[str, list[list]] = {branch: [[] for _ in self.ids] for branch in scorers}
+        self.k = k
+        starts = range(0, len(queries), TILE)
+        # a tile of queries: its ids, its scorers, and for each branch the rows, points and scores found
+        self.tiles = [(q["query_id"].to_numpy(), {branch: scorer(q) for branch, scorer in scorers.items()}, {}) for q in (queries.iloc[n : n + TILE] for n in starts)]
 
     def add(self, points: pd.DataFrame) -> None:
-        step = max(1, CELLS // max(1, len(self.ids)))
+        step = max(1, CELLS // max([len(ids) for ids, _, _ in self.tiles], default=1))
         for start in range(0, len(points), step):
             part = points.iloc[start : start + step]
-            ids = part["point_id"].to_numpy()
-            for branch, score in self.scores.items():
-                s, best = np.round(score(part), DIGITS) + 0.0, self.found[branch]
-                for n, near in enumerate(best_of(s, ids, self.k)):
-                    if len(near):
-                        best[n] = sorted([*best[n], *zip((-s[n, near]).tolist(), ids[near].tolist(), strict=True)])[: self.k]
+            names = part["point_id"].to_numpy()
+            for ids, scorers, found in self.tiles:
+                for branch, score in scorers.items():
+                    found[branch] = self.merged(found.get(branch), score(part), names, len(ids))
+
+    def merged(self, found, s: np.ndarray, names: np.ndarray, n: int):
+        """Rows, points and scores of the best of what was found and of a tile; minus infinity is no candidate."""
+        k, least = self.k, np.full(n, -np.inf)
+        if found is not None:
+            rows, _, scores = found
+            last = np.flatnonzero(np.bincount(rows, minlength=n) >= k)
+            # found is sorted by row and score
+            least[last] = scores[np.searchsorted(rows, last, "right") - 1]
+        # what is no number is no candidate
+        live = np.flatnonzero(np.fmax.reduce(s, axis=1) >= least - SLACK)
+        s, floor = s[live], least[live]
+        fresh = np.flatnonzero(floor == -np.inf)
+        if s.shape[1] > k and len(fresh):
+            floor[fresh] = np.partition(np.where(np.isnan(s[fresh]), -np.inf, s[fresh]), -k, axis=1)[:, -k]
+        # rounding keeps the order, so no more than half a digit is lost
+        row, at = np.nonzero((s >= floor[:, None] - SLACK) & (s > -np.inf))
+        row, point, score = live[row], names[at], np.round(s[row, at], DIGITS) + 0.0
+        if found is not None:
+            row, point, score = np.concatenate([found[0], row]), np.concatenate([found[1], point]), np.concatenate([found[2], score])
+        # ids may be texts
+        order = np.lexsort((np.unique(point, return_inverse=True)[1], -score, row))
+        row = row[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[first], point[order[first]], score[order[first]]
 
-    def rows(self) -> pd.DataFrame:
-        rows = [(branch, self.ids[n], i, -s) for branch, best in self.found.items() for n, found in enumerate(best) for s, i in found]
-        return pd.DataFrame(rows, columns=["branch", "query_id", "point_id", "score"])
+    def rows(self):
+        for ids, _, found in self.tiles:
+            for branch, (row, point, score) in found.items():
+                yield pd.DataFrame({"branch": branch, "query_id": ids[row], "point_id": point, "score": score})
 
 
 def block_topk(queries: DataFrame, points: DataFrame, k: int, scorers: dict[str, Scorer]) -> DataFrame:
@@ -99,7 +132,7 @@ def block_topk(queries: DataFrame, points: DataFrame, k: int, scorers: dict[str,
             best = Best(asked, k, scorers)
             for f in frames:
                 best.add(f)
-            yield best.rows()
+            yield from best.rows()
 
         return ranked(points.mapInPandas(scan, schema), k, ["branch", "query_id"])
     n_points, p_bytes = measured(points)
@@ -113,7 +146,8 @@ def block_topk(queries: DataFrame, points: DataFrame, k: int, scorers: dict[str,
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         best = Best(q, k, scorers)
         best.add(p)
-        return best.rows()
+        rows = list(best.rows())
+        return pd.concat(rows) if rows else pd.DataFrame(columns=["branch", "query_id", "point_id", "score"])
 
     met = left.groupBy("_q", "_p").cogroup(right.groupBy("_q", "_p")).applyInPandas(run, schema)
     return ranked(met, k, ["branch", "query_id"])
@@ -125,15 +159,29 @@ def matrix(vectors) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+_last: dict = {}
+
+
+def unit_vectors(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a vector, and those in unit length; kept for the tiles of queries that meet the same points."""
+    if _last.get("part") is not part:
+        own = part["vector"].notna().to_numpy()
+        _last.update(part=part, made=(own, matrix(part["vector"][own])))
+    return _last["made"]
+
+
 def cosine_scores(q: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     """Rows without a vector are no candidates, and queries without one have none."""
     has = q["vector"].notna().to_numpy()
     qm = matrix(q["vector"][has])
 
     def score(part: pd.DataFrame) -> np.ndarray:
-        s, own = np.full((len(q), len(part)), -np.inf), part["vector"].notna().to_numpy()
+        own, pm = unit_vectors(part)
+        if has.all() and own.all():
+            return qm @ pm.T
+        s = np.full((len(q), len(part)), -np.inf)
         if has.any() and own.any():
-            s[np.ix_(has, own)] = qm @ matrix(part["vector"][own]).T
+            s[np.ix_(has, own)] = qm @ pm.T
         return s
 
     return score

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,24 @@ def test_shards_of_a_known_total_go_by_checksum(spark):
     rows = spark.createDataFrame([(k,) for k in ("a", "b", "10", "", "é")], "k string")
     got = {r[0]: r[1] for r in rows.select("k", T.shard_of(F.col("k"), 1000, 300)).collect()}
     assert got == {k: zlib.crc32(k.encode()) % 4 for k in got}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_best_of_tiles_are_those_of_a_sort(monkeypatch, k):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(retrieve, "TILE", 3)
+    monkeypatch.setattr(retrieve, "CELLS", 21)
+    # coarse scores, so that many are equal; some are no candidates
+    scores = rng.integers(0, 4, (8, 40)) / 4.0
+    scores[rng.random(scores.shape) < 0.2] = -np.inf
+    scores[5] = -np.inf
+    queries = pd.DataFrame({"query_id": [f"q{n}" for n in range(8)], "n": range(8)})
+    points = pd.DataFrame({"point_id": [f"p{n}" for n in rng.permutation(40)], "m": range(40)})
+    best = retrieve.Best(queries, k, {"s": lambda q: lambda p: scores[np.ix_(q["n"], p["m"])].copy()})
+    best.add(points.iloc[:25])
+    best.add(points.iloc[25:])
+    frames = list(best.rows())
+    assert max(len(f) for f in frames) <= 3 * k
+    got = [tuple(r) for f in frames for r in f[["query_id", "score", "point_id"]].itertuples(index=False)]
+    want = [(f"q{n}", -s, i) for n in range(8) for s, i in sorted((-scores[n, m], points["point_id"][m]) for m in range(40) if scores[n, m] > -np.inf)[:k]]
+    assert got == want

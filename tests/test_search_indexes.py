@@ -159,3 +159,13 @@ def test_hybrid_votes_in_batch_and_stream(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == len(rows) and {(r["owner_id"], r["query_id"]): r["feedback_id"] for r in out.collect()} == want
+
+
+def test_founders_are_not_searched_for_again(spark, monkeypatch):
+    asked = []
+    search = feedback.block_topk
+    monkeypatch.setattr(feedback, "block_topk", lambda queries, *rest: asked.append(queries.count()) or search(queries, *rest))
+    rows = [(0, "o", "a", [1.0, 0.0]), (1, "o", "b", [0.0, 1.0]), (2, "o", "c", [0.01, 1.0])]
+    found = feedback.assign_votes(spark.createDataFrame(rows, "event_id long, owner_id string, query_id string, vector array<double>"))
+    assert {r["query_id"]: r["feedback_id"] for r in found.collect()} == {"a": "a", "b": "b", "c": "b"}
+    assert asked == [1]
