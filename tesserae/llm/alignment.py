@@ -1,10 +1,14 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies cover the same bytes.
 
-Tokenising is the only Python step; it gives each text's ids and byte ends.
-What follows is built from array functions: the ends that both tokenizers share
-(``array_intersect``) cut the text into groups, positions of the cuts come from
-one sort of ends and cuts, and every A token of a group is linked with every B
-token of it.  All steps are linear in a text's tokens.
+A text is cut into units, before spaces that follow another character than
+white space.  No token of either vocabulary crosses such a place, so both
+tokenizers end there, and a unit's tokens, groups and links are those it has by
+itself: they are found once for a unit and kept.  A text in which a unit doesn't
+give back its bytes is encoded whole.
+
+The Python step gives each text's numbers, digest and links; groups with many
+links are given as their tokens, and array functions list each id pair of them
+once with its number.  All steps are linear in a text's tokens.
 
 Counts of linked ids cover the whole corpus: each document counts once for an
 id pair.  The counts meet the documents again by a join, broadcast only where
@@ -19,9 +23,11 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from functools import cache, reduce
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,10 @@ BROADCAST_ROWS = 1_000_000
 LISTED = 64
 #: Characters of texts encoded at once, and recent words whose pieces a worker keeps.
 BATCH_CHARS, WORDS = 500_000, 200_000
+#: Recent units whose links a worker keeps, and the characters of the longest of them.
+UNITS, UNIT_CHARS = 100_000, 64
+#: What a text is cut into: white space at its start, and no space after another character.
+UNIT = re.compile(r"\s*+\S++(?:[^\S ]\s*+\S*+)*+|\s++")
 #: Beyond these characters the two libraries' tables of letters, digits and spaces may be of different Unicode versions.
 OTHER = re.compile("[^\x00-ɏ]")
 
@@ -129,33 +139,122 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def tokenised(byte_level_path: str, piece_path: str):
-    """A batch function: (row, text) to the ids and byte ends of both tokenizers."""
+class Units:
+    """Numbers, digest text and links of units of texts; those of recent short ones are kept.
+
+    A unit has: A and B tokens, groups, the groups as text, links as bytes, and
+    the groups of more than ``listed`` links.
+    """
+
+    #: What a text without tokens has.
+    NONE = 0, 0, 0, b"", b"", []
+
+    def __init__(self, byte_level_path: str, piece_path: str, listed: int) -> None:
+        self.a, self.b, self.listed = byte_level(byte_level_path), pieces(piece_path), listed
+        self.kind = np.int32 if self.a.size * self.b.size < 2**31 else np.int64
+        self.known = WordCache(UNITS)
+        # ids as text, with room for a mark
+        names = [str(k).encode() for k in range(max(self.a.size, self.b.size))]
+        self.widths = np.array([len(n) for n in names])
+        self.names = np.array(names, f"S{self.widths.max() + 1}").view(np.uint8).reshape(len(names), -1)
+
+    def of_units(self, units: list[str]) -> dict[str, tuple | None]:
+        """None where bytes are not given back.  A side encodes units that can follow each other as one text."""
+        plain = [u for u in units if not OTHER.search(u) and not u[-1].isspace()]
+        others = list(set(units).difference(plain))
+        units = plain + others
+        said = [u.encode("utf-8", "surrogatepass") for u in units]
+        ends, whole = np.cumsum([len(u) for u in said]), b"".join(said)
+        a = np.concatenate(self.a.encode(["".join(plain), *others])).astype(np.int64)
+        # the piece model sets the first space itself
+        own = self.b.model.encode([u[1:] for u in units], num_threads=1)
+        b = np.fromiter(chain.from_iterable(own), np.int64)
+        a_ends, b_ends = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        same = all(b"".join(map(side.table.__getitem__, ids.tolist())) == whole for side, ids in ((self.a, a), (self.b, b)))
+        # a unit's tokens give back no more nor less than the unit
+        if not same or not np.array_equal(b_ends[np.cumsum([len(x) for x in own]) - 1], ends) or not np.isin(ends, cuts).all():
+            half = len(units) // 2
+            return self.of_units(units[:half]) | self.of_units(units[half:]) if half else {units[0]: None}
+        # a token's group, a group's tokens and its first one
+        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        n_a, n_b = np.bincount(a_group), np.bincount(b_group)
+        a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
+        a_from, b_from = a_to - n_a, b_to - n_b
+        # a group's A tokens, then its B tokens
+        a_at, b_at = np.arange(len(a)) + b_from[a_group], np.arange(len(b)) + a_to[b_group]
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[a_at], ids[b_at] = a, b
+        marks[a_at[a_to - 1]], marks[b_at[b_to - 1]] = ord("|"), ord(";")
+        names, widths = self.names[ids], self.widths[ids]
+        names[np.arange(len(ids)), widths] = marks
+        text = names[np.arange(names.shape[1]) <= widths[:, None]].tobytes()
+        # every A token with each B token of its group
+        times = np.where(n_a * n_b <= self.listed, n_b, 0)
+        each = times[a_group]
+        other = np.arange(each.sum()) + np.repeat(b_from[a_group] - (np.cumsum(each) - each), each)
+        links = (np.repeat(a * self.b.size, each) + b[other]).astype(self.kind).tobytes()
+        # where units end
+        to = np.searchsorted(cuts, ends)
+        wide: dict[int, list] = {}
+        for g in np.flatnonzero(n_a * n_b > self.listed).tolist():
+            wide.setdefault(int(np.searchsorted(to, g)), []).append({"a": a[a_from[g] : a_to[g]].tolist(), "b": b[b_from[g] : b_to[g]].tolist()})
+        places = [to + 1, a_to[to], b_to[to], np.cumsum(widths + 1)[a_to[to] + b_to[to] - 1], np.cumsum(n_a * times)[to] * np.dtype(self.kind).itemsize]
+        groups, n_a, n_b = (np.diff(x, prepend=0).tolist() for x in places[:3])
+        texts, linked_ = ([x[start:end] for start, end in pairwise([0, *at.tolist()])] for x, at in zip((text, links), places[3:], strict=True))
+        return dict(zip(units, zip(n_a, n_b, groups, texts, linked_, [wide.get(k, []) for k in range(len(units))], strict=True), strict=True))
+
+    def of_text(self, text: str) -> tuple:
+        """Of a text as one unit."""
+        return self.of_units([" " + text])[" " + text] or self.NONE
+
+    def of_texts(self, texts: list[str | None]) -> list[tuple]:
+        cut = [UNIT.findall(" " + t) if t else [] for t in texts]
+        distinct = {u for own in cut for u in own}
+        long = [u for u in distinct if len(u) > UNIT_CHARS]
+        known = self.known.fetch(distinct.difference(long), lambda new: map(self.of_units(new).__getitem__, new))
+        if long:
+            known = known | self.of_units(long)
+        out = []
+        for text, own in zip(texts, cut, strict=True):
+            found = [known[u] for u in own]
+            if None in found:
+                out.append(self.of_text(text))
+            elif found:
+                n_a, n_b, n_groups, said, links, wide = zip(*found, strict=True)
+                out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(said), b"".join(links), [g for w in wide if w for g in w]))
+            else:
+                out.append(self.NONE)
+        return out
+
+
+@cache
+def units_of(byte_level_path: str, piece_path: str, listed: int) -> Units:
+    return Units(byte_level_path, piece_path, listed)
+
+
+def linked(byte_level_path: str, piece_path: str, listed: int):
+    """A batch function: (row, text) to its numbers, digest, links and groups of many links."""
 
     def make():
-        sides = byte_level(byte_level_path), pieces(piece_path)
-        lengths = [side.lengths for side in sides]
+        units = units_of(byte_level_path, piece_path, listed)
+        pair = pa.from_numpy_dtype(units.kind)
+        tokens = pa.list_(pa.int32())
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pair), pa.list_(pa.struct([("a", tokens), ("b", tokens)]))]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[] for _ in kinds]
             for start, end in text_groups(texts, BATCH_CHARS):
-                part = [t or "" for t in texts[start:end]]
-                filled = [k for k, t in enumerate(part) if t]
-                found = [[np.zeros(0, np.int32)] * len(part) for _ in sides]
-                for k, *both in zip(filled, sides[0].encode([" " + part[k] for k in filled]), sides[1].encode([part[k] for k in filled]), strict=True):
-                    whole = b" " + part[k].encode("utf-8", "surrogatepass")
-                    if all(b"".join(map(side.table.__getitem__, ids.tolist())) == whole for side, ids in zip(sides, both, strict=True)):
-                        for own, ids in zip(found, both, strict=True):
-                            own[k] = ids
-                for n, own in enumerate(found):
-                    sizes = [len(ids) for ids in own]
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                    ends = [np.cumsum(lengths[n][ids], dtype=np.int32) for ids in own]
-                    columns[2 * n].append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own).astype(np.int32))))
-                    columns[2 * n + 1].append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ends))))
-            arrays = [pa.concat_arrays(c) if c else pa.array([], pa.list_(pa.int32())) for c in columns]
-            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", "a_ids", "a_ends", "b_ids", "b_ends"])
+                n_a, n_b, n_groups, said, links, wide = zip(*units.of_texts(texts[start:end]))
+                offsets = np.cumsum([0, *map(len, links)]) // np.dtype(units.kind).itemsize
+                listed_ = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(links), units.kind)))
+                # a mark follows every group
+                digests = [hashlib.sha256(t[:-1]).hexdigest() if t else "" for t in said]
+                for column, made in zip(columns, (n_a, n_b, n_groups, digests, listed_, wide), strict=True):
+                    column.append(made)
+            arrays = [pa.concat_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c in column] or [pa.array([], kind)]) for column, kind in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["row", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "wide"])
 
         return step
 
@@ -180,18 +279,6 @@ def flat_map(values: Column, each) -> Column:
     return F.flatten(F.transform(values, each))
 
 
-#: An entry of the merged array: a token's end, then its side, then its id; a cut stands after all that end with it.
-ID_BITS, A_SIDE, B_SIDE, CUT = 20, 0, 1, 2
-
-
-def merged(cuts: Column) -> Column:
-    """Tokens of both sides and the cuts in one array by end, so that a cut's place tells what its group holds."""
-    entry = lambda end, side, k: F.shiftleft(end.cast("long"), ID_BITS + 2) + ((side << ID_BITS) + k)
-    a = F.zip_with("a_ends", "a_ids", lambda e, k: entry(e, A_SIDE, k))
-    b = F.zip_with("b_ends", "b_ids", lambda e, k: entry(e, B_SIDE, k))
-    return F.sort_array(F.concat(a, b, F.transform(cuts, lambda c: entry(c, CUT, 0))))
-
-
 def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its numbers and digest, ``pairs`` (one item a link) and ``heavy`` (pair, n) of groups with many links.
 
@@ -200,84 +287,15 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str
     n_pieces = pieces(piece_path).size
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    found = map_slices(rows, tokenised(byte_level_path, piece_path), f"row {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
-
-    of = lambda x: x.bitwiseAND((1 << ID_BITS) - 1)
-    is_a = lambda x: x.bitwiseAND(3 << ID_BITS) == A_SIDE
     # in 32 bits where all pairs fit
     kind_of_pair = "int" if byte_level(byte_level_path).size * n_pieces < 2**31 else "bigint"
-    pair = lambda a, b: (of(a) * n_pieces + of(b)).cast(kind_of_pair)
-    number = lambda a, b: F.size(a).cast("long") * F.size(b)
-    size = lambda at, j: F.get(at, j) - before(at, j) - 1
-    nothing, no_items = (F.expr(f"cast(array() as array<{kind}>)") for kind in (kind_of_pair, f"struct<pair: {kind_of_pair}, n: bigint>"))
-    name = lambda x: of(x).cast("string")
-    bar, comma = F.lit("|"), F.lit(",")
-    before = lambda at, j: F.coalesce(F.get(at, j - 1), F.lit(-1))
-
-    def sides_of(all_: Column, at: Column, j: Column, use) -> Column:
-        """``use`` of a group's entries on either side, in order."""
-        first = before(at, j) + 1
-        own = F.slice(all_, first + 1, F.get(at, j) - first)
-        return let(own, lambda own: use(F.filter(own, is_a), F.filter(own, lambda x: ~is_a(x))))
-
-    def joined(all_: Column, at: Column) -> Column:
-        """Before a cut stand the last A token and the last B token of its group, and most groups hold no more or one more."""
-        said = lambda entries: F.array_join(F.transform(entries, name), ",")
-
-        def text(end: Column, j: Column) -> Column:
-            a, b, more = F.get(all_, end - 2), F.get(all_, end - 1), F.get(all_, end - 3)
-            n = end - before(at, j) - 1
-            three = F.when(is_a(more), F.concat(name(more), comma, name(a), bar, name(b))).otherwise(F.concat(name(a), bar, name(more), comma, name(b)))
-            return F.when(n == 2, F.concat(name(a), bar, name(b))).when(n == 3, three).otherwise(sides_of(all_, at, j, lambda a, b: F.concat(said(a), bar, said(b))))
-
-        return F.when(F.size(at) > 0, F.sha2(F.array_join(F.transform(at, text), ";"), 256)).otherwise(F.lit(""))
-
-    def links(all_: Column, at: Column, more: Column) -> Column:
-        """The last two tokens of every group, and the other links of groups with more."""
-        last = F.transform(at, lambda end: pair(F.get(all_, end - 2), F.get(all_, end - 1)))
-
-        def third(j: Column) -> Column:
-            end = F.get(at, j)
-            a, b, other = F.get(all_, end - 2), F.get(all_, end - 1), F.get(all_, end - 3)
-            return F.when(is_a(other), pair(other, b)).otherwise(pair(a, other))
-
-        def product(a: Column, b: Column) -> Column:
-            listed = flat_map(a, lambda x: F.transform(b, lambda y: pair(x, y)))
-            # the link of the last two is its last item
-            return F.when(number(a, b) <= LISTED, let(listed, lambda p: F.slice(p, 1, F.size(p) - 1))).otherwise(nothing)
-
-        three, wide = F.filter(more, lambda j: size(at, j) == 3), F.filter(more, lambda j: size(at, j) > 3)
-        return F.concat(last, F.transform(three, third), flat_map(wide, lambda j: sides_of(all_, at, j, product)))
-
-    def large(all_: Column, at: Column, more: Column) -> Column:
-        def counted(a: Column, b: Column) -> Column:
-            ids = lambda entries: runs(F.transform(entries, of))
-            listed = let(pair(F.element_at(a, -1), F.element_at(b, -1)), lambda p: let(ids(b), lambda bs: flat_map(ids(a), lambda x: F.transform(bs, lambda y: item(x, y, p)))))
-            return F.when(number(a, b) > LISTED, listed).otherwise(no_items)
-
-        def item(x: Column, y: Column, last: Column) -> Column:
-            p = x["v"] * n_pieces + y["v"]
-            return F.struct(p.cast(kind_of_pair).alias("pair"), (x["n"] * y["n"] - F.when(p == last, 1).otherwise(0)).alias("n"))
-
-        # fewer tokens than these can't have as many links
-        wide = F.filter(more, lambda j: size(at, j) >= max(4, 2 * int(LISTED**0.5)))
-        return flat_map(wide, lambda j: sides_of(all_, at, j, counted))
-
-    def built(all_: Column) -> Column:
-        at = F.array_compact(F.transform(all_, lambda x, k: F.when(x.bitwiseAND(CUT << ID_BITS) != 0, k)))
-
-        def parts(at: Column) -> Column:
-            more = F.array_compact(F.transform(at, lambda end, j: F.when(end - before(at, j) > 3, j)))
-            return let(more, lambda more: F.struct(joined(all_, at).alias("groups_sha256"), links(all_, at, more).alias("pairs"), large(all_, at, more).alias("heavy")))
-
-        return let(at, parts)
-
-    # read twice below, so Catalyst keeps it a column of its own and generates code for it; what follows binds it as a
-    # variable, so that taking an item doesn't open the row anew
-    whole = found.withColumn("merged", merged(F.array_intersect("a_ends", "b_ends")))
-    n_a, n_b = F.size("a_ids"), F.size("b_ids")
-    out = whole.select("row", n_a.cast("long").alias("n_a"), n_b.cast("long").alias("n_b"), (F.size("merged") - n_a - n_b).cast("long").alias("n_groups"), let(F.col("merged"), built).alias("found"))
-    return out.select(F.col("row.row").alias("row"), F.col("row.id").alias(id_col), "n_a", "n_b", "n_groups", "found.groups_sha256", "found.pairs", "found.heavy")
+    found = map_slices(rows, linked(byte_level_path, piece_path, LISTED), f"row {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<{kind_of_pair}>, wide array<struct<a: array<int>, b: array<int>>>")
+
+    def item(x: Column, y: Column) -> Column:
+        return F.struct((x["v"].cast("long") * n_pieces + y["v"]).cast(kind_of_pair).alias("pair"), (x["n"] * y["n"]).alias("n"))
+
+    heavy = flat_map("wide", lambda g: let(runs(g["b"]), lambda bs: flat_map(runs(g["a"]), lambda x: F.transform(bs, lambda y: item(x, y)))))
+    return found.select(F.col("row.row").alias("row"), F.col("row.id").alias(id_col), "n_a", "n_b", "n_groups", "groups_sha256", "pairs", heavy.alias("heavy"))
 
 
 def link_counts(found: DataFrame, n_b: int) -> DataFrame:

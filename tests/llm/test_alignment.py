@@ -107,3 +107,24 @@ def test_words_by_themselves_give_the_pieces_of_the_text():
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choices("abcdefghinorstuéß.,-_0123456789\n\t的😀", k=rng.randint(1, 14))) for _ in range(rng.randint(1, 30))) for _ in range(500)] + some_texts()
     assert [ids.tolist() for ids in b.encode(texts)] == b.model.encode(texts)
+
+
+def test_units_have_the_tokens_of_the_text():
+    """Cut before a space after another character than white space: no token of either side crosses, however odd the text."""
+    rng = random.Random(9)
+    alphabet = ["a", "Zb", "1", "23", ".", "'s", "'", "é", "▁", " ", " ", " ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "　", "́", "的", "😀", "<s>"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 25))) for _ in range(3000)] + some_texts()
+    units = alignment.Units(BYTE_BPE, PIECES, 64)
+    assert all("".join(alignment.UNIT.findall(" " + t)) == " " + t for t in texts)
+    plainly = [units.of_text(t) for t in texts]
+    # the second time from what was kept
+    for _ in range(2):
+        assert units.of_texts(texts) == plainly
+
+
+def test_a_unit_is_encoded_once(monkeypatch):
+    units, asked = alignment.Units(BYTE_BPE, PIECES, 64), []
+    plainly = units.a.encode
+    monkeypatch.setattr(units.a, "encode", lambda texts: asked.extend(texts) or plainly(texts))
+    units.of_texts(["two words two words", None, "two  words", ""])
+    assert sorted("".join(asked)) == sorted(" two words  words")
