@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.functions.vector import cosine
-from tesserae.operators import evaluate, feedback, retrieve, store
+from tesserae.operators import encode, evaluate, feedback, retrieve, store
 
 
 def measures_by_hand(expected, found):
@@ -191,3 +191,10 @@ def test_best_of_tiles_are_those_of_a_sort(monkeypatch, k):
     got = [tuple(r) for f in frames for r in f[["query_id", "score", "point_id"]].itertuples(index=False)]
     want = [(f"q{n}", -s, i) for n in range(8) for s, i in sorted((-scores[n, m], points["point_id"][m]) for m in range(40) if scores[n, m] > -np.inf)[:k]]
     assert got == want
+
+
+def test_encoding_holds_a_slice_of_texts_at_once(spark):
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('text ', id) as text")
+    found = encode.encode(texts, "text", encoder=lambda own: [[float(len(own))] for _ in own], max_items=10**6, max_waste=1.0)
+    assert found.count() == 3000
+    assert found.selectExpr("max(vector[0])").first()[0] <= encode.SLICE_TEXTS
