@@ -26,6 +26,8 @@ BLOCK_POINTS, BLOCKS = 64, 65_536
 #: Points, for each one asked for, that the blocks scored before the others hold: enough for a threshold that few others reach.
 FIRST = 16
 DIGITS = 6
+#: Terms of blocks to score, some 60 bytes each, that may be sent to where the postings lie.
+SENT_ROWS = 1_000_000
 
 
 @dataclass
@@ -49,7 +51,7 @@ def build(points: DataFrame, path: str | None = None) -> Postings:
     """Index of points (point_id, sparse: a map from term to weight); one without terms has no posting.
 
     Points are sorted by their total weight, a row each; only then is a row made
-    of each posting, with its block, and dealt by term and block.
+    of each posting, with its block.  Postings stay where their points are.
     """
     spark = points.sparkSession
     path = path or scratch.new_path(spark, "postings")
@@ -64,16 +66,24 @@ def build(points: DataFrame, path: str | None = None) -> Postings:
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     block = F.shiftleft(part, 33).bitwiseOR(F.floor(within / size).cast("long"))
     found = placed.select(block.alias("block"), "point_id", F.explode("sparse").alias("term", "weight")).where("weight is not null")
-    found.repartition(n, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    found.write.parquet(f"{path}/postings")
     index = Postings(spark, path, found.schema)
     index.rows.groupBy("term", "block").agg(F.max("weight").alias("most")).write.parquet(f"{path}/maxima")
     return index
 
 
 def scored(blocks: DataFrame, asked: DataFrame, index: Postings) -> DataFrame:
-    """(query_id, point_id, score) of the points of (query_id, block) that share a term; asked: query_id, term, asked."""
-    wanted = blocks.select("query_id", "block").join(asked, "query_id")
-    hits = wanted.join(index.rows, ["term", "block"])
+    """(query_id, point_id, score) of the points of (query_id, block) that share a term; asked: query_id, term, asked.
+
+    Terms of few blocks go to the postings, so that these are not shuffled; more meet them by a shuffle.
+    """
+    path = scratch.new_path(index.spark, "wanted")
+    # counted and joined
+    blocks.select("query_id", "block").join(asked, "query_id").write.parquet(path)
+    wanted = index.spark.read.parquet(path)
+    if wanted.count() <= SENT_ROWS:
+        wanted = F.broadcast(wanted)
+    hits = index.rows.join(wanted, ["term", "block"])
     return hits.groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), DIGITS).alias("score"))
 
 

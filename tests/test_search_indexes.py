@@ -169,3 +169,19 @@ def test_founders_are_not_searched_for_again(spark, monkeypatch):
     found = feedback.assign_votes(spark.createDataFrame(rows, "event_id long, owner_id string, query_id string, vector array<double>"))
     assert {r["query_id"]: r["feedback_id"] for r in found.collect()} == {"a": "a", "b": "b", "c": "b"}
     assert asked == [1]
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_postings_are_not_shuffled_for_few_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(postings, "SENT_ROWS", sent)
+    # decided by the hint alone
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = postings.build(spark.createDataFrame([(p, {"x": float(p), "y": 1.0}) for p in range(1, 200)], "point_id long, sparse map<string, double>"))
+        blocks = index.rows.selectExpr("1L as query_id", "block").distinct()
+        found = postings.scored(blocks, spark.createDataFrame([(1, "x", 2.0)], "query_id long, term string, asked double"), index)
+        assert sorted(tuple(r) for r in found.collect()) == [(1, p, 2.0 * p) for p in range(1, 200)]
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("BroadcastHashJoin" in plan) == (sent > 0)
