@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Marks that end a sentence.
 ENDS = ".!?。！？؟"
 SENTENCE = rf"[^{ENDS}]++[{ENDS}]++\s*"
-#: The same for a scan in which a match can only begin at the text's start, after a match or after a mark.
-SENTENCE_NEXT = rf"(?:\G|(?<=[{ENDS}])){SENTENCE}"
-
-
-def trimmed(s: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")
+#: The same with white space of ASCII only, and white space of any kind.
+CLOSED = re.compile(SENTENCE, re.ASCII)
+WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Texts held as Python's at once.
+SLICE = 256
 
 
 def utf16_length(s: Column) -> Column:
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
 
 
-def sentences(s: Column) -> Column:
+def split_at_marks(text: str) -> list[str]:
+    """Trimmed sentences of a text; only what lies before its last mark is matched, so the time follows its length."""
+    last = max(map(text.rfind, ENDS)) + 1
+    found = CLOSED.findall(text[:last])
+    found.append(text[last:] if found else text)
+    return [part for s in found if (part := s.strip(WHITE))]
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def sentences(s: pa.Array) -> pa.Array:
     """Sentences by closing marks; what follows the last one is a sentence too."""
-    found = F.regexp_extract_all(s, F.lit(SENTENCE_NEXT), F.lit(0))
-    rest = F.when(F.size(found) > 0, F.regexp_replace(s, rf"(?s)^.*[{ENDS}]", "")).otherwise(s)
-    return F.filter(F.transform(F.array_append(found, rest), trimmed), lambda x: x != "")
+    kind = pa.list_(pa.string())
+    parts = (s.slice(n, SLICE).to_pylist() for n in range(0, len(s), SLICE))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if t is None else split_at_marks(t) for t in part], kind) for part in parts)])
 
 
 def content_id(text: Column, collection: Column, owner: Column) -> Column:

@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
 from tesserae.operators import chunking as C
@@ -25,6 +27,22 @@ def test_sentences(spark):
     assert got == [["One.", "Two!", "Three"], [], ["no end"], ["lead.", "x"], ["你好。", "再见！"], ["a.", "b?"]]
 
 
+def test_sentences_take_about_as_long_as_one_scan(spark):
+    # a text of common sentences, and one without a mark
+    text, scan = F.explode(F.array(F.repeat(F.lit("Some words of a sentence, and more of them. "), 10_000), F.repeat(F.lit("no mark "), 50_000))), F.lit(r"[^.!?]++(?:[.!?]++|\z)")
+    df = spark.range(0, 16, 1, 4).select(text.alias("t")).localCheckpoint()
+
+    def seconds(column):
+        start = time.perf_counter()
+        assert df.agg(F.sum(F.size(column))).first()[0] >= 16 * 10_000
+        return time.perf_counter() - start
+
+    def least(column):
+        return min(seconds(column) for _ in range(2))
+
+    assert least(T.sentences(df["t"])) < 4 * least(F.regexp_extract_all("t", scan, F.lit(0))) + 1
+
+
 @given(st.text("ab .\n", max_size=300), st.integers(2, 40), st.data())
 @settings(max_examples=150, deadline=None)
 def test_recursive_chunks_hold_all_letters(text, size, data):
