@@ -22,9 +22,9 @@ from tesserae.operators.encode import encode_kinds
 from tesserae.sources import scratch
 
 #: Bytes of a block of queries and of one of points, and scores in memory at once.
-QUERY_BYTES, POINT_BYTES, CELLS = 8_000_000, 64_000_000, 4_000_000
-#: Queries of a tile of scores.
-TILE = 1024
+QUERY_BYTES, POINT_BYTES, CELLS = 8_000_000, 64_000_000, 2_000_000
+#: Queries of a tile of scores, and those of it whose scores are copied at once.
+TILE, COPIED = 1024, 64
 #: Fixed value: candidates of a search.
 POOL = 50
 DIGITS = 6
@@ -91,15 +91,13 @@ class Best:
             last = np.flatnonzero(np.bincount(rows, minlength=n) >= k)
             # found is sorted by row and score
             least[last] = scores[np.searchsorted(rows, last, "right") - 1]
-        # what is no number is no candidate
-        live = np.flatnonzero(np.fmax.reduce(s, axis=1) >= least - SLACK)
-        s, floor = s[live], least[live]
-        fresh = np.flatnonzero(floor == -np.inf)
-        if s.shape[1] > k and len(fresh):
-            floor[fresh] = np.partition(np.where(np.isnan(s[fresh]), -np.inf, s[fresh]), -k, axis=1)[:, -k]
-        # rounding keeps the order, so no more than half a digit is lost
-        row, at = np.nonzero((s >= floor[:, None] - SLACK) & (s > -np.inf))
-        row, point, score = live[row], names[at], np.round(s[row, at], DIGITS) + 0.0
+        if s.shape[1] > k:
+            fresh = np.flatnonzero(least == -np.inf)
+            for some in (fresh[m : m + COPIED] for m in range(0, len(fresh), COPIED)):
+                least[some] = np.partition(np.where(np.isnan(s[some]), -np.inf, s[some]), -k, axis=1)[:, -k]
+        # rounding keeps the order, so no more than half a digit is lost; what is no number is no candidate
+        row, at = np.nonzero(s >= np.maximum(least - SLACK, np.finfo(float).min)[:, None])
+        point, score = names[at], np.round(s[row, at], DIGITS) + 0.0
         if found is not None:
             row, point, score = np.concatenate([found[0], row]), np.concatenate([found[1], point]), np.concatenate([found[2], score])
         # ids may be texts

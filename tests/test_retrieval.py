@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -193,6 +194,20 @@ def test_best_of_tiles_are_those_of_a_sort(monkeypatch, k):
     assert got == want
 
 
+def test_best_points_hold_one_tile_of_scores_at_once():
+    rng = np.random.default_rng(3)
+    vectors = lambda n, name: pd.DataFrame({name: range(n), "vector": list(rng.normal(size=(n, 8)))})
+    queries, points = vectors(2 * retrieve.TILE, "query_id"), vectors(10_000, "point_id")
+    best = retrieve.Best(queries, 5, {"dense": retrieve.cosine_scores})
+    tracemalloc.start()
+    best.add(points)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, best.rows())) == 5 * len(queries)
+    # a score has 8 bytes, the mark of a candidate one
+    assert most < 1.5 * 8 * retrieve.CELLS < 30e6
+
+
 def test_encoding_holds_a_slice_of_texts_at_once(spark):
     texts = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('text ', id) as text")
     found = encode.encode(texts, "text", encoder=lambda own: [[float(len(own))] for _ in own], max_items=10**6, max_waste=1.0)
