@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -32,11 +33,11 @@ def split_at_marks(text: str) -> list[str]:
 
 
 @F.arrow_udf(ArrayType(StringType()))
-def sentences(s: pa.Array) -> pa.Array:
+def sentences(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Sentences by closing marks; what follows the last one is a sentence too."""
-    kind = pa.list_(pa.string())
-    parts = (s.slice(n, SLICE).to_pylist() for n in range(0, len(s), SLICE))
-    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if t is None else split_at_marks(t) for t in part], kind) for part in parts)])
+    for s in batches:
+        for n in range(0, len(s), SLICE):
+            yield pa.array([None if t is None else split_at_marks(t) for t in s.slice(n, SLICE).to_pylist()], pa.list_(pa.string()))
 
 
 def content_id(text: Column, collection: Column, owner: Column) -> Column:
